@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_counts
+from . import common, packing, simhash, substring, suffixes, token_counts
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removals(common.documents(spark, sf_dir))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,9 +17,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), common.shared_dir(spark, "token-cache"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(common.documents(spark, sf_dir))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op7_packing": op7_packing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op7_packing": op7_packing}
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ REMEMBERED = 600_000
 WORDS = regex.compile(r"[^ \t\r\n]+")
 #: One blank belongs to the word after it; of other white space the last character stands alone before a word.
 SPACED = regex.compile(r" ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]")
-RARE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]|<\|")
+RARE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 
 
 @lru_cache(4)
