@@ -3,7 +3,7 @@
 Vectors are scaled to length one, so the nearest by cosine is the nearest by Euclid. Coarse centroids and the
 codebooks of the residuals are fitted on at most ``sample`` vectors (chosen by hash of their id); every vector is
 indexed. A list of many vectors is split into blocks of about ``block`` by hash of the id, so no task holds a whole
-hot list. Each query visits the blocks of its ``probes`` nearest lists, ranks their codes by an asymmetric distance
+hot list. Each query visits the blocks of its nearest lists (how many is measured on the sample), ranks their codes by an asymmetric distance
 table, and reranks the best ``rerank`` of each block (and all that tie with the last) exactly, in double precision,
 on the original vectors. Only a query's best of each block are shuffled to its final ranking.
 
@@ -77,6 +77,20 @@ class Index:
         return out
 
 
+def lists_to_visit(x: np.ndarray, coarse: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+    """Nearest lists that hold ``recall`` of the ``k`` exact neighbours of some of ``x`` among ``x``."""
+    if len(x) < 2:
+        return len(coarse)
+    own = nearest(x, coarse)
+    q = x[:queries]
+    near = q @ x.T
+    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    found = own[np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]]
+    place = np.argsort(np.argsort((coarse * coarse).sum(1) / 2 - q @ coarse.T, axis=1), axis=1)
+    ranks = np.sort(np.take_along_axis(place, found, axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(1, keepdims=True)
     x = x / big
@@ -87,11 +101,11 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(unit(q) @ unit(x).T, -1.0, 1.0)
 
 
-def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, probes: float = 0.25, rerank: int = 128, block: int = 20_000, parts: int = 16, codes: int = 256) -> DataFrame:
+def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, recall: float = 0.97, rerank: int = 48, block: int = 20_000, parts: int = 16, codes: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found to each vector whose id is divisible by ``query_every``.
 
-    ``probes``: share of the lists that a query visits. The number of lists follows the square root of the number
-    of vectors, between 8 and 1024.
+    The number of lists follows the square root of the number of vectors, between 8 and 1024. How many of them a
+    query visits is measured on the sample: as many as hold ``recall`` of its own exact neighbours.
     """
     spark = vectors.sparkSession
     rows = common.table(usable(vectors, id_column, vector_column), "vectors")
@@ -107,7 +121,7 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
         fitted = np.array([r["v"] for r in rows.select("v").limit(sample).collect()], np.float64)
     index = Index(unit(fitted), int(min(1024, max(8, math.sqrt(total) / 2))), parts, codes)
     lists = len(index.coarse)
-    visit = max(min(lists, 8), math.ceil(lists * probes))
+    visit = lists_to_visit(unit(fitted), index.coarse, k, recall)
     shared = spark.sparkContext.broadcast(index)  # at most 1024 centroids and ``codes`` entries a part
 
     def assign(batches):
