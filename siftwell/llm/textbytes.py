@@ -18,11 +18,11 @@ class Words:
     """``data``: all words, each with one blank after it; word ``i`` is ``data[begin[i]:end[i]]``;
     document ``d`` has words ``first[d]`` to ``first[d + 1]``."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
         raw, ends = joined_bytes(column)
         if lower:
             raw = LOWER[raw]
-        gap = SPACE[raw]
+        gap = space[raw]
         # a word ends where white space or the end of its document follows
         stop = np.zeros(len(raw) + 1, bool)
         stop[1:] = gap_after = np.concatenate([gap[1:], [True]]) if len(raw) else np.zeros(0, bool)
