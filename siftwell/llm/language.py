@@ -34,14 +34,10 @@ UNKNOWN = 1e-7
 
 def words_of(text: str) -> list[str]:
     """Marked lower-case words; long ones in parts."""
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        if len(w) < LONGEST:
-            out.append(MARK + w)
-        else:
-            w = MARK + w
-            out.extend(w[i : i + LONGEST] for i in range(0, len(w), LONGEST))
-    return out
+    found = LETTERS.findall(text.lower())
+    if max(map(len, found), default=0) < LONGEST:
+        return [MARK + w for w in found]
+    return [part for w in found for part in ((MARK + w)[i : i + LONGEST] for i in range(0, len(w) + 1, LONGEST))]
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
