@@ -29,10 +29,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
     def encode(batches):
         e, part, done = tokens.encoder(tokenizer_path, True), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], e.kind).tobytes()
+        end = e.value([end_id])
         for b in common.pieces(batches, "text"):
-            ids = [x + end for x in e.ids(common.texts_of(b))]
-            n = np.array([len(x) // e.kind.itemsize for x in ids], np.int64)
+            ids = [x + end for x in e.of(common.texts_of(b))]
+            n = np.array([len(x) // e.width for x in ids], np.int64)
             first = done + np.cumsum(n) - n
             done += int(n.sum())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(first), b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "first", "doc_id", "n", "ids"])
@@ -43,7 +43,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1) -> DataFrame:
     """The pieces of all documents, see PIECES; ``with_ids`` in ``cut`` adds their ids."""
-    return cut(encoded(docs, tokenizer_path, end_id), tokens.encoder(tokenizer_path, True).kind.str, width)
+    return cut(encoded(docs, tokenizer_path, end_id), f"<u{tokens.encoder(tokenizer_path, True).width}", width)
 
 
 def cut(ids: DataFrame, kind: str, width: int, with_ids: bool = False) -> DataFrame:

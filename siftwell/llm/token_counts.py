@@ -50,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, spaced:
         c = tokens.counter(tokenizer_path, spaced)
         for b in batches:
             for p in common.pieces([b], "text"):
-                yield pa.RecordBatch.from_arrays([p.column("content"), pa.array(c.counts(common.texts_of(p)), pa.int64())], ["content", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([p.column("content"), pa.array(c.of(common.texts_of(p)), pa.int64())], ["content", "n_tokens"])
 
     new = misses.select("content", "text").mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)

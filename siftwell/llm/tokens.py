@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-import regex
+#: Chunks that a worker remembers in each of two generations; when one is full, the older is forgotten.
+REMEMBERED = 400_000
 
-#: Chunks that a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
-
-WORDS = regex.compile(r"[^ \t\r\n]+")
+#: Letters that begin a word and end where no letter or mark can follow are a chunk; so is what follows, up to white space.
+LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]++(?![^\x00-\x7f])"
+WORDS = re.compile(LETTERS + r"|[^ \t\r\n]+")
 #: One blank belongs to the word after it; of other white space the last character stands alone before a word.
-SPACED = regex.compile(r" ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]")
-RARE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
+SPACED = re.compile(" ?" + LETTERS + r"| ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]")
+RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 
 
 @lru_cache(4)
@@ -42,44 +43,57 @@ def version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def odd(text: str) -> bool:
+    """Whether a text has to be encoded whole."""
+    if text.isascii():
+        return "<|" in text or any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
+    return RARE.search(text) is not None
+
+
 class Encoder:
-    """Ids of texts as little-endian arrays. ``spaced``: the vocabulary's tokens carry the blank before a word."""
+    """Ids of texts as arrays of ``width`` bytes each. ``spaced``: the vocabulary's tokens carry the blank before a word."""
 
     def __init__(self, path: str, spaced: bool):
-        self.t, self.find, self.known = tokenizer(path), (SPACED if spaced else WORDS).findall, {}
-        self.kind = np.dtype("<u2" if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.t, self.find = tokenizer(path), (SPACED if spaced else WORDS).findall
+        self.known: dict = {}
+        self.older: dict = {}
+        self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code = {2: "H", 4: "I"}[self.width]
 
     def value(self, ids: list[int]):
-        return np.array(ids, self.kind).tobytes()
-
-    def learn(self, wanted: set[str]) -> None:
-        """Encodes the chunks of ``wanted`` that are not known yet."""
-        miss = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(miss) > REMEMBERED and self.known:
-            self.known.clear()
-            miss = list(wanted)
+        return array(self.code, ids).tobytes()
+
+    def learn(self, wanted: set[str]) -> dict:
+        """What is known after the chunks of ``wanted`` are."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+            known = self.known
+        older, miss = self.older, []
+        for c in wanted:
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    miss.append(c)
         for c, e in zip(miss, self.t.encode_batch_fast(miss, add_special_tokens=False)):
-            self.known[c] = self.value(e.ids)
+            known[c] = self.value(e.ids)
+        return known
 
-    def parts(self, texts: list[str]) -> list[list]:
-        """For each text the values of its chunks."""
+    def of(self, texts: list[str]) -> list:
+        """The value of each text, from those of its chunks."""
         out: list = [None] * len(texts)
-        odd = [i for i, x in enumerate(texts) if RARE.search(x)]
-        for i, e in zip(odd, self.t.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
-            out[i] = [self.value(e.ids)]
+        whole = [i for i, x in enumerate(texts) if odd(x)]
+        for i, e in zip(whole, self.t.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = self.value(e.ids)
         plain = [i for i in range(len(texts)) if out[i] is None]
         cut = [self.find(texts[i]) for i in plain]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        self.learn(new)
-        known = self.known
+        get = self.learn(set().union(*cut)).__getitem__
         for i, c in zip(plain, cut):
-            out[i] = [known[x] for x in c]
+            out[i] = self.total(map(get, c))
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(p) for p in self.parts(texts)]
+    total = staticmethod(b"".join)
 
 
 class Counter(Encoder):
@@ -88,8 +102,7 @@ class Counter(Encoder):
     def value(self, ids: list[int]) -> int:
         return len(ids)
 
-    def counts(self, texts: list[str]) -> list[int]:
-        return [sum(p) for p in self.parts(texts)]
+    total = staticmethod(sum)
 
 
 @lru_cache(4)
