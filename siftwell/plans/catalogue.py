@@ -1,4 +1,261 @@
-"""Every query of the lead engine by name, with its SQL for DuckDB."""
+"""Every query of the lead engine by name, with its SQL for DuckDB over the same views."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.functions import enrich, extract, fixed, message, score
+from siftwell.operators import leads as L
+from siftwell.operators import quota as Q
+from siftwell.plans import process
+from siftwell.sources.derived import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+ORG, DAY, AI = 7, "1995-03-15", ("pro", "enterprise")
+
+
+class Tables:
+    """Derived views of one folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = view(self.spark, self._dir, name)
+        setattr(self, name, table)  # one plan for each table of a query
+        return table
+
+
+def query(name: str, build: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+    if sql:
+        ORACLES[name] = with_views(sql)
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def listed(items) -> str:
+    return ", ".join(map(quoted, items))
+
+
+def double(x: float) -> str:
+    return f"cast({x} as double)"
+
+
+# --- scans and lookups
+LEAD = "id, organization_id, owner_id, website, company_name, industry, employees, is_active"
+LEAD_COLUMNS = LEAD.split(", ")
+query("scan_leads_by_org", lambda t: L.page(L.of_organization(t.leads, ORG), 2, 100).select(*LEAD_COLUMNS), f"select {LEAD} from leads where organization_id = {ORG} order by id limit 100 offset 2")
+query("scan_leads_by_owner", lambda t: L.page(t.leads.filter("owner_id = 5")).select(*LEAD_COLUMNS), f"select {LEAD} from leads where owner_id = 5 order by id limit 100")
+query("scan_usage_range", lambda t: L.usage_range(t.usage_records, ORG, "2024-01-05", "2024-01-25 12:00:00"), f"select * from usage_records where organization_id = {ORG} and recorded_at between timestamp '2024-01-05' and timestamp '2024-01-25 12:00:00'")
+query("lookup_lead", lambda t: L.lookup(t.leads, "id", 42).select(*LEAD_COLUMNS), f"select {LEAD} from leads where id = 42")
+query("lookup_subscription", lambda t: L.lookup_many(t.subscriptions, t.organizations.select(F.col("id").alias("organization_id")), "organization_id"), "select o.id as organization_id, s.id, s.plan_name, s.status, s.cancel_at_period_end from organizations o left join subscriptions s on s.organization_id = o.id")
+query("scan_plans", lambda t: Q.plans(t.spark).drop("price"), "select * from (values ('free', cast(10 as bigint), false, false), ('pro', cast(500 as bigint), false, false), ('enterprise', cast(10000 as bigint), false, false)) v(name, max_leads_per_day, can_export, can_use_ai)")
+query("plan_prices", lambda t: Q.plans(t.spark).select("name", "price"), "select * from (values ('free', cast(0 as bigint)), ('pro', cast(29 as bigint)), ('enterprise', cast(99 as bigint))) v(name, price)")
+
+# --- predicates
+query("search_leads", lambda t: L.search(t.leads, "TRAVEL").select(*LEAD_COLUMNS), f"select {LEAD} from leads where contains(lower(website), 'travel') or contains(lower(coalesce(company_name, '')), 'travel') or contains(lower(coalesce(industry, '')), 'travel')")
+query("active_leads", lambda t: t.leads.filter("is_active").select(*LEAD_COLUMNS), f"select {LEAD} from leads where is_active")
+query("tenant_isolation", lambda t: L.visible_to(t.leads, t.organizations.filter("is_active and id % 10 = 3").select(F.col("id").alias("organization_id"))).select(*LEAD_COLUMNS), f"select {LEAD} from leads where organization_id in (select id from organizations where is_active and id % 10 = 3)")
+query("lead_access", lambda t: t.leads.select("id", L.access(t.leads, ORG).alias("access")), f"select id, case when organization_id = {ORG} then 'ok' else 'forbidden' end as access from leads")
+query("create_authz", lambda t: t.leads.select("id", L.create_status(ORG, ORG % 97).alias("status")), f"select id, case when organization_id <> {ORG} then 'wrong organization' when owner_id <> {ORG % 97} then 'wrong owner' else 'ok' end as status from leads")
+query("day_window", lambda t: L.on_day(t.leads, DAY).select("id", "organization_id"), f"select id, organization_id from leads where created_at >= timestamp '{DAY}' and created_at <= timestamp '{DAY} 23:59:59.999999'")
+query("display_defaults", lambda t: t.leads.select("id", *L.displayed()), "select id, coalesce(nullif(company_name, ''), 'N/A') as company_name, coalesce(nullif(industry, ''), 'Unknown Industry') as industry, coalesce(nullif(employees, ''), 'N/A') as employees, coalesce(nullif(contact_name, ''), 'N/A') as contact_name, strftime(created_at, '%b %d, %Y') as created from leads")
+query("has_sufficient_data", lambda t: t.leads.select("id", message.sufficient_data().alias("enough")), "select id, (coalesce(company_name <> '', false)::int + coalesce(industry <> '', false)::int + coalesce(contact_name <> '', false)::int + coalesce(employees <> '', false)::int) >= 2 as enough from leads")
+query("request_lines", lambda t: L.requests(t.spark.createDataFrame([(1, " https://a.example \n\nhttps://b.example\nhttps://a.example "), (2, "")], "box long, urls string")), "select * from (values (cast(1 as bigint), 'https://a.example'), (cast(1 as bigint), 'https://b.example'), (cast(1 as bigint), 'https://a.example')) v(box, url)")
+
+# --- scores
+PARTS = {
+    "score_industry": ("industry_match", f"case when industry in ({listed(fixed.PREFERRED_INDUSTRIES)}) then 25e0 else 0e0 end"),
+    "score_size": ("company_size", f"case when employees in ({listed(fixed.PREFERRED_SIZES)}) then 20e0 else 0e0 end"),
+    "score_email": ("email_quality", "case when coalesce(email_confidence, 0) >= 0.6e0 then 15e0 * email_confidence else 0e0 end"),
+    "score_scrape": ("scrape_quality", "case when coalesce(scrape_confidence, 0) >= 0.6e0 then 15e0 * scrape_confidence else 0e0 end"),
+    "score_enrichment": ("enrichment_quality", "case when coalesce(enrichment_confidence, 0) >= 0.6e0 then 15e0 * enrichment_confidence else 0e0 end"),
+    "score_linkedin": ("linkedin_presence", "case when linkedin_url <> '' then 10e0 else 0e0 end"),
+}
+TOTAL = "least(0e0 + " + " + ".join(f"({sql})" for _, sql in PARTS.values()) + ", 100e0)"
+LABELED = "case when s >= 80 then 'Hot Lead' when s >= 60 then 'Warm Lead' when s >= 40 then 'Cold Lead' else 'Disqualified' end"
+SCORED = f"(select *, {TOTAL} as s from leads)"
+for _name, (_criterion, _sql) in PARTS.items():
+    query(_name, lambda t, c=_criterion: t.leads.select("id", score.criteria()[c].alias("points")), f"select id, {_sql} as points from leads")
+scored = lambda t: t.leads.withColumn("score", score.total())
+query("score_lead", lambda t: scored(t).select("id", "score"), f"select id, s as score from {SCORED}")
+query("classify", lambda t: scored(t).select("id", score.label(F.col("score")).alias("label")), f"select id, {LABELED} as label from {SCORED}")
+query("score_breakdown", lambda t: t.leads.select("id", F.explode(score.breakdown()).alias("criterion", "points")), " union all ".join(f"select id, '{c}' as criterion, {sql} as points from leads" for c, sql in PARTS.values()))
+query("custom_score", lambda t: t.leads.select("id", score.total({"industry_match": {"max_score": 60.0}, "scrape_quality": {"max_score": 40.0, "threshold": 0.5}, "unknown": {}}).alias("score")), f"select id, least(0e0 + case when industry in ({listed(fixed.PREFERRED_INDUSTRIES)}) then 60e0 else 0e0 end + case when scrape_confidence >= 0.5e0 then 40e0 * scrape_confidence else 0e0 end, 100e0) as score from leads")
+query("label_distribution", lambda t: scored(t).groupBy(score.label(F.col("score")).alias("label")).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")), f"select {LABELED} as label, count(*) as n, avg(s) as avg_score from {SCORED} group by 1")
+query("filter_score_band", lambda t: L.in_band(scored(t), "medium").select("id", "score"), f"select id, s as score from {SCORED} where s >= 60 and s < 80")
+WEIGHTS = ", ".join(f"('{n}', {double(w)})" for n, (w, _) in fixed.CRITERIA.items())
+weights = lambda t: t.spark.createDataFrame([(n, w) for n, (w, _) in fixed.CRITERIA.items()], "name string, weight double")
+query("weight_sum_check", lambda t: weights(t).agg((F.abs(F.sum("weight") - 1) <= 0.01).alias("valid")), f"select abs(sum(weight) - 1) <= 0.01 as valid from (values {WEIGHTS}) v(name, weight)")
+query("weight_normalise", lambda t: weights(t).filter("name <> 'linkedin_presence'").select("name", F.expr("round(weight / sum(weight) over (), 12)").alias("weight")), f"select name, round(weight / sum(weight) over (), 12) as weight from (values {WEIGHTS}) v(name, weight) where name <> 'linkedin_presence'")
+
+# --- plans, quotas, joins
+PLAN = "case plan_name when 'pro' then 500 when 'enterprise' then 10000 else 10 end"
+PLANNED = "(select o.id, coalesce(s.plan_name, 'free') as plan_name from organizations o left join (select organization_id, arg_min(plan_name, id) as plan_name from subscriptions group by 1) s on s.organization_id = o.id)"
+USED = f"(select p.id as organization_id, p.plan_name, cast({PLAN} as bigint) as max_leads_per_day, coalesce(n, 0) as current_usage from {PLANNED} p left join (select organization_id, count(*) as n from leads where created_at >= timestamp '{DAY}' and created_at < timestamp '{DAY}' + interval 1 day group by 1) u on u.organization_id = p.id)"
+used = lambda t: Q.usage(t.organizations, t.subscriptions, t.leads, DAY, AI, ("enterprise",))
+query("join_org_plan", lambda t: Q.with_plan(t.organizations, t.subscriptions).select("id", "plan_name"), f"select id, plan_name from {PLANNED}")
+query("plan_limits", lambda t: Q.with_plan(t.organizations, t.subscriptions).select("id", Q.limit_of(F.col("plan_name")).cast("long").alias("max_leads_per_day")), f"select id, cast({PLAN} as bigint) as max_leads_per_day from {PLANNED}")
+query("join_lead_plan", lambda t: Q.with_plan(t.leads, t.subscriptions, "organization_id").select("id", "plan_name"), f"select l.id, p.plan_name from leads l join {PLANNED} p on p.id = l.organization_id")
+query("join_org_daily_usage", lambda t: Q.used_on(t.organizations, t.leads, DAY).select("id", "current_usage"), f"select organization_id as id, current_usage from {USED}")
+query("join_lead_logs", lambda t: t.leads.join(t.scraping_logs, t.leads["id"] == t.scraping_logs["lead_id"]).select(t.leads["id"], t.scraping_logs["id"].alias("log_id"), "scraping_method", "success"), "select l.id, g.id as log_id, scraping_method, success from leads l join scraping_logs g on g.lead_id = l.id")
+query("join_user_org", lambda t: t.leads.select(F.col("owner_id").alias("id")).distinct().join(t.organizations, "id").select("id", "name"), "select o.id, o.name from organizations o where o.id in (select owner_id from leads)")
+query("org_first_lead", lambda t: t.leads.groupBy("organization_id").agg(F.min_by("website", "id").alias("website")), "select organization_id, arg_min(website, id) as website from leads group by 1")
+query("orgs_without_subscription", lambda t: t.organizations.join(t.subscriptions, t.organizations["id"] == t.subscriptions["organization_id"], "left_anti").select("id"), "select id from organizations where id not in (select organization_id from subscriptions)")
+query("leads_of_active_orgs", lambda t: t.leads.join(t.organizations.filter("is_active").select(F.col("id").alias("organization_id")), "organization_id", "left_semi").select("id"), "select id from leads where organization_id in (select id from organizations where is_active)")
+query("org_usage", used, f"select organization_id, plan_name, max_leads_per_day, plan_name = 'enterprise' as can_export, plan_name in ('pro', 'enterprise') as can_use_ai, current_usage, greatest(0, max_leads_per_day - current_usage) as remaining_daily_leads, max_leads_per_day > current_usage as can_process_more_today from {USED}")
+query("can_create", lambda t: used(t).select("organization_id", F.col("can_process_more_today").alias("can_create")), f"select organization_id, max_leads_per_day > current_usage as can_create from {USED}")
+query("can_use_ai", lambda t: used(t).select("organization_id", "can_use_ai"), f"select organization_id, plan_name in ('pro', 'enterprise') as can_use_ai from {USED}")
+query("can_export", lambda t: used(t).select("organization_id", "can_export"), f"select organization_id, plan_name = 'enterprise' as can_export from {USED}")
+batches = lambda t: t.leads.groupBy("organization_id", (F.col("id") % 3).alias("batch_id")).agg(F.count("*").alias("n"))
+query("admit_batch", lambda t: batches(t).join(used(t).select("organization_id", "max_leads_per_day", "current_usage"), "organization_id").select("organization_id", "batch_id", "n", Q.admit_one(F.col("n") * 3, F.col("max_leads_per_day"), F.col("current_usage")).alias("status")), f"select b.organization_id, batch_id, n, case when max_leads_per_day <= current_usage then 'limit reached' when n * 3 > max_leads_per_day - current_usage then 'too many' else 'accepted' end as status from (select organization_id, id % 3 as batch_id, count(*) as n from leads group by 1, 2) b join {USED} u using (organization_id)")
+query("admit_in_turn", lambda t: Q.admit(batches(t), used(t)), f"select batch_id, organization_id, n, case when room <= 0 then 'limit reached' when n > room then 'too many' else 'accepted' end as status from (select b.*, greatest(0, max_leads_per_day - current_usage) - coalesce(sum(n) over (partition by organization_id order by batch_id rows between unbounded preceding and 1 preceding), 0) as room from (select organization_id, id % 3 as batch_id, count(*) as n from leads group by 1, 2) b join {USED} u using (organization_id))")
+asked = lambda t: t.events.select((F.col("event_id") * 2).alias("lead_id"), F.col("user_id").alias("caller_organization"))
+query("process_gate", lambda t: Q.process_gate(asked(t), t.leads, t.subscriptions, AI), f"select e.event_id * 2 as lead_id, e.user_id as caller_organization, cast(case when l.id is null then 404 when l.organization_id <> e.user_id then 403 when p.plan_name not in ('pro', 'enterprise') then 403 else 200 end as integer) as status from events e left join leads l on l.id = e.event_id * 2 left join {PLANNED} p on p.id = l.organization_id")
+wanted = lambda t: t.organizations.select(F.col("id").alias("organization_id"), F.expr("case id % 4 when 0 then 'free' when 1 then 'pro' when 2 then 'gold' else 'enterprise' end").alias("plan_name")).filter("organization_id % 3 = 0")
+WANTED = "(select id as organization_id, case id % 4 when 0 then 'free' when 1 then 'pro' else 'enterprise' end as plan_name from organizations where id % 3 = 0 and id % 4 <> 2)"
+query("assign_plan", lambda t: Q.assigned(t.subscriptions, wanted(t)), f"select s.organization_id, coalesce(w.plan_name, s.plan_name) as plan_name, case when w.plan_name is null then s.status else 'active' end as status, s.cancel_at_period_end from subscriptions s left join {WANTED} w using (organization_id) union all select organization_id, plan_name, 'active', false from {WANTED} where organization_id not in (select organization_id from subscriptions)")
+query("cancel_plan", lambda t: Q.canceled(t.subscriptions, t.organizations.filter("id % 5 < 2").select(F.col("id").alias("organization_id"), (F.col("id") % 5 == 0).alias("immediate"))), "select id, organization_id, plan_name, case organization_id % 5 when 0 then 'canceled' when 1 then 'active' else status end as status, case organization_id % 5 when 0 then false when 1 then true else cancel_at_period_end end as cancel_at_period_end from subscriptions")
+query("seed_plans", lambda t: Q.seeded(Q.plans(t.spark).drop("price").filter("false"), Q.plans(t.spark).drop("price")), ORACLES["scan_plans"])
+query("plans_count", lambda t: Q.plans(t.spark).agg(F.count("*").alias("n")), "select cast(3 as bigint) as n")
+PRICE = "case event_id % 4 when 0 then 'price_123' when 1 then 'price_456' when 2 then 'price_789' else 'price_0' end"
+query("plan_from_price", lambda t: t.events.select("event_id", Q.plan_of_price(F.expr(PRICE)).alias("plan_name")), "select event_id, case event_id % 4 when 0 then 'starter' when 1 then 'pro' when 2 then 'enterprise' else 'unknown' end as plan_name from events")
+billing = lambda t: t.events.select("event_id", F.col("ts").alias("at"), F.col("user_id").alias("organization_id"), F.expr("case event_type when 'signup' then 'created' when 'purchase' then 'updated' when 'error' then 'deleted' else 'payment' end").alias("kind"), F.expr(PRICE).alias("price"), F.expr("case when event_id % 7 = 0 then 'past_due' else 'active' end").alias("status"), (F.col("event_id") % 2 == 0).alias("at_period_end"))
+BILLING = f"(select event_id, ts as happened, user_id as organization_id, case event_type when 'signup' then 'created' when 'purchase' then 'updated' when 'error' then 'deleted' end as kind, case event_id % 4 when 0 then 'starter' when 1 then 'pro' when 2 then 'enterprise' else 'unknown' end as plan, case when event_id % 7 = 0 then 'past_due' else 'active' end as status, event_id % 2 = 0 as flag from events where event_type in ('signup', 'purchase', 'error') and user_id <> 0)"
+query("apply_billing_events", lambda t: Q.folded(billing(t)), f"""with b as (select *, row_number() over (partition by organization_id order by happened, event_id) as place from {BILLING}),
+first as (select organization_id, min(place) as start from b where kind = 'created' group by 1), r as (select b.*, start from b join first using (organization_id) where place >= start)
+select organization_id, arg_max(plan, place) filter (where kind <> 'deleted') as plan_name, arg_max(case when kind = 'deleted' then 'canceled' when place = start then 'active' else status end, place) as status, coalesce(arg_max(flag, place) filter (where kind = 'updated'), false) as cancel_at_period_end from r group by 1""")
+query("plan_tier_drift", lambda t: Q.drift(t.organizations, t.subscriptions, F.expr("case when id % 2 = 0 then 'free' else 'pro' end")), f"select id as organization_id, case when id % 2 = 0 then 'free' else 'pro' end as plan_tier, plan_name from {PLANNED} where plan_name <> case when id % 2 = 0 then 'free' else 'pro' end")
+
+# --- aggregates
+query("daily_usage", lambda t: Q.daily_usage(t.leads), "select organization_id, cast(created_at as date) as day, count(*) as n from leads group by 1, 2")
+query("avg_score", lambda t: L.average_score(scored(t)), f"select coalesce(avg(s), 0) as avg_score from {SCORED}")
+query("active_count", lambda t: t.leads.agg(F.count_if("is_active").alias("n")), "select count(*) filter (where is_active) as n from leads")
+query("usage_counter", lambda t: L.counted_usage(t.organizations, t.usage_records).select("id", "usage_count"), "select o.id, cast(coalesce(sum(quantity), 0) as bigint) as usage_count from organizations o left join usage_records u on u.organization_id = o.id group by 1")
+query("org_remaining", lambda t: L.counted_usage(t.organizations, t.usage_records).select("id", (F.col("max_leads") - F.col("usage_count")).alias("remaining")), "select o.id, cast(any_value(max_leads) - coalesce(sum(quantity), 0) as bigint) as remaining from organizations o left join usage_records u on u.organization_id = o.id group by 1")
+query("total_pages", lambda t: t.leads.agg(F.ceil(F.count("*") / 10).cast("long").alias("pages")), "select cast(ceil(count(*) / 10.0) as bigint) as pages from leads")
+query("log_success_rate", lambda t: t.scraping_logs.groupBy("scraping_method").agg(F.count("*").alias("n"), F.avg(F.col("success").cast("double")).alias("rate"), F.sum("processing_time_ms").cast("long").alias("ms")), "select scraping_method, count(*) as n, avg(success::int) as rate, cast(sum(processing_time_ms) as bigint) as ms from scraping_logs group by 1")
+query("usage_rollup", lambda t: t.usage_records.rollup("action", F.to_date("recorded_at").alias("day")).agg(F.sum("quantity").cast("long").alias("quantity")), "select action, cast(recorded_at as date) as day, cast(sum(quantity) as bigint) as quantity from usage_records group by rollup (action, cast(recorded_at as date))")
+
+# --- order, sets, changes
+query("page_leads", lambda t: L.page(t.leads, 20, 10).select(*LEAD_COLUMNS), f"select {LEAD} from leads order by id limit 10 offset 20")
+query("recent_leads", lambda t: L.recent(t.leads, "organization_id").select("id", "organization_id", "place"), "select id, organization_id, cast(place as integer) as place from (select *, row_number() over (partition by organization_id order by id) as place from leads) where place <= 5")
+query("top_leads", lambda t: scored(t).orderBy(F.desc("score"), "id").limit(20).select("id", "score"), f"select id, s as score from {SCORED} order by s desc, id limit 20")
+new = lambda t: t.leads.filter("id % 10 = 1").withColumn("company_name", F.lit("New"))
+query("prepend", lambda t: L.prepended(t.leads, new(t)).groupBy("company_name").agg(F.count("*").alias("n")), "select company_name, count(*) as n from (select company_name from leads union all select 'New' from leads where id % 10 = 1) group by 1")
+query("remove", lambda t: L.removed(t.leads, t.leads.filter("id % 3 = 0")).select("id"), "select id from leads where id % 3 <> 0")
+query("replace", lambda t: L.replaced(t.leads, new(t)).select("id", "company_name"), "select id, case when id % 10 = 1 then 'New' else company_name end as company_name from leads")
+query("partial_update", lambda t: L.updated(t.leads, t.leads.filter("id % 4 = 0").select("id", F.lit(True).alias("set_industry"), F.lit(None).cast("string").alias("industry"), (F.col("id") % 8 == 0).alias("set_employees"), F.lit("1-10").alias("employees")), ["industry", "employees"]).select("id", "industry", "employees"), "select id, case when id % 4 <> 0 then industry end as industry, case when id % 8 = 0 then '1-10' else employees end as employees from leads")
+query("soft_delete", lambda t: L.soft_deleted(t.leads, [1, 2, 3, 4, 5]).select("id", "is_active"), "select id, is_active and id not in (1, 2, 3, 4, 5) as is_active from leads")
+query("insert_if_absent", lambda t: L.inserted(t.organizations.filter("id % 2 = 0").select("id", "name"), t.organizations.select((F.col("id") + 1).alias("id"), "name"), "name")[0], "select id + 1 as id, name from organizations where id % 2 <> 0")
+query("log_records", lambda t: t.scraping_logs.select("id", L.log_event("scraping_attempt", "lead_id", "scraping_method", "success").alias("record")), """select id, concat('{"event":"scraping_attempt","lead_id":', lead_id, ',"scraping_method":"', scraping_method, '","success":', success, '}') as record from scraping_logs""")
+
+# --- extraction
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+ENT = "{}"
+for _a, _b in extract.ENTITIES:
+    ENT = f"replace({ENT}, {quoted(_a)}, {quoted(_b)})"
+TITLE = STRIP.format(ENT.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+META_DESC = r"""regexp_extract(html, '(?is)<meta\b[^>]*\bname\s*=\s*["'']description["''][^>]*>', 0)"""
+CONTENT = r"""regexp_extract({}, '(?is)\bcontent\s*=\s*"([^"]*)"', 1)"""
+DESC = f"case when {META_DESC} <> '' then {STRIP.format(ENT.format(CONTENT.format(META_DESC)))} end"
+pages_of = lambda which: lambda build: lambda t: build(getattr(t, which))
+
+
+def meta_sql(attr: str, prefix: str) -> str:
+    """Name and content of each element; the last of a name wins; names in order."""
+    tags = rf"""unnest(list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\b{attr}\s*=\s*["'']{prefix}:[^>]*>', 0), lambda x: x))"""
+    name = rf"""'{prefix}_' || regexp_extract(tag, '(?is)\b{attr}\s*=\s*"{prefix}:([^"]*)"', 1)"""
+    return f"select page_id, coalesce(string_agg(k || '=' || v, ';' order by k), '') as fields from (select page_id, k, arg_max(v, place) as v from (select page_id, {name} as k, {CONTENT.format('tag')} as v, row_number() over () as place from (select page_id, {tags} as tag from pages_rich)) group by 1, 2) group by 1"
+
+
+ALL_PAGES = "select page_id, coalesce(fields, '') as fields from pages_rich left join ({}) m using (page_id)"
+HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']', 1)"""
+LINKS = rf"""list_filter(list_transform({HREFS}, lambda h: case when h like 'http%' then h when h like '//%' then regexp_extract(url, '^(\w+):', 1) || ':' || h when h like '/%' then regexp_extract(url, '^(\w+://[^/?#]*)', 1) || h end), lambda h: h is not null)"""
+VISIBLE = "substr(" + STRIP.format(ENT.format(r"regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")) + ", 1, 8000)"
+EMAIL, PHONE = (f"nullif(regexp_extract(lower({VISIBLE}), {quoted(p)}, 1), '')" for p in (fixed.EMAIL, fixed.PHONE))
+COMPANY = r"split_part(replace(regexp_extract(url, '^\w+://(?:[^/?#@]*@)?([^/?#:]*)', 1), 'www.', ''), '.', 1)"
+for _view in ("pages", "pages_rich"):
+    _end = "" if _view == "pages_rich" else "_raw"
+    query("extract_title" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.title(F.col("html")).alias("title")), f"select page_id, {TITLE} as title from {_view}")
+    query("extract_links" + _end, lambda t, v=_view: getattr(t, v).select("page_id", F.posexplode(extract.links(F.col("html"), F.col("url"))).alias("place", "link")), f"select page_id, cast(unnest(range(len(l))) as integer) as place, unnest(l) as link from (select page_id, {LINKS} as l from {_view})")
+    query("extract_email" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.email(extract.visible_text(F.col("html"))).alias("email")), f"select page_id, {EMAIL} as email from {_view}")
+    query("extract_phone" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.phone(extract.visible_text(F.col("html"))).alias("phone")), f"select page_id, {PHONE} as phone from {_view}")
+    query("visible_text" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.visible_text(F.col("html")).alias("text")), f"select page_id, {VISIBLE} as text from {_view}")
+    query("domain_company" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.domain_company(F.col("url")).alias("company")), f"select page_id, {COMPANY} as company from {_view}")
+query("extract_links_abs", lambda t: t.pages_rich.select("page_id", F.size(extract.absolute_links(F.col("html"))).cast("long").alias("n")), f"select page_id, cast(len(list_filter({HREFS}, lambda h: h like 'http%')) as bigint) as n from pages_rich")
+query("extract_description", lambda t: t.pages_rich.select("page_id", extract.description(F.col("html")).alias("description")), f"select page_id, {DESC} as description from pages_rich")
+query("extract_og", lambda t: t.pages_rich.select("page_id", extract.shown_map(extract.meta_map(F.col("html"), "property", "og")).alias("fields")), ALL_PAGES.format(meta_sql("property", "og")))
+query("extract_twitter", lambda t: t.pages_rich.select("page_id", extract.shown_map(extract.meta_map(F.col("html"), "name", "twitter")).alias("fields")), ALL_PAGES.format(meta_sql("name", "twitter")))
+SCRIPT = r"""nullif(regexp_extract(html, '(?is)<script\b[^>]*type\s*=\s*["'']application/ld\+json["''][^>]*>(.*?)</script>', 1), '')"""
+query("jsonld_fields", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", *(F.element_at("ld.data", k).alias(k.lower()) for k in ("name", "foundingDate", "address", "address_street"))), f"select page_id, json_extract_string(j, '$.name') as name, json_extract_string(j, '$.foundingDate') as foundingdate, case when json_type(j, '$.address') = 'VARCHAR' then json_extract_string(j, '$.address') end as address, json_extract_string(j, '$.address.street') as address_street from (select page_id, {SCRIPT} as j from pages_rich) where j is not null")
+query("flatten_json", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", F.explode("ld.data").alias("key", "value")))
+# the words employeecount ... logo do not occur in these pages, so name, description, url, email and date count 0.3 + 0.2 + 0.1 + 0.1 + 0.1
+LD_CONF = f"case when {SCRIPT} is null then 0e0 else 0e0 + 0.3e0 + 0.2e0 + 0.1e0 + 0.1e0 + case when json_type({SCRIPT}, '$.address') = 'VARCHAR' then 0.2e0 else 0e0 end + 0.1e0 end"
+OG = r"""regexp_matches(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:{}["''][^>]*\bcontent\s*=\s*"[^"]+"')"""
+META_CONF = f"least(0e0 + case when {TITLE} <> '' then 0.3e0 else 0e0 end + case when {DESC} <> '' then 0.3e0 else 0e0 end + case when {OG.format('title')} or {OG.format('description')} then 0.2e0 else 0e0 end + case when len({LINKS}) > 0 then 0.1e0 else 0e0 end + case when {OG.format('image')} then 0.1e0 else 0e0 end, 1e0)"
+RENDERED_CONF = f"least(0.3e0 + case when {TITLE} <> '' then 0.2e0 else 0e0 end + case when {DESC} <> '' or {OG.format('description')} then 0.2e0 else 0e0 end + case when {EMAIL} is not null then 0.2e0 else 0e0 end + case when {PHONE} is not null then 0.1e0 else 0e0 end + case when len(list_filter({HREFS}, lambda h: h like 'http%')) > 5 then 0.1e0 else 0e0 end + case when {COMPANY} <> '' then 0.1e0 else 0e0 end, 1e0)"
+query("jsonld_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", F.when(F.col("ld.ok"), extract.jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)).alias("confidence")), f"select page_id, {LD_CONF} as confidence from pages_rich")
+query("meta_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", extract.meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links")).alias("confidence")), f"select page_id, {META_CONF} as confidence from pages_rich")
+query("rendered_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", extract.rendered_confidence(F.col("title"), F.col("description"), F.element_at("og", "og_description"), F.col("email"), F.col("phone"), F.col("plain_links"), F.col("company")).alias("confidence")), f"select page_id, {RENDERED_CONF} as confidence from pages_rich")
+query("scrape_waterfall", lambda t: extract.waterfall(t.pages_rich).select("page_id", "method", "confidence"), f"select page_id, case when c1 > 0.7e0 then 'json_ld' when c2 > 0.5e0 then 'structured_data' else 'playwright' end as method, case when c1 > 0.7e0 then c1 when c2 > 0.5e0 then c2 else c3 end as confidence from (select page_id, {LD_CONF} as c1, {META_CONF} as c2, {RENDERED_CONF} as c3 from pages_rich)")
+query("merge_scrape", lambda t: process.scraped(t.pages_rich))
+
+# --- enrichment
+HITS = {n: " + ".join(f"contains(low, {quoted(w)})::int" for w in words) for n, words in fixed.INDUSTRIES.items()}
+MOST = f"greatest({', '.join(HITS.values())})"
+INDUSTRY = f"case when {MOST} = 0 then null " + " ".join(f"when {sql} = {MOST} then {quoted(n)}" for n, sql in HITS.items()) + " end"
+DIGITS = "coalesce(" + ", ".join(f"nullif(regexp_extract(low, {quoted(p)}, 1), '')" for p in fixed.SIZE_PATTERNS) + ")"
+EMPLOYEES = "case " + " ".join(f"when {' or '.join(f'contains(low, {quoted(w)})' for w in words)} then {quoted(b)}" for b, words in fixed.SIZE_WORDS.items()) + f" when {DIGITS} is null then null " + " ".join(f"when cast({DIGITS} as hugeint) <= {m} then {quoted(b)}" for m, b in fixed.SIZE_BOUNDS) + f" else {quoted(fixed.SIZE_ABOVE)} end"
+REVENUE = "case employees " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in fixed.REVENUE.items()) + " end"
+first_of = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {quoted(p)}, 1), '')" for p in patterns) + ")"
+CONTACT, RAW_TITLE = first_of(fixed.CONTACT_PATTERNS), first_of(fixed.TITLE_PATTERNS)
+PERSON = f"array_to_string(list_transform(string_split(lower({RAW_TITLE}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+YEARS = [f"(select case when y between 1900 and 2030 then y end from (select try_cast(case when m like '''%' then '20' || m[2:] else m end as integer) as y from (select nullif(regexp_extract(text, {quoted(p)}, 1), '') as m)))" for p in fixed.YEAR_PATTERNS]
+YEAR = f"coalesce({', '.join(YEARS)})"
+INFERRED = f"(select *, {REVENUE} as revenue_band from (select id, {INDUSTRY} as industry, {EMPLOYEES} as employees, {CONTACT} as contact_name, case when {RAW_TITLE} is not null then {PERSON} end as contact_title, {YEAR} as founded_year from (select id, text, lower(text) as low from lead_text)))"
+CONF = "case when coalesce(industry, employees, revenue_band, contact_name, contact_title, cast(founded_year as varchar)) is not null then least(0e0" + "".join(f" + case when {c} is not null then {w}e0 else 0e0 end" for c, w in fixed.HEURISTIC_WEIGHTS.items()) + f", {fixed.HEURISTIC_CAP}e0) end"
+inferred = lambda t: enrich.inferred(t.lead_text)
+for _name, _column in (("infer_industry", "industry"), ("estimate_employees", "employees"), ("revenue_band", "revenue_band"), ("extract_contact_name", "contact_name"), ("extract_contact_title", "contact_title"), ("extract_founded_year", "founded_year")):
+    query(_name, lambda t, c=_column: inferred(t).select("id", c), f"select id, {_column} from {INFERRED}")
+query("heuristic_confidence", lambda t: inferred(t).select("id", "confidence"), f"select id, {CONF} as confidence from {INFERRED}")
+query("enrich_waterfall", lambda t: enrich.waterfall(t.lead_text).select("id", "industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title", "confidence", "method"), "select id, " + ", ".join(f"case when c > 0.7e0 then {x} end as {x}" for x in ("industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title")) + f", case when c > 0.7e0 then c end as confidence, case when c > 0.7e0 then 'heuristic' end as method from (select *, {CONF} as c from {INFERRED})")
+query("merge_enrichment", lambda t: t.leads.select("id", "industry", "employees").join(enrich.waterfall(t.lead_text).select("id", F.col("industry").alias("i"), F.col("employees").alias("e")), "id", "left").select("id", F.coalesce("i", "industry").alias("industry"), F.coalesce("e", "employees").alias("employees")), f"select l.id, coalesce(case when c > 0.7e0 then x.industry end, l.industry) as industry, coalesce(case when c > 0.7e0 then x.employees end, l.employees) as employees from leads l left join (select *, {CONF} as c from {INFERRED}) x on x.id = l.id")
+query("llm_confidence", lambda t: inferred(t).select("id", enrich.language_model_confidence([F.col(c) for c in fixed.HEURISTIC_WEIGHTS]).alias("confidence")), "select id, least(0.5e0 + 0.1e0 * (" + " + ".join(f"({c} is not null)::int" for c in fixed.HEURISTIC_WEIGHTS) + f"), 0.8e0) as confidence from {INFERRED}")
+
+
+# --- messages
+def template_sql(text: str) -> str:
+    """The template as nested replacements; names are put in one after the other."""
+    values = {"contact": f"coalesce(nullif(contact_name, ''), {quoted(fixed.NO_CONTACT)})", "company": f"coalesce(nullif(company_name, ''), {quoted(fixed.NO_COMPANY)})", "industry": "coalesce(industry, '')", "website": f"coalesce(nullif(website, ''), {quoted(fixed.NO_WEBSITE)})", "sender": quoted(fixed.SENDER)}
+    out = quoted(text)
+    for name, value in values.items():
+        out = f"replace({out}, '{{{name}}}', {value})"
+    return out
+
+
+INDUSTRY_MESSAGE = "case replace(lower(coalesce(industry, '')), ' ', '') " + " ".join(f"when {quoted(k)} then {template_sql(v)}" for k, v in fixed.TEMPLATES.items()) + f" else {template_sql(fixed.TEMPLATE_INDUSTRY)} end"
+MESSAGE = f"case when company_name <> '' and industry <> '' then {INDUSTRY_MESSAGE} when company_name <> '' then {template_sql(fixed.TEMPLATE_COMPANY)} else {template_sql(fixed.TEMPLATE_WEBSITE)} end"
+query("message_template", lambda t: t.leads.select("id", message.template().alias("message")), f"select id, {MESSAGE} as message from leads")
+query("industry_template", lambda t: t.leads.select("id", message.industry_template().alias("message")), f"select id, {INDUSTRY_MESSAGE} as message from leads")
+query("generic_template", lambda t: t.leads.select("id", message.generic_template().alias("message")), f"select id, {template_sql(fixed.TEMPLATE_COMPANY)} as message from leads")
+query("website_template", lambda t: t.leads.select("id", message.website_template().alias("message")), f"select id, {template_sql(fixed.TEMPLATE_WEBSITE)} as message from leads")
+query("style_professional", lambda t: t.leads.select("id", message.professional(message.template()).alias("message")), f"select id, case when contains(m, 'Best regards,') then m else m || chr(10) || chr(10) || 'Best regards,' || chr(10) || '{fixed.SENDER}' end as message from (select id, replace({MESSAGE}, 'Hi ', 'Dear ') as m from leads)")
+query("style_friendly", lambda t: t.leads.select("id", message.friendly(message.template()).alias("message")), f"select id, replace(replace({MESSAGE}, 'Dear ', 'Hi '), 'Best regards,', 'Cheers,') as message from leads")
+query("style_short", lambda t: t.leads.select("id", message.short(message.template()).alias("message")), f"select id, array_to_string(string_split({MESSAGE}, chr(10))[1:4], chr(10)) as message from leads")
+query("ensure_company_mention", lambda t: t.leads.select("id", message.ensure_company(F.concat(F.lit("About company 1 and "), F.col("website")), F.col("company_name")).alias("message")), "select id, case when company_name <> '' and not contains(lower('About company 1 and ' || website), lower(company_name)) then 'Hi ' || company_name || ' team,' || chr(10) || chr(10) else '' end || 'About company 1 and ' || website as message from leads")
+query("gated_message", lambda t: Q.with_plan(t.leads, t.subscriptions, "organization_id").select("id", message.gated(Q.allowed(F.col("plan_name"), AI), message.template()).alias("message")), f"select l.id, case when plan_name in ('pro', 'enterprise') then {MESSAGE} else {quoted(fixed.NO_MESSAGE)} end as message from leads l join (select id as pid, plan_name from {PLANNED}) p on p.pid = l.organization_id")
+PROMPT = template_sql(fixed.PROMPT.replace("{industry}", "{kind}").replace("{company}", "{firm}"))
+query("llm_prompt", lambda t: t.leads.withColumn("about_text", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("about "), 40))).select("id", message.prompt().alias("prompt")), f"select id, concat_ws(chr(10), 'Sender Organization: {fixed.SENDER}', 'Recipient Company: ' || firm, 'Industry: ' || kind, 'Website: ' || website, case when id % 2 = 0 then 'About: ' || substr(repeat('about ', 40), 1, 200) || '...' end, 'Contact: ' || coalesce(nullif(contact_name, ''), 'the team'), case when employees <> '' then 'Size: ' || employees || ' employees' end, replace(replace({PROMPT}, '{{kind}}', kind), '{{firm}}', firm)) as prompt from (select *, coalesce(nullif(company_name, ''), 'their company') as firm, coalesce(nullif(industry, ''), 'their industry') as kind from leads)")
+
+# --- the whole way
+query("process_lead", lambda t: process.processed(t.pages_rich))
+query("process_lead_strict", lambda t: process.processed(t.pages_rich, strict=True))
+query("process_lead_without_ai", lambda t: process.processed(t.pages_rich, can_use_ai=False))
