@@ -195,5 +195,6 @@ def waterfall(pages: DataFrame) -> DataFrame:
         of(F.map_contains_key("ld.data", "og_description"), F.map_contains_key("og", "og_description"), F.lit(True)).alias("has_og_description"),
         of(ld("email"), none, F.col("email")).alias("email"),
         of(ld("phone"), none, F.col("phone")).alias("phone"),
+        F.concat_ws(" ", F.coalesce(*(F.nullif(c, F.lit("")) for c in (of(none, none, F.col("visible")), of(ld("description"), F.col("description"), none), of(ld("og_description"), og, og), of(ld("title"), F.col("title"), F.col("title"))))), of(none, none, F.col("ld.shown"))).alias("said"),
         of(none, in_linked(F.col("links")), in_linked(F.col("plain_links"))).alias("linkedin_url"),
     )

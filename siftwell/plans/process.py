@@ -9,24 +9,24 @@ from siftwell.functions import enrich, extract, message, score
 
 
 def scraped(pages: DataFrame) -> DataFrame:
-    """Leads from pages: what was found, under the lead's names. ``lead_id`` is the page's id."""
+    """Leads from pages: what was found, under the lead's names. ``lead_id`` is the page's id; ``said``: text to infer from."""
     found = extract.waterfall(pages)
     about = F.when(F.col("has_og_description"), F.col("og_description")).otherwise(F.col("description"))
     return found.select(
         F.col("page_id").alias("lead_id"), F.col("url").alias("website"), F.col("title").alias("company_name"), about.alias("about_text"), "email", "phone", "linkedin_url",
-        F.col("method").alias("scrape_source"), F.col("confidence").alias("scrape_confidence"),
+        "said", F.col("method").alias("scrape_source"), F.col("confidence").alias("scrape_confidence"),
     )
 
 
 def processed(pages: DataFrame, can_use_ai: bool = True, strict: bool = False, external=None) -> DataFrame:
     """A row for each page. ``strict``: computed confidences are not kept, so scores see zeros."""
     leads = scraped(pages)
-    text = F.concat_ws(" ", F.concat(F.lit("Company: "), F.nullif(F.col("company_name"), F.lit(""))), F.col("about_text"), F.col("company_name"))
+    text = F.concat_ws(" ", F.concat(F.lit("Company: "), F.nullif(F.col("company_name"), F.lit(""))), F.col("about_text"), F.col("said"))
     if can_use_ai:
-        rich = enrich.waterfall(leads.withColumn("_text", text), "_text", external).drop("_text").withColumnsRenamed({"confidence": "enrichment_confidence", "method": "enrichment_source"})
+        rich = enrich.waterfall(leads.withColumn("_text", text), "_text", external).drop("_text", "said").withColumnsRenamed({"confidence": "enrichment_confidence", "method": "enrichment_source"})
     else:
         none = {c: F.lit(None).cast("int" if c == "founded_year" else "string") for c in ("industry", "employees", "contact_name", "contact_title", "founded_year", "revenue_band")}
-        rich = leads.withColumns({**none, "enrichment_confidence": F.lit(None).cast("double"), "enrichment_source": F.lit(None).cast("string")})
+        rich = leads.drop("said").withColumns({**none, "enrichment_confidence": F.lit(None).cast("double"), "enrichment_source": F.lit(None).cast("string")})
     rich = rich.withColumn("enrichment_confidence", F.coalesce("enrichment_confidence", F.lit(0.0))).withColumn("email_confidence", F.lit(0.0))
     if strict:
         rich = rich.withColumns({"scrape_confidence": F.lit(0.0), "enrichment_confidence": F.lit(0.0)})
