@@ -211,3 +211,20 @@ def without_repeats(docs: DataFrame, window: int = 50, phrase: int = 12) -> Data
     changed = changed.select(F.col("doc_id").alias(OWN[0]), F.col("content").alias(OWN[1]), F.col("cut_text").alias(OWN[2]))
     same = (F.col("doc_id").cast("long") == F.col(OWN[0])) & (common.digest(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(OWN[1]))
     return docs.join(changed, same, "left").select(*[F.coalesce(F.col(OWN[2]), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The removals by brute force over all windows.
+SQL = """
+with w as (
+  select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as words from documents where doc_id is not null
+), placed as (select doc_id, unnest(words) as word, unnest(range(len(words))) as i from w),
+windows as (
+  select doc_id, i, string_agg(word, ' ') over r as run, count(*) over r as n from placed
+  window r as (partition by doc_id order by i rows between current row and 34 following)
+), again as (select run from windows where n = 35 group by run having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from windows join again using (run) where n = 35)
+select w.doc_id, cast(len(any_value(w.words)) as bigint) as n_words, count(gone.i) as n_removed,
+  sha256(coalesce(string_agg(word, ' ' order by placed.i) filter (where gone.i is null), '')) as kept_sha256
+from w left join placed on placed.doc_id = w.doc_id left join gone on gone.doc_id = placed.doc_id and gone.i = placed.i
+group by w.doc_id
+"""
