@@ -66,34 +66,23 @@ class Model:
         return p.sum(1), p[:, 0]
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, markers: int = 256, steps: tuple[int, ...] = (6, 18), least_z: float = 6.0, rounds: int = 500) -> Model:
-    """``docs``: each document's feature hashes, repeats included."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    if not toxic.any() or toxic.all():
-        return none
-    h = np.concatenate(docs)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    names, index = np.unique(h, return_inverse=True)
-    pairs, n = np.unique(owner * len(names) + index, return_counts=True)
-    row, col = pairs // len(names), pairs % len(names)
-    have = np.bincount(col, minlength=len(names)).astype(float)
-    bad = np.bincount(col[toxic[row]], minlength=len(names)).astype(float)
-    n1, n0 = toxic.sum(), (~toxic).sum()
-    share = have / len(docs)
-    z = (bad / n1 - (have - bad) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+NONE = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+
+
+def standing_out(bad: np.ndarray, good: np.ndarray, n1: int, n0: int, markers: int, least_z: float) -> np.ndarray:
+    """Places of the features whose share among toxic documents most exceeds that among others, by the two-sample z."""
+    share = (bad + good) / (n1 + n0)
+    z = (bad / n1 - good / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     top = np.argsort(-z, kind="stable")[:markers]
-    top = np.sort(top[(z[top] >= least_z) & (bad[top] >= 5)])
-    if not len(top):
-        return none
-    place = np.full(len(names), -1)
-    place[top] = np.arange(len(top))
-    keep = place[col] >= 0
-    x = np.zeros((len(docs), len(top)))
-    x[row[keep], place[col[keep]]] = np.log1p(n[keep])
-    seen = np.bincount(row[keep], n[keep], len(docs))
+    return np.sort(top[z[top] >= least_z])
+
+
+def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, steps: tuple[int, ...], rounds: int = 500) -> Model:
+    """``counts``: occurrences of each marker in each labelled document."""
+    seen = counts.sum(1)
     grade = np.where(toxic, 1 + sum((seen >= s).astype(int) for s in steps), 0)
-    w, cuts = ordinal(x, grade, len(steps) + 1, rounds)
-    return Model(names[top], w, cuts)
+    w, cuts = ordinal(np.log1p(counts), grade, len(steps) + 1, rounds)
+    return Model(markers, w, cuts)
 
 
 def ordinal(x: np.ndarray, grade: np.ndarray, top: int, rounds: int, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -120,36 +109,67 @@ def ordinal(x: np.ndarray, grade: np.ndarray, top: int, rounds: int, ridge: floa
     return p[: x.shape[1]], p[x.shape[1]] + np.concatenate([[0], np.cumsum(gaps)])
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
-    """The model of ``labels(doc_id, toxic)`` over ``docs``; at most ``sample`` documents travel to the driver, as hashes."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: int = 256, steps: tuple[int, ...] = (6, 18), least_z: float = 6.0, least_docs: int = 5, candidates: int = 100_000) -> Model:
+    """The model of ``labels(doc_id, toxic)`` over ``docs``.
+
+    Of the ``sample`` documents at most that are used, the driver gets the commonest ``candidates`` features of toxic
+    ones, how many documents have each, and the counts of the ``markers`` chosen.
+    """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * sample / max(total, 1)))) if total > sample else known
-    chosen = chosen.limit(sample)
-
-    def run(batches):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    used = common.table(rows.join(F.broadcast(chosen.limit(sample)), "doc_id"), "toxicity-sample")
+
+    def in_documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes that a text has, once each; their documents; labels."""
+        h, doc, n = features(batch.column("text"))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]
+        return h[new], doc[new], np.asarray(batch.column("toxic")).astype(bool)
+
+    def common_ones(batches):
         for b in common.pieces(batches, "text"):
-            h, doc, n = features(b.column("text"))
-            order = np.argsort(doc, kind="stable")
-            bounds = np.searchsorted(doc[order], np.arange(n + 1))
-            parts = [h[order[i:j]] for i, j in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([packed(p) for p in parts], pa.binary())], ["doc_id", "toxic", "h"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(run, "doc_id long, toxic int, h binary").toArrow().sort_by("doc_id")
-    blobs = [unpacked(x) for x in got["h"].to_pylist()]
-    return fit(blobs, np.asarray(got["toxic"]).astype(bool)) if blobs else Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-
-
-def packed(h: np.ndarray) -> bytes:
-    """Distinct hashes, then their counts up to 255."""
-    names, n = np.unique(h, return_counts=True)
-    return names.tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
+            names, n = np.unique(in_documents(b)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+    many = used.filter("toxic = 1").mapInArrow(common_ones, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_docs)
+    names = np.sort(np.asarray(many.orderBy(F.desc("n"), "h").limit(candidates).toArrow()["h"].combine_chunks()).view(np.uint64))
+    if not len(names):
+        return NONE
 
-def unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // 9
-    return np.repeat(np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint8, n, 8 * n))
+    def frequencies(batches):
+        out = np.zeros((2, len(names) + 1), np.int64)  # the last place: documents
+        for b in common.pieces(batches, "text"):
+            h, doc, toxic = in_documents(b)
+            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+            hit = names[at] == h
+            for k in (0, 1):
+                some = hit & (toxic[doc] == k)
+                out[k, :-1] += np.bincount(at[some], minlength=len(names))
+                out[k, -1] += (toxic == k).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+
+    sums = sum((np.frombuffer(x, np.int64).reshape(2, -1) for x in used.mapInArrow(frequencies, "sums binary").toArrow()["sums"].to_pylist()), np.zeros((2, len(names) + 1), np.int64))
+    (*_, n0), (*_, n1) = sums
+    if not n0 or not n1:
+        return NONE
+    best = names[standing_out(sums[1, :-1], sums[0, :-1], n1, n0, markers, least_z)]
+    if not len(best):
+        return NONE
+
+    def occurrences(batches):
+        for b in common.pieces(batches, "text"):
+            h, doc, n = features(b.column("text"))
+            at = np.minimum(np.searchsorted(best, h), len(best) - 1)
+            hit = best[at] == h
+            x = np.bincount(doc[hit] * len(best) + at[hit], minlength=n * len(best)).reshape(n, -1)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([r.tobytes() for r in np.minimum(x, 65535).astype(np.uint16)], pa.binary())], ["doc_id", "toxic", "x"])
+
+    got = used.mapInArrow(occurrences, "doc_id long, toxic int, x binary").toArrow().sort_by("doc_id")
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint16).reshape(-1, len(best)).astype(float)
+    return fit(best, x, np.asarray(got["toxic"]).astype(bool), steps)
 
 
 def severity(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
