@@ -25,8 +25,8 @@ MASKS = ((0, 3, 6, 9), (0, 4, 8, 12))
 
 
 def words(text: Column) -> Column:
-    plain = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), '.,;:!?"()', "")
-    return F.filter(F.split(plain, "[ \\x09-\\x0D]+"), lambda w: w != "")
+    plain = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r'[.,;:!?"()]', "")
+    return F.array_remove(F.split(plain, "[ \\x09-\\x0D]+"), "")
 
 
 def at(array: str, *places: Column) -> list[Column]:
@@ -59,28 +59,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, simila
     if few:
         starts = texts.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words"))))
         marked = starts.select("doc_id", "words", "i", F.explode(seeds("words", "i", masks, shorts)).alias("seed"))
-        hits = marked.join(F.broadcast(own), "seed").select("doc_id", "words", "item_id", "item", (F.col("i") - F.col("j")).alias("shift"))
+        hits = marked.join(F.broadcast(own), "seed").select("doc_id", "words", "item_id", "item", "i", (F.col("i") - F.col("j")).alias("shift"))
     else:
         keyed = texts.withColumn("row", F.xxhash64("doc_id", "words"))
         starts = keyed.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words"))))
         marked = starts.select("doc_id", "row", "i", F.explode(seeds("words", "i", masks, shorts)).alias("seed")).filter("seed is not null")
-        found = marked.join(own.drop("item"), "seed").select("doc_id", "row", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct()
+        found = marked.join(own.drop("item"), "seed").select("doc_id", "row", "item_id", "i", (F.col("i") - F.col("j")).alias("shift")).distinct()
         hits = found.join(keyed.withColumnRenamed("doc_id", "own_id"), (found["row"] == keyed["row"]) & found["doc_id"].eqNullSafe(F.col("own_id"))).join(items, "item_id")
-        hits = hits.select("doc_id", "words", "item_id", "item", "shift")
-
-    begin = F.greatest(F.lit(0), -F.col("shift"))
-    count = F.least(F.size("item"), F.size("words") - F.col("shift")) - begin
-    size = F.least(F.lit(window), F.size("item"))
-    agree = F.zip_with(F.slice("item", begin + 1, F.greatest(count, F.lit(0))), F.slice("words", F.col("shift") + begin + 1, F.greatest(count, F.lit(0))), lambda a, b: (a == b).cast("int"))
-    aligned = hits.select("doc_id", "item_id", (F.col("shift") + begin).alias("start"), size.alias("width"), agree.alias("agree")).filter(F.size("agree") >= F.col("width"))
-    sums = F.transform(
-        F.sequence(F.lit(1), F.size("agree") - F.col("width") + 1),
-        lambda s: F.aggregate(F.slice("agree", s, F.col("width")), F.lit(0), lambda a, x: a + x),
+        hits = hits.select("doc_id", "words", "item_id", "item", "i", "shift")
+
+    # Windows that hold the seed begin at most ``slack`` words before it. Only the words they may span are carried over
+    # the exchange that the grouping needs anyway; verified behind it, the scan's generated code stays small enough
+    # to be compiled. Failed hits are dropped after grouping, as a filter before it would be pushed into the scan.
+    slack = window - 1 - min(m[-1] for m in masks)
+    span = window + slack
+    begun = lambda c: F.greatest(F.col(c) - slack, F.lit(0))
+    near = hits.withColumn("j", F.col("i") - F.col("shift")).select(
+        "doc_id", "item_id", "i", "j", F.size("words").alias("nd"), F.size("item").alias("nb"), F.slice("words", begun("i") + 1, F.lit(span)).alias("a"), F.slice("item", begun("j") + 1, F.lit(span)).alias("b")
     )
-    scored = aligned.select("doc_id", "item_id", "start", F.when(F.col("width") < window, F.col("width")).otherwise(F.lit(need)).alias("need"), sums.alias("sums"))
-    first = F.array_position(F.transform("sums", lambda s: s >= F.col("need")), True)
-    scored = scored.filter(F.exists("sums", lambda s: s >= F.col("need")))
-    return scored.select("doc_id", "item_id", F.array_max("sums").alias("sum"), (F.col("start") + first - 1).alias("at")).groupBy("doc_id", "item_id").agg(F.max("sum").cast("long").alias("matched"), F.min("at").cast("long").alias("first_word"))
+    near = near.repartition("doc_id", "item_id")
+    equal = [F.coalesce((F.get("a", F.col("i") + o - begun("i")) == F.get("b", F.col("j") + o - begun("j"))).cast("int"), F.lit(0)).alias(f"e{n}") for n, o in enumerate(range(-slack, window))]
+    whole = F.slice("a", F.col("i") - begun("i") + 1, F.least("nb", F.lit(window))) == F.col("b")
+    sized = near.select("doc_id", "item_id", "i", "j", "nd", "nb", whole.alias("whole"), *equal)
+    sums = []
+    for begin in range(slack + 1):  # a window from i - slack + begin
+        s = F.col("i") - slack + begin
+        inside = (s >= 0) & (F.col("j") - slack + begin >= 0) & (s + window <= F.col("nd")) & (F.col("j") - slack + begin + window <= F.col("nb"))
+        sums.append(F.when(inside, sum((F.col(f"e{n}") for n in range(begin + 1, begin + window)), F.col(f"e{begin}"))).otherwise(F.lit(0)).alias(f"s{begin}"))
+    scored = sized.select("doc_id", "item_id", "i", "nb", "whole", *sums)
+    names = [F.col(f"s{k}") for k in range(slack + 1)]
+    best = F.greatest(*names) if slack else names[0]
+    first = F.coalesce(*(F.when(c >= need, F.col("i") - slack + k) for k, c in enumerate(names)))
+    short = F.col("nb") < window
+    found = scored.select("doc_id", "item_id", F.when(short, F.when(F.col("whole"), F.col("nb"))).when(best >= need, best).alias("sum"), F.when(short, F.col("i")).otherwise(first).alias("at"))
+    kept = found.groupBy("doc_id", "item_id").agg(F.max("sum").cast("long").alias("matched"), F.min(F.when(F.col("sum").isNotNull(), F.col("at"))).cast("long").alias("first_word"))
+    return kept.filter("matched is not null")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
