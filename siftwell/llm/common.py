@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +60,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that column ``name`` holds at most ``most`` bytes in each (one row at least)."""
+#: What operators remember between tasks of a worker: functions that give it back.
+remembered: list[Callable[[], None]] = []
+
+
+def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 2 << 20, remember: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that column ``name`` holds at most ``most`` bytes in each (one row at least).
+
+    Workers are used again by later stages; unless ``remember``, what an earlier operator left in memory goes first.
+    """
+    if not remember:
+        for forget in remembered:
+            forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,13 +91,22 @@ def lengths(column: pa.Array) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
 
 
-def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values as one byte array, and where each begins (one more entry: the end)."""
-    ends = np.concatenate([[0], np.cumsum(lengths(column))])
-    data = b"".join(x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column) if len(column) else b""
+def joined_bytes(column: pa.Array, after: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """All values as one byte array, each with ``after`` behind it, and where each begins (one more entry: the end)."""
+    ends = np.concatenate([[0], np.cumsum(lengths(column) + len(after))])
+    data = b"".join((x.as_buffer().to_pybytes() if x.is_valid else b"") + after for x in column)
     return np.frombuffer(data, np.uint8), ends
 
 
+def row_ranges(sizes: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Consecutive rows of ``most`` bytes together, one row at least."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))

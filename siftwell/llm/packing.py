@@ -30,7 +30,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches):
         e, part, done = tokens.encoder(tokenizer_path, True), TaskContext.get().partitionId(), 0
         end = e.value([end_id])
-        for b in common.pieces(batches, "text"):
+        for b in common.pieces(batches, "text", 8 << 20, True):
             ids = [x + end for x in e.of(common.texts_of(b))]
             n = np.array([len(x) // e.width for x in ids], np.int64)
             first = done + np.cumsum(n) - n
@@ -57,7 +57,7 @@ def cut(ids: DataFrame, kind: str, width: int, with_ids: bool = False) -> DataFr
     placed = ids.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("first")).alias("at"), "n", "ids")
 
     def pieces(batches):
-        for b in common.pieces(batches, "ids"):
+        for b in common.pieces(batches, "ids", remember=True):
             at, n = (np.asarray(b.column(c)) for c in ("at", "n"))
             count = (at + n - 1) // width - at // width + 1
             row = np.repeat(np.arange(len(n)), count)

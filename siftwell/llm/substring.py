@@ -40,13 +40,17 @@ def word_hashes(w: Words, which: int = 0) -> np.ndarray:
     """64-bit hash of each word's bytes."""
     if not len(w.begin):
         return np.zeros(0, np.uint64)
-    n = w.end - w.begin
-    inside = np.arange(len(w.data)) - np.repeat(w.begin, n + 1)[: len(w.data)]
     with np.errstate(over="ignore"):
-        power = np.full(int(n.max()) + 1, np.uint64(BASES[which]))
+        power = np.full(int((w.end - w.begin).max()) + 1, np.uint64(BASES[which]))
         power[0] = 1
         power = np.multiply.accumulate(power)
-        return mixed(np.add.reduceat(LETTERS[which][w.data] * power[inside], w.begin))
+        out = np.zeros(len(w.begin), np.uint64)
+        for s in range(0, len(out), 1 << 17):  # some words at a time: a byte takes 32 here
+            begin, n = w.begin[s : s + (1 << 17)], (w.end - w.begin)[s : s + (1 << 17)] + 1
+            own = slice(begin[0], begin[-1] + n[-1])
+            inside = np.arange(own.start, own.stop) - np.repeat(begin, n)
+            out[s : s + (1 << 17)] = np.add.reduceat(LETTERS[which][w.data[own]] * power[inside], begin - begin[0])
+    return mixed(out)
 
 
 def phrase_hashes(w: Words, size: int) -> np.ndarray:

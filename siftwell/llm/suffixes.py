@@ -102,11 +102,15 @@ def anchor_bytes(size: int, seed: int):
     """For ``recurring_anchors``: the anchors of a shard; windows do not matter here."""
 
     def find(shard: Shard):
-        data, ends = common.joined_bytes(shard.text)
-        n = np.where(shard.stands, np.diff(ends) - size + 1, 0)
-        h = seed_hashes(data, seed)
-        at, lo, hi, row = anchors(h, size - seed + 1, ends[:-1], n)
-        return h[at], row, at - ends[row], 0 * lo, 0 * hi
+        found = []
+        for start, stop in common.row_ranges(common.lengths(shard.text)):  # a byte takes some 40 here
+            data, ends = common.joined_bytes(shard.text.slice(start, stop - start))
+            n = np.where(shard.stands[start:stop], np.diff(ends) - size + 1, 0)
+            h = seed_hashes(data, seed)
+            at, _, _, row = anchors(h, size - seed + 1, ends[:-1], n)
+            found.append((h[at], row + start, at - ends[row]))
+        h, row, at = (np.concatenate(x) for x in zip(*found))
+        return h, row, at, 0 * at, 0 * at
 
     return find
 
@@ -141,7 +145,7 @@ class Repeats:
             head[np.arange(before)[None, :] < (before - have_left)[:, None]] = 255
             tail = near[:, before:]
             tail[np.arange(size)[None, :] >= have_right[:, None]] = 255
-            h = seed_hashes(raw, seed)[ends[row] + at]
+            h = mixed(polynomial(BYTES[near[:, before : before + seed]].T, seed, BASE)[0])
             _, one, same = np.unique(near.view(f"S{before + size}")[:, 0], return_index=True, return_inverse=True)
             later = np.ones(len(row), bool)
             later[one] = False

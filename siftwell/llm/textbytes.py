@@ -19,24 +19,19 @@ class Words:
     document ``d`` has words ``first[d]`` to ``first[d + 1]``."""
 
     def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
-        raw, ends = joined_bytes(column)
+        raw, ends = joined_bytes(column, b" ")
         if lower:
             raw = LOWER[raw]
         gap = space[raw]
-        # a word ends where white space or the end of its document follows
-        stop = np.zeros(len(raw) + 1, bool)
-        stop[1:] = gap_after = np.concatenate([gap[1:], [True]]) if len(raw) else np.zeros(0, bool)
-        gap_after[ends[1:][ends[1:] > 0] - 1] = True
-        last = ~gap & gap_after  # the last byte of each word
-        kept = np.flatnonzero(~gap)
-        n_after = last[kept]
-        place = np.arange(len(kept)) + np.concatenate([[0], np.cumsum(n_after)[:-1]]) if len(kept) else kept
-        self.data = np.full(len(kept) + int(n_after.sum()), 32, np.uint8)
-        self.data[place] = raw[kept]
-        self.end = place[n_after] + 1
+        stop = gap.copy()  # the first gap after each word
+        stop[1:] &= ~gap[:-1]
+        stop[:1] = False
+        keep = ~gap | stop
+        self.data = raw[keep]
+        self.end = np.flatnonzero(stop[keep])
+        self.data[self.end] = 32
         self.begin = np.concatenate([[0], self.end[:-1] + 1])[: len(self.end)]
-        word_stop = kept[n_after]  # in raw
-        self.first = np.searchsorted(word_stop, ends, "left")
+        self.first = np.searchsorted(np.flatnonzero(stop), ends, "left")
         self.docs = len(ends) - 1
 
     def counts(self) -> np.ndarray:

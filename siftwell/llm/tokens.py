@@ -14,6 +14,8 @@ import re
 from array import array
 from functools import lru_cache
 
+from . import common
+
 #: Chunks that a worker remembers in each of two generations; when one is full, the older is forgotten.
 REMEMBERED = 400_000
 
@@ -59,6 +61,10 @@ class Encoder:
         self.older: dict = {}
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = {2: "H", 4: "I"}[self.width]
+        common.remembered.append(self.forget)
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
 
     def value(self, ids: list[int]):
         return array(self.code, ids).tobytes()
