@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -70,18 +71,29 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 2 << 20, re
     Workers are used again by later stages; unless ``remember``, what an earlier operator left in memory goes first.
     """
     if not remember:
-        for forget in remembered:
-            forget()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(lengths(batch.column(name)))
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        give_back()
+    try:
+        for batch in batches:
+            for start, stop in row_ranges(lengths(batch.column(name)), most):
+                yield batch.slice(start, stop - start)
+    finally:
+        trim()
+
+
+def give_back() -> None:
+    """Forgets what operators remember, and trims."""
+    for forget in remembered:
+        forget()
+    trim()
+
+
+def trim() -> None:
+    """Hands memory that is free but still held by allocators back to the system: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lengths(column: pa.Array) -> np.ndarray:

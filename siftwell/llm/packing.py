@@ -30,7 +30,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def encode(batches):
         e, part, done = tokens.encoder(tokenizer_path, True), TaskContext.get().partitionId(), 0
         end = e.value([end_id])
-        for b in common.pieces(batches, "text", 8 << 20, True):
+        for b in common.pieces(batches, "text", 4 << 20, True):
             ids = [x + end for x in e.of(common.texts_of(b))]
             n = np.array([len(x) // e.width for x in ids], np.int64)
             first = done + np.cumsum(n) - n

@@ -96,8 +96,7 @@ class Corpus:
         shards = self.shards
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            for forget in common.remembered:
-                forget()
+            common.give_back()
             return work(Shard(left, right, shards), [load(x) for x, k in zip(right["blob"].to_pylist(), right["kind"].to_pylist()) if k == DATA], int(left["shard"][0].as_py()))
 
         return self.rows.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(run, schema)
@@ -116,6 +115,8 @@ class Corpus:
             if data:
                 for row in work(data):
                     yield back([row])
+            del data
+            common.give_back()
 
         return rows.repartitionById(self.targets, F.col("target")).mapInArrow(run, BACK)
 

@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, spaced:
     def count(batches):
         c = tokens.counter(tokenizer_path, spaced)
         for b in batches:
-            for p in common.pieces([b], "text", 8 << 20, True):
+            for p in common.pieces([b], "text", 4 << 20, True):
                 yield pa.RecordBatch.from_arrays([p.column("content"), pa.array(c.of(common.texts_of(p)), pa.int64())], ["content", "n_tokens"])
 
     new = misses.select("content", "text").mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
