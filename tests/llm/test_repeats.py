@@ -79,6 +79,39 @@ def test_one_of_each_keeps_the_smallest(spark, docs):
     assert got[0].asDict().keys() == {"doc_id", "text", "_gone"}
 
 
+def linked(texts, size=5, similarity=0.8):
+    """The smallest index that each text reaches over pairs of that exact Jaccard similarity."""
+    sets = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+def kept(spark, texts):
+    found = {r.doc_id: r.kept_id for r in neardup.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [found.get(i, i) for i in range(len(texts))]
+
+
+def test_near_duplicates_around_the_threshold_equal_brute_force(spark):
+    """Failed pairs of high estimates must not take the place of true links."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        for k in range(60):
+            text = list(base)
+            for i in rng.choice(400, 5 + g % 2, replace=False):
+                text[i] = f"new{g}x{k}x{i}"
+            texts.append(" ".join(text))
+    want = linked(texts)
+    assert 3 < len(set(want)) < 150
+    assert kept(spark, texts) == want
+
+
 def test_cut_texts_leave_others_as_they_are(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"start {passage} end\n", 1), (2, f"other\n{passage}", 2), (3, "  clean\ttext \n", 3), (4, None, 4), (None, passage, 5), (3, "  clean\ttext \n", 3)]
