@@ -112,6 +112,20 @@ def test_near_duplicates_around_the_threshold_equal_brute_force(spark):
     assert kept(spark, texts) == want
 
 
+def test_near_duplicates_with_repeats_equal_brute_force(spark):
+    """A line standing many times, or a run of one word, changes fingerprints by weight but not the sets."""
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(100)]
+        line = " ".join(f"g{g}l{i}" for i in range(10))
+        texts += [" ".join([*base, line]), " ".join([*base, *[line] * 11])]
+        base = [f"g{g}v{i}" for i in range(104)]
+        texts += [" ".join(base), " ".join([*base[:50], *["run"] * 64, *base[50:]])]
+    want = linked(texts)
+    assert len(set(want)) == 60
+    assert kept(spark, texts) == want
+
+
 def test_cut_texts_leave_others_as_they_are(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"start {passage} end\n", 1), (2, f"other\n{passage}", 2), (3, "  clean\ttext \n", 3), (4, None, 4), (None, passage, 5), (3, "  clean\ttext \n", 3)]
