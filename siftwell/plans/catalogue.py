@@ -222,13 +222,14 @@ YEARS = [f"(select case when y between 1900 and 2030 then y end from (select try
 YEAR = f"coalesce({', '.join(YEARS)})"
 INFERRED = f"(select *, {REVENUE} as revenue_band from (select id, {INDUSTRY} as industry, {EMPLOYEES} as employees, {CONTACT} as contact_name, case when {RAW_TITLE} is not null then {PERSON} end as contact_title, {YEAR} as founded_year from (select id, text, lower(text) as low from lead_text)))"
 CONF = "case when coalesce(industry, employees, revenue_band, contact_name, contact_title, cast(founded_year as varchar)) is not null then least(0e0" + "".join(f" + case when {c} is not null then {w}e0 else 0e0 end" for c, w in fixed.HEURISTIC_WEIGHTS.items()) + f", {fixed.HEURISTIC_CAP}e0) end"
-inferred = lambda t: enrich.inferred(t.lead_text)
-for _name, _column in (("infer_industry", "industry"), ("estimate_employees", "employees"), ("revenue_band", "revenue_band"), ("extract_contact_name", "contact_name"), ("extract_contact_title", "contact_title"), ("extract_founded_year", "founded_year")):
-    query(_name, lambda t, c=_column: inferred(t).select("id", c), f"select id, {_column} from {INFERRED}")
-query("heuristic_confidence", lambda t: inferred(t).select("id", "confidence"), f"select id, {CONF} as confidence from {INFERRED}")
-query("enrich_waterfall", lambda t: enrich.waterfall(t.lead_text).select("id", "industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title", "confidence", "method"), "select id, " + ", ".join(f"case when c > 0.7e0 then {x} end as {x}" for x in ("industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title")) + f", case when c > 0.7e0 then c end as confidence, case when c > 0.7e0 then 'heuristic' end as method from (select *, {CONF} as c from {INFERRED})")
-query("merge_enrichment", lambda t: t.leads.select("id", "industry", "employees").join(enrich.waterfall(t.lead_text).select("id", F.col("industry").alias("i"), F.col("employees").alias("e")), "id", "left").select("id", F.coalesce("i", "industry").alias("industry"), F.coalesce("e", "employees").alias("employees")), f"select l.id, coalesce(case when c > 0.7e0 then x.industry end, l.industry) as industry, coalesce(case when c > 0.7e0 then x.employees end, l.employees) as employees from leads l left join (select *, {CONF} as c from {INFERRED}) x on x.id = l.id")
-query("llm_confidence", lambda t: inferred(t).select("id", enrich.language_model_confidence([F.col(c) for c in fixed.HEURISTIC_WEIGHTS]).alias("confidence")), "select id, least(0.5e0 + 0.1e0 * (" + " + ".join(f"({c} is not null)::int" for c in fixed.HEURISTIC_WEIGHTS) + f"), 0.8e0) as confidence from {INFERRED}")
+for _view in ("lead_text", "lead_text_whole"):
+    _end, _inferred = _view.removeprefix("lead_text"), INFERRED.replace("from lead_text", f"from {_view}")
+    for _name, _column in (("infer_industry", "industry"), ("estimate_employees", "employees"), ("revenue_band", "revenue_band"), ("extract_contact_name", "contact_name"), ("extract_contact_title", "contact_title"), ("extract_founded_year", "founded_year")):
+        query(_name + _end, lambda t, c=_column, v=_view: enrich.inferred(getattr(t, v)).select("id", c), f"select id, {_column} from {_inferred}")
+    query("heuristic_confidence" + _end, lambda t, v=_view: enrich.inferred(getattr(t, v)).select("id", "confidence"), f"select id, {CONF} as confidence from {_inferred}")
+    query("enrich_waterfall" + _end, lambda t, v=_view: enrich.waterfall(getattr(t, v)).select("id", "industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title", "confidence", "method"), "select id, " + ", ".join(f"case when c > 0.7e0 then {x} end as {x}" for x in ("industry", "employees", "revenue_band", "founded_year", "contact_name", "contact_title")) + f", case when c > 0.7e0 then c end as confidence, case when c > 0.7e0 then 'heuristic' end as method from (select *, {CONF} as c from {_inferred})")
+    query("merge_enrichment" + _end, lambda t, v=_view: t.leads.select("id", "industry", "employees").join(enrich.waterfall(getattr(t, v)).select("id", F.col("industry").alias("i"), F.col("employees").alias("e")), "id", "left").select("id", F.coalesce("i", "industry").alias("industry"), F.coalesce("e", "employees").alias("employees")), f"select l.id, coalesce(case when c > 0.7e0 then x.industry end, l.industry) as industry, coalesce(case when c > 0.7e0 then x.employees end, l.employees) as employees from leads l left join (select *, {CONF} as c from {_inferred}) x on x.id = l.id")
+    query("llm_confidence" + _end, lambda t, v=_view: enrich.inferred(getattr(t, v)).select("id", enrich.language_model_confidence([F.col(c) for c in fixed.HEURISTIC_WEIGHTS]).alias("confidence")), "select id, least(0.5e0 + 0.1e0 * (" + " + ".join(f"({c} is not null)::int" for c in fixed.HEURISTIC_WEIGHTS) + f"), 0.8e0) as confidence from {_inferred}")
 
 
 # --- messages

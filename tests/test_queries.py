@@ -49,6 +49,14 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_inference_sees_whole_texts(spark, tmp_path):
+    """What stands beyond the first 120 characters of a document counts in the whole forms."""
+    text = "word " * 5000 + "We are an airline with a vacation flight program. 77 staff. President Ann Lee. Incorporated in 1977"
+    spark.createDataFrame([(5 * 88 * 3 - 1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {n: catalogue.QUERIES[f"{n}_whole"](spark, str(tmp_path)).first()[1] for n in ("infer_industry", "estimate_employees", "extract_contact_name", "extract_contact_title", "extract_founded_year")}
+    assert found == {"infer_industry": "Travel", "estimate_employees": "51-200", "extract_contact_name": "Ann Lee", "extract_contact_title": "President", "extract_founded_year": 1977}
+
+
 def test_process(spark):
     pages = view(spark, SF, "pages_rich")
     rows = {r.lead_id: r for r in process.processed(pages).collect()}
