@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .shards import DATA, MOVED, PASS, Corpus, Shard, anchors, dump, gather, merged, mixed, moved, polynomial, recurring_anchors, shard_of, split
+from .shards import DATA, MOVED, PASS, Corpus, Shard, anchors, dump, gather, least, merged, mixed, moved, polynomial, recurring_anchors, shard_of, split
 
 BASE = 0x9E3779B97F4A7C15
 BYTES = np.random.default_rng(13).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -122,8 +122,12 @@ class Repeats:
         self.size, self.seed = size, min(seed, size)
         self.corpus = Corpus(docs)
 
-    def contexts(self) -> DataFrame:
-        """Anchors with the bytes around them, by target; repeats within a shard are settled and passed on as spans."""
+    def contexts(self, every: bool = False) -> DataFrame:
+        """Anchors with the bytes around them, by target; repeats within a shard are settled and passed on as spans.
+
+        With ``every`` they go along instead: ``more`` is their number for each context, and ``later_doc, later_place,
+        later_at`` list them in that order.
+        """
         size, seed, corpus = self.size, self.seed, self.corpus
         targets, before = corpus.targets, size - seed
 
@@ -150,10 +154,18 @@ class Repeats:
             later = np.ones(len(row), bool)
             later[one] = False
             out = []
-            if later.any():
+            if later.any() and not every:
                 out.append((number % targets, PASS, number, dump(doc=doc[later], place=place[later], start=(at - have_left)[later], end=(at + have_right)[later])))
             own = {"doc": doc[one], "place": place[one], "at": at[one].astype(np.int32), "left": have_left[one].astype(np.uint16), "right": have_right[one].astype(np.uint16), "near": near[one]}
+            if every:
+                own["more"] = np.bincount(same[later], minlength=len(one))
+                own["first"] = np.cumsum(own["more"]) - own["more"]
+                repeats = np.flatnonzero(later)
+                repeats = repeats[np.argsort(same[repeats], kind="stable")]
             for t, part in split((h[one] % np.uint64(targets)).astype(np.int64), targets, **own):
+                if every:
+                    r = repeats[common.ranges(part.pop("first"), part["more"])]
+                    part |= {"later_doc": doc[r], "later_place": place[r], "later_at": at[r].astype(np.int32)}
                 out.append((t, DATA, number, dump(**part)))
             return moved(out)
 
@@ -262,6 +274,7 @@ def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame
     A repeat longer than the context around an anchor appears as overlapping groups, one for each anchor in it.
     """
     repeats = Repeats(docs, size, seed)
+    seed = repeats.seed
 
     def list_groups(batches):
         from pyspark import TaskContext
@@ -273,18 +286,30 @@ def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame
             return
         x, out = gather(blobs), []
         part = TaskContext.get().partitionId()
+        left, right, more = (x[n].astype(np.int64) for n in ("left", "right", "more"))
+        first = np.cumsum(more) - more
+        whole = np.zeros(len(more), bool)  # listed with all of its context
 
         seen = 0
 
         def numbered(rows, prefix, extension):
             nonlocal seen
-            out.extend((part, seen, prefix + extension, int(x["doc"][r]), int(x["place"][r]), int(x["at"][r]) - extension) for r in rows.tolist())
+            whole[rows] |= (right[rows] == prefix) & (left[rows] == extension)
+            # an anchor of windows that reach beyond the repeat only is not one wherever the repeat occurs; its windows have others
+            string = x["near"][rows[0], size - seed - extension : size - seed + prefix]
+            if extension not in least(seed_hashes(string, seed), size - seed + 1):
+                return
+            later = common.ranges(first[rows], more[rows])
+            for doc, place, at, which in ((x["doc"], x["place"], x["at"], rows), (x["later_doc"], x["later_place"], x["later_at"], later)):
+                out.extend((part, seen, prefix + extension, *r) for r in zip(doc[which].tolist(), place[which].tolist(), (at[which] - extension).tolist()))
             seen += 1
 
         for _ in groups(x, size, seed, numbered):
             pass
+        for r in np.flatnonzero(~whole & (more > 0) & (left + right >= size)).tolist():  # equal contexts of one shard only
+            numbered(np.array([r]), int(right[r]), int(left[r]))
         names = ["target", "group_id", "length", "doc_id", "place", "start"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names)
 
-    rows = repeats.contexts()
+    rows = repeats.contexts(every=True)
     return rows.repartitionById(repeats.corpus.targets, rows["target"]).mapInArrow(list_groups, ", ".join(f"{c} long" for c in ("target", "group_id", "length", "doc_id", "place", "start")))

@@ -46,6 +46,30 @@ def test_repeat_groups_have_all_occurrences(spark):
     assert max(m[0][2] for m in groups.values()) >= 100
 
 
+def test_repeat_groups_list_equal_contexts(spark, tmp_path):
+    """Occurrences with the same bytes all around them: in many documents, in one shard only, in one document only."""
+    rng = np.random.default_rng(9)
+    some = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    wide, single, inside = some(300), some(300), some(300)
+    texts = {i: f"{some(50)}{wide}{some(40)}" for i in range(20)}
+    one = next(i for i in range(21, 99) if len(set(shards.shard_of(np.array([20, i]), 4).tolist())) == 1)
+    texts |= {20: some(30) + single + some(9), one: some(9) + single + some(30), 100: some(9) + inside + some(70) + inside + some(5)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert suffixes.Repeats(docs).corpus.shards == 4
+    groups, covered = {}, {i: set() for i in texts}
+    for r in suffixes.repeat_groups(docs).collect():
+        groups.setdefault((r.target, r.group_id), set()).add((r.doc_id, r.start, r.length))
+        covered[r.doc_id] |= set(range(r.start, r.start + r.length))
+    for members in groups.values():
+        doc, start, n = min(members)
+        string = texts[doc][start : start + n]
+        assert len(members) > 1 and members == {(i, p, n) for i, t in texts.items() for p in range(len(t)) if t.startswith(string, p)}
+    for i, t in texts.items():
+        for passage in (wide, single, inside):
+            assert all(set(range(p, p + 300)) <= covered[i] for p in range(len(t)) if t.startswith(passage, p))
+
+
 def test_simhash_equals_brute_force(docs, rows):
     got = sorted(((r.doc_id is None, r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
     own = [(r[0], r[1]) for r in rows if r[0] is not None]
