@@ -2,50 +2,91 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bytes of plan input that one task of a Python stage is given.
+#: Bytes of input that one task of a shuffle is given.
 TASK_BYTES = 48 << 20
-_own: dict[str, str] = {}
+#: Catalyst's answer for sources whose size it does not know is far above this.
+KNOWN_BYTES = 1 << 60
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests, one machine) a temporary folder takes its place.
+    Where that is not set, a temporary folder will do if all of Spark is one process; on a cluster it is an error, as no
+    machine's own folder is seen by the others.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or _own.get(spark.sparkContext.applicationId, "")
+    base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
-        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+        base = own_dir(spark.sparkContext.master, spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/siftwell/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def own_dir(master: str, application: str) -> str:
+    """A folder for a session on one machine; it goes when Python ends."""
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="siftwell-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a shared folder and read again: cuts lineage and survives lost executors."""
+    """``df`` written to a shared folder and read again: cuts lineage and survives lost executors.
+
+    The folder lives as long as its reader may need it, so it is left to whoever owns ``spark.checkpoint.dir``.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: file sizes for a scan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def source_bytes(df: DataFrame) -> int:
+    """Bytes that the sources of ``df`` hold: file sizes for scans; where a source does not know its size, values are measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if all(x < KNOWN_BYTES for x in sizes):
+        return sum(sizes)
+    wide = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    row = sum((F.coalesce(c, F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def task_count(df: DataFrame, per: int = TASK_BYTES) -> int:
     """Partitions for a shuffle of ``df``: the session's count, and more if partitions would exceed ``per``."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(200_000, math.ceil(plan_bytes(df) / per)))
+    return max(shuffle_partitions(df.sparkSession), math.ceil(source_bytes(df) / per))
+
+
+def copies(rows: DataFrame, content: str, ident: str) -> DataFrame:
+    """``rows`` of every ``content`` that several of them have, with ``rep``, its smallest ``ident``.
+
+    A content may have a third of all rows: they are dealt out by ``ident`` too, first for partial minima, then to meet
+    what is known of their content, so no task gets them together.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(shuffle_partitions(rows.sparkSession))).cast("int"))
+    part = salted.groupBy(content, "salt").agg(F.min(ident).alias("rep"), F.count("*").alias("n"))
+    whole = part.groupBy(content).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
+    return salted.join(whole.select(content, "rep", F.explode("salts").alias("salt")), [content, "salt"]).drop("salt")
 
 
 def digest(text: Column) -> Column:

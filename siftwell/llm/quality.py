@@ -20,9 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shards import mixed
-from .substring import word_hashes
-from .textbytes import Words
+from .textbytes import Words, mixed, word_hashes
 
 WIDTH = 1024
 #: Shapes: upper case A, lower case and all beyond ASCII a, digits 0, the rest itself.

@@ -1,12 +1,13 @@
-"""Two-way exchange between documents and hash-keyed shards, as used by the operators that look for repeats.
+"""Documents in shards, and their two-way exchange with targets, as used by the operators that look for repeats.
 
-Documents lie in shards by ``xxhash64(doc_id)``; what is compared lies in targets by a content hash. Tasks exchange
-whole arrays in compressed blobs, a row for each (shard, target), instead of a row for each value.
+Documents lie in shards by ``xxhash64(doc_id)``; what is compared lies elsewhere, by a content hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .textbytes import mixed
 
 MOVED = "target int, kind int, shard int, blob binary"
-BACK = "shard int, kind int, doc_id long, content binary, rep long, blob binary"
+BACK = "shard int, kind int, blob binary"
+#: Place among ids of documents that have none.
+NO_ID = np.iinfo(np.int64).max
 #: Bytes of parquet that make a shard.
 SHARD_BYTES = 6 << 20
 
@@ -53,53 +57,50 @@ def split(keys: np.ndarray, many: int, **arrays: np.ndarray) -> Iterator[tuple[i
         yield int(k), {n: v[at] for n, v in arrays.items()}
 
 
-def shard_of(doc_id: np.ndarray, shards: int) -> np.ndarray:
-    """``pmod(xxhash64(doc_id), shards)`` as Spark has it."""
-    from .textbytes import _short
-
-    x = np.ascontiguousarray(doc_id.astype("<i8"))
-    return _short(x.view(np.uint8).reshape(-1, 8), np.arange(len(x)), 8, 42).view(np.int64) % shards
-
-
 def moved(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("target", pa.int32()), ("kind", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary())))})
 
 
 def back(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
-        ["shard", "kind", "doc_id", "content", "rep", "blob"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "kind", "blob"])
 
 
 class Corpus:
-    """Documents in shards. Rows without ``doc_id`` have no place among documents and are left out;
-    rows that agree in ``doc_id`` and text are one document, those that differ in text are documents of their own
-    (``place`` 0, 1, ... in the order of their digests)."""
-
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
-        self.shards = common.task_count(docs, SHARD_BYTES)
-        self.targets = self.shards
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-        where = F.pmod(F.xxhash64("doc_id"), F.lit(self.shards)).cast("int")
-        self.rows = rows.select(where.alias("shard"), "doc_id", common.digest(F.col("text")).alias("content"), "text")
-        pairs = self.rows.select("shard", "doc_id", "content").groupBy("shard", "doc_id", "content").agg(F.lit(1).alias("one"))
-        classes = pairs.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        self.copies = common.table(pairs.drop("one").join(classes, "content").select("shard", F.lit(COPY).alias("kind"), "doc_id", "content", "rep", F.lit(None).cast("binary").alias("blob")), "copies")
-        self.spark = spark
-
-    def with_docs(self, other: DataFrame, work: Callable[[Shard, list[dict], int], pa.Table], schema: str) -> DataFrame:
-        """``work(shard, blobs of kind DATA, shard number)`` on each shard and what ``other`` (BACK) has for it."""
-        shards = self.shards
+    """Documents in shards. Rows that agree in ``doc_id`` (or have none) and text are one document; those that have a
+    ``doc_id`` in common and differ in text are documents of their own, in the order of their texts. Documents without
+    ``doc_id`` come after all others.
+
+    A shard is what a task holds in memory at once; a task gets as many shards one after another as its share of the
+    shuffle has. ``carry``: all columns of ``docs`` travel along as ``own`` (``blank``: the text is null) and can be given back.
+    """
+
+    def __init__(self, docs: DataFrame, carry: bool = False):
+        size = common.source_bytes(docs)
+        self.spark = spark = docs.sparkSession
+        self.tasks = max(common.shuffle_partitions(spark), math.ceil(size / common.TASK_BYTES))
+        self.shards = self.targets = max(self.tasks, math.ceil(size / SHARD_BYTES))
+        doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+        where = F.pmod(F.when(doc_id.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(doc_id)), F.lit(self.shards)).cast("int")
+        own = [F.col("text").isNull().alias("blank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("own")] if carry else []
+        self.rows = docs.select(where.alias("shard"), doc_id.alias("doc_id"), text.alias("text"), *own)
+
+    def copies(self) -> DataFrame:
+        """``shard, doc_id, content, rep`` of documents with exact copies; ``rep``: the first of them."""
+        pairs = self.rows.select("shard", "doc_id", common.digest(F.col("text")).alias("content")).distinct()
+        return common.table(common.copies(pairs, "content", "doc_id"), "copies")
+
+    def with_docs(self, other: DataFrame, work: Callable[[Shard, pa.Table, int], pa.Table], schema) -> DataFrame:
+        """``work(shard, rows of other for it, shard number)`` on each shard."""
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             common.give_back()
-            return work(Shard(left, right, shards), [load(x) for x, k in zip(right["blob"].to_pylist(), right["kind"].to_pylist()) if k == DATA], int(left["shard"][0].as_py()))
+            return work(Shard(left), right, int(left["shard"][0].as_py()))
+
+        both = (x.repartition(self.tasks, "shard").groupBy("shard") for x in (self.rows, other))
+        return next(both).cogroup(next(both)).applyInArrow(run, schema)
 
-        return self.rows.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(run, schema)
+    def alone(self, work: Callable[[Shard, pa.Table, int], pa.Table], schema) -> DataFrame:
+        return self.with_docs(self.spark.createDataFrame([], "shard int"), work, schema)
 
     def at_targets(self, rows: DataFrame, work: Callable[[list[dict]], list[tuple[int, int, bytes]]]) -> DataFrame:
         """``work(blobs of kind DATA)`` on all that went to a target; rows of kind PASS go on to their shard."""
@@ -121,31 +122,51 @@ class Corpus:
         return rows.repartitionById(self.targets, F.col("target")).mapInArrow(run, BACK)
 
 
-#: Kinds of rows: arrays for who receives them, arrays that a target hands on, a document with copies.
-DATA, PASS, COPY = 0, 1, 2
+#: Kinds of rows: arrays for who receives them, arrays that a target hands on.
+DATA, PASS = 0, 1
+
+
+def blobs(rows: pa.Table) -> list[dict[str, np.ndarray]]:
+    return [load(x) for x, k in zip(rows["blob"].to_pylist(), rows["kind"].to_pylist()) if k == DATA]
 
 
 class Shard:
-    """The documents of a shard, each once, in the order of ``doc_id`` and digest."""
-
-    def __init__(self, left: pa.Table, right: pa.Table, shards: int):
-        order = left.select(["doc_id", "content"]).append_column("at", pa.array(range(left.num_rows))).sort_by([("doc_id", "ascending"), ("content", "ascending")])
-        ids, digests, at = np.asarray(order["doc_id"]), order["content"].to_pylist(), np.asarray(order["at"])
-        new = np.array([i == 0 or ids[i] != ids[i - 1] or digests[i] != digests[i - 1] for i in range(len(ids))], bool)
-        self.times = np.diff(np.concatenate([np.flatnonzero(new), [len(ids)]]))  # rows of each document
-        self.doc_id = ids[new]
-        self.digest = [d for d, k in zip(digests, new) if k]
-        first = np.searchsorted(self.doc_id, self.doc_id, "left")
-        self.place = (np.arange(len(self.doc_id)) - first).astype(np.int32)
-        self.text = left["text"].combine_chunks().take(pa.array(at[new]))
-        copy = [(i, c, r) for i, c, r, k in zip(*(right[n].to_pylist() for n in ("doc_id", "content", "rep", "kind"))) if k == COPY]
-        rep = {(i, c): r for i, c, r in copy}
-        own = [rep.get((i, c)) for i, c in zip(self.doc_id.tolist(), self.digest)]
-        self.has_copy = np.array([r is not None for r in own], bool)
-        self.stands = np.array([r is None or r == i for r, i in zip(own, self.doc_id.tolist())], bool)  # first of its copies
-
-    def row(self, doc_id: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.doc_id, doc_id, "left") + place
+    """The documents of a shard, each once, in the order of ``doc_id`` and text; a document's row is the same in every pass."""
+
+    def __init__(self, left: pa.Table):
+        left = left.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # nulls last
+        ids, text = left["doc_id"], left["text"].combine_chunks()
+        known = np.asarray(ids.is_valid())
+        value = np.asarray(ids.fill_null(0))
+        same = np.zeros(len(known), bool)
+        same[1:] = (known[1:] == known[:-1]) & (value[1:] == value[:-1])
+        for i in np.flatnonzero(same).tolist():
+            same[i] = text[i] == text[i - 1]
+        self.row_of = np.cumsum(~same) - 1  # of each row of the table
+        self.rows = left
+        first = np.flatnonzero(~same)
+        self.doc_id, self.text = ids.combine_chunks().take(pa.array(first)), text.take(pa.array(first))
+        #: Place in the order of all documents: the id, those without one last, and the place among equals.
+        self.order = np.where(known, value, NO_ID)[first]
+        self.place = np.arange(len(first)) - np.searchsorted(self.order, self.order, "left")
+        for i in np.flatnonzero(~known[first]).tolist():  # these lie in all shards, by text
+            self.place[i] = int.from_bytes(hashlib.sha256(self.text[i].as_buffer()).digest()[:7], "big")
+
+    def repeat(self, table: pa.Table) -> pa.Table:
+        """A row for each row of the input, from one for each document."""
+        return table.take(pa.array(self.row_of))
+
+
+def copied(shard: Shard, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents have exact copies, and which are the first of theirs (as are those without any)."""
+    rep = {(i, c): r for i, c, r in zip(*(rows[n].to_pylist() for n in ("doc_id", "content", "rep"))) if c is not None}
+    has, stands = np.zeros(len(shard.order), bool), np.ones(len(shard.order), bool)
+    if rep:
+        for k, (i, t) in enumerate(zip(shard.doc_id.to_pylist(), shard.text)):
+            key = (i, hashlib.sha256(t.as_buffer()).digest())
+            has[k] = key in rep
+            stands[k] = not has[k] or rep[key] == i
+    return has, stands
 
 
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,13 +198,6 @@ def polynomial(values: np.ndarray, size: int, base: int) -> np.ndarray:
             step *= 2
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads a polynomial hash over all 64 bits."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        return h ^ (h >> np.uint64(28))
-
-
 def least(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the smallest of each ``width`` consecutive hashes, the first of equals; depends on content only.
 
@@ -232,38 +246,39 @@ def repeated(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def recurring_anchors(corpus: Corpus, find: Callable[[Shard], tuple[np.ndarray, ...]]) -> DataFrame:
-    """Sends to each shard (BACK) the anchors whose hash occurs elsewhere: ``doc, place, at, lo, hi``.
+def recurring_anchors(corpus: Corpus, copies: DataFrame, find: Callable[[Shard, np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Sends to each shard (BACK) the anchors whose hash occurs elsewhere: ``row, at``.
 
-    ``find(shard)`` gives hash, row, at, lo and hi of the shard's anchors. A hash that recurs within a shard is
+    ``find(shard, stands)`` gives hash, row and place of the shard's anchors. A hash that recurs within a shard is
     settled there, and one witness of it goes out, so that a hash of very many rows loads no target.
     """
-    shards, targets = corpus.shards, corpus.targets
+    targets, shards = corpus.targets, corpus.shards
 
-    def local(shard: Shard, _: list[dict], number: int) -> pa.Table:
-        h, row, at, lo, hi = find(shard)
-        own = {"doc": shard.doc_id[row], "place": shard.place[row], "at": at.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+    def local(shard: Shard, other: pa.Table, number: int) -> pa.Table:
+        h, row, at = find(shard, copied(shard, other)[1])
+        own = {"row": row.astype(np.int32), "at": at.astype(np.int32)}
         twice = repeated(h)
         out = []
         if twice.any():
             out.append((number % targets, PASS, number, dump(**{k: v[twice] for k, v in own.items()})))
         witness = np.unique(h[twice])
-        for t, x in split((h[~twice] % np.uint64(targets)).astype(np.int64), targets, h=h[~twice], **{k: v[~twice] for k, v in own.items()}):
+        home = np.full(len(h), number, np.int32)
+        for t, x in split((h[~twice] % np.uint64(targets)).astype(np.int64), targets, h=h[~twice], home=home[~twice], **{k: v[~twice] for k, v in own.items()}):
             out.append((t, DATA, number, dump(**x)))
-        none = {k: v[:0] for k, v in own.items()}
+        none = {k: v[:0] for k, v in {"home": home, **own}.items()}
         for t, x in split((witness % np.uint64(targets)).astype(np.int64), targets, h=witness):
             out.append((t, DATA, number, dump(h=x["h"], **none)))
         return moved(out)
 
     def settle(data: list[dict]):
-        ones = [d for d in data if len(d["doc"])]
+        ones = [d for d in data if len(d["row"])]
         if not ones:
             return
-        both = np.concatenate([d["h"] for d in ones] + [d["h"] for d in data if not len(d["doc"])])
+        both = np.concatenate([d["h"] for d in ones] + [d["h"] for d in data if not len(d["row"])])
         rows = gather(ones)
-        twice = repeated(both)[: len(rows["doc"])]
-        rows = {k: v[twice] for k, v in rows.items() if k != "h"}
-        for s, x in split(shard_of(rows["doc"], shards), shards, **rows):
+        twice = repeated(both)[: len(rows["row"])]
+        home = rows["home"][twice]
+        for s, x in split(home, shards, row=rows["row"][twice], at=rows["at"][twice]):
             yield s, DATA, dump(**x)
 
-    return corpus.at_targets(corpus.with_docs(corpus.copies, local, MOVED), settle)
+    return corpus.at_targets(corpus.with_docs(copies, local, MOVED), settle)

@@ -1,18 +1,20 @@
 """Substring dedup with repeated-phrase automata.
 
-1. Every window of ``window`` words has one anchor phrase in it: the least, by hash, of its phrases of ``phrase``
-   words. Anchor phrases that occur once are dropped with their windows; no repeated window can be among them.
-2. The text around the other anchors goes to targets by the phrase's hash. There recurring phrases are confirmed as
-   text and compiled into an Aho-Corasick automaton, one for each target; the documents' text is streamed through it,
-   which locates every occurrence, and the windows around the occurrences are compared with each other.
-3. Words of windows that occur elsewhere too are removed.
-
-A text without a candidate phrase cannot hold a pattern, so only text around candidates is streamed. Exact copies
-are settled by digest; equal passages within a shard leave it once, so hot phrases arrive at most once a shard.
-
-Nulls, ties, repeats: a null text has no words; rows without ``doc_id`` are no documents and give no row; rows that
-agree in ``doc_id`` and text are one document (a row each is returned), so they are no repeat of each other; an empty
-table gives no rows; other columns are ignored.
+1. Confirm recurring passages. Every window of ``window`` words has one anchor phrase in it: the least, by hash, of its
+   phrases of ``phrase`` words. Each shard of documents names its anchor phrases, each once, and those that are named or
+   stand more than once anywhere are confirmed. Equal windows have equal anchors, so every repeated window holds one.
+2. Compile and stream. The confirmed phrases that a shard has named are compiled into its Aho-Corasick automaton, and all
+   documents of the shard are streamed through it, a letter for each word. It locates every occurrence of the phrases, at
+   anchors or not; only windows that hold one are candidates.
+3. Candidate windows are counted over all shards by 128-bit hashes, each once a shard, and words of those that occur more
+   than once are removed.
+
+What recurs within a shard leaves it once, so a phrase or window of very many rows, or a group of very many copies, gives
+each task one row a shard at most. A shard is bounded in bytes, so its automaton is too.
+
+Nulls, ties, repeats: a null text has no words; rows that agree in ``doc_id`` (or have none) and text are one document (a
+row each is returned), so they are no repeat of each other; an empty table gives no rows; other columns are ignored. A
+very long text is taken whole: one shard holds it.
 """
 
 from __future__ import annotations
@@ -22,159 +24,137 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
-from .shards import DATA, MOVED, PASS, Corpus, Shard, anchors, dump, gather, merged, mixed, moved, polynomial, recurring_anchors, shard_of, split
-from .textbytes import Words
+from .shards import Corpus, Shard, anchors, polynomial
+from .textbytes import BASE, Words, mixed, word_hashes
 
-#: Odd bases of two independent hashes.
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-LETTERS = [np.random.default_rng(s).integers(0, 2**64, 256, np.uint64, endpoint=False) for s in (11, 12)]
-OWN = ["_cut_doc_id", "_cut_content", "_cut_text"]
+#: Odd bases of the two hashes of a window.
+BASES = (BASE, 0xD1B54A32D192ED03)
+#: Letters of words begin here in the automaton's alphabet; the next after them parts documents.
+FIRST, PART = 0x10000, 0x20000
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def word_hashes(w: Words, which: int = 0) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    if not len(w.begin):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        power = np.full(int((w.end - w.begin).max()) + 1, np.uint64(BASES[which]))
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        out = np.zeros(len(w.begin), np.uint64)
-        for s in range(0, len(out), 1 << 17):  # some words at a time: a byte takes 32 here
-            begin, n = w.begin[s : s + (1 << 17)], (w.end - w.begin)[s : s + (1 << 17)] + 1
-            own = slice(begin[0], begin[-1] + n[-1])
-            inside = np.arange(own.start, own.stop) - np.repeat(begin, n)
-            out[s : s + (1 << 17)] = np.add.reduceat(LETTERS[which][w.data[own]] * power[inside], begin - begin[0])
-    return mixed(out)
+def letters(w: Words) -> np.ndarray:
+    """16 bits of each word's hash: enough to locate phrases of several words; windows are told apart by all 64."""
+    return (word_hashes(w) >> np.uint64(48)).astype(np.uint16)
 
 
-def phrase_hashes(w: Words, size: int) -> np.ndarray:
-    return mixed(polynomial(word_hashes(w), size, BASES[0]))
+def named_phrases(w: Words, window: int, phrase: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct anchor phrases of the windows, and how often each stands there."""
+    own = letters(w)
+    h = mixed(polynomial(own.astype(np.uint64) + np.uint64(1), phrase, BASE))
+    at = anchors(h, window - phrase + 1, w.first[:-1], w.counts() - window + 1)[0]
+    _, one, n = np.unique(h[at], return_index=True, return_counts=True)
+    runs = np.lib.stride_tricks.sliding_window_view(own, phrase)[at[one]] if len(one) else np.zeros((0, phrase), np.uint16)
+    return pa.array([r.tobytes() for r in runs], pa.binary()), n
 
 
-def anchor_phrases(window: int, phrase: int):
-    """For ``recurring_anchors``: the anchor phrases of a shard."""
+def located(w: Words, phrases: list[bytes], size: int) -> np.ndarray:
+    """First words of all occurrences of the phrases in the documents, by one automaton."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    every = (np.frombuffer(b"".join(phrases), np.uint16).astype("<u4") + FIRST).tobytes().decode("utf-32-le")
+    for i in range(0, len(every), size):
+        automaton.add_word(every[i : i + size])
+    if not len(automaton):
+        return np.zeros(0, np.int64)
+    automaton.make_automaton()
+    n = w.counts()
+    stream = np.full(len(w.begin) + w.docs, PART, "<u4")
+    place = np.arange(len(w.begin)) + np.repeat(np.arange(w.docs), n)  # one place parts documents
+    stream[place] = letters(w).astype("<u4") + FIRST
+    ends = np.fromiter((end for end, _ in automaton.iter(stream.tobytes().decode("utf-32-le"))), np.int64)
+    return np.searchsorted(place, ends) - size + 1
 
-    def find(shard: Shard):
-        w = Words(shard.text)
-        n = np.where(shard.stands, w.counts() - window + 1, 0)
-        h = phrase_hashes(w, phrase)
-        at, lo, hi, row = anchors(h, window - phrase + 1, w.first[:-1], n)
-        base = w.first[:-1][row]
-        return h[at], row, at - base, lo - base, hi - base
 
-    return find
+def windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run of ``window`` words, whatever document it begins in."""
+    h = word_hashes(w)
+    return mixed(polynomial(h, window, BASES[0])), mixed(polynomial(mixed(h), window, BASES[1]))
+
+
+def marked(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Flags of ``size`` places: those in a span."""
+    return np.cumsum(np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[:-1] > 0
+
+
+def known(h1: np.ndarray, h2: np.ndarray, own1: np.ndarray, own2: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``own1, own2`` are among the pairs ``h1, h2``."""
+    out = np.zeros(len(own1), bool)
+    if len(h1):
+        order = np.argsort(h1, kind="stable")
+        h1, h2 = h1[order], h2[order]
+        at = np.searchsorted(h1, own1)
+        for k in range(int(np.bincount(np.unique(h1, return_inverse=True)[1]).max())):  # 1 unless hashes collide
+            i = np.minimum(at + k, len(h1) - 1)
+            out |= (h1[i] == own1) & (h2[i] == own2)
+    return out
 
 
 class Substrings:
-    """Spans of words whose windows recur; see the module. ``window`` words, anchors of ``phrase`` words."""
+    """Words of windows that recur; see the module. ``window`` words, anchors of ``phrase`` words."""
 
-    def __init__(self, docs: DataFrame, window: int = 35, phrase: int = 12):
+    def __init__(self, docs: DataFrame, window: int = 35, phrase: int = 8, carry: bool = False):
         self.window, self.phrase = window, min(phrase, window)
-        self.corpus = Corpus(docs)
+        self.corpus = Corpus(docs, carry)
+
+    def phrases(self) -> DataFrame:
+        """``shard, phrase``: confirmed phrases for each shard that named them."""
+        window, phrase = self.window, self.phrase
+
+        def name(shard: Shard, _: pa.Table, number: int) -> pa.Table:
+            names, n = named_phrases(Words(shard.text), window, phrase)
+            return pa.table({"shard": pa.array(np.full(len(n), number, np.int32)), "phrase": names, "n": pa.array(np.minimum(n, 2).astype(np.int32))})
 
-    def spans(self) -> DataFrame:
-        """Blobs ``doc, place, start, end`` (words) for each shard, of recurring windows; copies not yet included."""
-        corpus, window, phrase = self.corpus, self.window, self.phrase
-        shards, targets = corpus.shards, corpus.targets
+        named = self.corpus.alone(name, "shard int, phrase binary, n int")
+        return counted(named, ["phrase"]).select("shard", "phrase")
 
-        def passages(shard: Shard, data: list[dict], number: int) -> pa.Table:
-            if not data:
-                return moved([])
-            x = gather(data)
+    def recurring(self) -> DataFrame:
+        """``shard, h1, h2``: hashes of windows that occur more than once, for each shard that has them."""
+        window, phrase = self.window, self.phrase
+
+        def locate(shard: Shard, other: pa.Table, number: int) -> pa.Table:
             w = Words(shard.text)
-            row = shard.row(x["doc"], x["place"])
-            first = w.first[:-1][row]
-            at, lo, hi = (x[k].astype(np.int64) for k in ("at", "lo", "hi"))
-            b, e = w.begin[first + lo], w.end[first + hi + window - 1]
-            pb, pe = w.begin[first + at], w.end[first + at + phrase - 1]
-            h = phrase_hashes(w, phrase)[first + at]
-            blob = w.data.tobytes()
-            seen: dict[bytes, int] = {}
-            text = [blob[i:j] for i, j in zip(b.tolist(), e.tolist())]
-            which = np.array([seen.setdefault(k, len(seen)) for k in zip(text, (pb - b).tolist())], np.int64)
-            same, one = np.bincount(which), np.unique(which, return_index=True)[1]
-            out = []
-            local = same[which] > 1  # the passage recurs in this shard
-            if local.any():
-                out.append((number % targets, PASS, number, dump(doc=x["doc"][local], place=x["place"][local], start=lo[local], end=hi[local] + window)))
-            t = (h[one] % np.uint64(targets)).astype(np.int64)
-            own = {"doc": x["doc"][one], "place": x["place"][one], "lo": lo[one], "hi": hi[one], "pb": (pb - b)[one], "pe": (pe - b)[one], "times": same, "one": one}
-            for k, part in split(t, targets, **own):
-                some = [text[i] for i in part.pop("one").tolist()]
-                out.append((k, DATA, number, dump(size=np.array([len(s) for s in some], np.int64), text=np.frombuffer(b"".join(some), np.uint8), **part)))
-            return moved(out)
-
-        def locate(data: list[dict]):
-            x = gather(data)
-            ends = np.cumsum(x["size"])
-            begins = ends - x["size"]
-            text = x["text"].tobytes().decode("latin-1")  # a character for each byte
-            phrases = [text[i:j] for i, j in zip((begins + x["pb"]).tolist(), (begins + x["pe"]).tolist())]
-            seen: dict[str, int] = {}
-            which = np.array([seen.setdefault(p, len(seen)) for p in phrases], np.int64)
-            recurs = np.bincount(which, x["times"]) > 1
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for p, k in seen.items():
-                if recurs[k]:
-                    automaton.add_word(f" {p} ", k)
-            if not len(automaton):
-                return
-            automaton.make_automaton()
-            # passages in a row, parted by two blanks; where the automaton stops, a recurring phrase lies
-            sizes = x["size"] + 3
-            offset = np.cumsum(sizes) - sizes
-            stream = "".join(f" {text[i:j]}  " for i, j in zip(begins.tolist(), ends.tolist()))
-            hits = np.fromiter((v for hit in automaton.iter(stream) for v in hit), np.int64).reshape(-1, 2)
-            row = np.searchsorted(offset, hits[:, 0], "right") - 1
-            place = hits[:, 0] - offset[row] - 1  # one past the phrase's last byte in its passage
-            keep = (place == x["pe"][row]) & (hits[:, 1] == which[row])
-            row = np.unique(row[keep])
-            w = Words(pa.array([text[begins[i] : ends[i]].encode("latin-1") for i in row.tolist()], pa.binary()))
-            n = x["hi"][row] - x["lo"][row] + 1
-            owner = np.repeat(np.arange(len(row)), n)
-            begin = common.ranges(w.first[:-1], n)
-            keys = [mixed(polynomial(word_hashes(w, k), window, BASES[k]))[begin] for k in (0, 1)]
-            order = np.lexsort(keys[::-1])
-            new = np.concatenate([[True], (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])])
-            group = np.cumsum(new) - 1
-            count = np.bincount(group, x["times"][row][owner][order])
-            again = np.zeros(len(owner), bool)
-            again[order] = count[group] > 1
-            start = (begin - w.first[:-1][owner] + x["lo"][row][owner])[again]
-            who = row[owner[again]]
-            who, start, end = merged(who, start, start + window)
-            doc, place = x["doc"][who], x["place"][who]
-            for s, part in split(shard_of(doc, shards), shards, doc=doc, place=place, start=start, end=end):
-                yield s, DATA, dump(**part)
-
-        candidates = recurring_anchors(corpus, anchor_phrases(window, phrase))
-        return corpus.at_targets(corpus.with_docs(candidates, passages, MOVED), locate)
-
-    def apply(self, use, schema: str) -> DataFrame:
-        """``use(shard, words, removed, whole)`` on each shard: ``removed`` flags words; ``whole``: documents with an exact copy."""
+            start = located(w, other["phrase"].to_pylist(), phrase)
+            doc = np.searchsorted(w.first, start, "right") - 1
+            first = np.maximum(start - window + phrase, w.first[doc])
+            last = np.minimum(start, w.first[doc + 1] - window)
+            some = first <= last
+            at = np.flatnonzero(marked(first[some], last[some] + 1, len(w.begin)))
+            one, two = (h[at] for h in windows(w, window)) if len(at) else (np.zeros(0, np.uint64),) * 2
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+            new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)])
+            n = np.minimum(np.diff(np.concatenate([new, [len(one)]])), 2)
+            return pa.table({"shard": pa.array(np.full(len(new), number, np.int32)), "h1": pa.array(one[new].view(np.int64)), "h2": pa.array(two[new].view(np.int64)), "n": pa.array(n.astype(np.int32))})
+
+        found = self.corpus.with_docs(self.phrases(), locate, "shard int, h1 long, h2 long, n int")
+        return counted(found, ["h1", "h2"]).select("shard", "h1", "h2")
+
+    def apply(self, use, schema) -> DataFrame:
+        """``use(shard, words, removed)`` on each shard; ``removed`` flags words."""
         window = self.window
 
-        def run(shard: Shard, data: list[dict], _: int) -> pa.Table:
+        def run(shard: Shard, other: pa.Table, _: int) -> pa.Table:
             w = Words(shard.text)
             n = w.counts()
-            mark = np.zeros(len(w.begin) + 1, np.int64)
-            if data:
-                x = gather(data)
-                first = w.first[:-1][shard.row(x["doc"], x["place"])]
-                np.add.at(mark, first + x["start"], 1)
-                np.add.at(mark, first + x["end"], -1)
-            whole = np.flatnonzero(shard.has_copy & (n >= window))
-            np.add.at(mark, w.first[:-1][whole], 1)
-            np.add.at(mark, w.first[1:][whole], -1)
-            return use(shard, w, np.cumsum(mark)[:-1] > 0)
+            start = common.ranges(w.first[:-1], np.maximum(n - window + 1, 0))
+            if other.num_rows and len(start):
+                start = start[known(*(np.asarray(other[c]).view(np.uint64) for c in ("h1", "h2")), *(h[start] for h in windows(w, window)))]
+            else:
+                start = start[:0]
+            return use(shard, w, marked(start, start + window, len(w.begin)))
+
+        return self.corpus.with_docs(self.recurring(), run, schema)
+
 
-        return self.corpus.with_docs(self.corpus.copies.unionByName(self.spans()), run, schema)
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys stand for more than one occurrence; each shard has a key once, so no key has more rows than shards."""
+    return rows.withColumn("all", F.sum("n").over(Window.partitionBy(*keys))).filter(F.col("all") > 1)
 
 
 def kept_words(w: Words, removed: np.ndarray, row: int) -> bytes:
@@ -187,48 +167,52 @@ def kept_words(w: Words, removed: np.ndarray, row: int) -> bytes:
     return part[stay].tobytes()[:-1]
 
 
-def removals(docs: DataFrame, window: int = 35, phrase: int = 12) -> DataFrame:
+def removed_words(w: Words, removed: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(removed)])
+    return total[w.first[1:]] - total[w.first[:-1]]
+
+
+def removals(docs: DataFrame, window: int = 35, phrase: int = 8) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
 
     def digest(shard: Shard, w: Words, removed: np.ndarray) -> pa.Table:
-        total = np.concatenate([[0], np.cumsum(removed)])
-        gone = total[w.first[1:]] - total[w.first[:-1]]
         sha = [hashlib.sha256(kept_words(w, removed, r)).hexdigest() for r in range(w.docs)]
-        at = pa.array(np.repeat(np.arange(w.docs), shard.times))
-        out = pa.table({"doc_id": pa.array(shard.doc_id), "n_words": pa.array(w.counts()), "n_removed": pa.array(gone), "kept_sha256": pa.array(sha, pa.string())})
-        return out.take(at)
+        return shard.repeat(pa.table({"doc_id": shard.doc_id, "n_words": pa.array(w.counts()), "n_removed": pa.array(removed_words(w, removed)), "kept_sha256": pa.array(sha, pa.string())}))
 
     return Substrings(docs, window, phrase).apply(digest, RESULT)
 
 
-def without_repeats(docs: DataFrame, window: int = 50, phrase: int = 12) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, phrase: int = 8) -> DataFrame:
     """The columns of ``docs``; repeated passages are cut out of the texts, other texts stay as they are, byte by byte."""
 
     def cut(shard: Shard, w: Words, removed: np.ndarray) -> pa.Table:
-        total = np.concatenate([[0], np.cumsum(removed)])
-        gone = total[w.first[1:]] - total[w.first[:-1]]
-        some = np.flatnonzero(gone)
-        text = [kept_words(w, removed, r).decode("utf-8", "replace") for r in some.tolist()]
-        return pa.table({"doc_id": pa.array(shard.doc_id[some]), "content": pa.array([shard.digest[r] for r in some.tolist()], pa.binary()), "cut_text": pa.array(text, pa.string())})
+        gone = removed_words(w, removed)
+        text = [kept_words(w, removed, r).decode("utf-8", "replace") if gone[r] else None for r in range(w.docs)]
+        out = shard.repeat(pa.table({"text": pa.array(text, pa.string())}))
+        return out.append_column("as_is", shard.rows["text"]).append_column("blank", shard.rows["blank"]).append_column("own", shard.rows["own"])
 
-    changed = common.table(Substrings(docs, window, phrase).apply(cut, "doc_id long, content binary, cut_text string"), "cut-texts")
-    changed = changed.select(F.col("doc_id").alias(OWN[0]), F.col("content").alias(OWN[1]), F.col("cut_text").alias(OWN[2]))
-    same = (F.col("doc_id").cast("long") == F.col(OWN[0])) & (common.digest(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(OWN[1]))
-    return docs.join(changed, same, "left").select(*[F.coalesce(F.col(OWN[2]), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    sub = Substrings(docs, window, phrase, carry=True)
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("as_is", T.StringType()), *(sub.corpus.rows.schema[c] for c in ("blank", "own"))])
+    out = sub.apply(cut, schema)
+    text = F.coalesce("text", F.when(~F.col("blank"), F.col("as_is")))
+    return out.select(*[text.alias("text") if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 #: The removals by brute force over all windows.
 SQL = """
-with w as (
-  select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] as words from documents where doc_id is not null
-), placed as (select doc_id, unnest(words) as word, unnest(range(len(words))) as i from w),
+with rows as (select doc_id, coalesce(text, '') as text, count(*) as times from documents group by all),
+w as (
+  select row_number() over () as k, doc_id, times, [x for x in regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') if x <> ''] as words from rows
+), placed as (select k, unnest(words) as word, unnest(range(len(words))) as i from w),
 windows as (
-  select doc_id, i, string_agg(word, ' ') over r as run, count(*) over r as n from placed
-  window r as (partition by doc_id order by i rows between current row and 34 following)
+  select k, i, string_agg(word, ' ') over r as run, count(*) over r as n from placed
+  window r as (partition by k order by i rows between current row and 34 following)
 ), again as (select run from windows where n = 35 group by run having count(*) > 1),
-gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from windows join again using (run) where n = 35)
-select w.doc_id, cast(len(any_value(w.words)) as bigint) as n_words, count(gone.i) as n_removed,
-  sha256(coalesce(string_agg(word, ' ' order by placed.i) filter (where gone.i is null), '')) as kept_sha256
-from w left join placed on placed.doc_id = w.doc_id left join gone on gone.doc_id = placed.doc_id and gone.i = placed.i
-group by w.doc_id
+gone as (select distinct k, unnest(range(i, i + 35)) as i from windows join again using (run) where n = 35),
+cut as (
+  select w.k, count(gone.i) as n_removed, sha256(coalesce(string_agg(word, ' ' order by placed.i) filter (where gone.i is null), '')) as kept_sha256
+  from w left join placed on placed.k = w.k left join gone on gone.k = placed.k and gone.i = placed.i group by w.k
+)
+select doc_id, cast(len(words) as bigint) as n_words, n_removed, kept_sha256
+from (select *, unnest(range(times)) as copy from w) w join cut using (k)
 """

@@ -14,9 +14,10 @@ For dedup, each occurrence but the first (``doc_id``, start) of each group is re
 Lengths are measured up to the context that travels, which decides every string of ``size`` bytes. Equal contexts
 within a shard leave it once, and exact copies are settled by digest, so hot strings arrive at most once a shard.
 
-Nulls, ties, repeats: a null text is empty; rows without ``doc_id`` are no documents and give no row; rows that agree
-in ``doc_id`` and text are one document (a row each is returned); documents with one ``doc_id`` and different texts
-follow each other by digest; an empty table gives no rows; other columns are ignored.
+Nulls, ties, repeats: a null text is empty; rows that agree in ``doc_id`` (or have none) and text are one document (a
+row each is returned); documents with one ``doc_id`` and different texts follow each other by text, those without
+``doc_id`` come last; an empty table gives no rows; other columns are ignored. A very long text is taken whole: a shard
+holds it in memory, its arrays are made a piece at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .shards import DATA, MOVED, PASS, Corpus, Shard, anchors, dump, gather, least, merged, mixed, moved, polynomial, recurring_anchors, shard_of, split
+from .shards import DATA, MOVED, NO_ID, PASS, Corpus, Shard, anchors, blobs, copied, dump, gather, least, merged, moved, polynomial, recurring_anchors, split
+from .textbytes import mixed
 
 BASE = 0x9E3779B97F4A7C15
 BYTES = np.random.default_rng(13).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -99,18 +101,17 @@ def classes(left: list[int], order: list[int], on_group=None) -> list[int]:
 
 
 def anchor_bytes(size: int, seed: int):
-    """For ``recurring_anchors``: the anchors of a shard; windows do not matter here."""
+    """For ``recurring_anchors``: the anchors of a shard."""
 
-    def find(shard: Shard):
-        found = []
+    def find(shard: Shard, stands: np.ndarray):
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for start, stop in common.row_ranges(common.lengths(shard.text)):  # a byte takes some 40 here
             data, ends = common.joined_bytes(shard.text.slice(start, stop - start))
-            n = np.where(shard.stands[start:stop], np.diff(ends) - size + 1, 0)
+            n = np.where(stands[start:stop], np.diff(ends) - size + 1, 0)
             h = seed_hashes(data, seed)
             at, _, _, row = anchors(h, size - seed + 1, ends[:-1], n)
             found.append((h[at], row + start, at - ends[row]))
-        h, row, at = (np.concatenate(x) for x in zip(*found))
-        return h, row, at, 0 * at, 0 * at
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     return find
 
@@ -121,26 +122,26 @@ class Repeats:
     def __init__(self, docs: DataFrame, size: int = 100, seed: int = 40):
         self.size, self.seed = size, min(seed, size)
         self.corpus = Corpus(docs)
+        self.copies = self.corpus.copies()
 
     def contexts(self, every: bool = False) -> DataFrame:
         """Anchors with the bytes around them, by target; repeats within a shard are settled and passed on as spans.
 
-        With ``every`` they go along instead: ``more`` is their number for each context, and ``later_doc, later_place,
-        later_at`` list them in that order.
+        With ``every`` they go along instead: ``more`` is their number for each context, and ``later_*`` list them in that
+        order.
         """
         size, seed, corpus = self.size, self.seed, self.corpus
         targets, before = corpus.targets, size - seed
 
-        def around(shard: Shard, data: list[dict], number: int) -> pa.Table:
+        def around(shard: Shard, other: pa.Table, number: int) -> pa.Table:
+            data = blobs(other)
             if not data:
                 return moved([])
             x = gather(data)
             raw, ends = common.joined_bytes(shard.text)
-            row = shard.row(x["doc"], x["place"])
-            at = x["at"].astype(np.int64)
+            row, at = x["row"].astype(np.int64), x["at"].astype(np.int64)
             order = np.lexsort((at, row))  # the first of equals stays
             row, at = row[order], at[order]
-            doc, place = x["doc"][order], x["place"][order]
             have_left, have_right = np.minimum(at, before), np.minimum(ends[row + 1] - ends[row] - at, size)
             padded = np.concatenate([np.full(before, 255, np.uint8), raw, np.full(size, 255, np.uint8)])
             view = np.lib.stride_tricks.as_strided(padded, (len(raw) + 1, before + size), (1, 1))
@@ -155,8 +156,9 @@ class Repeats:
             later[one] = False
             out = []
             if later.any() and not every:
-                out.append((number % targets, PASS, number, dump(doc=doc[later], place=place[later], start=(at - have_left)[later], end=(at + have_right)[later])))
-            own = {"doc": doc[one], "place": place[one], "at": at[one].astype(np.int32), "left": have_left[one].astype(np.uint16), "right": have_right[one].astype(np.uint16), "near": near[one]}
+                out.append((number % targets, PASS, number, dump(row=row[later], start=(at - have_left)[later], end=(at + have_right)[later])))
+            names = {"row": row.astype(np.int32), "home": np.full(len(row), number, np.int32), "order": shard.order[row], "place": shard.place[row], "at": at.astype(np.int32)}
+            own = {k: v[one] for k, v in names.items()} | { "left": have_left[one].astype(np.uint16), "right": have_right[one].astype(np.uint16), "near": near[one]}
             if every:
                 own["more"] = np.bincount(same[later], minlength=len(one))
                 own["first"] = np.cumsum(own["more"]) - own["more"]
@@ -165,11 +167,11 @@ class Repeats:
             for t, part in split((h[one] % np.uint64(targets)).astype(np.int64), targets, **own):
                 if every:
                     r = repeats[common.ranges(part.pop("first"), part["more"])]
-                    part |= {"later_doc": doc[r], "later_place": place[r], "later_at": at[r].astype(np.int32)}
+                    part |= {f"later_{k}": v[r] for k, v in names.items()}
                 out.append((t, DATA, number, dump(**part)))
             return moved(out)
 
-        return corpus.with_docs(recurring_anchors(corpus, anchor_bytes(size, seed)), around, MOVED)
+        return corpus.with_docs(recurring_anchors(corpus, self.copies, anchor_bytes(size, seed)), around, MOVED)
 
     def spans(self) -> DataFrame:
         """Blobs ``doc, place, start, end`` (bytes) for each shard: every occurrence but the first of its group."""
@@ -177,13 +179,13 @@ class Repeats:
 
         def scan(data: list[dict]):
             x = gather(data)
-            doc, at = x["doc"], x["at"].astype(np.int64)
+            at = x["at"].astype(np.int64)
             covered = [np.zeros((0, 3), np.int64)]
             for member, prefix, extension in groups(x, size, seed, None):
                 covered.append(np.stack([member, at[member] - extension, at[member] + prefix], axis=1))
             c = np.concatenate(covered)
             who, start, end = merged(c[:, 0], c[:, 1], c[:, 2])
-            for s, part in split(shard_of(doc[who], shards), shards, doc=doc[who], place=x["place"][who], start=start, end=end):
+            for s, part in split(x["home"][who], shards, row=x["row"][who].astype(np.int64), start=start, end=end):
                 yield s, DATA, dump(**part)
 
         return self.corpus.at_targets(self.contexts(), scan)
@@ -200,7 +202,7 @@ def groups(x: dict[str, np.ndarray], size: int, seed: int, on_group):
     array = sorted_order(suffix)
     lcp = common_prefixes(suffix[array], right[array])
     rank = np.empty(len(array), np.int64)
-    rank[np.lexsort((x["at"], x["place"], x["doc"]))] = np.arange(len(array))
+    rank[np.lexsort((x["at"], x["place"], x["order"]))] = np.arange(len(array))
     turned = np.ascontiguousarray(near[:, before - 1 :: -1] if before else near[:, :0])
     if before:
         by_left = sorted_order(turned)
@@ -240,16 +242,17 @@ def removals(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     repeats = Repeats(docs, size, seed)
 
-    def digest(shard: Shard, data: list[dict], _: int) -> pa.Table:
+    def digest(shard: Shard, other: pa.Table, _: int) -> pa.Table:
+        data, (_, stands) = blobs(other), copied(shard, other)
         raw, ends = common.joined_bytes(shard.text)
         n = np.diff(ends)
         row, start, end = (np.zeros(0, np.int64),) * 3
         if data:
             x = gather(data)
-            row, start, end = merged(shard.row(x["doc"], x["place"]), x["start"].astype(np.int64), x["end"].astype(np.int64))
+            row, start, end = merged(x["row"], x["start"].astype(np.int64), x["end"].astype(np.int64))
         gone = np.bincount(row, end - start, len(n)).astype(np.int64)
         spans = np.bincount(row, minlength=len(n)).astype(np.int64)
-        copy = ~shard.stands & (n >= size)  # all of it stands in an earlier document
+        copy = ~stands & (n >= size)  # all of it stands in an earlier document
         gone[copy], spans[copy] = n[copy], 1
         blob = raw.tobytes()
         begin = np.searchsorted(row, np.arange(len(n) + 1))
@@ -262,10 +265,10 @@ def removals(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame:
                     at = int(ends[r]) + e
                 own.update(blob[at : int(ends[r + 1])])
             sha.append(own.hexdigest())
-        out = pa.table({"doc_id": pa.array(shard.doc_id), "n_bytes": pa.array(n), "n_removed": pa.array(gone), "n_spans": pa.array(spans), "kept_sha256": pa.array(sha, pa.string())})
-        return out.take(pa.array(np.repeat(np.arange(len(n)), shard.times)))
+        out = pa.table({"doc_id": shard.doc_id, "n_bytes": pa.array(n), "n_removed": pa.array(gone), "n_spans": pa.array(spans), "kept_sha256": pa.array(sha, pa.string())})
+        return shard.repeat(out)
 
-    return repeats.corpus.with_docs(repeats.corpus.copies.unionByName(repeats.spans()), digest, RESULT)
+    return repeats.corpus.with_docs(repeats.copies.unionByName(repeats.spans(), allowMissingColumns=True), digest, RESULT)
 
 
 def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame:
@@ -300,8 +303,9 @@ def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame
             if extension not in least(seed_hashes(string, seed), size - seed + 1):
                 return
             later = common.ranges(first[rows], more[rows])
-            for doc, place, at, which in ((x["doc"], x["place"], x["at"], rows), (x["later_doc"], x["later_place"], x["later_at"], later)):
-                out.extend((part, seen, prefix + extension, *r) for r in zip(doc[which].tolist(), place[which].tolist(), (at[which] - extension).tolist()))
+            for kind, which in (("", rows), ("later_", later)):
+                order, place, at = (x[kind + k][which] for k in ("order", "place", "at"))
+                out.extend((part, seen, prefix + extension, None if i == NO_ID else i, *r) for i, *r in zip(order.tolist(), place.tolist(), (at - extension).tolist()))
             seen += 1
 
         for _ in groups(x, size, seed, numbered):

@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .shards import mixed, polynomial
-from .substring import LETTERS, word_hashes
-from .textbytes import Words
+from .shards import polynomial
+from .textbytes import LETTERS, Words, mixed, word_hashes
 
 #: Word beginnings of so many bytes are features beside whole words.
 PREFIXES = (5, 6, 7, 8)
@@ -38,7 +37,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     doc = np.repeat(np.arange(w.docs), w.counts())
     found, owner = [word_hashes(w)], [doc]
     for n in PREFIXES:
-        h = mixed(polynomial(LETTERS[0][w.data], n, 0x9E3779B97F4A7C15 + 2 * n))
+        h = mixed(polynomial(LETTERS[w.data], n, 0x9E3779B97F4A7C15 + 2 * n))
         long = np.flatnonzero(w.end - w.begin >= n)
         found.append(h[w.begin[long]])
         owner.append(doc[long])

@@ -5,37 +5,39 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siftwell.llm import neardup, shards, simhash, substring, suffixes
+from siftwell.llm import common, neardup, shards, simhash, substring, suffixes
+from siftwell.llm.textbytes import Words
 
 
 def numbered(rows):
-    """Distinct documents with ids, in the order of id and digest; and how many rows each has."""
-    key = lambda r: (r[0], hashlib.sha256((r[1] or "").encode()).digest())
-    n = Counter((r[0], r[1] or "") for r in rows if r[0] is not None)
-    return sorted(n, key=key), n
+    """Distinct documents in the order of id and text, those without id last; and how many rows each has."""
+    n = Counter((r[0], r[1] or "") for r in rows)
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    return sorted(n, key=lambda r: (r[0] is None, r[0] or 0, digest(r[1]) if r[0] is None else r[1].encode())), n
 
 
 def expected(rows, plain):
     docs, n = numbered(rows)
-    return sorted(r for d, r in zip(docs, plain(docs)) for _ in range(n[d]))
+    return sorted((r for d, r in zip(docs, plain(docs)) for _ in range(n[d])), key=str)
 
 
 def test_substring_equals_brute_force(docs, rows):
-    got = sorted(tuple(r) for r in substring.removals(docs).collect())
+    got = sorted((tuple(r) for r in substring.removals(docs).collect()), key=str)
     assert got == expected(rows, brute.substring)
     assert any(0 < r[2] < r[1] for r in got) and any(r[2] == 0 for r in got)
 
 
 def test_suffix_equals_brute_force(docs, rows):
-    got = sorted(tuple(r) for r in suffixes.removals(docs).collect())
+    got = sorted((tuple(r) for r in suffixes.removals(docs).collect()), key=str)
     assert got == expected(rows, brute.suffix)
     assert any(0 < r[2] < r[1] for r in got) and any(r[2] == 0 for r in got)
 
 
 def test_repeat_groups_have_all_occurrences(spark):
-    passage = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(140))
+    passage = "".join(chr(97 + c) for c in np.random.default_rng(7).integers(0, 26, 140))
     docs = spark.createDataFrame([(1, "A" + passage + "B"), (2, "C" + passage + "D"), (3, "E" + passage + "F")], "doc_id long, text string")
     groups = {}
     for r in suffixes.repeat_groups(docs).collect():
@@ -52,7 +54,8 @@ def test_repeat_groups_list_equal_contexts(spark, tmp_path):
     some = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
     wide, single, inside = some(300), some(300), some(300)
     texts = {i: f"{some(50)}{wide}{some(40)}" for i in range(20)}
-    one = next(i for i in range(21, 99) if len(set(shards.shard_of(np.array([20, i]), 4).tolist())) == 1)
+    home = {r.id: r.s for r in spark.range(20, 99).selectExpr("id", "pmod(xxhash64(id), 4) as s").collect()}
+    one = next(i for i in range(21, 99) if home[i] == home[20])
     texts |= {20: some(30) + single + some(9), one: some(9) + single + some(30), 100: some(9) + inside + some(70) + inside + some(5)}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
@@ -154,7 +157,47 @@ def test_cut_texts_leave_others_as_they_are(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"start {passage} end\n", 1), (2, f"other\n{passage}", 2), (3, "  clean\ttext \n", 3), (4, None, 4), (None, passage, 5), (3, "  clean\ttext \n", 3)]
     got = sorted((r.content, r.text) for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, content int")).collect())
-    assert got == [(1, "start end"), (2, "other"), (3, "  clean\ttext \n"), (3, "  clean\ttext \n"), (4, None), (5, passage)]
+    assert got == [(1, "start end"), (2, "other"), (3, "  clean\ttext \n"), (3, "  clean\ttext \n"), (4, None), (5, "")]
+
+
+def test_other_columns_come_through_the_cut(spark):
+    """Names that stand for something inside, nested values, and columns in any order."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([([1, 2], f"x {passage}", 7, "s", 5), (None, f"y {passage}", 8, None, None)], "own array<int>, text string, doc_id int, blank string, shard int")
+    got = substring.without_repeats(docs)
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect()), key=str) == [(None, "y", 8, None, None), ([1, 2], "x", 7, "s", 5)]
+
+
+def test_automaton_decides(docs, monkeypatch):
+    """Windows are candidates only where the automaton stops."""
+    w = Words(pa.array(["a b c d e f", "x c d e y", None, "c d", "d e c d e"]))
+    own = substring.letters(w)
+    cde = own[2:5].tobytes()
+    assert substring.located(w, [cde], 3).tolist() == [2, 7, 15] and not len(substring.located(w, [], 3))
+    assert set(substring.located(w, [cde, own[:3].tobytes()], 3).tolist()) == {0, 2, 7, 15}
+
+
+def test_sizes_are_measured_where_sources_do_not_know_them(spark, docs):
+    few = spark.createDataFrame([(1, "a" * 1000), (2, None)], "doc_id long, text string")
+    assert common.source_bytes(few) < 1 << 20 and common.task_count(few) == 4
+    assert common.source_bytes(few.join(few.select("doc_id"), "doc_id")) < 1 << 20
+    assert shards.Corpus(few.union(few)).shards == 4
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1000]"])
+def test_folders_must_be_shared(master):
+    with pytest.raises(ValueError):
+        common.own_dir(master, "x")
+
+
+def test_a_hot_content_meets_its_rows_dealt_out(spark):
+    rows = spark.range(1000).selectExpr("case when id % 3 = 0 then 'hot' when id % 100 = 1 then concat('pair', id % 200) else cast(id as string) end as content", "id as doc_id")
+    got = {r.doc_id: r.rep for r in common.copies(rows, "content", "doc_id").collect()}
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.content, []).append(r.doc_id)
+    assert got == {i: min(m) for m in want.values() if len(m) > 1 for i in m}
 
 
 def test_empty_tables(empty):
