@@ -77,16 +77,38 @@ def task_count(df: DataFrame, per: int = TASK_BYTES) -> int:
     return max(shuffle_partitions(df.sparkSession), math.ceil(source_bytes(df) / per))
 
 
-def copies(rows: DataFrame, content: str, ident: str) -> DataFrame:
-    """``rows`` of every ``content`` that several of them have, with ``rep``, its smallest ``ident``.
+def bounded(rows: DataFrame, total: int, most: int, *idents: str) -> DataFrame:
+    """``most`` of the ``total`` rows, the first by hash of ``idents``; all where there are no more. Tasks keep about two
+    times the rows that are given, so the last sort is small."""
+    if total <= most:
+        return rows
+    share = F.pmod(F.xxhash64(F.lit("sample"), *idents), F.lit(1 << 30)) < int(min(1.0, 2 * most / total) * (1 << 30))
+    return rows.filter(share).orderBy(F.xxhash64(*idents), *idents).limit(most)
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` does not have, whatever the case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
-    A content may have a third of all rows: they are dealt out by ``ident`` too, first for partial minima, then to meet
-    what is known of their content, so no task gets them together.
+def met(rows: DataFrame, few: DataFrame, key: str, ident: str) -> DataFrame:
+    """``rows`` joined with the one row of ``few`` for their ``key``, of which a few may have a third of all rows.
+
+    Rows are dealt out by ``ident`` too, and what is known of their key goes only where some of them went, so no task gets
+    a key's rows together.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(shuffle_partitions(rows.sparkSession))).cast("int"))
-    part = salted.groupBy(content, "salt").agg(F.min(ident).alias("rep"), F.count("*").alias("n"))
-    whole = part.groupBy(content).agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).filter("n > 1")
-    return salted.join(whole.select(content, "rep", F.explode("salts").alias("salt")), [content, "salt"]).drop("salt")
+    spread = salted.select(key, "salt").distinct().join(few, key)
+    return salted.join(spread, [key, "salt"]).drop("salt")
+
+
+def copies(rows: DataFrame, content: str, ident: str) -> DataFrame:
+    """``rows`` of every ``content`` that several of them have, with ``rep``, its smallest ``ident``."""
+    classes = rows.groupBy(content).agg(F.min(ident).alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return met(rows, classes, content, ident)
 
 
 def digest(text: Column) -> Column:

@@ -4,13 +4,13 @@
    phrases of ``phrase`` words. Each shard of documents names its anchor phrases, each once, and those that are named or
    stand more than once anywhere are confirmed. Equal windows have equal anchors, so every repeated window holds one.
 2. Compile and stream. The confirmed phrases that a shard has named are compiled into its Aho-Corasick automaton, and all
-   documents of the shard are streamed through it, a letter for each word. It locates every occurrence of the phrases, at
-   anchors or not; only windows that hold one are candidates.
-3. Candidate windows are counted over all shards by 128-bit hashes, each once a shard, and words of those that occur more
+   documents of the shard are streamed through it, two letters for each word. It locates every occurrence of the phrases,
+   at anchors or not; only windows that hold one are candidates.
+3. Candidate windows are counted over all shards by 96-bit hashes, each once a shard, and words of those that occur more
    than once are removed.
 
-What recurs within a shard leaves it once, so a phrase or window of very many rows, or a group of very many copies, gives
-each task one row a shard at most. A shard is bounded in bytes, so its automaton is too.
+Exact copies are settled by digest, the first stands for all. What recurs within a shard leaves it once, so a phrase or
+window of very many rows gives each task one row a shard at most. A shard is bounded in bytes, so its automaton is too.
 
 Nulls, ties, repeats: a null text has no words; rows that agree in ``doc_id`` (or have none) and text are one document (a
 row each is returned), so they are no repeat of each other; an empty table gives no rows; other columns are ignored. A
@@ -29,52 +29,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .shards import Corpus, Shard, anchors, polynomial
+from .shards import Corpus, Shard, anchors, copied, polynomial, repeated
 from .textbytes import BASE, Words, mixed, word_hashes
 
 #: Odd bases of the two hashes of a window.
 BASES = (BASE, 0xD1B54A32D192ED03)
-#: Letters of words begin here in the automaton's alphabet; the next after them parts documents.
-FIRST, PART = 0x10000, 0x20000
+#: Where the first and second letters of words, and what parts documents, stand in the automaton's alphabet.
+FIRST, SECOND, PART = 0x10000, 0x10100, 0x10200
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def letters(w: Words) -> np.ndarray:
-    """16 bits of each word's hash: enough to locate phrases of several words; windows are told apart by all 64."""
-    return (word_hashes(w) >> np.uint64(48)).astype(np.uint16)
+def letters(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each word's hash: enough to locate phrases of several words; windows are told apart by 96 of theirs."""
+    return (hashes >> np.uint64(48)).astype(np.uint16)
 
 
-def named_phrases(w: Words, window: int, phrase: int) -> tuple[pa.Array, np.ndarray]:
-    """The distinct anchor phrases of the windows, and how often each stands there."""
-    own = letters(w)
+def spelled(own: np.ndarray) -> np.ndarray:
+    """Two letters for each word, from alphabets of their own, so a phrase is found at words' beginnings only; few letters keep the automaton's steps short."""
+    return np.stack([(own >> 8) + np.uint32(FIRST), (own & 255) + np.uint32(SECOND)], axis=-1).astype("<u4")
+
+
+def named_phrases(w: Words, counts: np.ndarray, hashes: np.ndarray, window: int, phrase: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct anchor phrases of the windows of ``counts`` words of each document, and how often each stands there."""
+    own = letters(hashes)
     h = mixed(polynomial(own.astype(np.uint64) + np.uint64(1), phrase, BASE))
-    at = anchors(h, window - phrase + 1, w.first[:-1], w.counts() - window + 1)[0]
+    at = anchors(h, window - phrase + 1, w.first[:-1], counts - window + 1)[0]
     _, one, n = np.unique(h[at], return_index=True, return_counts=True)
     runs = np.lib.stride_tricks.sliding_window_view(own, phrase)[at[one]] if len(one) else np.zeros((0, phrase), np.uint16)
     return pa.array([r.tobytes() for r in runs], pa.binary()), n
 
 
-def located(w: Words, phrases: list[bytes], size: int) -> np.ndarray:
+def located(w: Words, hashes: np.ndarray, phrases: list[bytes], size: int) -> np.ndarray:
     """First words of all occurrences of the phrases in the documents, by one automaton."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    every = (np.frombuffer(b"".join(phrases), np.uint16).astype("<u4") + FIRST).tobytes().decode("utf-32-le")
-    for i in range(0, len(every), size):
-        automaton.add_word(every[i : i + size])
+    every = spelled(np.frombuffer(b"".join(phrases), np.uint16)).tobytes().decode("utf-32-le")
+    for i in range(0, len(every), 2 * size):
+        automaton.add_word(every[i : i + 2 * size])
     if not len(automaton):
         return np.zeros(0, np.int64)
     automaton.make_automaton()
-    n = w.counts()
-    stream = np.full(len(w.begin) + w.docs, PART, "<u4")
-    place = np.arange(len(w.begin)) + np.repeat(np.arange(w.docs), n)  # one place parts documents
-    stream[place] = letters(w).astype("<u4") + FIRST
+    place = np.arange(len(w.begin)) + np.repeat(np.arange(w.docs), w.counts())  # one place parts documents
+    stream = np.full((len(place) + w.docs, 2), PART, "<u4")
+    stream[place] = spelled(letters(hashes))
     ends = np.fromiter((end for end, _ in automaton.iter(stream.tobytes().decode("utf-32-le"))), np.int64)
-    return np.searchsorted(place, ends) - size + 1
+    return np.searchsorted(place, ends // 2) - size + 1
+
 
+def windows(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, of 64 and 32 bits, of each run of ``window`` words, whatever document it begins in."""
+    return mixed(polynomial(hashes, window, BASES[0])), (mixed(polynomial(mixed(hashes), window, BASES[1])) >> np.uint64(32)).astype(np.uint32)
 
-def windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of ``window`` words, whatever document it begins in."""
-    h = word_hashes(w)
-    return mixed(polynomial(h, window, BASES[0])), mixed(polynomial(mixed(h), window, BASES[1]))
+
+def twice(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of hashes stand more than once."""
+    out = repeated(one)
+    at = np.flatnonzero(out)
+    order = np.lexsort((two[at], one[at]))
+    a, b = one[at][order], two[at][order]
+    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    out[at[order]] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(at) else False
+    return out
 
 
 def marked(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
@@ -101,39 +115,42 @@ class Substrings:
     def __init__(self, docs: DataFrame, window: int = 35, phrase: int = 8, carry: bool = False):
         self.window, self.phrase = window, min(phrase, window)
         self.corpus = Corpus(docs, carry)
+        self.copies = self.corpus.copies()
 
     def phrases(self) -> DataFrame:
         """``shard, phrase``: confirmed phrases for each shard that named them."""
         window, phrase = self.window, self.phrase
 
-        def name(shard: Shard, _: pa.Table, number: int) -> pa.Table:
-            names, n = named_phrases(Words(shard.text), window, phrase)
+        def name(shard: Shard, other: pa.Table, number: int) -> pa.Table:
+            w = Words(shard.text)
+            names, n = named_phrases(w, np.where(copied(shard, other)[1], w.counts(), 0), word_hashes(w), window, phrase)
             return pa.table({"shard": pa.array(np.full(len(n), number, np.int32)), "phrase": names, "n": pa.array(np.minimum(n, 2).astype(np.int32))})
 
-        named = self.corpus.alone(name, "shard int, phrase binary, n int")
+        named = self.corpus.with_docs(self.copies, name, "shard int, phrase binary, n int")
         return counted(named, ["phrase"]).select("shard", "phrase")
 
     def recurring(self) -> DataFrame:
-        """``shard, h1, h2``: hashes of windows that occur more than once, for each shard that has them."""
+        """``shard, h1, h2``: hashes of windows that a shard has once and others have too."""
         window, phrase = self.window, self.phrase
 
         def locate(shard: Shard, other: pa.Table, number: int) -> pa.Table:
             w = Words(shard.text)
-            start = located(w, other["phrase"].to_pylist(), phrase)
+            hashes = word_hashes(w)
+            start = located(w, hashes, other["phrase"].drop_null().to_pylist(), phrase)
             doc = np.searchsorted(w.first, start, "right") - 1
             first = np.maximum(start - window + phrase, w.first[doc])
             last = np.minimum(start, w.first[doc + 1] - window)
-            some = first <= last
+            some = (first <= last) & copied(shard, other)[1][doc]
             at = np.flatnonzero(marked(first[some], last[some] + 1, len(w.begin)))
-            one, two = (h[at] for h in windows(w, window)) if len(at) else (np.zeros(0, np.uint64),) * 2
+            one, two = (h[at] for h in windows(hashes, window)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)])
             n = np.minimum(np.diff(np.concatenate([new, [len(one)]])), 2)
-            return pa.table({"shard": pa.array(np.full(len(new), number, np.int32)), "h1": pa.array(one[new].view(np.int64)), "h2": pa.array(two[new].view(np.int64)), "n": pa.array(n.astype(np.int32))})
+            return pa.table({"h1": pa.array(one[new].view(np.int64)), "h2": pa.array(two[new].view(np.int32)), "shard": pa.array(np.full(len(new), number, np.int32)), "n": pa.array(n.astype(np.int32))})
 
-        found = self.corpus.with_docs(self.phrases(), locate, "shard int, h1 long, h2 long, n int")
-        return counted(found, ["h1", "h2"]).select("shard", "h1", "h2")
+        found = self.corpus.with_docs(self.copies.unionByName(self.phrases(), allowMissingColumns=True), locate, "h1 long, h2 int, shard int, n int")
+        return counted(found, ["h1", "h2"]).filter("n = 1").select("shard", "h1", "h2")
 
     def apply(self, use, schema) -> DataFrame:
         """``use(shard, words, removed)`` on each shard; ``removed`` flags words."""
@@ -141,15 +158,18 @@ class Substrings:
 
         def run(shard: Shard, other: pa.Table, _: int) -> pa.Table:
             w = Words(shard.text)
+            has, stands = copied(shard, other)
             n = w.counts()
-            start = common.ranges(w.first[:-1], np.maximum(n - window + 1, 0))
-            if other.num_rows and len(start):
-                start = start[known(*(np.asarray(other[c]).view(np.uint64) for c in ("h1", "h2")), *(h[start] for h in windows(w, window)))]
-            else:
-                start = start[:0]
-            return use(shard, w, marked(start, start + window, len(w.begin)))
-
-        return self.corpus.with_docs(self.recurring(), run, schema)
+            start = common.ranges(w.first[:-1], np.where(stands, np.maximum(n - window + 1, 0), 0))
+            if len(start):
+                one, two = (h[start] for h in windows(word_hashes(w), window))
+                elsewhere = other.filter(other["h1"].is_valid())
+                again = twice(one, two) | known(np.asarray(elsewhere["h1"]).view(np.uint64), np.asarray(elsewhere["h2"]).view(np.uint32), one, two)
+                start = start[again]
+            whole = np.flatnonzero(has & (n >= window))
+            return use(shard, w, marked(np.concatenate([start, w.first[whole]]), np.concatenate([start + window, w.first[whole + 1]]), len(w.begin)))
+
+        return self.corpus.with_docs(self.copies.unionByName(self.recurring(), allowMissingColumns=True), run, schema)
 
 
 def counted(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import common, neardup, shards, simhash, substring, suffixes
-from siftwell.llm.textbytes import Words
+from siftwell.llm.textbytes import Words, word_hashes
 
 
 def numbered(rows):
@@ -169,13 +169,14 @@ def test_other_columns_come_through_the_cut(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(None, "y", 8, None, None), ([1, 2], "x", 7, "s", 5)]
 
 
-def test_automaton_decides(docs, monkeypatch):
+def test_automaton_decides(spark):
     """Windows are candidates only where the automaton stops."""
     w = Words(pa.array(["a b c d e f", "x c d e y", None, "c d", "d e c d e"]))
-    own = substring.letters(w)
+    hashes = word_hashes(w)
+    own = substring.letters(hashes)
     cde = own[2:5].tobytes()
-    assert substring.located(w, [cde], 3).tolist() == [2, 7, 15] and not len(substring.located(w, [], 3))
-    assert set(substring.located(w, [cde, own[:3].tobytes()], 3).tolist()) == {0, 2, 7, 15}
+    assert substring.located(w, hashes, [cde], 3).tolist() == [2, 7, 15] and not len(substring.located(w, hashes, [], 3))
+    assert set(substring.located(w, hashes, [cde, own[:3].tobytes()], 3).tolist()) == {0, 2, 7, 15}
 
 
 def test_sizes_are_measured_where_sources_do_not_know_them(spark, docs):
