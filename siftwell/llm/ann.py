@@ -1,29 +1,35 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Vectors are scaled to length one, so the nearest by cosine is the nearest by Euclid. Coarse centroids and the
-codebooks of the residuals are fitted on at most ``sample`` vectors (chosen by hash of their id); every vector is
-indexed. A list of many vectors is split into blocks of about ``block`` by hash of the id, so no task holds a whole
-hot list. Each query visits the blocks of its nearest lists (how many is measured on the sample), ranks their codes by an asymmetric distance
-table, and reranks the best ``rerank`` of each block (and all that tie with the last) exactly, in double precision,
-on the original vectors. Only a query's best of each block are shuffled to its final ranking.
+Vectors are scaled to length one, so the nearest by cosine is the nearest by Euclid. The coarse index has two levels: a
+centroid, and a centroid of what remains, shared by all first ones. Their pairs are the lists, as many as the square root
+of the number of vectors asks for, though both levels and the codebooks of the residuals are fitted on at most ``sample``
+vectors (chosen by hash of their id); every vector is indexed. How many lists a query visits is measured on the sample.
+
+Equal vectors are one entry that keeps their smallest ids, as many as a result can hold, and equal queries are searched
+for once, so a vector that a third of all rows have costs no more than another. A list of many entries is split into
+blocks of about ``block``. A task holds one block; its queries are streamed past it, in parts where they are very many:
+an asymmetric distance table ranks the codes, and the best ``rerank`` (and all that tie with the last) are scored
+exactly, in double precision, on the original vectors, component by component in one order, so equal vectors have equal
+scores wherever they lie. Only a query's best of each block are shuffled to its final ranking.
 
 Nulls, ties, repeats: vectors that are null, empty, zero, or hold null or non-finite components, or whose length
 differs from the commonest, take no part, nor do rows without id; repeated rows are one vector (ids name vectors; of
-different vectors with one id the least in order counts); ties go to the smaller id; an empty table gives no rows.
+different vectors with one id the least in order counts); ties go to the smaller id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-RESULT = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -55,21 +61,38 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """What is fitted: coarse centroids and a codebook for each part of the residuals."""
+    """What is fitted: centroids of two levels and a codebook for each part of the residuals. A list is a pair of centroids."""
 
     def __init__(self, x: np.ndarray, lists: int, parts: int, codes: int, seed: int = 7):
-        self.coarse = kmeans(x, lists, 12, seed)
+        many = math.ceil(math.sqrt(lists))
+        self.first = kmeans(x, many, 12, seed)
+        rest = x - self.first[nearest(x, self.first)]
+        self.second = kmeans(rest, math.ceil(lists / len(self.first)), 12, seed - 1)
+        rest = rest - self.second[nearest(rest, self.second)]
         self.parts = np.array_split(np.arange(x.shape[1]), min(parts, x.shape[1]))
-        rest = x - self.coarse[nearest(x, self.coarse)]
         self.books = [kmeans(rest[:, p], codes, 8, seed + 1 + i) for i, p in enumerate(self.parts)]
 
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = x - self.coarse[cell]
-        return np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
+    def lists(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """List and code of each vector."""
+        one = nearest(x, self.first)
+        rest = x - self.first[one]
+        two = nearest(rest, self.second)
+        rest = rest - self.second[two]
+        code = np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], axis=1).astype(np.uint8)
+        return one * len(self.second) + two, code
+
+    def far(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to the middle of each list, but for the query's own length."""
+        mixed = self.first @ self.second.T + (self.second * self.second).sum(1) / 2
+        out = (self.first * self.first).sum(1)[:, None] / 2 + mixed - (q @ self.first.T)[:, :, None] - (q @ self.second.T)[:, None, :]
+        return out.reshape(len(q), -1)
 
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances of each query's residual parts to the codebooks: queries, parts, codes."""
-        rest = q - self.coarse[cell]
+        rest = q - self.first[cell // len(self.second)] - self.second[cell % len(self.second)]
         size = max(len(b) for b in self.books)
         out = np.full((len(q), len(self.parts), size), np.inf)
         for i, (p, b) in enumerate(zip(self.parts, self.books)):
@@ -77,35 +100,72 @@ class Index:
         return out
 
 
-def lists_to_visit(x: np.ndarray, coarse: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+def lists_to_visit(x: np.ndarray, index: Index, k: int, recall: float, queries: int = 512) -> int:
     """Nearest lists that hold ``recall`` of the ``k`` exact neighbours of some of ``x`` among ``x``."""
     if len(x) < 2:
-        return len(coarse)
-    own = nearest(x, coarse)
-    q = x[:queries]
+        return index.lists()
+    own, q = index.assign(x)[0], x[:queries]
     near = q @ x.T
     near[np.arange(len(q)), np.arange(len(q))] = -np.inf
     found = own[np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]]
-    place = np.argsort(np.argsort((coarse * coarse).sum(1) / 2 - q @ coarse.T, axis=1), axis=1)
+    place = np.concatenate([np.argsort(np.argsort(index.far(q[i : i + 64]), axis=1), axis=1) for i in range(0, len(q), 64)])
     ranks = np.sort(np.take_along_axis(place, found, axis=1).ravel())
     return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    big = np.abs(x).max(1, keepdims=True)
-    x = x / big
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def added(x: np.ndarray) -> np.ndarray:
+    """Sum of each row, component after component: the same for equal rows, whatever stands beside them."""
+    out = np.zeros(len(x))
+    for column in x.T:
+        out += column
+    return out
 
 
-def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.clip(unit(q) @ unit(x).T, -1.0, 1.0)
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(added(x * x))[:, None]
 
 
-def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, recall: float = 0.97, rerank: int = 48, block: int = 20_000, parts: int = 16, codes: int = 256) -> DataFrame:
+def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of each row of ``q`` with that row of ``x``."""
+    return np.clip(added(unit(q) * unit(x)), -1.0, 1.0)
+
+
+def rows_of(column: pa.Array, kind=np.float64) -> np.ndarray:
+    """Binary values of equal length as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def best_of_block(index: Index, entries: pa.Table, asked: pa.RecordBatch, k: int, rerank: int) -> pa.RecordBatch:
+    """``query, vec_id, score``: the ``k`` best ids of a block for each query."""
+    cell, ids = entries["cell"][0].as_py(), entries["ids"].combine_chunks()
+    code, x = rows_of(entries["code"].combine_chunks(), np.uint8), rows_of(entries["v"].combine_chunks())
+    n, every = np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())
+    begin = np.cumsum(n) - n
+    q, found = rows_of(asked.column("v")), []
+    step = max(1, min(256, 2_000_000 // len(x)))
+    for i in range(0, len(q), step):
+        tables = index.tables(unit(q[i : i + step]), cell)
+        far = np.zeros((len(tables), len(x)))
+        for p in range(code.shape[1]):
+            far += tables[:, p, code[:, p]]
+        last = np.partition(far, rerank - 1, axis=1)[:, rerank - 1 : rerank] if len(x) > rerank else np.inf
+        row, at = np.nonzero(far <= last)
+        score = cosine(q[i + row], x[at])
+        who, own = np.repeat(np.arange(len(row)), n[at]), every[common.ranges(begin[at], n[at])]
+        order = np.lexsort((own, -score[who], row[who]))
+        row, own, score = row[who][order], own[order], score[who][order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((row[keep] + i, own[keep], score[keep]))
+    row, own, score = (np.concatenate(c) for c in zip(*found))
+    return pa.RecordBatch.from_arrays([asked.column("content").take(pa.array(row)), pa.array(own), pa.array(score)], ["query", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, recall: float = 0.97, rerank: int = 48, block: int = 20_000, asked_part: int = 200_000, parts: int = 16, codes: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found to each vector whose id is divisible by ``query_every``.
 
-    The number of lists follows the square root of the number of vectors, between 8 and 1024. How many of them a
-    query visits is measured on the sample: as many as hold ``recall`` of its own exact neighbours.
+    The number of lists is about half the square root of the number of vectors, 8 at least. A query visits as many as
+    hold ``recall`` of the exact neighbours within the sample.
     """
     spark = vectors.sparkSession
     rows = common.table(usable(vectors, id_column, vector_column), "vectors")
@@ -114,78 +174,68 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes[0]
     rows = rows.filter(F.size("v") == dim)
-    share = min(1.0, sample / total)
-    chosen = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * share)) if share < 1 else rows
-    fitted = np.array([r["v"] for r in chosen.select("v").limit(sample).collect()], np.float64).reshape(-1, dim)
-    if not len(fitted):
-        fitted = np.array([r["v"] for r in rows.select("v").limit(sample).collect()], np.float64)
-    index = Index(unit(fitted), int(min(1024, max(8, math.sqrt(total) / 2))), parts, codes)
-    lists = len(index.coarse)
-    visit = lists_to_visit(unit(fitted), index.coarse, k, recall)
-    shared = spark.sparkContext.broadcast(index)  # at most 1024 centroids and ``codes`` entries a part
+    fitted = unit(np.array([r["v"] for r in common.bounded(rows, total, sample, "vec_id").select("v").collect()], np.float64))
+    index = Index(fitted, max(8, math.ceil(math.sqrt(total) / 2)), parts, codes)
+    visit = lists_to_visit(fitted, index, k, recall)
+    shared = spark.sparkContext.broadcast(index)  # centroids of two levels: a fourth root of the vectors each; codes
 
     def assign(batches):
-        ix = shared.value
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column("v").flatten()).reshape(-1, dim)
-                cell = nearest(unit(x), ix.coarse)
-                code = ix.encode(unit(x), cell)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int32)), pa.array([r.tobytes() for r in code], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cell", "code", "v"])
-
-    indexed = common.table(rows.mapInArrow(assign, "vec_id long, cell int, code binary, v binary"), "ivf")
-    counts = {r["cell"]: r["n"] for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a list
-    blocks = [max(1, math.ceil(counts.get(c, 0) / block)) for c in range(lists)]
-    base = np.concatenate([[0], np.cumsum(blocks)])
-
-    def target(batches):
-        for b in batches:
-            v, cell = np.asarray(b.column("vec_id")), np.asarray(b.column("cell"))
-            spread = (v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            to = base[cell] + spread % np.array(blocks)[cell]
-            yield pa.RecordBatch.from_arrays([pa.array(to), b.column("vec_id"), b.column("cell"), b.column("code"), b.column("v")], ["block", "vec_id", "cell", "code", "v"])
+                cell, code = shared.value.assign(unit(x))
+                raw = [r.tobytes() for r in x]
+                content = pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell.astype(np.int64)), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(raw, pa.binary()), content], ["vec_id", "cell", "code", "v", "content"])
+
+    indexed = common.table(rows.mapInArrow(assign, "vec_id long, cell long, code binary, v binary, content binary"), "ivf")
+    # of equal vectors the k + 1 smallest ids, one of which may be the query's; the limit acts before the shuffle too
+    first = indexed.withColumn("n", F.row_number().over(Window.partitionBy("content").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    entries = common.table(first.groupBy("content").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), *(F.first(c).alias(c) for c in ("cell", "code", "v"))), "entries")
+    blocks = entries.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    queries = indexed.filter(F.col("vec_id") % query_every == 0)
+    asked = common.table(queries.groupBy("content").agg(F.first("v").alias("v")), "queries")
+    portions = max(1, math.ceil(asked.count() / asked_part))
 
     def visits(batches):
-        ix = shared.value
-        half = (ix.coarse * ix.coarse).sum(1) / 2
         for b in batches:
-            if not b.num_rows:
-                continue
-            q = np.array([np.frombuffer(x) for x in b.column("v").to_pylist()])
-            cells = np.argsort(half - unit(q) @ ix.coarse.T, axis=1, kind="stable")[:, :visit]
-            row = np.repeat(np.arange(len(q)), visit)
-            n = np.array(blocks)[cells.ravel()]
-            to = common.ranges(base[cells.ravel()], n)
-            row = np.repeat(row, n)
-            yield pa.RecordBatch.from_arrays([pa.array(to), b.column("vec_id").take(pa.array(row)), b.column("v").take(pa.array(row))], ["block", "query_id", "q"])
-
-    data = indexed.mapInArrow(target, "block long, vec_id long, cell int, code binary, v binary")
-    asked = indexed.filter(F.col("vec_id") % query_every == 0).select("vec_id", "v").mapInArrow(visits, "block long, query_id long, q binary")
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        ix = shared.value
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        left = left.sort_by("vec_id")
-        ids, cell = np.asarray(left["vec_id"]), int(left["cell"][0].as_py())
-        code = np.array([np.frombuffer(c, np.uint8) for c in left["code"].to_pylist()])
-        x = np.array([np.frombuffer(v) for v in left["v"].to_pylist()])
-        qid = np.asarray(right["query_id"])
-        q = np.array([np.frombuffer(v) for v in right["q"].to_pylist()])
-        found: list[tuple] = []
-        for i in range(0, len(q), 256):
-            tables = ix.tables(unit(q[i : i + 256]), cell)
-            for j, table in enumerate(tables):
-                far = table[np.arange(code.shape[1])[:, None], code.T].sum(0)
-                far[ids == qid[i + j]] = np.inf
-                some = np.flatnonzero(far <= np.partition(far, rerank - 1)[rerank - 1]) if len(far) > rerank else np.arange(len(far))
-                some = some[np.isfinite(far[some])]
-                score = cosine(q[i + j : i + j + 1], x[some])[0]
-                best = np.lexsort((ids[some], -score))[:k]
-                found.append((np.full(len(best), qid[i + j]), ids[some][best], score[best]))
-        return pa.table({n: pa.array(np.concatenate([f[c] for f in found])) for c, n in enumerate(("query_id", "vec_id", "score"))})
-
-    partial = data.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(scan, RESULT)
-
-    top = partial.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("top"))  # k rows a block visited
-    return top.select("query_id", F.posexplode("top").alias("rank", "hit")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"))
+            for s in range(0, b.num_rows, 64):
+                p = b.slice(s, 64)
+                cells = np.argsort(shared.value.far(unit(rows_of(p.column("v")))), axis=1, kind="stable")[:, :visit]
+                row = pa.array(np.repeat(np.arange(p.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), p.column("content").take(row), p.column("v").take(row)], ["cell", "content", "v"])
+
+    def portion(c: str, many) -> Column:
+        return F.pmod(F.xxhash64(c), many).cast("int")
+
+    nothing = F.lit(None)
+    data = entries.join(F.broadcast(blocks), "cell").select("cell", portion("content", F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(portions - 1))).alias("part"), F.lit(0).alias("kind"), "ids", "code", "v", "content")
+    wanted = asked.mapInArrow(visits, "cell long, content binary, v binary").join(F.broadcast(blocks), "cell")
+    wanted = wanted.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), portion("content", F.lit(portions)).alias("part"), F.lit(1).alias("kind"), nothing.cast("array<long>").alias("ids"), nothing.cast("binary").alias("code"), "v", "content")
+
+    def scan(batches):
+        group, held, block_of = None, [], None
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(c)) for c in ("cell", "block", "part", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                *own, kind = keys[i].tolist()
+                if own != group:
+                    group, held, block_of = own, [], None
+                if kind == 0:
+                    held.append(b.slice(i, j - i))
+                elif held:
+                    block_of = block_of or pa.Table.from_batches(held)
+                    yield best_of_block(shared.value, block_of, b.slice(i, j - i), k + 1, rerank)
+
+    both = data.unionByName(wanted)
+    dealt = both.repartition(common.task_count(entries, 4 << 20), "cell", "block", "part").sortWithinPartitions("cell", "block", "part", "kind")
+    partial = dealt.mapInArrow(scan, "query binary, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = partial.withColumn("place", place).filter(F.col("place") <= k + 1)
+    top = best.groupBy(F.col("query").alias("content")).agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("top"))
+    each = common.met(queries.select("vec_id", "content"), top, "content", "vec_id").withColumnRenamed("vec_id", "query_id")
+    others = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
+    return each.select("query_id", F.posexplode(others).alias("rank", "hit")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
