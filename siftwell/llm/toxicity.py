@@ -4,13 +4,15 @@ P(grade > k) = sigmoid(w.x - cut_k) with one weight vector for all ordered cuts;
 these. Features are words and word beginnings (hashes), of which the fit keeps the ``markers`` that stand out among
 toxic documents; a document's value for a marker is log(1 + occurrences).
 
-The labels are 0 and 1 only. Grades of toxic documents are made from the occurrences of markers: 1, 2 or 3 by
-``steps``; documents that are not toxic have grade 0. The fit uses at most ``sample`` labelled rows (chosen by hash of
-the id); every row of the input is scored.
+The labels are 0 and 1 only. How clearly a toxic document is one is judged by those it was not fitted with: the labelled
+documents are parted in ``FOLDS``, each is scored by a model of the two classes fitted on the others, and the toxic ones get
+grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. The fit uses at most ``sample``
+labelled rows (the first by hash of the id); every row of the input is scored.
 
 Nulls, ties, repeats: a null text has no features; label rows with a null in a column that counts are no examples;
-of several labels for one document the highest counts; repeated rows give a row each; with no example of both kinds
-nothing is toxic (severity 0); an empty table gives no rows; other columns are ignored.
+of several labels for one document the highest counts; scores that tie have one grade, and one at the limit is toxic;
+repeated rows give a row each; with no example of both kinds nothing is toxic (severity 0); an empty table gives no rows;
+other columns are ignored. A very long text counts whole.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .textbytes import LETTERS, Words, mixed, word_hashes
 
 #: Word beginnings of so many bytes are features beside whole words.
 PREFIXES = (5, 6, 7, 8)
+#: Parts of the labelled documents, and grades of toxic ones.
+FOLDS, GRADES = 4, 3
 #: Everything in ASCII but letters and digits parts words here.
 SEPARATE = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -76,12 +80,43 @@ def standing_out(bad: np.ndarray, good: np.ndarray, n1: int, n0: int, markers: i
     return np.sort(top[z[top] >= least_z])
 
 
-def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, steps: tuple[int, ...], rounds: int = 500) -> Model:
-    """``counts``: occurrences of each marker in each labelled document."""
-    seen = counts.sum(1)
-    grade = np.where(toxic, 1 + sum((seen >= s).astype(int) for s in steps), 0)
-    w, cuts = ordinal(np.log1p(counts), grade, len(steps) + 1, rounds)
-    return Model(markers, w, cuts)
+def out_of_fold(x: np.ndarray, toxic: np.ndarray, rounds: int) -> np.ndarray:
+    """Score of each row by a model of the two classes fitted on the folds that it is not in."""
+    fold, out = np.arange(len(x)) % FOLDS, np.zeros(len(x))
+    for f in range(FOLDS):
+        rest = fold != f
+        if 0 < toxic[rest].sum() < rest.sum():
+            w, cut = ordinal(x[rest], toxic[rest].astype(int), 1, rounds)
+            out[~rest] = x[~rest] @ w - cut[0]
+    return out
+
+
+def grades(x: np.ndarray, toxic: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """0 for documents that are not toxic, else 1 to ``GRADES`` by equal shares of the toxic ones' out-of-fold scores."""
+    score = out_of_fold(x, toxic, rounds)
+    steps = np.quantile(score[toxic], np.arange(1, GRADES) / GRADES)
+    return np.where(toxic, 1 + (score[:, None] > steps[None, :]).sum(1), 0)
+
+
+def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, rounds: int = 500) -> Model:
+    """``counts``: occurrences of each marker in each labelled document, in an order that is no order of labels."""
+    x = np.log1p(counts)
+    return Model(markers, *ordinal(x, grades(x, toxic), GRADES, rounds))
+
+
+def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, top: int, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
+    """Penalised mean -log likelihood and its gradient. ``p``: weights, the first cut, logarithms of the gaps between cuts."""
+    rows, m = np.arange(len(x)), x.shape[1]
+    w, gaps = p[:m], np.exp(np.clip(p[m + 1 :], -4, 3))
+    cuts = p[m] + np.concatenate([[0], np.cumsum(gaps)])
+    f = 1 / (1 + np.exp(np.clip(cuts[None, :] - (x @ w)[:, None], -40, 40)))  # P(grade > k)
+    f = np.concatenate([np.ones((len(x), 1)), f, np.zeros((len(x), 1))], axis=1)
+    like = np.maximum(f[rows, grade] - f[rows, grade + 1], 1e-12)
+    slope = f * (1 - f)
+    up, down = slope[rows, grade] / like, slope[rows, grade + 1] / like
+    g_cut = np.array([up[grade == k + 1].sum() - down[grade == k].sum() for k in range(top)]) / len(x)
+    g = np.concatenate([-(x.T @ (up - down)) / len(x) + ridge * w, [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(top - 1)]])
+    return float(-np.log(like).mean() + ridge * (w @ w) / 2), g
 
 
 def ordinal(x: np.ndarray, grade: np.ndarray, top: int, rounds: int, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -89,26 +124,15 @@ def ordinal(x: np.ndarray, grade: np.ndarray, top: int, rounds: int, ridge: floa
     p = np.zeros(x.shape[1] + top)
     p[x.shape[1]] = 2.0
     m, v = np.zeros_like(p), np.zeros_like(p)
-    rows = np.arange(len(x))
     for t in range(1, rounds + 1):
-        w, first, gaps = p[: x.shape[1]], p[x.shape[1]], np.exp(np.clip(p[x.shape[1] + 1 :], -4, 3))
-        cuts = first + np.concatenate([[0], np.cumsum(gaps)])
-        f = 1 / (1 + np.exp(np.clip(cuts[None, :] - (x @ w)[:, None], -40, 40)))  # P(grade > k)
-        f = np.concatenate([np.ones((len(x), 1)), f, np.zeros((len(x), 1))], axis=1)
-        like = np.maximum(f[rows, grade] - f[rows, grade + 1], 1e-12)
-        slope = f * (1 - f)
-        up, down = slope[rows, grade] / like, slope[rows, grade + 1] / like
-        g_cut = np.zeros(top)
-        for k in range(top):  # d/dcut_k of -log like
-            g_cut[k] = (up[grade == k + 1].sum() - down[grade == k].sum()) / len(x)
-        g = np.concatenate([-(x.T @ (up - down)) / len(x) + ridge * w, [g_cut.sum()], [gaps[k] * g_cut[k + 1 :].sum() for k in range(top - 1)]])
+        g = loss(p, x, grade, top, ridge)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     gaps = np.exp(np.clip(p[x.shape[1] + 1 :], -4, 3))
     return p[: x.shape[1]], p[x.shape[1]] + np.concatenate([[0], np.cumsum(gaps)])
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: int = 256, steps: tuple[int, ...] = (6, 18), least_z: float = 6.0, least_docs: int = 5, candidates: int = 100_000) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: int = 256, least_z: float = 6.0, least_docs: int = 5, candidates: int = 100_000) -> Model:
     """The model of ``labels(doc_id, toxic)`` over ``docs``.
 
     Of the ``sample`` documents at most that are used, the driver gets the commonest ``candidates`` features of toxic
@@ -116,9 +140,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.95 * sample / max(total, 1)))) if total > sample else known
+    chosen = common.bounded(known, total, sample, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    used = common.table(rows.join(F.broadcast(chosen.limit(sample)), "doc_id"), "toxicity-sample")
+    used = common.table(rows.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
 
     def in_documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes that a text has, once each; their documents; labels."""
@@ -148,9 +172,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
                 some = hit & (toxic[doc] == k)
                 out[k, :-1] += np.bincount(at[some], minlength=len(names))
                 out[k, -1] += (toxic == k).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
+        some = np.flatnonzero(out.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[0, some]), pa.array(out[1, some])], ["at", "n0", "n1"])
 
-    sums = sum((np.frombuffer(x, np.int64).reshape(2, -1) for x in used.mapInArrow(frequencies, "sums binary").toArrow()["sums"].to_pylist()), np.zeros((2, len(names) + 1), np.int64))
+    totals = used.mapInArrow(frequencies, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # a row a candidate
+    sums = np.zeros((2, len(names) + 1), np.int64)
+    for k in (0, 1):
+        sums[k, np.asarray(totals["at"])] = np.asarray(totals[f"n{k}"])
     (*_, n0), (*_, n1) = sums
     if not n0 or not n1:
         return NONE
@@ -166,25 +194,32 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
             x = np.bincount(doc[hit] * len(best) + at[hit], minlength=n * len(best)).reshape(n, -1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([r.tobytes() for r in np.minimum(x, 65535).astype(np.uint16)], pa.binary())], ["doc_id", "toxic", "x"])
 
-    got = used.mapInArrow(occurrences, "doc_id long, toxic int, x binary").toArrow().sort_by("doc_id")
+    got = used.mapInArrow(occurrences, "doc_id long, toxic int, x binary").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint16).reshape(-1, len(best)).astype(float)
-    return fit(best, x, np.asarray(got["toxic"]).astype(bool), steps)
+    return fit(best, x, np.asarray(got["toxic"]).astype(bool))
 
 
 def severity(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """``doc_id, severity, p_toxic`` of every row; with ``keep`` the columns of ``docs`` before them."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few hundred markers
+    """``doc_id, severity, p_toxic`` of every row; with ``keep`` the columns of ``docs`` and the two last as ``toxicity`` (or a name like it)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred markers
+    name = common.unused(docs, "toxicity")
 
     def run(batches):
         for b in common.pieces(batches, "text"):
             s, p = shared.value.score(b.column("text"))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(s), pa.array(p)], [*b.schema.names, "severity", "p_toxic"])
+            both = pa.StructArray.from_arrays([pa.array(s), pa.array(p)], ["severity", "p_toxic"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), both], [*b.schema.names, name])
+
+    rows = docs.withColumn("text", F.col("text").cast("string")) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, found)]))
+    return out if keep else out.select("doc_id", f"{name}.*")
+
 
-    rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
-    out = rows.mapInArrow(run, schema)
-    return out if keep else out.drop("text")
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` whose P(grade > 0) is below ``limit``."""
+    out = severity(docs, trained(docs, labels, **options), keep=True)
+    return out.filter(F.col(out.columns[-1])["p_toxic"] < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = 12_000, limit: float = 0.5) -> DataFrame:
