@@ -1,15 +1,16 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote low (-1), high (1) or abstain (0) on each text. Expectation maximisation over the counts of
-vote patterns of all documents estimates, without labels, how each labeller votes on low and on high quality, and
-gives each pattern its posterior. The posteriors train a linear scorer on hashed features on at most ``sample``
-documents (chosen by hash of the id); it scores every document.
+vote patterns of all documents estimates, without labels, how each labeller votes on low and on high quality (its
+accuracy, which ``labellers`` gives), and gives each pattern its posterior. The posteriors train a linear scorer on hashed
+features on at most ``sample`` documents (the first by hash of the id); it scores every document.
 
-What leaves the executors: a count for each vote pattern (3 to the number of labellers at most) and the sample.
+Texts are measured once: votes and features are written as sparse rows and all later steps read these. What leaves the
+executors: a count for each vote pattern (3 to the number of labellers at most) and the sample.
 
 Nulls, ties, repeats: a null text is empty (all labellers that need words abstain; low quality by lack of words);
 repeated rows give a row each; a document whose score is exactly the limit is kept; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored. A very long text is measured whole.
 """
 
 from __future__ import annotations
@@ -80,28 +81,36 @@ def votes(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Posterior of high quality for each vote pattern; expectation maximisation, begun with doubt about every text that has a low vote."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation maximisation, begun with doubt about every text that has a low vote.
+
+    Gives the posterior of high quality for each vote pattern; the share of low and high quality; and how often each
+    labeller votes low, not, high on each: ``[quality, vote, labeller]``. All are smoothed by one count.
+    """
     post = np.where((patterns < 0).any(1), 0.1, 0.9)
-    cells = [(patterns == v).astype(float) for v in (-1, 0, 1)]
+    cells = np.stack([patterns == v for v in (-1, 0, 1)]).astype(float)
     for _ in range(rounds):
-        like = np.zeros((2, len(counts)))
-        for c, p in enumerate((1 - post, post)):
-            weight = counts * p
-            whole = weight.sum()
-            like[c] = np.log((whole + 1) / (counts.sum() + 2))
-            rate = np.stack([(weight @ x + 1) / (whole + 3) for x in cells])  # vote, labeller
-            like[c] += sum((x * np.log(r)).sum(1) for x, r in zip(cells, rate))
+        weight = counts * np.stack([1 - post, post])
+        whole = weight.sum(1)
+        prior = (whole + 1) / (counts.sum() + 2)
+        rate = (np.einsum("cn,vnl->cvl", weight, cells) + 1) / (whole[:, None, None] + 3)
+        like = np.log(prior)[:, None] + np.einsum("vnl,cvl->cn", cells, np.log(rate))
         post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -30, 30)))
-    return post
+    return post, prior, rate
+
+
+def accuracies(prior: np.ndarray, rate: np.ndarray) -> list[tuple[str, float, float]]:
+    """Name, share of documents voted on, and share of right votes among these, of each labeller by the model."""
+    voted = (prior[:, None] * (rate[:, 0] + rate[:, 2])).sum(0)
+    right = prior[0] * rate[0, 0] + prior[1] * rate[1, 2]
+    return [(n, float(v), float(r / v)) for n, v, r in zip(LABELLERS, voted, right)]
 
 
-def hashed(w: Words) -> np.ndarray:
-    """Hashed features of each text: word shapes, repeated neighbours and punctuation, as shares of its words."""
+def hashed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of each text as ``document, slot, value``: word shapes and repeated neighbours as shares of its words."""
     n = w.counts()
-    out = np.zeros((w.docs, WIDTH), np.float32)
     if not len(w.begin):
-        return out
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32)
     doc = np.repeat(np.arange(w.docs), n)
     shape = SHAPE[w.data]
     fresh = np.concatenate([[True], shape[1:] != shape[:-1]])
@@ -113,10 +122,9 @@ def hashed(w: Words) -> np.ndarray:
         place = (rank - np.repeat(rank[w.begin], w.end - w.begin + 1)[: len(rank)]) % 61
         code = mixed(np.add.reduceat(value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), w.begin))
     same = np.concatenate([[False], (doc[1:] == doc[:-1])]) & np.concatenate([[False], np.diff(word_hashes(w).view(np.int64)) == 0])
-    for slot in (code % np.uint64(WIDTH - 2), np.where(same, WIDTH - 2, WIDTH - 1)):
-        at, many = np.unique(doc * WIDTH + slot.astype(np.int64), return_counts=True)
-        out.ravel()[at] += many
-    return np.log1p(out / np.maximum(n, 1)[:, None].astype(np.float32) * 100)
+    both = np.concatenate([code % np.uint64(WIDTH - 2), np.where(same, WIDTH - 2, WIDTH - 1).astype(np.uint64)]).astype(np.int64)
+    at, many = np.unique(np.concatenate([doc, doc]) * WIDTH + both, return_counts=True)
+    return at // WIDTH, (at % WIDTH).astype(np.uint16), np.log1p(many / n[at // WIDTH] * 100).astype(np.float32)
 
 
 def linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
@@ -132,46 +140,66 @@ def linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4)
     return p
 
 
+class Graded:
+    """The votes and features of all rows of ``docs``, and what was fitted on them."""
+
+    def __init__(self, docs: DataFrame, sample: int = 4_000):
+        self.spark = docs.sparkSession
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+        def measure(batches):
+            for b in common.pieces(batches, "text"):
+                w, m = shares(b.column("text"))
+                v = votes(m)
+                doc, slot, value = hashed(w)
+                cut = np.searchsorted(doc, np.arange(w.docs + 1))
+                each = list(zip(cut.tolist(), cut[1:].tolist()))
+                columns = [pa.array(x, pa.binary()) for x in ([r.tobytes() for r in v], [slot[i:j].tobytes() for i, j in each], [value[i:j].tobytes() for i, j in each])]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "votes", "slots", "values"])
+
+        self.seen = common.table(rows.mapInArrow(measure, "doc_id long, votes binary, slots binary, values binary"), "votes")
+        counted = self.seen.groupBy("votes").agg(F.count("*").alias("n")).toArrow().sort_by("votes")
+        self.patterns, n = counted["votes"].to_pylist(), np.asarray(counted["n"]).astype(float)
+        if not self.patterns:
+            return
+        self.post, self.prior, self.rate = estimate(np.array([np.frombuffer(p, np.int8) for p in self.patterns]), n)
+        of = dict(zip(self.patterns, self.post.tolist()))
+        fitted = common.bounded(self.seen, int(n.sum()), sample, "doc_id", "slots").withColumn("h", F.xxhash64("doc_id", "slots")).toArrow().sort_by("h")
+        self.weights = np.zeros(WIDTH + 1) if not fitted.num_rows else linear(dense(fitted["slots"].to_pylist(), fitted["values"].to_pylist()), np.array([of[v] for v in fitted["votes"].to_pylist()]))
+
+    def labellers(self) -> DataFrame:
+        """``labeller, voted, accuracy``: share of documents it votes on, and share of right votes by the model."""
+        return self.spark.createDataFrame(accuracies(self.prior, self.rate) if self.patterns else [], "labeller string, voted double, accuracy double")
+
+    def rows(self, limit: float = 0.5) -> DataFrame:
+        """``doc_id, votes, weak_label, score, keep``: votes in the order of LABELLERS, posterior, scorer, decision."""
+        if not self.patterns:
+            return self.spark.createDataFrame([], "doc_id long, votes array<int>, weak_label double, score double, keep boolean")
+        shared = self.spark.sparkContext.broadcast((self.weights, dict(zip(self.patterns, self.post.tolist()))))
+
+        def score(batches):
+            w, known = shared.value
+            for b in common.pieces(batches, "slots"):
+                v = b.column("votes").to_pylist()
+                slot, value = (np.frombuffer(b"".join(b.column(c).to_pylist()), k) for c, k in (("slots", np.uint16), ("values", np.float32)))
+                doc = np.repeat(np.arange(b.num_rows), common.lengths(b.column("slots")) // 2)
+                z = np.bincount(doc, value * w[:-1][slot], b.num_rows) + w[-1]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), pa.array([np.frombuffer(x, np.int8).tolist() for x in v], pa.list_(pa.int32())), pa.array([known[x] for x in v]), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))],
+                    ["doc_id", "votes", "weak_label", "score"],
+                )
+
+        out = self.seen.mapInArrow(score, "doc_id long, votes array<int>, weak_label double, score double")
+        return out.withColumn("keep", F.col("score") >= limit)
+
+
+def dense(slots: list[bytes], values: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(slots), WIDTH), np.float32)
+    for row, s, v in zip(out, slots, values):
+        row[np.frombuffer(s, np.uint16)] = np.frombuffer(v, np.float32)
+    return out
+
+
 def graded(docs: DataFrame, sample: int = 4_000, limit: float = 0.5) -> DataFrame:
-    """``doc_id, votes, weak_label, score, keep`` of every row: votes in the order of LABELLERS, posterior, scorer, decision."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.count()
-    some = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1)))
-
-    def first(batches):
-        for b in common.pieces(batches, "text"):
-            w, m = shares(b.column("text"))
-            v = votes(m)
-            chosen = np.asarray(b.column("chosen")).astype(bool)
-            x = hashed(w) if chosen.any() else None
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([x[i].tobytes() if c else None for i, c in enumerate(chosen)], pa.binary())], ["doc_id", "votes", "x"]
-            )
-
-    seen = common.table(rows.withColumn("chosen", some).mapInArrow(first, "doc_id long, votes binary, x binary"), "votes")
-    counted = seen.groupBy("votes").agg(F.count("*").alias("n")).toArrow()
-    patterns = counted["votes"].to_pylist()
-    if not patterns:
-        return spark.createDataFrame([], "doc_id long, votes array<int>, weak_label double, score double, keep boolean")
-    post = estimate(np.array([np.frombuffer(p, np.int8) for p in patterns]), np.asarray(counted["n"]).astype(float))
-    of = dict(zip(patterns, post.tolist()))
-    fitted = seen.filter("x is not null").select("votes", "x", "doc_id").limit(2 * sample).toArrow().sort_by("doc_id")
-    if not fitted.num_rows:  # a handful of rows, none chosen
-        fitted = None
-    weights = linear(np.array([np.frombuffer(x, np.float32) for x in fitted["x"].to_pylist()]), np.array([of[v] for v in fitted["votes"].to_pylist()])) if fitted else np.zeros(WIDTH + 1)
-    shared = spark.sparkContext.broadcast((weights, of))
-
-    def second(batches):
-        w, known = shared.value
-        for b in common.pieces(batches, "text"):
-            words, m = shares(b.column("text"))
-            v = votes(m)
-            score = 1 / (1 + np.exp(-np.clip(hashed(words) @ w[:-1] + w[-1], -30, 30)))
-            label = np.array([known[r.tobytes()] for r in v])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(v.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(label), pa.array(score)], ["doc_id", "votes", "weak_label", "score"]
-            )
-
-    out = rows.mapInArrow(second, "doc_id long, votes array<int>, weak_label double, score double")
-    return out.withColumn("keep", F.col("score") >= limit)
+    """``doc_id, votes, weak_label, score, keep`` of every row, see ``Graded.rows``."""
+    return Graded(docs, sample).rows(limit)
