@@ -1,9 +1,11 @@
 """Counting, packing, search and classifiers: brute force, round trips, held-out accuracy, awkward rows."""
 
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,20 +60,61 @@ def test_decontamination_finds_substituted_passages(spark, empty):
     item = [f"q{i}" for i in range(30)]
     changed = [w if i not in (4, 9, 21) else "other" for i, w in enumerate(item)]
     broken = [w if i % 4 else "other" for i, w in enumerate(item)]
-    rows = [(1, "before " + " ".join(item) + " after"), (2, " ".join(changed).upper() + "."), (3, " ".join(broken)), (4, None), (5, ""), (6, "short item of six words, here and more"), (1, "twice"), (None, " ".join(item)), (7, "clean " * 3000)]
+    rows = [(1, "before " + " ".join(item) + " after"), (2, " ".join(changed).upper() + "."), (3, " ".join(broken)), (4, None), (5, ""), (6, "a short item with six words, here and more"), (1, "twice"), (None, " ".join(item)), (7, "clean " * 3000), (8, "short thing of two words")]
     bench = spark.createDataFrame([(10, " ".join(item), 1), (11, "Short item of six words", 2), (12, None, 3), (13, "one two", 4), (14, " ".join(item), 5)], "item_id long, text string, doc_id int")
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as words", "3 as seed")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as words", "3 as seed", "4 as found_id", "5 as FOUND_ID_")
     want = {(1, 10), (1, 14), (2, 10), (2, 14), (6, 11), (None, 10), (None, 14)}
     got = decontamination.contaminated(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    assert {(r.matched, r.first_word) for r in got if r.doc_id == 1} == {(13, 1)}
+    assert {(r.matched, r.first_word) for r in got if r.doc_id == 1} == {(13, 1)} and [(r.matched, r.first_word) for r in got if r.doc_id == 6] == [(4, 1)]
     other = decontamination.contaminated(docs, bench, most_broadcast=0)
     assert sorted(map(str, other.collect())) == sorted(map(str, got))
     clean = decontamination.clean(docs, bench)
-    assert {r.doc_id for r in clean.collect()} == {3, 4, 5, 7} and clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {3, 4, 5, 7, 8} and clean.columns == docs.columns
     assert decontamination.contaminated(empty, bench).count() == 0 and decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def windows_found(doc, item, window=13, least=5):
+    """Most agreeing words in an aligned window, and where the first such window begins."""
+    best, first, w = 0, None, min(window, len(item))
+    need = decontamination.needed(w, 0.8)
+    for s in range(len(doc) - w + 1) if len(item) >= least else ():
+        for t in range(len(item) - w + 1):
+            n = sum(a == b for a, b in zip(doc[s : s + w], item[t : t + w]))
+            if n >= need:
+                best, first = max(best, n), s if first is None else first
+    return (best, first) if best else None
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items of all lengths against documents with all numbers of changed words, over few words so that much repeats."""
+    r = np.random.default_rng(5)
+    items = {n: [f"w{x}" for x in r.integers(0, 40, n)] for n in range(1, 31)} | {50: ["same"] * 20, 51: ["a", "b"] * 9}
+    texts = {100: ["same"] * 40, 101: ["a", "b"] * 30, 102: ["b", "a", "a"] * 9}
+    for i in range(80):
+        text = [f"w{x}" for x in r.integers(0, 40, r.integers(0, 40))]
+        own = list(items[int(r.choice(list(items)))])
+        for k in r.choice(len(own), r.integers(0, len(own) // 3 + 1), replace=False):
+            own[k] = "changed"
+        at = int(r.integers(0, len(text) + 1))
+        texts[i] = text[:at] + own + text[at:]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = sorted((i, k, *f) for i, t in texts.items() for k, x in items.items() if (f := windows_found(t, x)))
+    for most in (1 << 26, 0):
+        assert sorted(tuple(x) for x in decontamination.contaminated(docs, bench, most_broadcast=most).collect()) == want
+
+
+def test_decontamination_of_runs_is_linear(spark):
+    """20,000 equal words meet an item of as many; a long item; all in seconds."""
+    long = [f"u{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, " ".join(long[500:600])), (None, "word " * 50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "word " * 20_000), (2, " ".join(long))], "item_id long, text string")
+    began = time.time()
+    assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str) == [(1, 1, 13, 0), (2, 2, 13, 0), (None, 1, 13, 0)]
+    assert time.time() - began < 60
+
+
 def test_toxicity(spark, empty):
     r = np.random.default_rng(2)
     bad = ["vilea", "vileb", "vilec"]
@@ -101,7 +144,8 @@ def test_nearest_neighbours(spark):
     x = r.normal(size=(600, 12))
     x[100:160] = x[0]  # copies tie by id
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(50, x[50].tolist(), 2), (1000, None, 1), (1050, [0.0] * 12, 1), (1100, [float("nan")] * 12, 1), (1150, [1.0, None] + [0.0] * 10, 1), (None, x[1].tolist(), 1), (1200, [], 1), (1250, [1.0] * 3, 1)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")).toPandas()
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").selectExpr("*", "1 as block", "2 as cell", "3 as v", "4 as content", "5 as ids")
+    got = ann.search(docs).toPandas()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = 0
     for q, g in got.groupby("query_id"):
@@ -119,6 +163,35 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("block, part", [(20_000, 200_000), (40, 5)])
+def test_neighbours_in_copies_and_blocks(spark, block, part):
+    """All lists visited and reranked: the exact answer, ties by id, with copies in several blocks and queries in parts."""
+    r = np.random.default_rng(6)
+    x = np.repeat(r.normal(size=(150, 17)), 4, axis=0)[r.permutation(600)]
+    x[200:500] = x[7]  # half of all
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q in ann.search(table, query_every=10, recall=1.0, rerank=600, block=block, asked_part=part).collect():
+        got.setdefault(q.query_id, {})[q["rank"]] = (q.vec_id, q.score)
+    u = ann.unit(x)
+    for q in range(0, 600, 10):
+        s = ann.cosine(np.repeat(x[q : q + 1], 600, axis=0), x)
+        s[q] = -9
+        want = np.lexsort((np.arange(600), -s))[:5]
+        assert [got[q][k + 1][0] for k in range(5)] == want.tolist(), q
+        assert np.allclose([got[q][k + 1][1] for k in range(5)], u[want] @ u[q])
+
+
+def test_equal_vectors_have_equal_scores_anywhere():
+    r = np.random.default_rng(8)
+    for dim in (1, 3, 7, 8, 17, 64, 200):
+        q, v = r.normal(size=dim), r.normal(size=dim)
+        for n in (1, 2, 9, 64):
+            x = r.normal(size=(n, dim))
+            x[n // 2] = v
+            assert ann.cosine(np.repeat(q[None], n, axis=0), x)[n // 2] == ann.cosine(q[None], v[None])[0]
+
+
 def test_language(spark, empty):
     r = np.random.default_rng(6)
     of = {"en": ["the", "house", "thing", "with", "water"], "de": ["der", "sich", "schule", "nicht", "wasser"]}
@@ -135,24 +208,137 @@ def test_language(spark, empty):
     assert language.identified(empty, path).count() == 0
 
 
+def test_language_has_no_caps(spark):
+    """Letters only, pieces and words of any length, and words far beyond what doubles hold."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = language.Pieces(path)
+    assert {"▁relationship", "▁international"} <= set(pieces.names) and pieces.longest >= 13
+    assert language.words_of("½² ① 12_a x9y") == ["▁a", "▁x", "▁y"] and language.words_of("हिन्दी") == ["▁हिन्दी"]
+    of = {"en": "international relationship", "de": "wasserschule rechtsanwalt"}
+    rows = [(i, of[("en", "de")[i % 2]], ("en", "de")[i % 2]) for i in range(60)]
+    rows += [(100, "½²", None), (101, "①", None), (102, "international" * 5000, None), (103, "rechtsanwalt" * 5000 + " ½", None), (104, "relationship", None)]
+    got = {r.doc_id: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (100, 101)] == [("und", 0.0)] * 2
+    assert [got[i].lang_pred for i in (102, 103, 104)] == ["en", "de", "en"] and all(0 <= r.score <= 1 for r in got.values())
+    tie = {r.doc_id: r.lang_pred for r in language.identified(spark.createDataFrame([(i, "same words here", ("b", "a")[i % 2]) for i in range(60)], "doc_id long, text string, lang string"), path).collect()}
+    assert set(tie.values()) <= {"a", "b"}
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     index = {p: i for i, p in enumerate(pieces.names)}
-    p = np.random.default_rng(3).random((len(pieces.names) + 1, 1))
+    p = np.random.default_rng(3).random((len(pieces.names) + 1, 2))
 
-    def brute(word):
+    def brute(word, lang):
+        total = [1.0] + [0.0] * len(word)
+        for i in range(len(word)):
+            for k in range(1, len(word) - i + 1):
+                if word[i : i + k] in index or k == 1:
+                    total[i + k] += total[i] * p[index.get(word[i : i + k], -1), lang]
+        return np.log(total[-1])
+
+    words = [language.MARK + w for w in ("the", "strasse", "été", "中x", "international", "relationships" * 9)]
+    m, n = language.code_points(words)
+    for block in (5, 48, 1000):
+        assert np.allclose(language.forward(pieces, m, n, p, block), [[brute(w, k) for k in (0, 1)] for w in words])
+    some = np.concatenate(list(language.alike(n)))
+    assert sorted(some.tolist()) == list(range(len(words)))
+
+
+def test_expected_uses_equal_brute_force():
+    pieces = language.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    index = {p: i for i, p in enumerate(pieces.names)}
+    p = np.random.default_rng(3).random(len(pieces.names) + 1)
+
+    def cuts(word):
         if not word:
-            return 1.0
-        total = 0.0
-        for k in range(1, min(len(word), language.PIECE) + 1):
+            yield []
+        for k in range(1, len(word) + 1):
             if word[:k] in index or k == 1:
-                total += p[index.get(word[:k], -1), 0] * brute(word[k:])
-        return total
+                for rest in cuts(word[k:]):
+                    yield [index.get(word[:k], -1), *rest]
 
-    words = [language.MARK + w for w in ("the", "strasse", "été", "中x")]
+    words, weight = [language.MARK + w for w in ("water", "nation", "été")], np.array([1.0, 2.0, 5.0])
+    want = np.zeros(len(pieces.names) + 1)
+    for word, many in zip(words, weight):
+        ways = [(c, np.prod(p[c])) for c in cuts(word)]
+        total = sum(x for _, x in ways)
+        for c, x in ways:
+            for i in c:
+                want[i] += many * x / total
     m, n = language.code_points(words)
-    a = language.forward(pieces.lattice(m, n), n, p)
-    assert np.allclose(a[n, np.arange(4), 0], [brute(w) for w in words])
+    assert np.allclose(language.uses(pieces, m, n, p, weight), want[:-1])
+
+
+def test_ordinal_gradient_and_likelihood():
+    """The likelihood by its definition, the gradient by differences, for 1 and 3 thresholds."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 4))
+    for top in (1, 3):
+        grade, p = r.integers(0, top + 1, 40), np.concatenate([r.normal(size=4), [0.3], r.normal(size=top - 1) * 0.3])
+        cuts = p[4] + np.concatenate([[0], np.cumsum(np.exp(p[5:]))])
+        above = lambda i, k: 1.0 if k == 0 else 0.0 if k > top else 1 / (1 + np.exp(cuts[k - 1] - x[i] @ p[:4]))
+        want = -np.mean([np.log(above(i, g) - above(i, g + 1)) for i, g in enumerate(grade)]) + 1e-3 * p[:4] @ p[:4] / 2
+        value, slope = toxicity.loss(p, x, grade, top)
+        assert np.isclose(value, want)
+        for j in range(len(p)):
+            step = np.zeros(len(p))
+            step[j] = 1e-5
+            assert np.isclose((toxicity.loss(p + step, x, grade, top)[0] - toxicity.loss(p - step, x, grade, top)[0]) / 2e-5, slope[j], atol=1e-6)
+
+
+def test_severity_is_the_sum_of_thresholds():
+    """Brute force: P(grade > k) for each cut from counts of the markers in the text."""
+    texts = ["vilea vileb VILEA, x", "plain words", None, "", "vilea " * 5000]
+    h, _, _ = toxicity.features(pa.array(["vilea vileb"]))
+    markers = np.sort(h[:2])
+    model = toxicity.Model(markers, np.array([0.7, 1.9]), np.array([1.0, 2.0, 4.5]))
+    s, p = model.score(pa.array(texts))
+    of = {x: k for k, x in enumerate(markers.tolist())}
+    names = [of[x] for x in h[:2].tolist()]  # vilea, vileb
+    counts = [(2, 1), (0, 0), (0, 0), (0, 0), (5000, 0)]
+    for i, n in enumerate(counts):
+        z = sum(model.weights[k] * np.log1p(c) for k, c in zip(names, n))
+        each = [1 / (1 + np.exp(c - z)) for c in model.cuts]
+        assert np.isclose(s[i], sum(each)) and np.isclose(p[i], each[0])
+
+
+def test_grades_are_judged_out_of_fold():
+    r = np.random.default_rng(3)
+    toxic = r.random(400) < 0.4
+    x = r.normal(size=(400, 3)) + toxic[:, None] * np.array([2.0, 1.0, 0.0])
+    g = toxicity.grades(x, toxic)
+    assert (g[~toxic] == 0).all() and set(g[toxic]) == {1, 2, 3}
+    share = np.bincount(g[toxic], minlength=4)[1:] / toxic.sum()
+    assert (abs(share - 1 / 3) < 0.02).all()
+    z = x @ np.array([2.0, 1.0, 0.0])
+    assert z[g == 3].mean() > z[g == 2].mean() > z[g == 1].mean()
+    # a document's own label does not move its own score
+    other = toxic.copy()
+    other[0] = ~other[0]
+    assert np.isclose(toxicity.out_of_fold(x, toxic, 50)[0], toxicity.out_of_fold(x, other, 50)[0])
+    # ties: one score, one grade
+    even = np.arange(40) // 4 % 2 == 0
+    assert len(set(toxicity.grades(np.ones((40, 2)), even)[even])) == 1
+
+
+def test_expectation_maximisation_equals_a_plain_one():
+    """Document by document, labeller by labeller."""
+    r = np.random.default_rng(4)
+    votes = r.integers(-1, 2, (300, 4))
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post, prior, rate = quality.estimate(patterns, counts, rounds=7)
+    own = [0.1 if (v < 0).any() else 0.9 for v in votes]
+    for _ in range(7):
+        share = [(sum(1 - x for x in own) + 1) / 302, (sum(own) + 1) / 302]
+        table = [[[(sum((x if c else 1 - x) for x, v in zip(own, votes) if v[k] == vote) + 1) / (sum((x if c else 1 - x) for x in own) + 3) for k in range(4)] for vote in (-1, 0, 1)] for c in (0, 1)]
+        for i, v in enumerate(votes):
+            low, high = (share[c] * np.prod([table[c][v[k] + 1][k] for k in range(4)]) for c in (0, 1))
+            own[i] = high / (low + high)
+    of = {tuple(p): x for p, x in zip(patterns.tolist(), post)}
+    assert np.allclose([of[tuple(v)] for v in votes.tolist()], own) and np.allclose(rate, table) and np.allclose(prior, share)
+    names = quality.accuracies(np.array([0.25, 0.75]), np.full((2, 3, 9), [[[0.5], [0.3], [0.2]], [[0.1], [0.2], [0.7]]]))
+    assert names[0][0] == "plain_words" and np.isclose(names[0][1], 0.25 * 0.7 + 0.75 * 0.8) and np.isclose(names[0][2], (0.25 * 0.5 + 0.75 * 0.7) / 0.775)
 
 
 def test_quality(spark, empty):
@@ -161,9 +347,25 @@ def test_quality(spark, empty):
     good = lambda: " ".join(" ".join(word() for _ in range(8)) + "." for _ in range(12))
     junk = [lambda: " ".join([word()] * 60), lambda: " ".join(word() + "###$$$" for _ in range(60)), lambda: " ".join(word().upper() + "!!" for _ in range(60))]
     rows = [(i, good() if i % 4 else junk[(i // 4) % 3]()) for i in range(240)]
-    docs = spark.createDataFrame([*rows, (None, good()), (900, None), (901, "")], "doc_id long, text string").selectExpr("*", "1 as votes", "2 as score")
-    got = quality.graded(docs).toPandas()
-    assert len(got) == 243
+    docs = spark.createDataFrame([*rows, (None, good()), (900, None), (901, ""), (902, "word " * 100_000), (902, "word " * 100_000)], "doc_id long, text string").selectExpr("*", "1 as votes", "2 as score", "3 as slots")
+    work = quality.Graded(docs)
+    got = work.rows().toPandas()
+    assert len(got) == 245
     seen = got[got.doc_id < 240]
     assert (seen.keep == (seen.doc_id % 4 != 0)).mean() > 0.97
-    assert quality.graded(empty).count() == 0
+    # scores by the scorer's definition, on all features of whole texts
+    w, _ = quality.shares(pa.array([t for _, t in rows]))
+    doc, slot, value = quality.hashed(w)
+    z = np.array([(value[doc == i] * work.weights[:-1][slot[doc == i]]).sum() + work.weights[-1] for i in range(240)])
+    assert np.allclose(seen.sort_values("doc_id").score, 1 / (1 + np.exp(-z)), atol=1e-6)
+    # a score at the limit is kept
+    at = float(seen.score.iloc[0])
+    assert work.rows(limit=at).filter(f"doc_id = {int(seen.doc_id.iloc[0])}").first().keep
+    # labellers: the model's accuracies near the true ones
+    truth, votes = seen.doc_id % 4 != 0, np.stack(seen.votes)
+    for r_ in work.labellers().collect():
+        v = votes[:, quality.LABELLERS.index(r_.labeller)]
+        assert abs(r_.voted - (v != 0).mean()) < 0.05
+        if (v != 0).sum() > 30:
+            assert abs(r_.accuracy - ((v > 0) == truth)[v != 0].mean()) < 0.1
+    assert quality.graded(empty).count() == 0 and quality.Graded(empty).labellers().count() == 0
