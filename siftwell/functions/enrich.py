@@ -12,17 +12,15 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def industry(text: Column) -> Column:
-    """The industry with most of its keywords in the text; the first in order of those that tie; null for none."""
-    low = F.lower(text)
+def industry(low: Column) -> Column:
+    """The industry with most of its keywords in the lower-cased text; the first in order of those that tie; null for none."""
     counts = [(name, sum((low.contains(k).cast("int") for k in words[1:]), low.contains(words[0]).cast("int"))) for name, words in fixed.INDUSTRIES.items()]
     best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts))))
     return F.when(best["n"] > 0, best["name"])
 
 
-def employees(text: Column) -> Column:
-    """Size band by words, else by the first number that counts people."""
-    low = F.lower(text)
+def employees(low: Column, digits: Column) -> Column:
+    """Size band by words of the lower-cased text, else by the number that counts people."""
     out = None
     for band, words in fixed.SIZE_WORDS.items():
         some = F.lit(False)
@@ -30,7 +28,6 @@ def employees(text: Column) -> Column:
             some = some | low.contains(w)
         out = F.when(some, band) if out is None else out.when(some, band)
     # digits beyond any integer type are more than the highest bound
-    digits = F.coalesce(*(first_match(low, p) for p in fixed.SIZE_PATTERNS))
     n = F.coalesce(F.when(F.length(F.ltrim(digits, F.lit("0"))) < 10, digits).cast("long"), F.lit(10**12))
     by_count = None
     for most, band in fixed.SIZE_BOUNDS:
@@ -45,33 +42,38 @@ def revenue_band(band: Column) -> Column:
     return out
 
 
-def contact_name(text: Column) -> Column:
-    return F.coalesce(*(first_match(text, p) for p in fixed.CONTACT_PATTERNS))
+def year(found: Column) -> Column:
+    """A year from 1900 to 2030, else null."""
+    y = F.when(found.startswith("'"), F.concat(F.lit("20"), F.substring(found, 2, 2))).otherwise(found).cast("int")
+    return F.when(y.between(1900, 2030), y)
 
 
-def contact_title(text: Column) -> Column:
-    return F.initcap(F.coalesce(*(first_match(text, p) for p in fixed.TITLE_PATTERNS)))
-
-
-def founded_year(text: Column) -> Column:
-    tries = []
-    for p in fixed.YEAR_PATTERNS:
-        found = first_match(text, p)
-        year = F.when(found.startswith("'"), F.concat(F.lit("20"), F.substring(found, 2, 2))).otherwise(found).cast("int")
-        tries.append(F.when(year.between(1900, 2030), year))
-    return F.coalesce(*tries)
+#: Patterns by the field they serve, in the order in which they are tried.
+PATTERNS = {"digits": fixed.SIZE_PATTERNS, "contact_name": fixed.CONTACT_PATTERNS, "contact_title": fixed.TITLE_PATTERNS, "founded_year": fixed.YEAR_PATTERNS}
+FIELDS = tuple(fixed.HEURISTIC_WEIGHTS)
 
 
 def inferred(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with the six inferred columns and ``confidence`` (null if nothing was found)."""
-    t = F.col(text)
-    out = rows.withColumns({"industry": industry(t), "employees": employees(t), "contact_name": contact_name(t), "contact_title": contact_title(t), "founded_year": founded_year(t)})
+    """``rows`` with the six inferred columns and ``confidence`` (null if nothing was found).
+
+    The text is lower-cased once and each pattern is matched once: each step is a projection of its own that the next
+    ones refer to several times, so they are not merged into one that repeats the work.
+    """
+    low = "_low"
+    out = rows.withColumn(low, F.lower(text))
+    out = out.withColumns({f"_{field}{i}": F.regexp_extract(low if field == "digits" else text, p, 1) for field, patterns in PATTERNS.items() for i, p in enumerate(patterns)})
+    found = {field: [F.nullif(F.col(f"_{field}{i}"), F.lit("")) for i in range(len(patterns))] for field, patterns in PATTERNS.items()}
+    out = out.withColumns({
+        "industry": industry(F.col(low)), "employees": employees(F.col(low), F.coalesce(*found["digits"])), "contact_name": F.coalesce(*found["contact_name"]),
+        "contact_title": F.initcap(F.coalesce(*found["contact_title"])), "founded_year": F.coalesce(*map(year, found["founded_year"])),
+    })
     out = out.withColumn("revenue_band", revenue_band(F.col("employees")))
     total, some = F.lit(0.0), F.lit(False)
     for name, weight in fixed.HEURISTIC_WEIGHTS.items():
         total = total + F.when(F.col(name).isNotNull(), F.lit(weight)).otherwise(F.lit(0.0))
         some = some | F.col(name).isNotNull()
-    return out.withColumn("confidence", F.when(some, F.least(total, F.lit(fixed.HEURISTIC_CAP))))
+    out = out.withColumn("confidence", F.when(some, F.least(total, F.lit(fixed.HEURISTIC_CAP))))
+    return out.select(*rows.columns, *("industry", "employees", "contact_name", "contact_title", "founded_year", "revenue_band"), "confidence")
 
 
 def language_model_confidence(fields: list[Column]) -> Column:
@@ -80,15 +82,36 @@ def language_model_confidence(fields: list[Column]) -> Column:
     return F.least(F.lit(0.5) + F.lit(0.1) * n, F.lit(0.8))
 
 
-def waterfall(rows: DataFrame, text: str = "text", external=None) -> DataFrame:
-    """Inference kept only above its gate, else what ``external`` (a function of DataFrame, off by default) finds.
+def waterfall(rows: DataFrame, text: str = "text", external=None, model=None) -> DataFrame:
+    """``rows`` with the six fields, ``confidence`` and ``method`` of the first of three ways that passes its gate, else nulls.
 
-    ``external`` gets the rows that failed the gate and returns them with the six columns, ``confidence`` and ``method``.
+    Inference must be surer than 0.7; ``external``, a function from the text to a struct of the six fields and a
+    ``confidence``, surer than 0.6; ``model``, one from the first 2000 characters of the text to a struct of the six fields,
+    counts where it gives any. Both are off by default; they get a null text where an earlier way has passed.
     """
-    names = [*fixed.HEURISTIC_WEIGHTS, "confidence"]
-    found = inferred(rows, text)
-    passed = F.coalesce(F.col("confidence") > fixed.GATE_HEURISTIC, F.lit(False))
-    kept = found.withColumns({c: F.when(passed, F.col(c)) for c in names}).withColumn("method", F.when(passed, F.lit("heuristic")))
-    if external is None:
-        return kept
-    return kept.filter("method is not null").unionByName(external(kept.filter("method is null").drop(*names, "method")))
+    names = [*FIELDS, "confidence"]
+    found = inferred(rows, text).withColumn("_one", F.struct(*names)).drop(*names)
+    method, ways = F.when(F.col("_one.confidence") > fixed.GATE_HEURISTIC, F.lit("heuristic")), ["_one"]
+    found = found.withColumn("method", method)
+    waiting = lambda: F.when(F.col("method").isNull(), F.col(text))
+    if external is not None:
+        found = found.withColumn("_two", external(waiting()))
+        found = found.withColumn("method", F.coalesce("method", F.when(F.col("_two.confidence") > fixed.GATE_EXTERNAL, F.lit("external_api"))))
+        ways.append("_two")
+    if model is not None:
+        found = found.withColumn("_three", model(F.substring(waiting(), 1, 2000)))
+        given = [F.col(f"_three.{c}") for c in FIELDS]
+        found = found.withColumn("_sure", language_model_confidence(given))
+        found = found.withColumn("method", F.coalesce("method", F.when(F.coalesce(*(c.cast("string") for c in given)).isNotNull(), F.lit("llm"))))
+        ways.append("_three")
+    kinds = {"_one": "heuristic", "_two": "external_api", "_three": "llm"}
+
+    def of(name: str) -> Column:
+        out = None
+        for w in ways:
+            value = F.col("_sure") if (w, name) == ("_three", "confidence") else F.col(f"{w}.{name}")
+            here = F.col("method") == kinds[w]
+            out = F.when(here, value) if out is None else out.when(here, value)
+        return out
+
+    return found.select(*rows.columns, *(of(n).alias(n) for n in names), "method")

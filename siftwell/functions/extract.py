@@ -1,11 +1,16 @@
-"""Fields of fetched pages as column expressions, with the confidence of each way to get them.
+"""Fields of fetched pages, with the confidence of each way to get them.
 
-Regular expressions run in the JVM; only the flattening of JSON-LD, whose keys differ from row to row, is a UDF.
+What depends on the structure of a page (elements, attributes, entities, scripts) is read in one pass of an HTML parser, in
+an Arrow-batched UDF; all that follows, gates and confidences included, is column expressions.
 """
 
 from __future__ import annotations
 
+import html as entities
 import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,14 +19,95 @@ from pyspark.sql import types as T
 
 from . import fixed
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&amp;", "&"))
-FLAT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("data", T.MapType(T.StringType(), T.StringType())), T.StructField("shown", T.StringType())])
-
-
-def decoded(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+TEXTS = T.MapType(T.StringType(), T.StringType())
+FLAT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("data", TEXTS), T.StructField("kinds", TEXTS), T.StructField("shown", T.StringType())])
+PARSED = T.StructType([
+    T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("og", TEXTS), T.StructField("twitter", TEXTS),
+    T.StructField("links", T.ArrayType(T.StringType())), T.StructField("plain_links", T.ArrayType(T.StringType())), T.StructField("body_text", T.StringType()), T.StructField("ld", FLAT),
+])
+
+
+class Page(HTMLParser):
+    """Collects the elements that count. Comments and scripts are no elements; entities are decoded."""
+
+    def __init__(self, url: str):
+        super().__init__(convert_charrefs=True)
+        self.url, self.title, self.description, self.ended = url, None, None, False
+        self.og: dict[str, str] = {}
+        self.twitter: dict[str, str] = {}
+        self.links: list[str] = []
+        self.plain_links: list[str] = []
+        self.scripts: list[str] = []
+        self.text: list[str] = []
+        self.inside: str | None = None  # title, script or style
+        self.body = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag == "title" and self.title is None:
+            self.title, self.inside = "", "title"
+        elif tag == "meta":
+            self.meta(a)
+        elif tag == "a" and "href" in a:
+            self.link(a["href"])
+        elif tag in ("script", "style"):
+            self.inside = "ld" if tag == "script" and a.get("type") == "application/ld+json" else tag
+            if self.inside == "ld":
+                self.scripts.append("")
+        elif tag == "body":
+            self.body = True
+
+    handle_startendtag = handle_starttag
+
+    def meta(self, a: dict[str, str]) -> None:
+        content, name, prop = a.get("content", "").strip(), a.get("name", ""), a.get("property", "")
+        if name == "description" and self.description is None:
+            self.description = content
+        for found, prefix, into in ((prop, "og:", self.og), (name, "twitter:", self.twitter)):
+            if found.startswith(prefix) and found.replace(prefix, ""):
+                into[prefix[:-1] + "_" + found.replace(prefix, "")] = content
+
+    def link(self, href: str) -> None:
+        if href.startswith(("http://", "https://")):
+            self.links.append(href)
+            self.plain_links.append(href)
+        elif href.startswith("/"):
+            self.links.append(urljoin(self.url, href))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("title", "script", "style"):
+            self.inside = None
+
+    def handle_data(self, data: str) -> None:
+        if self.inside == "title":
+            self.title += data
+        elif self.inside == "ld":
+            self.scripts[-1] += data
+        elif self.inside is None and self.body:
+            self.text.append(data)
+
+
+def parse(page: str | None, url: str | None) -> dict:
+    p = Page(url or "")
+    if page is not None:
+        p.feed(page)
+        p.close()
+    ok, data = read_scripts(p.scripts)
+    ld = {"ok": ok and bool(data), "data": {k: as_text(v) for k, v in data.items()}, "kinds": {k: kind(v) for k, v in data.items()}, "shown": str(data)}
+    return {"title": None if p.title is None else p.title.strip(), "description": p.description, "og": p.og, "twitter": p.twitter, "links": p.links, "plain_links": p.plain_links, "body_text": "".join(p.text), "ld": ld}
+
+
+@F.pandas_udf(PARSED)
+def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """All that the structure of a page tells; nothing for a null page."""
+    for pages, urls in batches:
+        yield pd.DataFrame([parse(x, u) for x, u in zip(pages, urls)], columns=PARSED.names)
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Entities decoded, named ones and numbers."""
+    return texts.map(lambda x: x if x is None or "&" not in x else entities.unescape(x))
 
 
 def stripped(c: Column) -> Column:
@@ -33,30 +119,23 @@ def filled(c: Column) -> Column:
     return F.coalesce(c != "", F.lit(False))
 
 
-def title(html: Column) -> Column:
-    """Text of the first title, or null if there is no such element."""
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.when(F.regexp_like(html, F.lit(r"(?is)<title[^>]*>.*?</title>")), stripped(decoded(found)))
+def of_page(html: Column, name: str, url: Column | None = None) -> Column:
+    return parsed(html, F.lit("") if url is None else url)[name]
 
 
-def attribute(tag: Column, name: str) -> Column:
-    double = F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
-    single = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1)
-    return decoded(F.when(double != "", double).otherwise(single))
+def title(html: Column) -> Column:
+    """Text of the first title, or null if there is no such element."""
+    return of_page(html, "title")
 
 
 def description(html: Column) -> Column:
     """Content of the first meta description; null without such an element."""
-    tag = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bname\s*=\s*["']description["'][^>]*>""", 0)
-    return F.when(tag != "", stripped(attribute(tag, "content")))
+    return of_page(html, "description")
 
 
-def meta_map(html: Column, attr: str, prefix: str) -> Column:
-    """Contents by ``<prefix>_<rest>`` of meta elements whose ``attr`` starts with ``<prefix>:``; the last of a name wins."""
-    tags = F.regexp_extract_all(html, F.lit(rf"""(?is)<meta\b[^>]*\b{attr}\s*=\s*["']{prefix}:[^>]*>"""), 0)
-    pairs = F.transform(tags, lambda t: F.struct(F.concat(F.lit(f"{prefix}_"), F.regexp_replace(attribute(t, attr), f"(?i)^{prefix}:", "")).alias("k"), attribute(t, "content").alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+def meta_map(html: Column, which: str) -> Column:
+    """Contents by ``<which>_<rest>`` of meta elements named ``<which>:<rest>`` (og, twitter); the last of a name wins."""
+    return of_page(html, which)
 
 
 def shown_map(m: Column) -> Column:
@@ -66,14 +145,11 @@ def shown_map(m: Column) -> Column:
 
 def links(html: Column, url: Column) -> Column:
     """Absolute links in order; rooted ones are resolved, others dropped, repeats kept."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""), 1)
-    scheme, host = F.regexp_extract(url, r"^(\w+):", 1), F.regexp_extract(url, r"^(\w+://[^/?#]*)", 1)
-    resolved = F.transform(found, lambda h: F.when(h.startswith("http"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h)).when(h.startswith("/"), F.concat(host, h)))
-    return F.filter(resolved, lambda h: h.isNotNull())
+    return of_page(html, "links", url)
 
 
 def absolute_links(html: Column) -> Column:
-    return F.filter(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""), 1), lambda h: h.startswith("http"))
+    return of_page(html, "plain_links")
 
 
 def email(text: Column) -> Column:
@@ -87,7 +163,7 @@ def phone(text: Column) -> Column:
 def visible_text(html: Column, most: int = 8000) -> Column:
     """Text of the body without scripts, styles, comments and tags; at most ``most`` characters, as stored with a page."""
     bare = F.regexp_replace(html, r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    return F.substring(stripped(decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))), 1, most)
+    return F.substring(stripped(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))), 1, most)
 
 
 def domain_company(url: Column) -> Column:
@@ -129,14 +205,23 @@ def as_text(value: object) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value)
 
 
-@F.pandas_udf(FLAT)
-def flattened(scripts: pd.Series) -> pd.DataFrame:
-    rows = [read_scripts(s) for s in scripts]
-    return pd.DataFrame({"ok": [bool(ok and d) for ok, d in rows], "data": [{k: as_text(v) for k, v in d.items()} for _, d in rows], "shown": [str(d) for _, d in rows]})
+def kind(value: object) -> str:
+    """JSON type of a leaf."""
+    return "null" if value is None else {bool: "boolean", int: "number", float: "number"}.get(type(value), "string")
+
+
+@F.udtf(returnType=T.StructType([T.StructField(c, T.StringType()) for c in ("key", "value", "kind")]))
+class Flattened:
+    """Leaves of JSON texts as rows: ``lateral flattened(scripts)``, or after ``register(spark)`` from SQL."""
 
+    def eval(self, scripts: list[str]):
+        ok, data = read_scripts(scripts)
+        for k, v in data.items() if ok else ():
+            yield k, as_text(v), kind(v)
 
-def scripts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)
+
+def register(spark, name: str = "flattened") -> None:
+    spark.udtf.register(name, Flattened)
 
 
 def summed(*terms: tuple[Column, float]) -> Column:
@@ -166,35 +251,66 @@ def rendered_confidence(title: Column, description: Column, og_description: Colu
 
 
 def fields(pages: DataFrame) -> DataFrame:
-    """Everything that the three ways get out of ``pages(page_id, url, html)``; pages are read once."""
+    """Everything that the ways get out of ``pages(page_id, url, html)``; pages are parsed once. Other columns stay."""
     html, url = F.col("html"), F.col("url")
-    out = pages.select("page_id", "url", title(html).alias("title"), description(html).alias("description"), meta_map(html, "property", "og").alias("og"), meta_map(html, "name", "twitter").alias("twitter"), links(html, url).alias("links"), absolute_links(html).alias("plain_links"), visible_text(html).alias("visible"), domain_company(url).alias("company"), flattened(scripts(html)).alias("ld"))
+    out = pages.withColumns({"p": parsed(html, url), "visible": visible_text(html), "company": domain_company(url)})
+    out = out.select(*pages.columns, "visible", "company", *(F.col(f"p.{c}").alias(c) for c in PARSED.names))
     return out.withColumns({"email": email(F.col("visible")), "phone": phone(F.col("visible"))})
 
 
-def waterfall(pages: DataFrame) -> DataFrame:
-    """``page_id, method, confidence`` and the record of the first way that passes its gate: JSON-LD, meta, rendered."""
-    f = fields(pages)
+#: How a page was fetched, where ``pages`` says nothing of it: answered, and rendered without trouble.
+FETCHED = {"status": "cast(200 as int)", "error": "cast(null as string)", "render_status": "cast(200 as int)", "render_error": "cast(null as string)"}
+
+
+def attempted(pages: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """One scrape of each page of ``pages(page_id, url, html)``: ``success, method, confidence, error_message`` and the record.
+
+    Tried in order: JSON-LD and meta elements of the answer, each behind its gate, then the rendered page. ``status`` and
+    ``error`` tell how the plain request went, ``render_status`` and ``render_error`` the rendering. A renderer that
+    cannot start on its platform is stood in for by the plain answer, at 0.8 of the confidence. ``kept``: other columns to
+    give back.
+    """
+    rows = pages.withColumns({c: F.expr(e) for c, e in FETCHED.items() if c not in pages.columns})
+    answered = F.coalesce(F.col("error").isNull() & (F.col("status") == 200) & F.col("html").isNotNull(), F.lit(False))
+    f = fields(rows.withColumn("answered", answered))
+    stand_in = F.coalesce(F.col("render_error").contains("NotImplementedError") | F.lower("render_error").contains("subprocess"), F.lit(False))
+    rendered = F.coalesce(F.col("render_error").isNull() & (F.col("render_status") == 200) & F.col("html").isNotNull(), F.lit(False))
+    plain = F.substring("body_text", 1, 8000)
+    f = f.withColumns({"plain_email": email(plain), "plain_phone": phone(plain), "stand_in": stand_in, "rendered": rendered})
+    og = F.element_at("og", "og_description")
+    seen = lambda mail, call: rendered_confidence(F.col("title"), F.col("description"), og, F.col(mail), F.col(call), F.col("plain_links"), F.col("company"))
     f = f.withColumns({
-        "c1": F.when(F.col("ld.ok"), jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)),
-        "c2": meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links")),
-        "c3": rendered_confidence(F.col("title"), F.col("description"), F.element_at("og", "og_description"), F.col("email"), F.col("phone"), F.col("plain_links"), F.col("company")),
+        "c1": F.when(F.col("answered") & F.col("ld.ok"), jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)),
+        "c2": F.when(F.col("answered"), meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links"))).otherwise(F.lit(0.0)),
+        "c3": F.when(F.col("rendered"), seen("email", "phone")).otherwise(F.lit(0.0)),
+        "c4": F.when(F.col("answered"), seen("plain_email", "plain_phone") * 0.8).otherwise(F.lit(0.0)),
     })
-    method = F.when(F.col("ld.ok") & (F.col("c1") > fixed.GATE_STRUCTURED), F.lit("json_ld")).when(F.col("c2") > fixed.GATE_META, F.lit("structured_data")).otherwise(F.lit("playwright"))
+    last = F.when(F.col("stand_in"), F.lit("requests")).otherwise(F.lit("playwright"))
+    method = F.when(F.col("c1") > fixed.GATE_STRUCTURED, F.lit("json_ld")).when(F.col("c2") > fixed.GATE_META, F.lit("structured_data")).otherwise(last)
     f = f.withColumn("method", method)
-    of = lambda one, two, three: F.when(F.col("method") == "json_ld", one).when(F.col("method") == "structured_data", two).otherwise(three)
-    none = F.lit(None).cast("string")
-    ld = lambda k: F.element_at("ld.data", k)
-    og = F.element_at("og", "og_description")
+    success = F.when(F.col("method") == "requests", F.col("answered")).when(F.col("method") == "playwright", F.col("rendered")).otherwise(F.lit(True))
+    http = lambda c: F.concat(F.lit("HTTP "), F.col(c).cast("string"))
+    no_answer = F.coalesce(F.col("error"), F.when(F.col("status") != 200, http("status")), F.lit("no answer"))
+    no_page = F.coalesce(F.col("render_error"), F.when(F.col("render_status") != 200, http("render_status")), F.lit("no answer"))
+    f = f.withColumns({"success": success, "why": F.when(~success, F.when(F.col("method") == "requests", no_answer).otherwise(no_page))})
+    of = lambda ld, meta, rendered, plain: F.when(~F.col("success"), F.lit(None)).when(F.col("method") == "json_ld", ld).when(F.col("method") == "structured_data", meta).when(F.col("method") == "requests", plain).otherwise(rendered)
+    none, never = F.lit(None).cast("string"), F.lit(False)
+    ld, has = lambda k: F.element_at("ld.data", k), lambda k: F.map_contains_key("ld.data", k)
     in_linked = lambda c: F.get(F.filter(c, lambda x: x.contains("linkedin.com")), F.lit(0))
+    titled, told, og_told = F.col("title").isNotNull(), F.col("description").isNotNull(), F.map_contains_key("og", "og_description")
+    text = of(F.coalesce(*(F.when(has(k), F.coalesce(ld(k), F.lit(""))) for k in ("text_content", "description", "og_description", "title"))), F.coalesce("description", og, "title"), F.col("visible"), plain)
     return f.select(
-        "page_id", "url", "method", of(F.col("c1"), F.col("c2"), F.col("c3")).alias("confidence"),
-        of(ld("title"), F.col("title"), F.col("title")).alias("title"),
-        of(ld("description"), F.col("description"), none).alias("description"),
-        of(ld("og_description"), og, og).alias("og_description"),
-        of(F.map_contains_key("ld.data", "og_description"), F.map_contains_key("og", "og_description"), F.lit(True)).alias("has_og_description"),
-        of(ld("email"), none, F.col("email")).alias("email"),
-        of(ld("phone"), none, F.col("phone")).alias("phone"),
-        F.concat_ws(" ", F.coalesce(*(F.nullif(c, F.lit("")) for c in (of(none, none, F.col("visible")), of(ld("description"), F.col("description"), none), of(ld("og_description"), og, og), of(ld("title"), F.col("title"), F.col("title"))))), of(none, none, F.col("ld.shown"))).alias("said"),
-        of(none, in_linked(F.col("links")), in_linked(F.col("plain_links"))).alias("linkedin_url"),
+        "page_id", "url", *(kept or []), "success", F.col("method").alias("scraping_method"), F.coalesce(of(F.col("c1"), F.col("c2"), F.col("c3"), F.col("c4")), F.lit(0.0)).alias("scraping_confidence"), F.col("why").alias("error_message"),
+        of(ld("title"), F.col("title"), F.col("title"), F.col("title")).alias("title"), of(has("title"), titled, F.lit(True), titled).alias("has_title"),
+        of(ld("description"), F.col("description"), none, none).alias("description"), of(has("description"), told, never, never).alias("has_description"),
+        of(ld("og_description"), og, og, og).alias("og_description"), of(has("og_description"), og_told, F.lit(True), og_told).alias("has_og_description"),
+        of(ld("email"), none, F.col("email"), F.col("plain_email")).alias("email"), of(has("email"), never, F.lit(True), F.col("plain_email").isNotNull()).alias("has_email"),
+        of(ld("phone"), none, F.col("phone"), F.col("plain_phone")).alias("phone"), of(has("phone"), never, F.lit(True), F.col("plain_phone").isNotNull()).alias("has_phone"),
+        text.alias("text"), of(none, none, F.col("ld.shown"), F.col("ld.shown")).alias("shown"),
+        of(none, in_linked(F.col("links")), in_linked(F.col("plain_links")), in_linked(F.col("plain_links"))).alias("linkedin_url"),
     )
+
+
+def analysis_text(company: Column, about: Column, text: Column, shown: Column) -> Column:
+    """What is inferred from, parts with nothing to say left out."""
+    return F.concat_ws(" ", F.concat(F.lit("Company: "), F.nullif(company, F.lit(""))), F.nullif(about, F.lit("")), text, shown)

@@ -131,3 +131,35 @@ def log_event(kind: str, *columns: str) -> Column:
 def requests(boxes: DataFrame, column: str = "urls") -> DataFrame:
     """A row for each non-blank line of a text box; repeats stay."""
     return boxes.withColumn("url", F.explode(F.split(column, "\n"))).withColumn("url", F.trim("url")).filter("url <> ''").drop(column)
+
+
+def public_users(users: DataFrame) -> DataFrame:
+    """Users as others may see them."""
+    return users.drop("hashed_password")
+
+
+def usable_key() -> Column:
+    return F.col("is_active") & ~F.col("is_revoked")
+
+
+def new_leads(wanted: DataFrame) -> DataFrame:
+    """``wanted(website, organization_id, owner_id, ...)`` as rows to append, with what a lead begins with."""
+    return wanted.withColumns({
+        "score": F.lit(0.0), "qualification_label": F.lit("Low Priority"), "scrape_confidence": F.lit(0.0), "email_confidence": F.lit(0.0), "enrichment_confidence": F.lit(0.0),
+        "enrichment_source": F.lit("none"), "email_source": F.lit("none"), "scrape_source": F.lit("none"), "outreach_sent": F.lit(False), "is_active": F.lit(True), "is_verified": F.lit(False),
+    })
+
+
+def new_subscriptions(wanted: DataFrame) -> DataFrame:
+    """``wanted(organization_id, stripe_subscription_id, plan_name)`` as rows to append."""
+    return wanted.withColumns({"status": F.lit("active"), "cancel_at_period_end": F.lit(False)})
+
+
+def exportable(leads: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Leads of the organizations that may export."""
+    return leads.join(organizations.select(F.col("id").alias("organization_id")), "organization_id", "left_semi")
+
+
+def export(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """Writes rows as ``csv`` (with a header), ``json``, ``parquet`` or ``orc``, in as many files as there are partitions."""
+    rows.write.options(**({"header": "true"} if kind == "csv" else {})).format(kind).save(path)

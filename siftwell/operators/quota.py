@@ -114,28 +114,36 @@ def plan_of_price(price: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def folded(events: DataFrame) -> DataFrame:
+def folded(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """State of each organization's subscription after all billing events in order.
 
     ``events(event_id, at, organization_id, kind, price, status, at_period_end)``. A creation makes or changes the row; an
     update changes it if it is there; a deletion cancels it if it is there; payments change nothing; organization 0
-    or null is skipped. What an event sees depends on the creation before it, so one window finds the first creation
-    and the last values after it.
+    or null is skipped. ``existing(organization_id, plan_name, status, cancel_at_period_end)``: rows that were there
+    before, one for each organization; those without events are given back as they are. What an event sees depends on
+    whether there was a row or a creation before it, so one window finds that and the last values after it.
     """
     rows = events.filter("coalesce(organization_id, 0) <> 0 and kind in ('created', 'updated', 'deleted')")
+    if existing is None:
+        held = rows.select("organization_id", F.lit(None).cast("string").alias("_p"), F.lit(None).cast("string").alias("_s"), F.lit(None).cast("boolean").alias("_f")).limit(0)
+    else:
+        held = existing.select("organization_id", F.col("plan_name").alias("_p"), F.col("status").alias("_s"), F.col("cancel_at_period_end").alias("_f"))
     w = Window.partitionBy("organization_id").orderBy("at", "event_id")
-    begun = F.max((F.col("kind") == "created").cast("int")).over(w)
+    rows = rows.join(held.select("organization_id", F.lit(True).alias("_held")), "organization_id", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
+    begun = F.max((F.col("_held") | (F.col("kind") == "created")).cast("int")).over(w)
     rows = rows.withColumn("_begun", begun).filter("_begun = 1").withColumn("_place", F.row_number().over(w))
     plan = F.when(F.col("kind") != "deleted", plan_of_price(F.col("price")))
     # the row that a first creation makes is active, whatever the event says
-    status = F.when(F.col("kind") == "deleted", F.lit("canceled")).when(F.col("_place") == 1, F.lit("active")).otherwise(F.col("status"))
+    made = (F.col("_place") == 1) & ~F.col("_held")
+    status = F.when(F.col("kind") == "deleted", F.lit("canceled")).when(made, F.lit("active")).otherwise(F.col("status"))
     flag = F.when(F.col("kind") == "updated", F.coalesce("at_period_end", F.lit(False)))
     rows = rows.select("organization_id", "_place", plan.alias("_plan"), status.alias("_status"), flag.alias("_flag"))
-    return rows.groupBy("organization_id").agg(
-        F.max_by("_plan", F.when(F.col("_plan").isNotNull(), F.col("_place"))).alias("plan_name"),
-        F.max_by("_status", "_place").alias("status"),
-        F.coalesce(F.max_by("_flag", F.when(F.col("_flag").isNotNull(), F.col("_place"))), F.lit(False)).alias("cancel_at_period_end"),
+    last = rows.groupBy("organization_id").agg(
+        F.max_by("_plan", F.when(F.col("_plan").isNotNull(), F.col("_place"))).alias("_plan"),
+        F.max_by("_status", "_place").alias("_status"),
+        F.max_by("_flag", F.when(F.col("_flag").isNotNull(), F.col("_place"))).alias("_flag"),
     )
+    return last.join(held, "organization_id", "full").select("organization_id", F.coalesce("_plan", "_p").alias("plan_name"), F.coalesce("_status", "_s").alias("status"), F.coalesce("_flag", "_f", F.lit(False)).alias("cancel_at_period_end"))
 
 
 def drift(organizations: DataFrame, subscriptions: DataFrame, tier: Column) -> DataFrame:

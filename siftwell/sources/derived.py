@@ -46,7 +46,7 @@ select event_id as id, event_id % 1500 as lead_id,
 from events
 """,
     "lead_text": """
-select doc_id as id, concat('Company: C', cast(doc_id as varchar(20)), ' ', substr(text, 1, 120), ' ',
+select doc_id as id, concat('Company: C', cast(doc_id as varchar(20)), ' ', text, ' ',
   case doc_id % 11 when 0 then 'Cloud software platform' when 1 then 'Advisory and strategy consulting' when 2 then 'Online shop and marketplace'
     when 3 then 'Fintech payment' when 4 then 'Medical clinic' when 5 then 'Advertising campaign' when 6 then 'University course'
     when 7 then 'Property and housing' when 8 then 'Hotel booking' when 9 then 'Cafe catering' else '' end, ' ',
@@ -68,8 +68,23 @@ select page_id, url, concat('<html><head><title> Acme ', cast(page_id as varchar
 from pages
 """,
 }
-#: The same over whole texts; ``lead_text`` stays as FIXTURES.md has it.
-VIEWS["lead_text_whole"] = VIEWS["lead_text"].replace("substr(text, 1, 120)", "text")
+#: How pages were fetched: some not answered, some not rendered, some by a renderer that cannot start.
+VIEWS["fetches"] = f"""
+select page_id, url, html, cast(case page_id % 9 when 4 then 404 when 7 then 503 when 5 then null else 200 end as int) as status,
+  case when page_id % 9 = 5 then 'timed out' end as error,
+  cast(case page_id % 8 when 3 then 500 when 1 then null when 7 then null when 4 then null else 200 end as int) as render_status,
+  case page_id % 8 when 1 then 'Browser launch failed: NotImplementedError' when 7 then 'no Subprocess here' when 4 then 'crashed' end as render_error
+from ({VIEWS["pages_rich"].strip()}) p
+"""
+#: Users, keys and requests shaped like the application's.
+VIEWS["users"] = """
+select c_custkey as id, concat('user', cast(c_custkey % 400 as varchar(20)), '@c', cast(c_custkey as varchar(20)), '.example.com') as email, concat('hash', cast(c_custkey as varchar(20))) as hashed_password,
+  c_name as first_name, c_mktsegment as last_name, c_acctbal >= 0 as is_active, c_nationkey % 2 = 0 as is_verified, c_custkey as organization_id
+from customer
+"""
+VIEWS["api_keys"] = """
+select s_suppkey as id, s_suppkey % 50 as organization_id, concat('sk_', substr(s_name, 10, 5)) as key_prefix, s_acctbal >= 0 as is_active, s_nationkey % 7 = 0 as is_revoked, s_name as name from supplier
+"""
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,21 +1,24 @@
-"""The same work on streams: micro-batches of pages, windows of daily usage, leads counted once."""
+"""The same work on streams: micro-batches of pages, windows of daily usage, leads counted once, retries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftwell.plans.process import processed
+from siftwell.plans.process import processed, write
 
 
 def process_stream(pages: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
-    """Processes a stream of pages; a batch that is run again overwrites its own folder, so nothing is doubled."""
+    """Processes a stream of pages into leads and logs; a batch that is run again overwrites its own folder, so nothing is doubled."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        processed(batch, **options).withColumn("batch_id", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def process(batch: DataFrame, number: int) -> None:
+        write(processed(batch, **options), f"{out}/batch={number}", "overwrite")
 
-    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_usage_stream(leads: DataFrame, late: str = "1 day") -> DataFrame:
@@ -23,3 +26,41 @@ def daily_usage_stream(leads: DataFrame, late: str = "1 day") -> DataFrame:
     once = leads.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
     n = once.groupBy(F.window("created_at", "1 day").alias("w"), "organization_id").agg(F.count("*").alias("n"))
     return n.select("organization_id", F.to_date("w.start").alias("day"), "n")
+
+
+#: Failures in a row after which a lead is tried again, and seconds until then.
+RETRIES, DELAY = 3, 60
+
+
+def retries(attempts: DataFrame) -> DataFrame:
+    """``lead_id, id, failures, action, at`` for ``attempts(id, lead_id, success, created_at)``: what follows each.
+
+    ``done`` after a success; after a failure ``retry``, at the time given, or ``failed`` once RETRIES were in vain.
+    """
+    w = Window.partitionBy("lead_id").orderBy("created_at", "id")
+    ok = F.col("success").cast("int")
+    rows = attempts.withColumn("_done", F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)) - ok)  # successes before
+    n = F.sum((~F.col("success")).cast("int")).over(Window.partitionBy("lead_id", "_done").orderBy("created_at", "id"))
+    rows = rows.withColumn("failures", n.cast("int"))
+    action = F.when(F.col("success"), "done").when(F.col("failures") <= RETRIES, "retry").otherwise("failed")
+    rows = rows.withColumn("action", action)
+    return rows.select("lead_id", "id", "failures", "action", F.when(F.col("action") == "retry", F.col("created_at") + F.expr(f"interval {DELAY} seconds")).alias("at"))
+
+
+def retry_stream(attempts: DataFrame) -> DataFrame:
+    """``retries`` on a stream: the failures in a row of each lead are the state."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(["created_at", "id"])  # a lead's attempts within a micro-batch
+        out = []
+        for r in rows.itertuples():
+            failures = n if r.success else n + 1
+            action = "done" if r.success else "retry" if failures <= RETRIES else "failed"
+            out.append((key[0], r.id, failures, action, r.created_at + pd.Timedelta(seconds=DELAY) if action == "retry" else None))
+            n = 0 if r.success else failures
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["lead_id", "id", "failures", "action", "at"])
+
+    schema = f"lead_id {dict(attempts.dtypes)['lead_id']}, id {dict(attempts.dtypes)['id']}, failures int, action string, at {dict(attempts.dtypes)['created_at']}"
+    return attempts.groupBy("lead_id").applyInPandasWithState(follow, schema, "failures int", "append", "NoTimeout")

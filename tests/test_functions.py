@@ -70,6 +70,47 @@ def pages(spark, *html, url="https://www.acme.co.uk:80/p?q"):
     return spark.createDataFrame([(i, url, h) for i, h in enumerate(html)], "page_id int, url string, html string")
 
 
+def test_entities_and_links_as_browsers_see_them(spark):
+    """Expected by hand: named and numbered entities, unquoted and quoted attributes, comments, schemes."""
+    html = """<title>Caf&eacute; &#8217;A&apos; &mdash; B</title><meta name=description content=x&amp;y><meta content="it's" property='og:a'><meta property="og:" content="no">
+    <!-- <a href="http://hidden">h</a> --><script>var a = '<a href="http://script">s</a>'</script>
+    <body><a href=https://plain.example/a?b=1&amp;c=2>1</a><a href="httpdocs/x">2</a><a HREF='/o"k'>3</a><a href="/it's">4</a><a href="../up">5</a><a href="/a/../b">6</a><a name=x>7</a> caf&#233; &lt;b&gt;</body>"""
+    r = extract.fields(pages(spark, html)).first()
+    assert (r.title, r.description, r.og) == ("Caf\u00e9 \u2019A' \u2014 B", "x&y", {"og_a": "it's"})
+    assert r.links == ["https://plain.example/a?b=1&c=2", 'https://www.acme.co.uk:80/o"k', "https://www.acme.co.uk:80/it's", "https://www.acme.co.uk:80/b"]
+    assert r.plain_links == r.links[:1] and "caf\u00e9 <b>" in r.visible and "script" not in r.body_text
+
+
+def test_attempts(spark):
+    """How a page was fetched decides what it gives: by hand, one row a case."""
+    good, bare = PAGE.format(""), "<p>mail a@b.co</p>"
+    rows = [
+        (0, good, 200, None, 200, None), (1, bare, 404, None, 200, None), (2, bare, 503, None, 404, None), (3, bare, None, "timed out", None, "crashed"),
+        (4, bare, 200, None, None, "x NotImplementedError"), (5, bare, 500, None, None, "SubProcess"), (6, None, 200, None, 200, None), (7, f"<body>{bare}", 200, None, None, "a subprocess died"),
+    ]
+    df = spark.createDataFrame(rows, "page_id int, html string, status int, error string, render_status int, render_error string").withColumn("url", F.lit("https://www.acme.example/"))
+    got = {r.page_id: (r.success, r.scraping_method, round(r.scraping_confidence, 9), r.error_message, r.email) for r in extract.attempted(df).collect()}
+    assert got == {
+        0: (True, "structured_data", 0.9, None, None), 1: (True, "playwright", 0.6, None, "a@b.co"), 2: (False, "playwright", 0.0, "HTTP 404", None), 3: (False, "playwright", 0.0, "crashed", None),
+        4: (True, "requests", 0.32, None, None), 5: (False, "requests", 0.0, "HTTP 500", None), 6: (False, "playwright", 0.0, "no answer", None), 7: (True, "requests", 0.48, None, "a@b.co"),
+    }
+
+
+def test_tiers_of_enrichment(spark):
+    """Each tier behind its gate; later ones see only what earlier ones leave, the model 2000 characters of it."""
+    sure = F.udf(lambda t: None if t is None else ("Travel", None, None, None, None, None, 0.6 if "low" in t else 0.61), "industry string, employees string, revenue_band string, contact_name string, contact_title string, founded_year int, confidence double")
+    told = F.udf(lambda t: None if t is None or "mute" in t else (None, None, None, str(len(t)), None, None), "industry string, employees string, revenue_band string, contact_name string, contact_title string, founded_year int")
+    rows = texts(spark, "Cafe 57 employees CEO Jane Doe since 1998", "nothing", "low " + "x" * 3000, "low mute", None)
+    got = [(r.method, r.industry, r.contact_name, r.confidence) for r in enrich.waterfall(rows, external=sure, model=told).orderBy("id").collect()]
+    assert got == [("heuristic", "Food & Beverage", "Jane Doe", 0.9), ("external_api", "Travel", None, 0.61), ("llm", None, "2000", 0.6), (None, None, None, None), (None, None, None, None)]
+
+
+def test_patterns_are_matched_once(spark):
+    """The plan has each pattern once and lower-cases the text once."""
+    plan = enrich.waterfall(texts(spark, "a").withColumn("text", F.concat("text", F.lit("x"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == sum(map(len, enrich.PATTERNS.values())) and plan.count("lower(") == 1
+
+
 def test_extraction(spark):
     r = extract.fields(pages(spark, PAGE.format(""))).first()
     assert (r.title, r.description, r.og, r.twitter, r.company) == ("Acme & Co", "d1", {"og_title": "two"}, {}, "acme")
@@ -85,7 +126,7 @@ def test_waterfall_picks_one_way(spark):
     nested = ld.format('{"name":"n","description":"d","url":"u","address":{"street":"s"}}')
     only_titles = '<title>t</title><meta property="og:title" content="x">'
     html = [PAGE.format(full), PAGE.format(nested), PAGE.format(full + ld.format("")), only_titles, '<title>t</title><meta name="description" content="x">', "<p>nothing</p>"]
-    got = [(r.method, round(r.confidence, 9)) for r in extract.waterfall(pages(spark, *html)).orderBy("page_id").collect()]
+    got = [(r.scraping_method, round(r.scraping_confidence, 9)) for r in extract.attempted(pages(spark, *html)).orderBy("page_id").collect()]
     assert [m for m, _ in got] == ["json_ld", "structured_data", "structured_data", "playwright", "structured_data", "playwright"]
     assert all(0 <= c <= 1 for _, c in got)
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from siftwell.operators import leads, quota
 from siftwell.plans import catalogue, process
+import web_fixture
+from siftwell.functions import extract
+from siftwell.sources import web
 from siftwell.sources.derived import RAW, view
-from siftwell.streaming.leads import daily_usage_stream, process_stream
+from siftwell.streaming.leads import daily_usage_stream, process_stream, retries, retry_stream
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -50,10 +53,10 @@ def test_entry(spark):
 
 
 def test_inference_sees_whole_texts(spark, tmp_path):
-    """What stands beyond the first 120 characters of a document counts in the whole forms."""
+    """What stands far beyond the beginning of a document counts."""
     text = "word " * 5000 + "We are an airline with a vacation flight program. 77 staff. President Ann Lee. Incorporated in 1977"
     spark.createDataFrame([(5 * 88 * 3 - 1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {n: catalogue.QUERIES[f"{n}_whole"](spark, str(tmp_path)).first()[1] for n in ("infer_industry", "estimate_employees", "extract_contact_name", "extract_contact_title", "extract_founded_year")}
+    found = {n: catalogue.QUERIES[n](spark, str(tmp_path)).first()[1] for n in ("infer_industry", "estimate_employees", "extract_contact_name", "extract_contact_title", "extract_founded_year")}
     assert found == {"infer_industry": "Travel", "estimate_employees": "51-200", "extract_contact_name": "Ann Lee", "extract_contact_title": "President", "extract_founded_year": 1977}
 
 
@@ -76,7 +79,11 @@ def test_streams_equal_batches(spark, tmp_path):
     pages.repartition(4).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     process_stream(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").drop("batch_id", "batch")
+    folders = sorted((tmp_path / "out").iterdir())
+    assert all({p.name for p in f.iterdir() if p.is_dir()} == {"leads", "scraping_logs", "enrichment_logs"} for f in folders)
+    got = spark.read.parquet(*(f"{f}/leads" for f in folders))
+    logs = spark.read.parquet(*(f"{f}/scraping_logs" for f in folders))
+    assert logs.count() == got.count() and spark.read.parquet(*(f"{f}/enrichment_logs" for f in folders)).count() == got.filter("enrichment_success").count()
     want = process.processed(pages)
     assert got.count() == want.count() and want.select(*got.columns).exceptAll(got).count() == 0
 
@@ -92,6 +99,43 @@ def test_streams_equal_batches(spark, tmp_path):
     assert closed and all(streamed.get(k) == n for k, n in closed.items())
 
 
+def test_retries_on_a_stream_equal_the_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 7, i % 7 != 0 and i % 3 == 0, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i)) for i in range(60)], "id long, lead_id int, success boolean, created_at timestamp")
+    for k in range(3):  # a file a micro-batch, in order of time
+        rows.filter(f"id div 20 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = retry_stream(source).writeStream.format("memory").queryName("retries").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = sorted(map(tuple, retries(rows).collect()), key=str)
+    assert sorted(map(tuple, spark.table("retries").select("lead_id", "id", "failures", "action", "at").collect()), key=str) == want
+    assert {r[3] for r in want} == {"done", "retry", "failed"}
+
+
+def test_web_pages(spark):
+    spark.sparkContext.addPyFile(web_fixture.__file__)
+    web.register(spark)
+    df = spark.read.format("web_pages").option("urls", " https://a.example \n\nhttps://bad.example\nhttps://c.example").option("fetch", "web_fixture:fetch").option("slices", "2").load()
+    got = {r.url: (r.status, r.html, r.error) for r in df.collect()}
+    assert got == {"https://a.example": (200, "<title>https://a.example</title>", None), "https://bad.example": (None, None, "refused"), "https://c.example": (200, "<title>https://c.example</title>", None)}
+    asked = spark.createDataFrame([(7, "https://a.example"), (8, "https://bad.example")], "page_id int, url string")
+    rows = {r.page_id: (r.success, r.title, r.error_message) for r in extract.attempted(web.fetched_pages(asked, web_fixture.fetch)).collect()}
+    assert rows == {7: (True, "https://a.example", None), 8: (False, None, "no answer")}
+
+
+def test_export(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b"), (2, None)], "id int, name string")
+    for kind in ("csv", "json", "parquet", "orc"):
+        leads.export(rows, f"{tmp_path}/{kind}", kind)
+        back = spark.read.format(kind).schema(rows.schema).options(header="true").load(f"{tmp_path}/{kind}")
+        assert sorted(map(tuple, back.collect())) == [(1, "a,b"), (2, None)]
+
+
+def test_leads_that_are_missing_or_not_fetched(spark):
+    got = {r.lead_id: r for r in process.results(catalogue.of_requests(catalogue.Tables(spark, SF))).collect()}
+    assert (got[-1].status, got[-1].error) == ("error", "Lead -1 not found") and got[-1].scraping_success is None
+    assert got[2].status == "success" and {r.scraping_success for r in got.values()} == {True, False, None}
+
+
 def test_admission(spark):
     usage = spark.createDataFrame([(1, 10, 8, 2), (2, 10, 10, 0)], "organization_id int, max_leads_per_day int, current_usage int, remaining_daily_leads int")
     batches = spark.createDataFrame([(1, 1, 3), (2, 2, 1), (3, 1, 0), (4, 9, 10), (5, 9, 1)], "batch_id int, organization_id int, n int")
