@@ -6,7 +6,8 @@ totals (one number each) are summed up on the driver. Pass two adds them, cuts a
 returns a row for each piece: a document that crosses a cut has one on each side. Only the last sequence is padded.
 
 Nulls, ties, repeats: a null text is empty (one separator); a null ``doc_id`` stays null; repeated rows are packed
-each; an empty table gives no rows; other columns are ignored.
+each; an empty table gives no rows; other columns are ignored; a very long text is cut at as many sequences as it fills.
+No order is asked of documents, so there are no ties: they follow each other as they were written.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """``part, first, doc_id, n, ids``: ids of each document with ``end_id`` after them; ``first``: tokens before it in its part."""
 
     def encode(batches):
-        e, part, done = tokens.encoder(tokenizer_path, True), TaskContext.get().partitionId(), 0
+        e, part, done = tokens.encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = e.value([end_id])
         for b in common.pieces(batches, "text", 4 << 20, True):
             ids = [x + end for x in e.of(common.texts_of(b))]
@@ -43,7 +44,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer_path: str, width: int = 2048, end_id: int = 1) -> DataFrame:
     """The pieces of all documents, see PIECES; ``with_ids`` in ``cut`` adds their ids."""
-    return cut(encoded(docs, tokenizer_path, end_id), f"<u{tokens.encoder(tokenizer_path, True).width}", width)
+    return cut(encoded(docs, tokenizer_path, end_id), f"<u{tokens.encoder(tokenizer_path).width}", width)
 
 
 def cut(ids: DataFrame, kind: str, width: int, with_ids: bool = False) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Normalised content and the tokenizer's file are reduced to digests; a cache table maps both to a count.
 Contents that the cache lacks are encoded once each and appended, so a later run over mostly known texts
-encodes only what is new. Only ids and digests are grouped; texts are shuffled once, by document.
+encodes only what is new. Only ids and digests are grouped; the texts of misses are shuffled once, by document, and
+none where nothing is missing. A content that a third of all rows have meets its count dealt out over many tasks.
 
 Nulls, ties, repeats: a null text is empty (0 bytes, 0 tokens); a null ``doc_id`` stays null; repeated rows
-each give a row; an empty table gives no rows; other columns of the input are ignored.
+each give a row; an empty table gives no rows; other columns of the input are ignored; a very long text is encoded whole.
 """
 
 from __future__ import annotations
@@ -21,24 +22,24 @@ CACHE = T.StructType([T.StructField("tokenizer", T.StringType()), T.StructField(
 
 
 def normalised(text):
-    """Runs of blank, tab, line feed and carriage return as one blank: this tokenizer drops white space, so counts stay."""
+    """Runs of blank, tab, line feed and carriage return as one blank, for tokenizers that drop white space, so counts stay."""
     return F.regexp_replace(text, "[ \\t\\r\\n]+", " ")
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, spaced: bool = False, limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of ``docs``; what was not in the cache is appended to it.
 
-    ``spaced``: the tokenizer keeps white space; content is then not normalised. The cache is a Parquet folder;
-    a missing one is an empty one.
+    Content is normalised only where the tokenizer is known to drop white space. The cache is a Parquet folder; a missing
+    one is an empty one.
     """
     spark = docs.sparkSession
-    version = tokens.version(tokenizer_path)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    version, drops = tokens.version(tokenizer_path), tokens.cuts(tokenizer_path) == "words"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("owner"),
         F.octet_length(text).cast("long").alias("n_bytes"),
-        common.digest(text if spaced else normalised(text)).alias("content"),
+        common.digest(normalised(text) if drops else text).alias("content"),
         text.alias("text"),
     )
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
@@ -47,15 +48,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, spaced:
     misses = rows.select("owner", "content", "text").join(first.hint("shuffle_hash"), ["owner", "content"], "left_semi")
 
     def count(batches):
-        c = tokens.counter(tokenizer_path, spaced)
+        c, seen = tokens.counter(tokenizer_path), set()  # rows that agree in owner and content lie in one partition
         for b in batches:
-            for p in common.pieces([b], "text", 4 << 20, True):
+            content = b.column("content").to_pylist()
+            fresh = [i for i, x in enumerate(content) if not (x in seen or seen.add(x))]
+            for p in common.pieces([b.take(pa.array(fresh, pa.int64()))], "text", 4 << 20, True):
                 yield pa.RecordBatch.from_arrays([p.column("content"), pa.array(c.of(common.texts_of(p)), pa.int64())], ["content", "n_tokens"])
 
-    new = misses.select("content", "text").mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
+    if not first.isEmpty():
+        new = misses.select("content", "text").mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keys.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return common.met(keys, counts, "content", "owner").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def read_cache(spark, path: str) -> DataFrame:

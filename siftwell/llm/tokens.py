@@ -1,14 +1,15 @@
 """Token ids and counts of a public tokenizer, with a bounded memory of the chunks already encoded.
 
-Both vocabularies used here split text before they merge, and no token crosses the cuts made below,
-so the ids of a text are those of its chunks, one after another. Texts with characters for which that
-is not certain (white space beyond blank, tab, line feed and carriage return; special strings) are
-encoded whole.
+Tokenizers that split text before they merge by one of the two patterns in CUTS have no token across the
+cuts made below, so the ids of a text are those of its chunks, one after another. Texts with characters
+for which that is not certain (white space beyond blank, tab, line feed and carriage return; special
+strings) are encoded whole, and so are all texts with any other tokenizer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -27,6 +28,25 @@ SPACED = re.compile(" ?" + LETTERS + r"| ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[
 RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 
 
+#: How a tokenizer's file normalises and splits where the cuts hold.
+CUTS = {
+    "spaced": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+}
+
+
+@lru_cache(4)
+def cuts(path: str) -> str | None:
+    """Which of CUTS a tokenizer's file has; none: nothing is known of it."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    special = all(x["content"].startswith("<|") for x in whole.get("added_tokens") or [])
+    return next((k for k, v in CUTS.items() if special and (whole.get("normalizer"), whole.get("pre_tokenizer")) == v), None)
+
+
 @lru_cache(4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,10 +73,10 @@ def odd(text: str) -> bool:
 
 
 class Encoder:
-    """Ids of texts as arrays of ``width`` bytes each. ``spaced``: the vocabulary's tokens carry the blank before a word."""
+    """Ids of texts as arrays of ``width`` bytes each."""
 
-    def __init__(self, path: str, spaced: bool):
-        self.t, self.find = tokenizer(path), (SPACED if spaced else WORDS).findall
+    def __init__(self, path: str):
+        self.t, self.find = tokenizer(path), {"spaced": SPACED.findall, "words": WORDS.findall, None: None}[cuts(path)]
         self.known: dict = {}
         self.older: dict = {}
         self.width = 2 if self.t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -89,7 +109,7 @@ class Encoder:
     def of(self, texts: list[str]) -> list:
         """The value of each text, from those of its chunks."""
         out: list = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if odd(x)]
+        whole = [i for i, x in enumerate(texts) if self.find is None or odd(x)]
         for i, e in zip(whole, self.t.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = self.value(e.ids)
         plain = [i for i in range(len(texts)) if out[i] is None]
@@ -112,10 +132,10 @@ class Counter(Encoder):
 
 
 @lru_cache(4)
-def encoder(path: str, spaced: bool) -> Encoder:
-    return Encoder(path, spaced)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(4)
-def counter(path: str, spaced: bool) -> Counter:
-    return Counter(path, spaced)
+def counter(path: str) -> Counter:
+    return Counter(path)

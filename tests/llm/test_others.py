@@ -1,5 +1,6 @@
 """Counting, packing, search and classifiers: brute force, round trips, held-out accuracy, awkward rows."""
 
+import json
 import time
 import zlib
 
@@ -28,8 +29,21 @@ def test_token_counts_and_cache(spark, docs, rows, empty):
 
 @pytest.mark.parametrize("text", ["aµb", "don't we'll THEY'RE 's", "x\n\n y  z\t\tq \n", "foo123 bar_baz <|endoftext|> q", "İstanbul. ΑΣ. é.x", "a\xa0b", "½ ²x abc½", "   lead", "trail   ", "\n", "", "中文,abc"])
 def test_chunks_give_the_ids_of_the_whole(text):
-    assert list(memoryview(tokens.encoder(BYTE, True).of([text])[0]).cast("H")) == tokens.tokenizer(BYTE).encode(text, add_special_tokens=False).ids
-    assert tokens.counter(WORD, False).of([text])[0] == len(tokens.tokenizer(WORD).encode(text, add_special_tokens=False).ids)
+    assert list(memoryview(tokens.encoder(BYTE).of([text])[0]).cast("H")) == tokens.tokenizer(BYTE).encode(text, add_special_tokens=False).ids
+    assert tokens.counter(WORD).of([text])[0] == len(tokens.tokenizer(WORD).encode(text, add_special_tokens=False).ids)
+
+
+def test_other_tokenizers_encode_whole_texts(spark, docs, rows, tmp_path):
+    """A file with another way to split: nothing is assumed of it, and white space counts."""
+    whole = json.load(open(BYTE))
+    whole["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": False}
+    path = str(tmp_path / "other.json")
+    json.dump(whole, open(path, "w"))
+    t = Tokenizer.from_file(path)
+    assert tokens.cuts(path) is None and tokens.cuts(BYTE) == "spaced" and tokens.cuts(WORD) == "words"
+    some = docs.filter("length(text) < 500")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in token_counts.token_counts(some, path, common.shared_dir(spark, "cache")).collect())
+    assert got == sorted((r[0] is None, r[0] or 0, len(t.encode(r[1], add_special_tokens=False).ids)) for r in rows if r[1] is not None and len(r[1]) < 500)
 
 
 def test_packing_round_trip(docs, rows, empty):
