@@ -5,8 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import ann, common, decontamination, language, packing, quality, simhash, substring, suffixes, token_counts, toxicity
 
 
@@ -51,5 +49,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id, "pipeline": corpus_pipeline.run}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_decontamination": decontamination.SQL}

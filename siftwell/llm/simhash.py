@@ -4,11 +4,13 @@ Fingerprints are compared 64 at a time: bit planes of a block of up to 64 finger
 each, a query's bit flips the plane, and carry-save counters add the planes into all distances at once. A block
 is abandoned when every distance in it exceeds the radius. Which blocks meet is decided by keys: documents with
 the same fingerprint are one vertex, and of ``radius + 2`` bands two fingerprints within the radius agree on two
-at least, so the bands' pairs are complete keys (six for radius 2). Within a key only the links of a spanning
+at least, so the bands' pairs are complete keys (six for radius 2). A key that more than ``crowd`` fingerprints have
+is parted in the same way by the bits that are not in it, so no link is lost. Within a key only the links of a spanning
 forest leave the task, never all pairs.
 
 Nulls, ties, repeats: a null text has no words and fingerprint zero; a row without ``doc_id`` gets a fingerprint
-but no component; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
+but no component; repeated rows give a row each; a bit that is set in exactly half of the hashes is not set; an empty
+table gives no rows; other columns are ignored; a very long text counts with all its shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components, forest
-from .textbytes import Words, shingles, xxh64
+from .textbytes import Words, mixed, shingles, xxh64
 
 ONES = ~np.uint64(0)
 #: 16-bit lanes of the four bits of each nibble.
@@ -125,26 +127,51 @@ def close(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def band_keys(fp: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Keys of which two fingerprints within the radius share one at least: each pair of ``radius + 2`` bands."""
-    bands = radius + 2
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    parts = [(fp >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:])]
-    out = []
-    for k, (i, j) in enumerate(combinations(range(bands), 2)):
-        pair = parts[i] << np.uint64(cuts[j + 1] - cuts[j]) | parts[j]
-        out.append(pair ^ np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1))  # a chance meeting of two kinds only adds a comparison
-    return out
+def bands_of(places: list[int], radius: int) -> list[list[int]]:
+    """The places of bits in ``radius + 2`` bands."""
+    n = radius + 2
+    return [places[len(places) * i // n : len(places) * (i + 1) // n] for i in range(n)]
+
+
+def mask(places: list[int]) -> np.uint64:
+    return np.uint64(sum(1 << b for b in places))
+
+
+def band_keys(fp: np.ndarray, radius: int, below: int | None = None) -> list[np.ndarray]:
+    """Keys of which two fingerprints within the radius share one at least: each pair of ``radius + 2`` bands.
+
+    ``below``: keys that part the kind of key of that number, by pairs of bands of the bits that are not in it.
+    """
+    pairs = list(combinations(bands_of(list(range(64)), radius), 2))
+    own, first = np.uint64(0), 0
+    if below is not None:
+        held = sorted(pairs[below][0] + pairs[below][1])
+        own, first = mask(held), (below + 1) * len(pairs)
+        pairs = list(combinations(bands_of([b for b in range(64) if b not in held], radius), 2))
+    # a chance meeting of two kinds only adds a comparison
+    return [mixed((fp & (mask(i + j) | own)) ^ np.uint64((first + k) * 0x9E3779B97F4A7C15 & 2**64 - 1)) for k, (i, j) in enumerate(pairs)]
 
 
-def links(classes: DataFrame, radius: int) -> DataFrame:
+def links(classes: DataFrame, radius: int, crowd: int = 4096) -> DataFrame:
     """``a, b``: links that join all ``classes(vertex, fp)`` (distinct fingerprints) within the radius of each other."""
 
+    def rows_for(keys: list[np.ndarray], fp: np.ndarray, v: np.ndarray, kinds: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64)), pa.array(np.tile(v, len(keys))), pa.array(np.repeat(np.array(kinds, np.int32), len(fp)))], ["key", "fp", "vertex", "kind"]
+        )
+
     def keyed(batches):
         for b in batches:
             fp, v = np.asarray(b.column("fp")).view(np.uint64), np.asarray(b.column("vertex"))
             keys = band_keys(fp, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(keys)).view(np.int64)), pa.array(np.tile(v, len(keys)))], ["key", "fp", "vertex"])
+            yield rows_for(keys, fp, v, list(range(len(keys))))
+
+    def parted(batches):
+        for b in batches:
+            fp, v, kind = np.asarray(b.column("fp")).view(np.uint64), np.asarray(b.column("vertex")), np.asarray(b.column("kind"))
+            for k in np.unique(kind).tolist():
+                keys = band_keys(fp[kind == k], radius, k)
+                yield rows_for(keys, fp[kind == k], v[kind == k], [k] * len(keys))
 
     def compare(batches):
         rows = [b for b in batches if b.num_rows]
@@ -163,7 +190,11 @@ def links(classes: DataFrame, radius: int) -> DataFrame:
         far = low != ids
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(low[far])], ["a", "b"])
 
-    rows = classes.mapInArrow(keyed, "key long, fp long, vertex long")
+    schema = "key long, fp long, vertex long, kind int"
+    rows = classes.mapInArrow(keyed, schema)
+    crowded = common.table(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"), "crowded-keys")
+    if not crowded.isEmpty():
+        rows = rows.join(crowded, "key", "left_anti").unionByName(common.met(rows, crowded, "key", "vertex").select("key", "fp", "vertex", "kind").mapInArrow(parted, schema))
     return rows.repartition(common.task_count(classes, 4 << 20), "key").mapInArrow(compare, "a long, b long")
 
 

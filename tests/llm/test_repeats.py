@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import common, neardup, shards, simhash, substring, suffixes
+from siftwell.llm.components import components
 from siftwell.llm.textbytes import Words, word_hashes
 
 
@@ -92,8 +93,28 @@ def test_bit_slices_equal_distances(radius):
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
     if radius < 4:
+        near = [(i, j) for i in range(300) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= radius]
         keys = simhash.band_keys(fp, radius)
-        assert all(any(k[i] == k[j] for k in keys) for i in range(300) for j in range(i) if (int(fp[i]) ^ int(fp[j])).bit_count() <= radius)
+        assert all(any(k[i] == k[j] for k in keys) for i, j in near)
+        for n, key in enumerate(keys):  # what shares a crowded key shares one of those that part it
+            parted = simhash.band_keys(fp, radius, n)
+            assert all(any(k[i] == k[j] for k in parted) for i, j in near if key[i] == key[j])
+
+
+def test_crowded_keys_lose_no_links(spark):
+    rng = np.random.default_rng(2)
+    fp = np.unique([0x0123456789ABCDEF ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(400)]).astype(np.uint64)
+    classes = spark.createDataFrame(list(enumerate(fp.view(np.int64).tolist())), "vertex long, fp long")
+    want = list(range(len(fp)))
+    for i in range(len(fp)):
+        for j in range(i):
+            if (int(fp[i]) ^ int(fp[j])).bit_count() <= 2:
+                low = min(want[i], want[j])
+                want = [low if x in (want[i], want[j]) else x for x in want]
+    for crowd in (4096, 10):
+        found = {r.vertex: r.component for r in components(simhash.links(classes, 2, crowd)).collect()}
+        assert [found.get(i, i) for i in range(len(fp))] == want
+    assert 1 < len(set(want)) < len(fp)
 
 
 def test_one_of_each_keeps_the_smallest(spark, docs):
