@@ -50,4 +50,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op9_decontamination": decontamination.SQL}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op3_suffix_dedup": suffixes.SQL, "op9_decontamination": decontamination.SQL}

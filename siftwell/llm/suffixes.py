@@ -317,3 +317,19 @@ def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame
 
     rows = repeats.contexts(every=True)
     return rows.repartitionById(repeats.corpus.targets, rows["target"]).mapInArrow(list_groups, ", ".join(f"{c} long" for c in ("target", "group_id", "length", "doc_id", "place", "start")))
+
+
+#: The removals by brute force over all strings of 100 bytes, in hexadecimal.
+SQL = """
+with rows as (select doc_id, coalesce(text, '') as text, count(*) as times from documents group by all),
+d as (select row_number() over (order by doc_id nulls last, text) as k, doc_id, times, hex(encode(text)) as h, cast(octet_length(encode(text)) as bigint) as n from rows),
+places as (select k, unnest(range(n - 99)) as i, unnest(list_transform(range(n - 99), lambda i: md5_number(substr(h, 2 * i + 1, 200)))) as m from d where n >= 100),
+again as (select k, i from (select k, i, row_number() over (partition by m order by k, i) as place from places) where place > 1),
+islands as (select k, i, sum(fresh) over (partition by k order by i) as island from (select k, i, case when i > lag(i) over (partition by k order by i) + 100 then 1 else 0 end as fresh from again)),
+spans as (select k, island, min(i) as s, max(i) + 100 as e from islands group by k, island),
+sums as (select k, cast(sum(e - s) as bigint) as n_removed, count(*) as n_spans from spans group by k),
+cuts as (select k, coalesce(lag(e) over (partition by k order by s), 0) as b, s as e from spans union all select d.k, coalesce(last, 0), n from d left join (select k, max(e) as last from spans group by k) using (k)),
+kept as (select k, sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' order by b))) as kept_sha256 from cuts join d using (k) group by k)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
+from (select *, unnest(range(times)) as copy from d) d left join sums using (k) join kept using (k)
+"""
