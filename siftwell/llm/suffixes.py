@@ -8,9 +8,10 @@ hash, with ``size`` bytes to the right of the anchor's start and ``size - seed``
 2. a stack scan yields the intervals of the common-prefix tree, each with all its occurrences,
 3. within an interval, occurrences are sorted by what lies left of them and a second stack scan splits them wherever
    left extensions differ: an interval of prefix ``r`` whose class shares ``l`` bytes to the left is a maximal repeat
-   of ``l + r`` bytes with all its occurrences.
+   of ``l + r`` bytes with all its occurrences,
+4. groups that agree in their occurrences but for a shift are parts of one longer repeat and are joined.
 
-For dedup, each occurrence but the first (``doc_id``, start) of each group is removed if ``l + r >= size``.
+For dedup steps 1 to 3 are enough: each occurrence but the first (``doc_id``, start) of each group is removed if ``l + r >= size``.
 Lengths are measured up to the context that travels, which decides every string of ``size`` bytes. Equal contexts
 within a shard leave it once, and exact copies are settled by digest, so hot strings arrive at most once a shard.
 
@@ -26,7 +27,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import common
 from .shards import DATA, MOVED, NO_ID, PASS, Corpus, Shard, anchors, blobs, copied, dump, gather, least, merged, moved, polynomial, recurring_anchors, split
@@ -272,10 +274,28 @@ def removals(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, size: int = 100, seed: int = 40) -> DataFrame:
-    """``target, group_id, length, doc_id, place, start``: maximal repeats with all occurrences, copies standing once.
+    """``group_id, length, doc_id, place, start``: maximal repeats of ``size`` bytes or more with all occurrences, copies standing once.
 
-    A repeat longer than the context around an anchor appears as overlapping groups, one for each anchor in it.
+    A repeat longer than the context around an anchor is found as overlapping groups, one for each anchor in it, which have
+    the same occurrences but for a shift. Such groups are joined: what they cover together is the maximal repeat, as a
+    repeat that went on beyond an anchor's context would have another anchor there. Only where an inner part of a long
+    repeat stands elsewhere too, it appears as the groups before, in and after that part.
     """
+    found = common.table(groups_of_contexts(docs, size, seed).withColumn("group_id", F.col("target") * (1 << 32) + F.col("group_id")).drop("target"), "repeat-groups")
+    member = F.struct(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), "place", "start")
+    heads = found.groupBy("group_id").agg(F.min(member).alias("first"), F.count("*").alias("n"))
+    shifted = common.met(found, heads, "group_id", "start").withColumn("shift", F.xxhash64("doc_id", "place", F.col("start") - F.col("first.start")))
+    alike = shifted.groupBy("group_id", "length", "first", "n").agg(F.sum(F.col("shift").cast("decimal(38,0)")).alias("members"))
+    alike = alike.select("group_id", "n", "members", F.col("first.doc_id").alias("doc"), F.col("first.place").alias("at"), F.col("first.start").alias("s"), (F.col("first.start") + F.col("length")).alias("e"))
+    w = Window.partitionBy("members", "n", "doc", "at").orderBy("s", "group_id")
+    fresh = F.coalesce((F.col("s") > F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    runs = alike.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy("members", "n", "doc", "at", "run")
+    whole = runs.agg(F.min_by("group_id", F.struct("s", "group_id")).alias("group_id"), (F.max("e") - F.min("s")).alias("length")).select("group_id", "length")
+    return common.met(found.drop("length"), whole, "group_id", "start").select("group_id", "length", "doc_id", "place", "start")
+
+
+def groups_of_contexts(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """``target, group_id, length, doc_id, place, start``: repeats within the context around each anchor."""
     repeats = Repeats(docs, size, seed)
     seed = repeats.seed
 

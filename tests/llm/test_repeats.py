@@ -1,6 +1,7 @@
 """Operators on repeats and near-duplicates against brute force, over awkward rows."""
 
 import hashlib
+import random
 from collections import Counter
 
 import brute
@@ -42,11 +43,8 @@ def test_repeat_groups_have_all_occurrences(spark):
     docs = spark.createDataFrame([(1, "A" + passage + "B"), (2, "C" + passage + "D"), (3, "E" + passage + "F")], "doc_id long, text string")
     groups = {}
     for r in suffixes.repeat_groups(docs).collect():
-        groups.setdefault((r.target, r.group_id), []).append((r.doc_id, r.start, r.length))
-    assert groups
-    for members in groups.values():
-        assert {m[0] for m in members} == {1, 2, 3} and len({m[1:] for m in members}) == 1
-    assert max(m[0][2] for m in groups.values()) >= 100
+        groups.setdefault(r.group_id, []).append((r.doc_id, r.start, r.length))
+    assert [sorted(m) for m in groups.values()] == [[(1, 1, 140), (2, 1, 140), (3, 1, 140)]]
 
 
 def test_repeat_groups_list_equal_contexts(spark, tmp_path):
@@ -63,17 +61,62 @@ def test_repeat_groups_list_equal_contexts(spark, tmp_path):
     assert suffixes.Repeats(docs).corpus.shards == 4
     groups, covered = {}, {i: set() for i in texts}
     for r in suffixes.repeat_groups(docs).collect():
-        groups.setdefault((r.target, r.group_id), set()).add((r.doc_id, r.start, r.length))
+        groups.setdefault(r.group_id, set()).add((r.doc_id, r.start, r.length))
         covered[r.doc_id] |= set(range(r.start, r.start + r.length))
     for members in groups.values():
         doc, start, n = min(members)
         string = texts[doc][start : start + n]
         assert len(members) > 1 and members == {(i, p, n) for i, t in texts.items() for p in range(len(t)) if t.startswith(string, p)}
+    strings = [texts[d][p : p + n] for m in groups.values() for d, p, n in [min(m)]]
+    assert all(any(passage in s and len(s) < 310 for s in strings) for passage in (wide, single, inside))
     for i, t in texts.items():
         for passage in (wide, single, inside):
             assert all(set(range(p, p + 300)) <= covered[i] for p in range(len(t)) if t.startswith(passage, p))
 
 
+def test_repeat_groups_equal_brute_force(spark):
+    """Every group is a repeat with all its occurrences; every maximal repeat is a group, or lies in groups with its occurrences
+    and others, where a part of it stands elsewhere too."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcd") for _ in range(n))
+    long, short = some(400), some(25)
+    texts = [some(40) + long + some(60), some(9) + long[50:390] + some(30), some(50) + long[100:300], short + some(30) + short, some(30) + short, long[:60] + some(4) + long[30:90], some(200)]
+    got = {}
+    for x in suffixes.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=20, seed=8).collect():
+        got.setdefault(x.group_id, set()).add((x.doc_id, x.start, x.length))
+    want = set()
+    places = {}
+    for d, t in enumerate(texts):
+        for p in range(len(t) - 19):
+            places.setdefault(t[p : p + 20], []).append((d, p))
+    todo = [m for m in places.values() if len(m) > 1]
+    while todo:  # the right ends of repeats, longer and longer
+        m = todo.pop()
+        n = 20
+        stack = [(m, n)]
+        while stack:
+            m, n = stack.pop()
+            after = {}
+            for d, p in m:
+                after.setdefault(texts[d][p + n] if p + n < len(texts[d]) else (d, p), []).append((d, p))
+            if len(after) > 1 and len({texts[d][p - 1] if p else (d,) for d, p in m}) > 1:
+                want.add(frozenset((d, p, n) for d, p in m))
+            stack += [(x, n + 1) for x in after.values() if len(x) > 1]
+    for m in got.values():
+        d, p, n = min(m)
+        assert n >= 20 and m == {(i, q, n) for i, t in enumerate(texts) for q in range(len(t)) if t.startswith(texts[d][p : p + n], q)}
+    for m in want:
+        n = min(m)[2]
+        covered = set()
+        for g in map(sorted, got.values()):
+            for d, p, k in g:
+                shift = p - min(m)[1]
+                if d == min(m)[0] and 0 <= shift and shift + k <= n and {(x, y + shift) for x, y, _ in m} <= {(x, y) for x, y, _ in g}:
+                    covered |= set(range(shift, shift + k))
+        assert covered == set(range(n)), (sorted(m), covered)
+    assert len(want & {frozenset(m) for m in got.values()}) > len(want) / 2
+
+
 def test_simhash_equals_brute_force(docs, rows):
     got = sorted(((r.doc_id is None, r.doc_id), r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
     own = [(r[0], r[1]) for r in rows if r[0] is not None]
