@@ -6,7 +6,8 @@ toxic documents; a document's value for a marker is log(1 + occurrences).
 
 The labels are 0 and 1 only. How clearly a toxic document is one is judged by those it was not fitted with: the labelled
 documents are parted in ``FOLDS``, each is scored by a model of the two classes fitted on the others, and the toxic ones get
-grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. The fit uses at most ``sample``
+grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. From P(grade > 0) = ``limit`` on a
+document is toxic; unless it is given, it is where the same scores part the labels best (by F1). The fit uses at most ``sample``
 labelled rows (the first by hash of the id); every row of the input is scored.
 
 Nulls, ties, repeats: a null text has no features; label rows with a null in a column that counts are no examples;
@@ -49,10 +50,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Model:
-    """Markers (sorted hashes), their weights, and the ordered cuts."""
+    """Markers (sorted hashes), their weights, the ordered cuts, and the probability from which on a text is toxic."""
 
-    def __init__(self, markers: np.ndarray, weights: np.ndarray, cuts: np.ndarray):
-        self.markers, self.weights, self.cuts = markers, weights, cuts
+    def __init__(self, markers: np.ndarray, weights: np.ndarray, cuts: np.ndarray, limit: float = 0.5):
+        self.markers, self.weights, self.cuts, self.limit = markers, weights, cuts, limit
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity and P(grade > 0) of each text."""
@@ -91,9 +92,17 @@ def out_of_fold(x: np.ndarray, toxic: np.ndarray, rounds: int) -> np.ndarray:
     return out
 
 
-def grades(x: np.ndarray, toxic: np.ndarray, rounds: int = 150) -> np.ndarray:
+def best_limit(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The probability that parts the labels best: the highest F1, of equal ones the highest limit."""
+    order = np.argsort(-score, kind="stable")
+    found = np.cumsum(toxic[order])
+    f1 = 2 * found / (np.arange(1, len(order) + 1) + toxic.sum())
+    last = np.concatenate([score[order][1:] != score[order][:-1], [True]])  # equal scores go together
+    return float(1 / (1 + np.exp(-score[order][np.argmax(np.where(last, f1, -1.0))])))
+
+
+def grades(score: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0 for documents that are not toxic, else 1 to ``GRADES`` by equal shares of the toxic ones' out-of-fold scores."""
-    score = out_of_fold(x, toxic, rounds)
     steps = np.quantile(score[toxic], np.arange(1, GRADES) / GRADES)
     return np.where(toxic, 1 + (score[:, None] > steps[None, :]).sum(1), 0)
 
@@ -101,7 +110,8 @@ def grades(x: np.ndarray, toxic: np.ndarray, rounds: int = 150) -> np.ndarray:
 def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, rounds: int = 500) -> Model:
     """``counts``: occurrences of each marker in each labelled document, in an order that is no order of labels."""
     x = np.log1p(counts)
-    return Model(markers, *ordinal(x, grades(x, toxic), GRADES, rounds))
+    score = out_of_fold(x, toxic, rounds=150)
+    return Model(markers, *ordinal(x, grades(score, toxic), GRADES, rounds), best_limit(score, toxic))
 
 
 def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, top: int, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
@@ -216,12 +226,14 @@ def severity(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     return out if keep else out.select("doc_id", f"{name}.*")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: float | None = None, **options) -> DataFrame:
     """The rows of ``docs`` whose P(grade > 0) is below ``limit``."""
-    out = severity(docs, trained(docs, labels, **options), keep=True)
-    return out.filter(F.col(out.columns[-1])["p_toxic"] < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = trained(docs, labels, **options)
+    out = severity(docs, model, keep=True)
+    return out.filter(F.col(out.columns[-1])["p_toxic"] < (model.limit if limit is None else limit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = 12_000, limit: float = 0.5) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = 12_000, limit: float | None = None) -> DataFrame:
     """``doc_id, severity, p_toxic, toxic`` of every row of ``docs``; toxic: P(grade > 0) of ``limit`` or more."""
-    return severity(docs, trained(docs, labels, sample)).withColumn("toxic", F.col("p_toxic") >= limit)
+    model = trained(docs, labels, sample)
+    return severity(docs, model).withColumn("toxic", F.col("p_toxic") >= (model.limit if limit is None else limit))

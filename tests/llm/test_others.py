@@ -321,7 +321,7 @@ def test_grades_are_judged_out_of_fold():
     r = np.random.default_rng(3)
     toxic = r.random(400) < 0.4
     x = r.normal(size=(400, 3)) + toxic[:, None] * np.array([2.0, 1.0, 0.0])
-    g = toxicity.grades(x, toxic)
+    g = toxicity.grades(toxicity.out_of_fold(x, toxic, 150), toxic)
     assert (g[~toxic] == 0).all() and set(g[toxic]) == {1, 2, 3}
     share = np.bincount(g[toxic], minlength=4)[1:] / toxic.sum()
     assert (abs(share - 1 / 3) < 0.02).all()
@@ -333,7 +333,19 @@ def test_grades_are_judged_out_of_fold():
     assert np.isclose(toxicity.out_of_fold(x, toxic, 50)[0], toxicity.out_of_fold(x, other, 50)[0])
     # ties: one score, one grade
     even = np.arange(40) // 4 % 2 == 0
-    assert len(set(toxicity.grades(np.ones((40, 2)), even)[even])) == 1
+    assert len(set(toxicity.grades(toxicity.out_of_fold(np.ones((40, 2)), even, 50), even)[even])) == 1
+
+
+def test_limit_has_the_best_f1():
+    r = np.random.default_rng(9)
+    for _ in range(20):
+        toxic = r.random(60) < 0.3
+        toxic[0] = True
+        score = np.round(r.normal(size=60) + 2 * toxic, 1)  # with ties
+        limit = toxicity.best_limit(score, toxic)
+        f1 = lambda at: 2 * (toxic & (score >= at)).sum() / ((score >= at).sum() + toxic.sum())
+        best = max(map(f1, score))
+        assert np.isclose(limit, max(1 / (1 + np.exp(-s)) for s in score if f1(s) == best))
 
 
 def test_expectation_maximisation_equals_a_plain_one():
