@@ -24,7 +24,7 @@ BACK = "shard int, kind int, blob binary"
 #: Place among ids of documents that have none.
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of parquet that make a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 
 
 def dump(**arrays: np.ndarray) -> bytes:
