@@ -18,7 +18,7 @@ from functools import lru_cache
 from . import common
 
 #: Chunks that a worker remembers in each of two generations; when one is full, the older is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 #: Letters that begin a word and end where no letter or mark can follow are a chunk; so is what follows, up to white space.
 LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]++(?![^\x00-\x7f])"
