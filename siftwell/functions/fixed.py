@@ -41,6 +41,18 @@ YEAR_PATTERNS = [
     r"(?i)(19\d{2}|20\d{2})\s+(?:founded|established|started|launched|incorporated)",
     r"(?i)(?:since|from)\s+(19\d{2}|20\d{2})",
 ]
+# Words of which a text must have one (lower-cased but for contacts) for each of these patterns to be found in it.
+PATTERN_WORDS = {
+    "digits": [["employee"], ["team"], ["person"], ["staff"]],
+    "contact_name": [
+        ["CEO", "Founder", "President", "CTO", "CFO", "COO", "Director", "Manager", "Lead"],
+        ["Founder", "Owner", "Director", "Manager", "Lead"],
+        ["CEO", "CTO", "CFO", "COO"],
+        ["CEO", "Founder", "President", "CTO", "CFO", "COO", "Director", "Manager", "Lead"],
+    ],
+    "contact_title": [["ceo", "founder", "president", "cto", "cfo", "coo", "director", "manager", "lead", "vp", "owner"], ["officer"]],
+    "founded_year": [["founded", "established", "started", "launched", "incorporated"]] * 3 + [["since", "from"]],
+}
 EMAIL = r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"
 PHONE = r"(\+?\d{1,2}[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})"
 
