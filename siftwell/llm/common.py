@@ -94,15 +94,16 @@ def unused(rows: DataFrame, name: str) -> str:
     return name
 
 
-def met(rows: DataFrame, few: DataFrame, key: str, ident: str) -> DataFrame:
-    """``rows`` joined with the one row of ``few`` for their ``key``, of which a few may have a third of all rows.
+def met(rows: DataFrame, few: DataFrame, key: str | list[str], ident: str) -> DataFrame:
+    """``rows`` joined with the one row of ``few`` for their ``key`` (one column or several), of which a few may have a third of all rows.
 
     Rows are dealt out by ``ident`` too, and what is known of their key goes only where some of them went, so no task gets
     a key's rows together.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(shuffle_partitions(rows.sparkSession))).cast("int"))
-    spread = salted.select(key, "salt").distinct().join(few, key)
-    return salted.join(spread, [key, "salt"]).drop("salt")
+    keys = [key] if isinstance(key, str) else key
+    spread = salted.select(*keys, "salt").distinct().join(few, keys)
+    return salted.join(spread, [*keys, "salt"]).drop("salt")
 
 
 def copies(rows: DataFrame, content: str, ident: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, common, decontamination, language, packing, quality, simhash, substring, suffixes, token_counts, toxicity
+from . import ann, chat, clustering, common, decontamination, divergence, language, packing, quality, simhash, substring, suffixes, token_counts, toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,5 +49,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op3_suffix_dedup": suffixes.SQL, "op9_decontamination": decontamination.SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(common.documents(spark, sf_dir))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.audited(chat.with_planted(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_simhash": op4_simhash, "op2_token_counts": op2_token_counts, "op5_toxicity": op5_toxicity, "op6_nearest_neighbours": op6_nearest_neighbours, "op7_packing": op7_packing, "op8_quality": op8_quality, "op9_decontamination": op9_decontamination, "op10_language_id": op10_language_id, "op11_source_divergence": op11_source_divergence, "op12_chat_formatting": op12_chat_formatting, "op13_centroid_clustering": op13_centroid_clustering}
+ORACLES: dict[str, str] = {"op1_substring_dedup": substring.SQL, "op3_suffix_dedup": suffixes.SQL, "op9_decontamination": decontamination.SQL, "op11_source_divergence": divergence.SQL, "op12_chat_formatting": chat.SQL, "op13_centroid_clustering": clustering.SQL}
