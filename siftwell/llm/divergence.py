@@ -44,6 +44,12 @@ def pieces_of(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
     yield data[start:]
 
 
+def counts_of(lang: str, source: str, terms: list[bytes | None], n: list[int], docs: list[int]) -> pa.RecordBatch:
+    many = len(terms)
+    columns = {"lang": pa.array([lang] * many, pa.string()), "source": pa.array([source] * many, pa.string()), "term": pa.array(terms, pa.binary()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def counted(docs: DataFrame, entries: int = 200_000) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences in a source and documents that have the term; for each source one row
     without term. Tasks give away what they have counted when they hold ``entries`` terms."""
@@ -54,8 +60,7 @@ def counted(docs: DataFrame, entries: int = 200_000) -> DataFrame:
 
         def given() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, d) in tally.items():
-                terms = list(n)
-                yield pa.record_batch([pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in terms], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                yield counts_of(lang, source, list(n), list(n.values()), [d[t] for t in n])
             tally.clear()
 
         held = 0
@@ -63,7 +68,7 @@ def counted(docs: DataFrame, entries: int = 200_000) -> DataFrame:
             for group, text in zip(zip(batch["lang"].to_pylist(), batch["source"].to_pylist()), batch["text"]):
                 if group not in seen:
                     seen.add(group)
-                    yield pa.record_batch([pa.array([group[0]]), pa.array([group[1]]), pa.array([None], pa.binary()), pa.array([0], pa.int64()), pa.array([0], pa.int64())], ["lang", "source", "term", "n", "docs"])
+                    yield counts_of(*group, [None], [0], [0])
                 n, d = tally.get(group) or tally.setdefault(group, (Counter(), Counter()))
                 before, own = len(n), set()
                 for piece in pieces_of(text.as_buffer().to_pybytes().translate(LETTERS)):
@@ -85,8 +90,9 @@ def counted(docs: DataFrame, entries: int = 200_000) -> DataFrame:
 
 def share(n: Column, total: Column, terms: Column) -> Column:
     """Smoothed share in billionths, rounded down, and one."""
-    whole = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * whole(n + SMOOTH), whole(total + SMOOTH * terms)) + F.lit(1)
+    whole = lambda c, digits=19: c.cast(f"decimal({digits},0)")
+    few = lambda x: whole(F.lit(x), 10)
+    return F.call_function("div", few(UNIT) * whole(whole(n) + few(SMOOTH), 20), whole(whole(total) + few(SMOOTH) * whole(terms), 38)) + F.lit(1)
 
 
 class Audit:
