@@ -100,7 +100,7 @@ def summed(rows: DataFrame, centroids: list[list[int]], size: int) -> dict[int,
                     own = at == k
                     totals[k] += np.array([int(own.sum()), *x[own].sum(0).tolist(), sum(d[own].tolist())], object)
         met = np.flatnonzero(totals[:, 0].astype(bool))
-        for level, part in enumerate(limbs(totals[met])):
+        for level, part in enumerate(limbs(totals[met])) if len(met) else ():
             yield pd.DataFrame({"cluster": met.astype(np.int32), "level": np.full(len(met), level, np.int32), "sums": [[int(v) for v in r] for r in part]})
 
     parts = rows.select("small", "wide").mapInPandas(partial, "cluster int, level int, sums array<long>")
