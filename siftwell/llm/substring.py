@@ -75,9 +75,10 @@ def located(w: Words, hashes: np.ndarray, phrases: list[bytes], size: int) -> np
     return np.searchsorted(place, ends // 2) - size + 1
 
 
-def windows(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes, of 64 and 32 bits, of each run of ``window`` words, whatever document it begins in."""
-    return mixed(polynomial(hashes, window, BASES[0])), (mixed(polynomial(mixed(hashes), window, BASES[1])) >> np.uint64(32)).astype(np.uint32)
+def windows(w: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes, of 64 and 32 bits, of each run of ``window`` words, whatever document it begins in; each is
+    made of hashes of the words of its own, ``hashes`` and those of another seed."""
+    return mixed(polynomial(hashes, window, BASES[0])), (mixed(polynomial(word_hashes(w, 1), window, BASES[1])) >> np.uint64(32)).astype(np.uint32)
 
 
 def twice(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ class Substrings:
             last = np.minimum(start, w.first[doc + 1] - window)
             some = (first <= last) & copied(shard, other)[1][doc]
             at = np.flatnonzero(marked(first[some], last[some] + 1, len(w.begin)))
-            one, two = (h[at] for h in windows(hashes, window)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            one, two = (h[at] for h in windows(w, hashes, window)) if len(at) else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
             order = np.lexsort((two, one))
             one, two = one[order], two[order]
             new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)])
@@ -162,7 +163,7 @@ class Substrings:
             n = w.counts()
             start = common.ranges(w.first[:-1], np.where(stands, np.maximum(n - window + 1, 0), 0))
             if len(start):
-                one, two = (h[start] for h in windows(word_hashes(w), window))
+                one, two = (h[start] for h in windows(w, word_hashes(w), window))
                 elsewhere = other.filter(other["h1"].is_valid())
                 again = twice(one, two) | known(np.asarray(elsewhere["h1"]).view(np.uint64), np.asarray(elsewhere["h2"]).view(np.uint32), one, two)
                 start = start[again]

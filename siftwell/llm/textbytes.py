@@ -7,9 +7,8 @@ import pyarrow as pa
 
 from .common import joined_bytes, ranges
 
-#: A random odd base, its inverse, and a random number for each byte: what word hashes are made of.
+#: A random odd base, and a random number for each byte: what hashes of runs are made of.
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 LETTERS = np.random.default_rng(11).integers(0, 2**64, 256, np.uint64, endpoint=False)
 
 #: True for the bytes 0x20 and 0x09 to 0x0D, which part words.
@@ -50,28 +49,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(28))
 
 
-def powers(base: int, many: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(many, np.uint64(base))
-        out[:1] = 1
-        return np.multiply.accumulate(out)
-
-
-def word_hashes(w: Words) -> np.ndarray:
-    """64-bit hash of each word's bytes: differences of running sums of a polynomial, shifted back to the word's begin."""
-    out = np.zeros(len(w.begin), np.uint64)
-    if not len(out):
-        return out
-    step = 1 << 15  # some words at a time: a byte takes some 32 here
-    most = max(int(w.end[min(s + step, len(out)) - 1] - w.begin[s]) for s in range(0, len(out), step))
-    up, down = powers(BASE, most), powers(INVERSE, most)
-    with np.errstate(over="ignore"):
-        for s in range(0, len(out), step):
-            begin, end = w.begin[s : s + step], w.end[s : s + step]
-            sums = np.zeros(end[-1] - begin[0] + 1, np.uint64)
-            np.cumsum(LETTERS[w.data[begin[0] : end[-1]]] * up[: len(sums) - 1], out=sums[1:])
-            out[s : s + step] = (sums[end - begin[0]] - sums[begin - begin[0]]) * down[begin - begin[0]]
-    return mixed(out)
+def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
+    """XXH64 of each word's bytes."""
+    return xxh64(w.data, w.begin, w.end, seed)
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,8 +81,9 @@ def xxh64(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np
     size = end - begin
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
-    order = np.argsort(size, kind="stable")
-    bounds = np.searchsorted(size[order], np.arange(33))
+    kinds = np.minimum(size, 32).astype(np.uint8)
+    order = np.argsort(kinds, kind="stable")
+    bounds = np.searchsorted(kinds[order], np.arange(33, dtype=np.uint8))
     for n in range(32):
         at = order[bounds[n] : bounds[n + 1]]
         if len(at):

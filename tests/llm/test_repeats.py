@@ -276,3 +276,19 @@ def test_least_depends_on_content_only():
     at = shards.least(joined, 17)
     assert [a - i for i, a in enumerate(at[:84])] == [a - i for i, a in enumerate(at[150:234], 150)]
     assert all(joined[a] >> np.uint64(24) == (joined[i : i + 17] >> np.uint64(24)).min() for i, a in enumerate(at))
+
+
+def test_words_made_to_collide_in_polynomials_are_told_apart(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever its base and letters."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    shared = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, f"x {shared} {one}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substring.removals(docs).collect()) == [(1, 35), (2, 0), (3, 35)]
+    w = Words(pa.array([f"{one} {two} {one}"]))
+    h = word_hashes(w)
+    assert h[0] == h[2] != h[1] and word_hashes(w, 1)[0] != h[0]
+    from siftwell.llm import quality, toxicity
+
+    found, doc, _ = toxicity.features(pa.array([one, two]))
+    assert not set(found[(doc == 0)][:1]) & set(found[doc == 1][:1]) and quality.word_hashes is word_hashes
