@@ -1,14 +1,14 @@
 """Fields of fetched pages, with the confidence of each way to get them.
 
-What depends on the structure of a page (elements, attributes, entities, scripts) is read in one pass of an HTML parser, in
-an Arrow-batched UDF; all that follows, gates and confidences included, is column expressions.
+What depends on the structure of a page (elements, attributes, entities, scripts, text) is read in one pass of an HTML parser,
+in an Arrow-batched UDF; all that follows, gates and confidences included, is column expressions.
 """
 
 from __future__ import annotations
 
-import html as entities
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -23,10 +23,14 @@ TEXTS = T.MapType(T.StringType(), T.StringType())
 FLAT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("data", TEXTS), T.StructField("kinds", TEXTS), T.StructField("shown", T.StringType())])
 PARSED = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("og", TEXTS), T.StructField("twitter", TEXTS),
-    T.StructField("links", T.ArrayType(T.StringType())), T.StructField("plain_links", T.ArrayType(T.StringType())), T.StructField("body_text", T.StringType()), T.StructField("ld", FLAT),
+    T.StructField("links", T.ArrayType(T.StringType())), T.StructField("plain_links", T.ArrayType(T.StringType())), T.StructField("body_text", T.StringType()), T.StructField("visible", T.StringType()), T.StructField("ld", FLAT),
 ])
 
 
+#: White space that is folded.
+SPACES = re.compile(r"[ \t\n\r\f\v]+")
+
+
 class Page(HTMLParser):
     """Collects the elements that count. Comments and scripts are no elements; entities are decoded."""
 
@@ -39,11 +43,13 @@ class Page(HTMLParser):
         self.plain_links: list[str] = []
         self.scripts: list[str] = []
         self.text: list[str] = []
+        self.visible: list[str] = []
         self.inside: str | None = None  # title, script or style
-        self.body = False
+        self.head = self.body = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        self.visible.append(" ")
         if tag == "title" and self.title is None:
             self.title, self.inside = "", "title"
         elif tag == "meta":
@@ -54,10 +60,16 @@ class Page(HTMLParser):
             self.inside = "ld" if tag == "script" and a.get("type") == "application/ld+json" else tag
             if self.inside == "ld":
                 self.scripts.append("")
-        elif tag == "body":
-            self.body = True
+        elif tag in ("head", "body"):
+            self.head, self.body = tag == "head", self.body or tag == "body"
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """An element that closes itself holds nothing."""
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_comment(self, data: str) -> None:
+        self.visible.append(" ")
 
     def meta(self, a: dict[str, str]) -> None:
         content, name, prop = a.get("content", "").strip(), a.get("name", ""), a.get("property", "")
@@ -75,16 +87,22 @@ class Page(HTMLParser):
             self.links.append(urljoin(self.url, href))
 
     def handle_endtag(self, tag: str) -> None:
+        self.visible.append(" ")
         if tag in ("title", "script", "style"):
             self.inside = None
+        elif tag == "head":
+            self.head = False
 
     def handle_data(self, data: str) -> None:
         if self.inside == "title":
             self.title += data
         elif self.inside == "ld":
             self.scripts[-1] += data
-        elif self.inside is None and self.body:
-            self.text.append(data)
+        elif self.inside is None:
+            if self.body:
+                self.text.append(data)
+            if not self.head:
+                self.visible.append(data)
 
 
 def parse(page: str | None, url: str | None) -> dict:
@@ -94,7 +112,7 @@ def parse(page: str | None, url: str | None) -> dict:
         p.close()
     ok, data = read_scripts(p.scripts)
     ld = {"ok": ok and bool(data), "data": {k: as_text(v) for k, v in data.items()}, "kinds": {k: kind(v) for k, v in data.items()}, "shown": str(data)}
-    return {"title": None if p.title is None else p.title.strip(), "description": p.description, "og": p.og, "twitter": p.twitter, "links": p.links, "plain_links": p.plain_links, "body_text": "".join(p.text), "ld": ld}
+    return {"title": None if p.title is None else p.title.strip(), "description": p.description, "og": p.og, "twitter": p.twitter, "links": p.links, "plain_links": p.plain_links, "body_text": "".join(p.text), "visible": None if page is None else SPACES.sub(" ", "".join(p.visible)).strip(" "), "ld": ld}
 
 
 @F.pandas_udf(PARSED)
@@ -104,16 +122,6 @@ def parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame([parse(x, u) for x, u in zip(pages, urls)], columns=PARSED.names)
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """Entities decoded, named ones and numbers."""
-    return texts.map(lambda x: x if x is None or "&" not in x else entities.unescape(x))
-
-
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def filled(c: Column) -> Column:
     """True where there is text; null and '' count as missing."""
     return F.coalesce(c != "", F.lit(False))
@@ -161,9 +169,17 @@ def phone(text: Column) -> Column:
 
 
 def visible_text(html: Column, most: int = 8000) -> Column:
-    """Text of the body without scripts, styles, comments and tags; at most ``most`` characters, as stored with a page."""
-    bare = F.regexp_replace(html, r"(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    return F.substring(stripped(unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))), 1, most)
+    """Text outside the head, without scripts, styles, comments and tags, its white space folded; at most ``most`` characters, as stored with a page."""
+    return F.substring(of_page(html, "visible"), 1, most)
+
+
+#: What stands in scripts of structured data.
+LD_SCRIPT = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
+
+
+def scripts(pages: DataFrame) -> DataFrame:
+    """``page_id, script``: a row for each script of structured data, by a pattern, for work that is to stay on the JVM."""
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(LD_SCRIPT), 1)).alias("script"))
 
 
 def domain_company(url: Column) -> Column:
@@ -250,64 +266,96 @@ def rendered_confidence(title: Column, description: Column, og_description: Colu
     return F.least(total, F.lit(1.0))
 
 
-def fields(pages: DataFrame) -> DataFrame:
+def fields(pages: DataFrame, page: str = "html", prefix: str = "") -> DataFrame:
     """Everything that the ways get out of ``pages(page_id, url, html)``; pages are parsed once. Other columns stay."""
-    html, url = F.col("html"), F.col("url")
-    out = pages.withColumns({"p": parsed(html, url), "visible": visible_text(html), "company": domain_company(url)})
-    out = out.select(*pages.columns, "visible", "company", *(F.col(f"p.{c}").alias(c) for c in PARSED.names))
-    return out.withColumns({"email": email(F.col("visible")), "phone": phone(F.col("visible"))})
+    out = pages.withColumns({"p": parsed(F.col(page), F.col("url"))})
+    out = out.select(*pages.columns, *(F.col(f"p.{c}").alias(prefix + c) for c in PARSED.names if c != "visible"), F.substring("p.visible", 1, 8000).alias(prefix + "visible"), domain_company(F.col("url")).alias(prefix + "company"))
+    seen = F.col(prefix + "visible")
+    return out.withColumns({prefix + "email": email(seen), prefix + "phone": phone(seen)})
 
 
 #: How a page was fetched, where ``pages`` says nothing of it: answered, and rendered without trouble.
-FETCHED = {"status": "cast(200 as int)", "error": "cast(null as string)", "render_status": "cast(200 as int)", "render_error": "cast(null as string)"}
+ANSWERED = {"status": "cast(200 as int)", "error": "cast(null as string)"}
+RENDERED = {"render_status": "cast(200 as int)", "render_error": "cast(null as string)"}
+#: What a renderer adds to the rows it is to work on, and the mark of these.
+BY_RENDERER = ("rendered_html", *RENDERED)
+WANTED = "render_wanted"
+#: What is said of a page that was there and gave nothing, and the confidence of that.
+NO_DATA = {"playwright": ("No data extracted by Playwright", 0.3), "requests": ("No data extracted by requests fallback", 0.2)}
+
+
+def gated(pages: DataFrame) -> DataFrame:
+    """``fields`` of the plain answers with the confidences ``c1`` and ``c2`` of the first two ways; ``render_wanted`` where neither
+    passes its gate, so that the page is to be rendered."""
+    rows = pages.withColumns({c: F.expr(e) for c, e in ANSWERED.items() if c not in pages.columns})
+    answered = F.coalesce(F.col("error").isNull() & (F.col("status") == 200) & F.col("html").isNotNull(), F.lit(False))
+    f = fields(rows.withColumn("answered", answered))
+    f = f.withColumns({
+        "c1": F.when(F.col("answered") & F.col("ld.ok"), jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)),
+        "c2": F.when(F.col("answered"), meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links"))).otherwise(F.lit(0.0)),
+    })
+    return f.withColumn(WANTED, ~((F.col("c1") > fixed.GATE_STRUCTURED) | (F.col("c2") > fixed.GATE_META)))
 
 
-def attempted(pages: DataFrame, kept: list[str] | None = None) -> DataFrame:
+def attempted(pages: DataFrame, kept: list[str] | None = None, render: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One scrape of each page of ``pages(page_id, url, html)``: ``success, method, confidence, error_message`` and the record.
 
     Tried in order: JSON-LD and meta elements of the answer, each behind its gate, then the rendered page. ``status`` and
-    ``error`` tell how the plain request went, ``render_status`` and ``render_error`` the rendering. A renderer that
-    cannot start on its platform is stood in for by the plain answer, at 0.8 of the confidence. ``kept``: other columns to
+    ``error`` tell how the plain request went, ``render_status`` and ``render_error`` the rendering. ``kept``: other columns to
     give back.
+
+    ``render`` takes rows with ``page_id``, ``url`` and ``render_wanted`` and returns them all with ``rendered_html``, ``render_status`` and
+    ``render_error`` added where ``render_wanted`` is true; pages that pass a gate are not rendered (see ``web.rendering``). Without
+    it the answer itself stands for the rendered page. A renderer that cannot start on its platform is stood in for by the
+    plain answer, at 0.8 of the confidence.
     """
-    rows = pages.withColumns({c: F.expr(e) for c, e in FETCHED.items() if c not in pages.columns})
-    answered = F.coalesce(F.col("error").isNull() & (F.col("status") == 200) & F.col("html").isNotNull(), F.lit(False))
-    f = fields(rows.withColumn("answered", answered))
+    f = gated(pages)
+    if render is None:
+        f, of_render = f.withColumns({c: F.expr(e) for c, e in RENDERED.items() if c not in pages.columns}), ""
+        there = F.col("html")
+    else:
+        f, of_render, there = fields(render(f), "rendered_html", "r_"), "r_", F.col("rendered_html")
     stand_in = F.coalesce(F.col("render_error").contains("NotImplementedError") | F.lower("render_error").contains("subprocess"), F.lit(False))
-    rendered = F.coalesce(F.col("render_error").isNull() & (F.col("render_status") == 200) & F.col("html").isNotNull(), F.lit(False))
+    rendered = F.coalesce(F.col("render_error").isNull() & (F.col("render_status") == 200) & there.isNotNull(), F.lit(False))
     plain = F.substring("body_text", 1, 8000)
     f = f.withColumns({"plain_email": email(plain), "plain_phone": phone(plain), "stand_in": stand_in, "rendered": rendered})
-    og = F.element_at("og", "og_description")
-    seen = lambda mail, call: rendered_confidence(F.col("title"), F.col("description"), og, F.col(mail), F.col(call), F.col("plain_links"), F.col("company"))
+
+    def seen(mail: str, call: str, of: str) -> Column:
+        col = lambda c: F.col(of + c)
+        return rendered_confidence(col("title"), col("description"), F.element_at(col("og"), "og_description"), F.col(mail), F.col(call), col("plain_links"), col("company"))
+
     f = f.withColumns({
-        "c1": F.when(F.col("answered") & F.col("ld.ok"), jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)),
-        "c2": F.when(F.col("answered"), meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links"))).otherwise(F.lit(0.0)),
-        "c3": F.when(F.col("rendered"), seen("email", "phone")).otherwise(F.lit(0.0)),
-        "c4": F.when(F.col("answered"), seen("plain_email", "plain_phone") * 0.8).otherwise(F.lit(0.0)),
+        "c3": F.when(F.col("rendered"), seen(of_render + "email", of_render + "phone", of_render)).otherwise(F.lit(0.0)),
+        "c4": F.when(F.col("answered"), seen("plain_email", "plain_phone", "") * 0.8).otherwise(F.lit(0.0)),
     })
     last = F.when(F.col("stand_in"), F.lit("requests")).otherwise(F.lit("playwright"))
     method = F.when(F.col("c1") > fixed.GATE_STRUCTURED, F.lit("json_ld")).when(F.col("c2") > fixed.GATE_META, F.lit("structured_data")).otherwise(last)
     f = f.withColumn("method", method)
     success = F.when(F.col("method") == "requests", F.col("answered")).when(F.col("method") == "playwright", F.col("rendered")).otherwise(F.lit(True))
     http = lambda c: F.concat(F.lit("HTTP "), F.col(c).cast("string"))
-    no_answer = F.coalesce(F.col("error"), F.when(F.col("status") != 200, http("status")), F.lit("no answer"))
-    no_page = F.coalesce(F.col("render_error"), F.when(F.col("render_status") != 200, http("render_status")), F.lit("no answer"))
+    no_answer = F.coalesce(F.col("error"), F.when(F.col("status") != 200, http("status")).when(F.col("status") == 200, NO_DATA["requests"][0]), F.lit("no answer"))
+    no_page = F.coalesce(F.col("render_error"), F.when(F.col("render_status") != 200, http("render_status")).when(F.col("render_status") == 200, NO_DATA["playwright"][0]), F.lit("no answer"))
     f = f.withColumns({"success": success, "why": F.when(~success, F.when(F.col("method") == "requests", no_answer).otherwise(no_page))})
+    nothing = F.when(F.col("success"), F.lit(None))
+    for said, sure in NO_DATA.values():
+        nothing = nothing.when(F.col("why") == said, F.lit(sure))
     of = lambda ld, meta, rendered, plain: F.when(~F.col("success"), F.lit(None)).when(F.col("method") == "json_ld", ld).when(F.col("method") == "structured_data", meta).when(F.col("method") == "requests", plain).otherwise(rendered)
+    r = lambda c: F.col(of_render + c)
     none, never = F.lit(None).cast("string"), F.lit(False)
     ld, has = lambda k: F.element_at("ld.data", k), lambda k: F.map_contains_key("ld.data", k)
     in_linked = lambda c: F.get(F.filter(c, lambda x: x.contains("linkedin.com")), F.lit(0))
+    og, r_og = (F.element_at(c, "og_description") for c in (F.col("og"), r("og")))
     titled, told, og_told = F.col("title").isNotNull(), F.col("description").isNotNull(), F.map_contains_key("og", "og_description")
-    text = of(F.coalesce(*(F.when(has(k), F.coalesce(ld(k), F.lit(""))) for k in ("text_content", "description", "og_description", "title"))), F.coalesce("description", og, "title"), F.col("visible"), plain)
+    text = of(F.coalesce(*(F.when(has(k), F.coalesce(ld(k), F.lit(""))) for k in ("text_content", "description", "og_description", "title"))), F.coalesce("description", og, "title"), r("visible"), plain)
     return f.select(
-        "page_id", "url", *(kept or []), "success", F.col("method").alias("scraping_method"), F.coalesce(of(F.col("c1"), F.col("c2"), F.col("c3"), F.col("c4")), F.lit(0.0)).alias("scraping_confidence"), F.col("why").alias("error_message"),
-        of(ld("title"), F.col("title"), F.col("title"), F.col("title")).alias("title"), of(has("title"), titled, F.lit(True), titled).alias("has_title"),
+        "page_id", "url", *(kept or []), "success", F.col("method").alias("scraping_method"), F.coalesce(of(F.col("c1"), F.col("c2"), F.col("c3"), F.col("c4")), nothing, F.lit(0.0)).alias("scraping_confidence"), F.col("why").alias("error_message"),
+        of(ld("title"), F.col("title"), r("title"), F.col("title")).alias("title"), of(has("title"), titled, F.lit(True), titled).alias("has_title"),
         of(ld("description"), F.col("description"), none, none).alias("description"), of(has("description"), told, never, never).alias("has_description"),
-        of(ld("og_description"), og, og, og).alias("og_description"), of(has("og_description"), og_told, F.lit(True), og_told).alias("has_og_description"),
-        of(ld("email"), none, F.col("email"), F.col("plain_email")).alias("email"), of(has("email"), never, F.lit(True), F.col("plain_email").isNotNull()).alias("has_email"),
-        of(ld("phone"), none, F.col("phone"), F.col("plain_phone")).alias("phone"), of(has("phone"), never, F.lit(True), F.col("plain_phone").isNotNull()).alias("has_phone"),
-        text.alias("text"), of(none, none, F.col("ld.shown"), F.col("ld.shown")).alias("shown"),
-        of(none, in_linked(F.col("links")), in_linked(F.col("plain_links")), in_linked(F.col("plain_links"))).alias("linkedin_url"),
+        of(ld("og_description"), og, r_og, og).alias("og_description"), of(has("og_description"), og_told, F.lit(True), og_told).alias("has_og_description"),
+        of(ld("email"), none, r("email"), F.col("plain_email")).alias("email"), of(has("email"), never, F.lit(True), F.col("plain_email").isNotNull()).alias("has_email"),
+        of(ld("phone"), none, r("phone"), F.col("plain_phone")).alias("phone"), of(has("phone"), never, F.lit(True), F.col("plain_phone").isNotNull()).alias("has_phone"),
+        text.alias("text"), of(none, none, r("ld.shown"), F.col("ld.shown")).alias("shown"),
+        of(none, in_linked(F.col("links")), in_linked(r("plain_links")), in_linked(F.col("plain_links"))).alias("linkedin_url"), F.col(WANTED),
     )
 
 

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import enrich, extract, fixed, message, score
+from siftwell.functions import enrich, extract, fixed, message, score, variants
 from siftwell.operators import leads as L
 from siftwell.operators import quota as Q
 from siftwell.plans import process
+from siftwell.sources import web
 from siftwell.sources.derived import view, with_views
 from siftwell.streaming.leads import retries
 
@@ -33,7 +34,7 @@ class Tables:
 
 def _flattened(t: Tables) -> DataFrame:
     """JSON-LD leaves as rows by the table function."""
-    scripts = t.pages_rich.select("page_id", F.regexp_extract_all("html", F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1).alias("scripts"))
+    scripts = t.pages_rich.select("page_id", F.regexp_extract_all("html", F.lit(extract.LD_SCRIPT), 1).alias("scripts"))
     extract.register(t.spark)
     scripts.createOrReplaceTempView("ld_scripts")
     return t.spark.sql("select page_id, f.key, f.value from ld_scripts, lateral flattened(scripts) f")
@@ -193,7 +194,7 @@ query("log_records", lambda t: t.scraping_logs.select("id", L.log_event("scrapin
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 #: The entities that occur in these pages, for SQL; tests hold the others against pages written by hand.
 ENT = "{}"
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&amp;", "&")):
     ENT = f"replace({ENT}, {quoted(_a)}, {quoted(_b)})"
 TITLE = STRIP.format(ENT.format(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
 META_DESC = r"""regexp_extract(html, '(?is)<meta\b[^>]*\bname\s*=\s*["'']description["''][^>]*>', 0)"""
@@ -212,8 +213,11 @@ def meta_sql(attr: str, prefix: str) -> str:
 ALL_PAGES = "select page_id, coalesce(fields, '') as fields from pages_rich left join ({}) m using (page_id)"
 HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']', 1)"""
 LINKS = rf"""list_filter(list_transform({HREFS}, lambda h: case when h like 'http://%' or h like 'https://%' then h when h like '//%' then regexp_extract(url, '^(\w+):', 1) || ':' || h when h like '/%' then regexp_extract(url, '^(\w+://[^/?#]*)', 1) || h end), lambda h: h is not null)"""
-VISIBLE = "substr(" + STRIP.format(ENT.format(r"regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")) + ", 1, 8000)"
-EMAIL, PHONE = (f"nullif(regexp_extract(lower({VISIBLE}), {quoted(p)}, 1), '')" for p in (fixed.EMAIL, fixed.PHONE))
+VISIBLE = "substr(trim(regexp_replace(" + ENT.format(r"regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>|<script\b[^>]*/>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')") + r", '[ \t\n\r\f\v]+', ' ', 'g')), 1, 8000)"
+#: The body's text as it is, tags put out.
+BARE = "substr(" + ENT.format(r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)', 1), '(?is)<script\b[^>]*/>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')") + ", 1, 8000)"
+found_in = lambda text: tuple(f"nullif(regexp_extract(lower({text}), {quoted(p)}, 1), '')" for p in (fixed.EMAIL, fixed.PHONE))
+EMAIL, PHONE = found_in(VISIBLE)
 COMPANY = r"split_part(replace(regexp_extract(url, '^\w+://(?:[^/?#@]*@)?([^/?#:]*)', 1), 'www.', ''), '.', 1)"
 for _view in ("pages", "pages_rich"):
     _end = "" if _view == "pages_rich" else "_raw"
@@ -223,25 +227,48 @@ for _view in ("pages", "pages_rich"):
     query("extract_phone" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.phone(extract.visible_text(F.col("html"))).alias("phone")), f"select page_id, {PHONE} as phone from {_view}")
     query("visible_text" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.visible_text(F.col("html")).alias("text")), f"select page_id, {VISIBLE} as text from {_view}")
     query("domain_company" + _end, lambda t, v=_view: getattr(t, v).select("page_id", extract.domain_company(F.col("url")).alias("company")), f"select page_id, {COMPANY} as company from {_view}")
-query("extract_links_abs", lambda t: t.pages_rich.select("page_id", F.size(extract.absolute_links(F.col("html"))).cast("long").alias("n")), f"select page_id, cast(len(list_filter({HREFS}, lambda h: h like 'http://%' or h like 'https://%')) as bigint) as n from pages_rich")
+ABSOLUTE = f"list_filter({HREFS}, lambda h: h like 'http://%' or h like 'https://%')"
+query("extract_links_abs", lambda t: t.renders.select("page_id", F.posexplode(extract.absolute_links(F.col("rendered_html"))).alias("place", "link")), f"select page_id, cast(unnest(range(len(l))) as integer) as place, unnest(l) as link from (select page_id, {ABSOLUTE} as l from (select page_id, rendered_html as html from renders))")
 query("extract_description", lambda t: t.pages_rich.select("page_id", extract.description(F.col("html")).alias("description")), f"select page_id, {DESC} as description from pages_rich")
 query("extract_og", lambda t: t.pages_rich.select("page_id", extract.shown_map(extract.meta_map(F.col("html"), "og")).alias("fields")), ALL_PAGES.format(meta_sql("property", "og")))
 query("extract_twitter", lambda t: t.pages_rich.select("page_id", extract.shown_map(extract.meta_map(F.col("html"), "twitter")).alias("fields")), ALL_PAGES.format(meta_sql("name", "twitter")))
 SCRIPT = r"""nullif(regexp_extract(html, '(?is)<script\b[^>]*type\s*=\s*["'']application/ld\+json["''][^>]*>(.*?)</script>', 1), '')"""
-query("jsonld_fields", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", *(F.element_at("ld.data", k).alias(k.lower()) for k in ("name", "foundingDate", "address", "address_street"))), f"select page_id, json_extract_string(j, '$.name') as name, json_extract_string(j, '$.foundingDate') as foundingdate, case when json_type(j, '$.address') = 'VARCHAR' then json_extract_string(j, '$.address') end as address, json_extract_string(j, '$.address.street') as address_street from (select page_id, {SCRIPT} as j from pages_rich) where j is not null")
-LEAVES = "struct_pack(k := 'name', v := 'Acme ' || page_id), struct_pack(k := 'description', v := 'd'), struct_pack(k := 'url', v := 'u'), struct_pack(k := 'email', v := 'a@b.co'), struct_pack(k := 'foundingDate', v := '2001'), case when page_id % 10 = 0 then struct_pack(k := 'address', v := 'x') else struct_pack(k := 'address_street', v := 's') end"
-query("flatten_json", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", F.explode("ld.data").alias("key", "value"), F.element_at("ld.kinds", F.col("key")).alias("kind")), f"select page_id, leaf.k as key, leaf.v as value, 'string' as kind from (select page_id, unnest([{LEAVES}]) as leaf from pages_rich where {SCRIPT} is not null)")
-query("flatten_json_rows", lambda t: _flattened(t), f"select page_id, leaf.k as key, leaf.v as value from (select page_id, unnest([{LEAVES}]) as leaf from pages_rich where {SCRIPT} is not null)")
-# the words employeecount ... logo do not occur in these pages, so name, description, url, email and date count 0.3 + 0.2 + 0.1 + 0.1 + 0.1
-LD_CONF = f"case when {SCRIPT} is null then 0e0 else 0e0 + 0.3e0 + 0.2e0 + 0.1e0 + 0.1e0 + case when json_type({SCRIPT}, '$.address') = 'VARCHAR' then 0.2e0 else 0e0 end + 0.1e0 end"
+#: The script where it is well-formed.
+LD = f"case when json_valid({SCRIPT}) then {SCRIPT} end"
+LEAF = r"""replace(replace(replace(replace(substr(fullkey, 3), '"', ''), '[', '_'), ']', ''), '.', '_')"""
+#: Leaves of each page's record.
+LEAVES = f"select page_id, {LEAF} as key, atom->>'$' as value, case type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from (select page_id, {LD} as j from pages_rich) p, json_tree(p.j) where j is not null and type not in ('OBJECT', 'ARRAY')"
+query("jsonld_fields", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", *(F.element_at("ld.data", k).alias(k.lower()) for k in ("name", "foundingDate", "address", "address_street"))), f"select page_id, json_extract_string(j, '$.name') as name, json_extract_string(j, '$.foundingDate') as foundingdate, case when json_type(j, '$.address') = 'VARCHAR' then json_extract_string(j, '$.address') end as address, json_extract_string(j, '$.address.street') as address_street from (select page_id, {LD} as j from pages_rich) where j is not null")
+query("flatten_json", lambda t: extract.fields(t.pages_rich).filter("ld.ok").select("page_id", F.explode("ld.data").alias("key", "value"), F.element_at("ld.kinds", F.col("key")).alias("kind")), LEAVES)
+query("flatten_json_rows", lambda t: _flattened(t), f"select page_id, key, value from ({LEAVES})")
+query("flatten_json_jvm", lambda t: variants.merged(variants.leaves(extract.scripts(t.pages_rich), "page_id", "script"), "page_id"), LEAVES)
+scalar = lambda *keys: " or ".join(f"coalesce(json_type({LD}, '$.{k}') not in ('OBJECT', 'ARRAY'), false)" for k in keys)
+LD_TERMS = (("name", "legalName"), "0.3e0"), (("description",), "0.2e0"), (("url",), "0.1e0"), (("email", "telephone"), "0.1e0"), (("address",), "0.2e0"), (("foundingDate",), "0.1e0")
+LD_CONF = f"case when {LD} is null then 0e0 else least(0e0 + " + " + ".join(f"case when {scalar(*keys)} then {w} else 0e0 end" for keys, w in LD_TERMS) + "".join(f" + case when contains(lower({LD}), {quoted(w)}) then 0.1e0 else 0e0 end" for w in fixed.STRUCTURED_WORDS) + ", 1e0) end"
 OG = r"""regexp_matches(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:{}["''][^>]*\bcontent\s*=\s*"[^"]+"')"""
 META_CONF = f"least(0e0 + case when {TITLE} <> '' then 0.3e0 else 0e0 end + case when {DESC} <> '' then 0.3e0 else 0e0 end + case when {OG.format('title')} or {OG.format('description')} then 0.2e0 else 0e0 end + case when len({LINKS}) > 0 then 0.1e0 else 0e0 end + case when {OG.format('image')} then 0.1e0 else 0e0 end, 1e0)"
-RENDERED_CONF = f"least(0.3e0 + case when {TITLE} <> '' then 0.2e0 else 0e0 end + case when {DESC} <> '' or {OG.format('description')} then 0.2e0 else 0e0 end + case when {EMAIL} is not null then 0.2e0 else 0e0 end + case when {PHONE} is not null then 0.1e0 else 0e0 end + case when len(list_filter({HREFS}, lambda h: h like 'http://%' or h like 'https://%')) > 5 then 0.1e0 else 0e0 end + case when {COMPANY} <> '' then 0.1e0 else 0e0 end, 1e0)"
+rendered_sql = lambda mail, call: f"least(0.3e0 + case when {TITLE} <> '' then 0.2e0 else 0e0 end + case when {DESC} <> '' or {OG.format('description')} then 0.2e0 else 0e0 end + case when {mail} is not null then 0.2e0 else 0e0 end + case when {call} is not null then 0.1e0 else 0e0 end + case when len({ABSOLUTE}) > 5 then 0.1e0 else 0e0 end + case when {COMPANY} <> '' then 0.1e0 else 0e0 end, 1e0)"
+RENDERED_CONF = rendered_sql(EMAIL, PHONE)
+PLAIN_CONF = rendered_sql(*found_in(BARE))
 query("jsonld_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", F.when(F.col("ld.ok"), extract.jsonld_confidence(F.col("ld.data"), F.col("ld.shown"))).otherwise(F.lit(0.0)).alias("confidence")), f"select page_id, {LD_CONF} as confidence from pages_rich")
 query("meta_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", extract.meta_confidence(F.col("title"), F.col("description"), F.col("og"), F.col("links")).alias("confidence")), f"select page_id, {META_CONF} as confidence from pages_rich")
 query("rendered_confidence", lambda t: extract.fields(t.pages_rich).select("page_id", extract.rendered_confidence(F.col("title"), F.col("description"), F.element_at("og", "og_description"), F.col("email"), F.col("phone"), F.col("plain_links"), F.col("company")).alias("confidence")), f"select page_id, {RENDERED_CONF} as confidence from pages_rich")
 query("scrape_waterfall", lambda t: extract.attempted(t.pages_rich).select("page_id", F.col("scraping_method").alias("method"), F.col("scraping_confidence").alias("confidence")), f"select page_id, case when c1 > 0.7e0 then 'json_ld' when c2 > 0.5e0 then 'structured_data' else 'playwright' end as method, case when c1 > 0.7e0 then c1 when c2 > 0.5e0 then c2 else c3 end as confidence from (select page_id, {LD_CONF} as c1, {META_CONF} as c2, {RENDERED_CONF} as c3 from pages_rich)")
 
+# pages that fail both gates get what a renderer made of them, and no others
+query("render_waterfall", lambda t: extract.attempted(t.pages_rich, render=web.rendered_from(t.renders)).select("page_id", "success", F.col("scraping_method").alias("method"), F.col("scraping_confidence").alias("confidence"), "error_message", "title", "email", "phone", "linkedin_url", "render_wanted"), f"""
+with plain as (select page_id, url, html, {LD_CONF} as c1, {META_CONF} as c2, {PLAIN_CONF} * 0.8e0 as c4, {TITLE} as title, {LINKS} as links, {ABSOLUTE} as abs_links, json_extract_string({LD}, '$.email') as ld_email, {found_in(BARE)[0]} as p_email, {found_in(BARE)[1]} as p_phone from pages_rich),
+wanted as (select r.page_id, r.render_status, r.render_error, url, r.rendered_html as html from renders r join plain on plain.page_id = r.page_id where not (c1 > 0.7e0 or c2 > 0.5e0)),
+seen as (select page_id, render_status, render_error, html is not null as there, {RENDERED_CONF} as c3, {TITLE} as r_title, {EMAIL} as r_email, {PHONE} as r_phone, {ABSOLUTE} as r_links from wanted),
+chosen as (select *, case when c1 > 0.7e0 then 'json_ld' when c2 > 0.5e0 then 'structured_data' when contains(render_error, 'NotImplementedError') then 'requests' else 'playwright' end as method, coalesce(there and render_status = 200, false) as rendered from plain left join seen using (page_id))
+select page_id, method <> 'playwright' or rendered as success, method,
+  case method when 'json_ld' then c1 when 'structured_data' then c2 when 'requests' then c4 else case when rendered then c3 when render_status = 200 then 0.3e0 else 0e0 end end as confidence,
+  case when method = 'playwright' and not rendered then coalesce(render_error, case when render_status <> 200 then 'HTTP ' || render_status when render_status = 200 then 'No data extracted by Playwright' end, 'no answer') end as error_message,
+  case method when 'json_ld' then null when 'playwright' then case when rendered then r_title end else title end as title, case method when 'json_ld' then ld_email when 'playwright' then case when rendered then r_email end when 'requests' then p_email end as email,
+  case method when 'playwright' then case when rendered then r_phone end when 'requests' then p_phone end as phone,
+  list_filter(case method when 'structured_data' then links when 'playwright' then case when rendered then r_links end when 'requests' then abs_links end, lambda h: contains(h, 'linkedin.com'))[1] as linkedin_url,
+  not (c1 > 0.7e0 or c2 > 0.5e0) as render_wanted from chosen""")
+
 # --- enrichment
 HITS = {n: " + ".join(f"contains(low, {quoted(w)})::int" for w in words) for n, words in fixed.INDUSTRIES.items()}
 MOST = f"greatest({', '.join(HITS.values())})"
@@ -307,29 +334,28 @@ PROMPT = template_sql(fixed.PROMPT.replace("{industry}", "{kind}").replace("{com
 query("llm_prompt", lambda t: t.leads.withColumn("about_text", F.when(F.col("id") % 2 == 0, F.repeat(F.lit("about "), 40))).select("id", message.prompt().alias("prompt")), f"select id, concat_ws(chr(10), 'Sender Organization: {fixed.SENDER}', 'Recipient Company: ' || firm, 'Industry: ' || kind, 'Website: ' || website, case when id % 2 = 0 then 'About: ' || substr(repeat('about ', 40), 1, 200) || '...' end, 'Contact: ' || coalesce(nullif(contact_name, ''), 'the team'), case when employees <> '' then 'Size: ' || employees || ' employees' end, replace(replace({PROMPT}, '{{kind}}', kind), '{{firm}}', firm)) as prompt from (select *, coalesce(nullif(company_name, ''), 'their company') as firm, coalesce(nullif(industry, ''), 'their industry') as kind from leads)")
 
 # --- the whole way
-LD = ("'name': 'Acme ", "', 'description': 'd', 'url': 'u', 'email': 'a@b.co', 'foundingDate': '2001', ", "'address': 'x'", "'address_street': 's'")
-SHOWN = f"case when page_id % 5 <> 0 then {quoted('{}')} else {quoted(chr(123) + LD[0])} || page_id || {quoted(LD[1])} || case when page_id % 10 = 0 then {quoted(LD[2])} else {quoted(LD[3])} end || {quoted(chr(125))} end"
-BARE = "case when page_id % 4 <> 3 then 'alh' else '' end || ' mail INFO@Acme.example.com call +1 555-010-0001'"
-OG_DESC = "case when page_id % 3 = 0 then 'Growing team, founded in 2005' end"
-LINKEDIN = "case when page_id % 4 <> 3 then 'https://www.linkedin.com/company/a' end"
+PY = "case type when 'VARCHAR' then '''' || (atom->>'$') || '''' when 'BOOLEAN' then case atom->>'$' when 'true' then 'True' else 'False' end when 'NULL' then 'None' else atom->>'$' end"
+SHOWN = f"(select '{{' || coalesce(string_agg('''' || {LEAF} || ''': ' || {PY}, ', ' order by x.id), '') || '}}' from json_tree({LD}) x where type not in ('OBJECT', 'ARRAY'))"
+OG_DESC = ENT.format(r"""nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bproperty\s*=\s*["'']og:description["''][^>]*\bcontent\s*=\s*"([^"]*)"', 1), '')""")
+LINKEDIN, ABS_LINKEDIN = (f"list_filter({links}, lambda h: contains(h, 'linkedin.com'))[1]" for links in (LINKS, ABSOLUTE))
 PRIOR = {"website": "url", **{c: f"cast(null as {'integer' if c == 'founded_year' else 'varchar'})" for c in list(process.LEAD)[1:-1]}, "email_confidence": "0e0"}
 
 
 def process_sql(source: str, ai: str, strict: bool = False) -> str:
     """What becomes of ``source(page_id, url, html, status, ..., old_<field>, ai)``, step by step."""
     one = "cast(0 as double)"
-    tried = f"(select *, coalesce(error is null and status = 200, false) as answered, coalesce(contains(render_error, 'NotImplementedError') or contains(lower(render_error), 'subprocess'), false) as stand_in, coalesce(render_error is null and render_status = 200, false) as rendered, {LD_CONF} as c1, {META_CONF} as c2, {RENDERED_CONF} as c3, {TITLE} as page_title, {DESC} as page_desc, {EMAIL} as page_email, {PHONE} as page_phone, {VISIBLE} as visible from {source})"
+    tried = f"(select *, coalesce(error is null and status = 200, false) as answered, coalesce(contains(render_error, 'NotImplementedError') or contains(lower(render_error), 'subprocess'), false) as stand_in, coalesce(render_error is null and render_status = 200, false) as rendered, {LD_CONF} as c1, {META_CONF} as c2, {RENDERED_CONF} as c3, {PLAIN_CONF} as c4, {OG_DESC} as og_desc, {LINKEDIN} as linked, {ABS_LINKEDIN} as abs_linked, {BARE} as bare, {SHOWN} as repr, json_extract_string({LD}, '$.description') as ld_desc, json_extract_string({LD}, '$.email') as ld_email, {found_in(BARE)[0]} as bare_email, {found_in(BARE)[1]} as bare_phone, {TITLE} as page_title, {DESC} as page_desc, {EMAIL} as page_email, {PHONE} as page_phone, {VISIBLE} as visible from {source})"
     chosen = f"(select *, case when answered and c1 > 0.7e0 then 'json_ld' when answered and c2 > 0.5e0 then 'structured_data' when stand_in then 'requests' else 'playwright' end as way from {tried})"
     done = f"(select *, case way when 'requests' then answered when 'playwright' then rendered else true end as ok from {chosen})"
     of = lambda ld, meta, shown, plain, old: f"case when not ok then {old} when way = 'json_ld' then {ld} when way = 'structured_data' then {meta} when way = 'playwright' then {shown} else {plain} end"
     http = "coalesce({0}error, case when {0}status <> 200 then 'HTTP ' || {0}status end, 'no answer')"
     merged = f"""(select page_id as id, old_website as website, {of('old_company_name', 'page_title', 'page_title', 'page_title', 'old_company_name')} as company_name,
-      {of("'d'", f"coalesce({OG_DESC}, page_desc, old_about_text)", OG_DESC, f"coalesce({OG_DESC}, old_about_text)", 'old_about_text')} as about_text,
-      {of("'a@b.co'", 'old_email', 'page_email', 'page_email', 'old_email')} as email, {of('old_phone', 'old_phone', 'page_phone', 'page_phone', 'old_phone')} as phone,
-      {of('old_linkedin_url', f"coalesce({LINKEDIN}, old_linkedin_url)", f"coalesce({LINKEDIN}, old_linkedin_url)", f"coalesce({LINKEDIN}, old_linkedin_url)", 'old_linkedin_url')} as linkedin_url,
-      case when ok then way end as scrape_source, {of('c1', 'c2', 'c3', 'c3 * 0.8e0', one)} as scraping_confidence, way as scraping_method, ok as scraping_success,
+      {of('ld_desc', 'coalesce(og_desc, page_desc, old_about_text)', 'og_desc', 'coalesce(og_desc, old_about_text)', 'old_about_text')} as about_text,
+      {of('ld_email', 'old_email', 'page_email', 'coalesce(bare_email, old_email)', 'old_email')} as email, {of('old_phone', 'old_phone', 'page_phone', 'coalesce(bare_phone, old_phone)', 'old_phone')} as phone,
+      {of('old_linkedin_url', 'coalesce(linked, old_linkedin_url)', 'coalesce(abs_linked, old_linkedin_url)', 'coalesce(abs_linked, old_linkedin_url)', 'old_linkedin_url')} as linkedin_url,
+      case when ok then way end as scrape_source, {of('c1', 'c2', 'c3', 'c4 * 0.8e0', one)} as scraping_confidence, way as scraping_method, ok as scraping_success,
       case when ok then null when way = 'requests' then {http.format('')} else {http.format('render_')} end as error_message,
-      {of("'d'", f"coalesce(page_desc, {OG_DESC}, page_title)", 'visible', BARE, 'null')} as told, case when ok and way in ('playwright', 'requests') then {SHOWN} end as shown, {ai} as ai, {', '.join(f'old_{c}' for c in (*fixed.HEURISTIC_WEIGHTS, 'email_confidence'))} from {done})"""
+      {of('ld_desc', 'coalesce(page_desc, og_desc, page_title)', 'visible', 'bare', 'null')} as told, case when ok and way in ('playwright', 'requests') then repr end as shown, {ai} as ai, {', '.join(f'old_{c}' for c in (*fixed.HEURISTIC_WEIGHTS, 'email_confidence'))} from {done})"""
     texts = f"(select *, case when ai then concat_ws(' ', 'Company: ' || nullif(company_name, ''), nullif(about_text, ''), told, shown) end as text from {merged})"
     inferred = INFERRED.replace("(select id, text, lower(text) as low from lead_text)", f"(select id, text, lower(text) as low from {texts})")
     best = f"(select id as iid, case when {CONF} > 0.7e0 then {CONF} end as sure, {', '.join(f'{c} as new_{c}' for c in fixed.HEURISTIC_WEIGHTS)} from {inferred})"

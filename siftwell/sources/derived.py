@@ -57,14 +57,16 @@ select doc_id as id, concat('Company: C', cast(doc_id as varchar(20)), ' ', text
 from documents
 """,
     "pages_rich": """
-select page_id, url, concat('<html><head><title> Acme ', cast(page_id as varchar(20)), ' Inc </title>',
-  case when page_id % 2 = 0 then '<meta name="description" content=" Cloud software platform ">' else '' end,
+select page_id, url, replace(replace(html, '<meta charset="utf-8">', concat('<meta charset="utf-8">',
+  case when page_id % 2 = 0 then '<meta name="description" content=" Cloud software &amp; platform ">' else '' end,
   case when page_id % 3 = 0 then '<meta property="og:title" content="OG"><meta property="og:description" content="Growing team, founded in 2005">' else '' end,
-  case when page_id % 7 = 0 then '<meta property="og:image" content="i.png"><meta name="twitter:card" content="summary">' else '' end,
-  case when page_id % 5 = 0 then concat('<script type="application/ld+json">{"name":"Acme ', cast(page_id as varchar(20)), '","description":"d","url":"u","email":"a@b.co","foundingDate":"2001"',
-    case when page_id % 10 = 0 then ',"address":"x"' else ',"address":{"street":"s"}' end, '}</script>') else '' end,
-  '</head><body>', case when page_id % 4 <> 3 then '<a href="/about">a</a><a href="https://www.linkedin.com/company/a">l</a><a href="#x">h</a>' else '' end,
-  ' mail INFO@Acme.example.com call +1 555-010-0001</body></html>') as html
+  case when page_id % 7 = 0 then '<meta property="og:image" content="i.png"/><meta name="twitter:card" content="summary"><script src="t.js"/>' else '' end,
+  case when page_id % 5 = 0 then concat('<script type="application/ld+json">{"@type":"Organization","name":"Acme ', cast(page_id as varchar(20)), '","description":"d","url":"u","email":"a@b.co","foundingDate":"2001"',
+    case when page_id % 10 = 0 then ',"address":"x"' else ',"address":{"street":"s"}' end,
+    case when page_id % 15 = 0 then ',"sameAs":["https://x.example/a","https://y.example/b"],"offers":[{"price":1.5,"tags":[],"ok":true},{"price":null,"n":3,"of":{"logo":"l.png"}}]' else '' end,
+    case when page_id % 35 = 0 then '' else '}' end, '</script>') else '' end)),
+  '<body>', concat('<body>', case when page_id % 4 <> 3 then '<a href="/about">a</a><a href="https://www.linkedin.com/company/a">l</a><a href="#x">h</a>' else '' end,
+  ' mail INFO@Acme.example.com call +1 555-010-0001 ')) as html
 from pages
 """,
 }
@@ -76,6 +78,14 @@ select page_id, url, html, cast(case page_id % 9 when 4 then 404 when 7 then 503
   case page_id % 8 when 1 then 'Browser launch failed: NotImplementedError' when 7 then 'no Subprocess here' when 4 then 'crashed' end as render_error
 from ({VIEWS["pages_rich"].strip()}) p
 """
+#: What a renderer made of pages: some elements come from scripts only; some pages were not rendered, or gave nothing.
+VIEWS["renders"] = """
+select page_id, case when page_id % 11 = 4 then null else replace(replace(html, '</title>', concat(' &ndash; page ', cast(page_id as varchar(20)), '</title>')), '<body>', concat('<body><p>Reach us: team', cast(page_id as varchar(20)), '@rendered.example.org or +44 (555) 010-7788</p>',
+    case when page_id % 3 = 1 then '<a href="https://a.example/1">1</a><a href="https://a.example/2">2</a><a href="https://a.example/3">3</a><a href="https://a.example/4">4</a><a href="https://a.example/5">5</a><a href="https://linkedin.com/in/b">6</a>' else '' end)) end as rendered_html,
+  cast(case page_id % 8 when 3 then 500 when 1 then null when 5 then null else 200 end as int) as render_status,
+  case page_id % 8 when 1 then 'Browser launch failed: NotImplementedError' when 5 then 'crashed' end as render_error
+from pages
+"""
 #: Users, keys and requests shaped like the application's.
 VIEWS["users"] = """
 select c_custkey as id, concat('user', cast(c_custkey % 400 as varchar(20)), '@c', cast(c_custkey as varchar(20)), '.example.com') as email, concat('hash', cast(c_custkey as varchar(20))) as hashed_password,

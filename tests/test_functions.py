@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwell.functions import enrich, extract, message, score
+from siftwell.functions import enrich, extract, message, score, variants
 
 
 def texts(spark, *rows):
@@ -81,6 +81,32 @@ def test_entities_and_links_as_browsers_see_them(spark):
     assert r.plain_links == r.links[:1] and "caf\u00e9 <b>" in r.visible and "script" not in r.body_text
 
 
+def test_elements_that_close_themselves_hold_nothing(spark):
+    """A page of 3 KB with entities, comments and elements that close themselves: all that follows them counts."""
+    words = " ".join(f"w{i} &lt;{i}&gt;" for i in range(250))
+    html = f"""<!DOCTYPE html><html><head><meta charset="utf-8"/><script src="a.js"/><style/><title>Hello &amp; all</title><meta name="description" content="d"/></head>
+    <body><script async src='b.js' /><!-- <p>hidden</p> --><p>Caf&eacute;<br/>open</p>\n\t <title/>{words}<script>var t = "</p>";</script>mail <b>A@b.co</b></body></html>"""
+    r = extract.fields(pages(spark, html)).first()
+    assert len(html) > 3000 and (r.title, r.description, r.email) == ("Hello & all", "d", "a@b.co")
+    assert r.visible.startswith("Caf\u00e9 open w0 <0> w1 <1>") and r.visible.endswith("mail A@b.co") and "hidden" not in r.visible and "var t" not in r.body_text
+    assert r.visible == " ".join(r.visible.split(" ")) and "  " not in r.visible
+
+
+def test_json_on_the_jvm_equals_the_table_function(spark):
+    """Deep and mixed values, several texts of one record, an outermost list, malformed texts."""
+    deep = "1"
+    for i in range(60):
+        deep = f'{{"k{i}":[{deep},"x"]}}' if i % 2 else f"[{deep},null,{{}},[]]"
+    texts_of = {1: ['{"a":{"b":[1,{"c":null}]},"d":"x y","e":{},"t":true,"z":[[],[[2.5]]]}'], 2: ['[3,{"k":"v"},[["n"]],"bare"]'], 3: ["bad"], 4: ['"s"'], 5: [f'{{"deep":{deep}}}'], 6: ['{"a":1,"b":false}', '{"c":"\\u00e9\\"q"}'], 7: [""]}
+    rows = [(i, t) for i, ts in texts_of.items() for t in ts]
+    found = variants.leaves(spark.createDataFrame(rows, "id int, t string"), "id", "t")
+    got = {(r.id, r.key, r.value, r.kind) for r in variants.merged(found, "id").collect()}
+    want = {(i, k, extract.as_text(v), extract.kind(v)) for i, ts in texts_of.items() for ok, data in [extract.read_scripts(ts)] if ok for k, v in data.items()}
+    assert got == want and max(len(r.place) for r in found.collect()) > 55
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_attempts(spark):
     """How a page was fetched decides what it gives: by hand, one row a case."""
     good, bare = PAGE.format(""), "<p>mail a@b.co</p>"
@@ -92,7 +118,7 @@ def test_attempts(spark):
     got = {r.page_id: (r.success, r.scraping_method, round(r.scraping_confidence, 9), r.error_message, r.email) for r in extract.attempted(df).collect()}
     assert got == {
         0: (True, "structured_data", 0.9, None, None), 1: (True, "playwright", 0.6, None, "a@b.co"), 2: (False, "playwright", 0.0, "HTTP 404", None), 3: (False, "playwright", 0.0, "crashed", None),
-        4: (True, "requests", 0.32, None, None), 5: (False, "requests", 0.0, "HTTP 500", None), 6: (False, "playwright", 0.0, "no answer", None), 7: (True, "requests", 0.48, None, "a@b.co"),
+        4: (True, "requests", 0.32, None, None), 5: (False, "requests", 0.0, "HTTP 500", None), 6: (False, "playwright", 0.3, "No data extracted by Playwright", None), 7: (True, "requests", 0.48, None, "a@b.co"),
     }
 
 

@@ -122,6 +122,37 @@ def test_web_pages(spark):
     assert rows == {7: (True, "https://a.example", None), 8: (False, None, "no answer")}
 
 
+def test_only_pages_that_fail_both_gates_are_rendered(spark, tmp_path):
+    """Each call of fetch and render leaves a file: one a page, and one for each page of the third tier."""
+    folder = str(tmp_path)
+    plain = view(spark, SF, "pages_rich").limit(40).select("page_id", "url", "html").toPandas()
+    plain["url"] = [f"https://p{i}.example/" for i in plain["page_id"]]
+    htmls = dict(zip(plain["url"], plain["html"]))
+
+    def noted(kind, url):
+        import uuid
+
+        open(f"{folder}/{kind}-{url.split('/')[2]}-{uuid.uuid4().hex}", "w").close()
+
+    def fetch(url):
+        noted("fetch", url)
+        return {"status": 200, "html": htmls[url]}
+
+    def render(url):
+        noted("render", url)
+        if url.startswith("https://p1."):
+            raise OSError("crashed")
+        return {"render_status": 200, "html": f"<title>rendered {url}</title><p>x@y.example"}
+
+    asked = spark.createDataFrame(plain[["page_id", "url"]]).repartition(3)
+    rows = extract.attempted(web.fetched_pages(asked, fetch), render=web.rendering(render)).collect()
+    last = {r.url for r in rows if r.scraping_method == "playwright"}
+    calls = {k: sorted(f"https://{p.name.split('-')[1]}/" for p in tmp_path.iterdir() if p.name.startswith(k)) for k in ("fetch", "render")}
+    assert calls["render"] == sorted(last) == sorted(r.url for r in rows if r.render_wanted) and 0 < len(last) < 40
+    assert calls["fetch"] == sorted(htmls)
+    assert {r.url: (r.success, r.title, r.email) for r in rows if r.url in last} == {u: (False, None, None) if u.startswith("https://p1.") else (True, f"rendered {u}", "x@y.example") for u in last}
+
+
 def test_export(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a,b"), (2, None)], "id int, name string")
     for kind in ("csv", "json", "parquet", "orc"):
