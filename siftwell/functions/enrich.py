@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import fixed, variants
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -92,7 +94,7 @@ def waterfall(rows: DataFrame, text: str = "text", external=None, model=None) ->
 
     Inference must be surer than 0.7; ``external``, a function from the text to a struct of the six fields and a
     ``confidence``, surer than 0.6; ``model``, one from the first 2000 characters of the text to a struct of the six fields,
-    counts where it gives any. Both are off by default; they get a null text where an earlier way has passed.
+    counts where it gives any; a struct with ``named`` says itself how many values it has. Both are off by default; they get a null text where an earlier way has passed.
     """
     names = [*FIELDS, "confidence"]
     found = inferred(rows, text).withColumn("_one", F.struct(*names)).drop(*names)
@@ -106,8 +108,9 @@ def waterfall(rows: DataFrame, text: str = "text", external=None, model=None) ->
     if model is not None:
         found = found.withColumn("_three", model(F.substring(waiting(), 1, 2000)))
         given = [F.col(f"_three.{c}") for c in FIELDS]
-        found = found.withColumn("_sure", language_model_confidence(given))
-        found = found.withColumn("method", F.coalesce("method", F.when(F.coalesce(*(c.cast("string") for c in given)).isNotNull(), F.lit("llm"))))
+        names_all = "named" in found.schema["_three"].dataType.names
+        found = found.withColumn("_sure", F.least(F.lit(0.5) + F.lit(0.1) * F.col("_three.named"), F.lit(0.8)) if names_all else language_model_confidence(given))
+        found = found.withColumn("method", F.coalesce("method", F.when(F.col("_three.named") > 0 if names_all else F.coalesce(*(c.cast("string") for c in given)).isNotNull(), F.lit("llm"))))
         ways.append("_three")
     kinds = {"_one": "heuristic", "_two": "external_api", "_three": "llm"}
 
@@ -120,3 +123,50 @@ def waterfall(rows: DataFrame, text: str = "text", external=None, model=None) ->
         return out
 
     return found.select(*rows.columns, *(of(n).alias(n) for n in names), "method")
+
+#: How many prompts go to a model at once.
+TOGETHER = 16
+
+
+def asked(rows: DataFrame, prompt: str, ask: Callable[[list[str]], list[str | None]], together: int = TOGETHER) -> DataFrame:
+    """``prompt, answer`` for each distinct prompt of ``rows`` that is not null, which is asked once.
+
+    ``ask`` takes up to ``together`` prompts and gives as many answers, as texts; what it raises leaves its prompts without an answer.
+    Write the result before it is used several times: a plan that reads it twice asks twice.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            prompts = b["prompt"].tolist()
+            for i in range(0, len(prompts), together):
+                part = prompts[i : i + together]
+                try:
+                    answers = list(ask(part))
+                except Exception:  # a model that fails leaves leads to what else is known of them
+                    answers = []
+                yield pd.DataFrame({"prompt": part, "answer": pd.Series((answers + [None] * len(part))[: len(part)], dtype=object)})
+
+    return rows.select(F.col(prompt).alias("prompt")).filter("prompt is not null").distinct().mapInPandas(run, "prompt string, answer string")
+
+
+def told(answer: Column) -> Column:
+    """The fields that a model's answer names: what stands between its first and its last brace, read as JSON.
+
+    A struct of the six fields and ``named``, how many keys of the answer have a value, whatever their names; null where there are no
+    braces, what is between them is malformed, or all is null. A value of another type than its field's is no value.
+    """
+    v = variants.parsed(F.regexp_extract(answer, r"(?s)\{.*\}", 0))
+    typed = lambda c: F.try_variant_get(v, f"$.{c}", "int") if c == "founded_year" else F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant")) == "STRING", F.try_variant_get(v, f"$.{c}", "string"))
+    named = F.size(F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: ~F.is_variant_null(x)))
+    out = F.struct(*(typed(c).alias(c) for c in FIELDS), named.alias("named"))
+    return F.when(named > 0, out)
+
+
+def answered(rows: DataFrame, prompt: str, answers: DataFrame, into: str) -> DataFrame:
+    """``rows`` with what the ``answers(prompt, answer)`` to their prompts say, as a struct ``into`` (see ``told``).
+
+    Rows meet answers by a digest of the prompt, so long prompts are not shuffled as keys beside the rows.
+    """
+    known = answers.select(F.sha2("prompt", 256).alias("_asked"), "answer").dropDuplicates(["_asked"])
+    joined = rows.withColumn("_asked", F.sha2(F.col(prompt), 256)).join(known, "_asked", "left")
+    return joined.withColumn(into, told(F.col("answer"))).drop("_asked", "answer")

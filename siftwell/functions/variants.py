@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Containers may lie so deep in each other.
 DEEPEST = 100
 
 
+def parsed(text: Column) -> Column:
+    """The JSON value that ``text`` is, as a variant; null if it is malformed, or has anything behind the value.
+
+    The parser stops where a value ends, so the text is read as the one member of a list.
+    """
+    members = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(members) == 1, F.get(members, F.lit(0)))
+
+
 def leaves(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """``ident, key, value, kind, place`` of every leaf of the JSON in ``text``: parts of its path joined by ``_``, places in lists
     are parts, empty containers vanish. Members of an outermost list are records of their own; malformed texts and
@@ -22,7 +31,7 @@ def leaves(rows: DataFrame, ident: str, text: str) -> DataFrame:
     """
     spark, name = rows.sparkSession, f"json_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as there are
-    rows.select(F.col(ident).alias("ident"), F.try_parse_json(F.col(text)).alias("v")).createOrReplaceTempView(name)
+    rows.select(F.col(ident).alias("ident"), parsed(F.col(text)).alias("v")).createOrReplaceTempView(name)
     holds = lambda v, *kinds: "(" + " or ".join(f"schema_of_variant({v}) like '{k}%'" for k in kinds) + ")"
     found = spark.sql(f"""
         with recursive tops as (

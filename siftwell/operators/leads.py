@@ -8,9 +8,57 @@ from pyspark.sql import functions as F
 from siftwell.functions import score
 
 
-def page(rows: DataFrame, skip: int = 0, limit: int = 100, key: str = "id") -> DataFrame:
-    """``limit`` rows after the first ``skip`` in the order of ``key``: a top-k, no total sort."""
-    return rows.orderBy(key).offset(skip).limit(limit)
+#: So many rows are put in order in one place at most.
+AT_ONCE = 10_000
+
+
+def page(rows: DataFrame, skip: int = 0, limit: int = 100, key: str = "id", at_once: int = AT_ONCE) -> DataFrame:
+    """``limit`` rows after the first ``skip`` in the order of ``key``, a number.
+
+    Near the beginning this is a top-k, no total sort. Farther on, rows are counted in up to 256 ranges of the key, whose bounds are
+    approximate quantiles; sums of the counts tell in which ranges the page lies, and only these are read again, in ranges of
+    their own until few rows are left: the bounds reach the scan as a filter. Rows without key come first, as one range.
+    """
+    if skip + limit <= at_once:
+        return rows.orderBy(key).offset(skip).limit(limit)
+    k = F.col(key)
+    many = rows.count()
+    parts = max(2, min(256, 4 * many // at_once))
+    bounds = rows.agg(F.percentile_approx(k, [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first()["b"]
+    bounds = sorted(set(bounds or []))
+    place = F.when(k.isNull(), F.lit(-1)).otherwise(found_among(k, bounds))
+    counts = {r["place"]: r["n"] for r in rows.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()}  # a row a range
+    before, wanted, passed = 0, [], 0
+    for p in sorted(counts):
+        if before + counts[p] > skip and before < skip + limit:
+            wanted.append(p)
+        elif before + counts[p] <= skip:
+            passed = before + counts[p]
+        before += counts[p]
+    if not wanted:
+        return rows.limit(0)
+    low, high = wanted[0], wanted[-1]
+    some = F.lit(True)
+    if low > 0:
+        some = some & (k >= F.lit(bounds[low - 1]))
+    if 0 <= high < len(bounds):
+        some = some & (k < F.lit(bounds[high]))
+    if high < 0:
+        some = k.isNull()
+    elif low < 0:
+        some = k.isNull() | some
+    there = sum(counts[p] for p in wanted)
+    if there == many:  # one key has so many rows
+        return rows.orderBy(key).offset(skip).limit(limit)
+    return page(rows.filter(some), skip - passed, limit, key, at_once)
+
+
+def found_among(k: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are no more than ``k``, by halves."""
+    if not bounds:
+        return F.lit(0)
+    middle = len(bounds) // 2
+    return F.when(k < F.lit(bounds[middle]), found_among(k, bounds[:middle])).otherwise(F.lit(middle + 1) + found_among(k, bounds[middle + 1 :]))
 
 
 def of_organization(leads: DataFrame, organization_id: int, active_only: bool = False) -> DataFrame:
@@ -100,8 +148,11 @@ def updated(rows: DataFrame, changes: DataFrame, columns: list[str], key: str =
     return joined.select(*[F.when(F.coalesce(F.col(f"_set_{n}"), F.lit(False)), F.col(f"_new_{n}")).otherwise(F.col(n)).alias(n) if n in columns else F.col(n) for n in rows.columns])
 
 
-def soft_deleted(rows: DataFrame, ids: list[int]) -> DataFrame:
-    return rows.withColumn("is_active", F.when(F.col("id").isin(ids), F.lit(False)).otherwise(F.col("is_active")))
+def soft_deleted(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is in ``gone`` stay, as no longer active; for tables that are changed in place see ``tables.Table``."""
+    marks = gone.select(F.col(key).alias("_gone")).distinct()
+    joined = rows.join(marks, F.col(key) == F.col("_gone"), "left")
+    return joined.select(*((F.col("is_active") & F.col("_gone").isNull()).alias(c) if c == "is_active" else F.col(c) for c in rows.columns))
 
 
 def prepended(rows: DataFrame, new: DataFrame) -> DataFrame:
@@ -123,6 +174,11 @@ def counted_usage(organizations: DataFrame, records: DataFrame) -> DataFrame:
     return organizations.join(sums, organizations["id"] == sums["organization_id"], "left").select(organizations["*"], F.coalesce("usage_count", F.lit(0)).cast("long").alias("usage_count"))
 
 
+def first_users(users: DataFrame) -> DataFrame:
+    """``organization_id, email`` of the first user of each organization."""
+    return users.groupBy("organization_id").agg(F.min_by("email", "id").alias("email"))
+
+
 def log_event(kind: str, *columns: str) -> Column:
     """A structured log record as JSON."""
     return F.to_json(F.struct(F.lit(kind).alias("event"), *columns))

@@ -120,30 +120,33 @@ def folded(events: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     ``events(event_id, at, organization_id, kind, price, status, at_period_end)``. A creation makes or changes the row; an
     update changes it if it is there; a deletion cancels it if it is there; payments change nothing; organization 0
     or null is skipped. ``existing(organization_id, plan_name, status, cancel_at_period_end)``: rows that were there
-    before, one for each organization; those without events are given back as they are. What an event sees depends on
-    whether there was a row or a creation before it, so one window finds that and the last values after it.
+    before, one for each organization; those without events are given back as they are.
+
+    What counts is a summary of each organization that merges in any order: its first creation, its last event, the last of those
+    that carry a plan, the last update. Tasks merge what they read before anything is shuffled, so an organization with
+    half of all events is a row a task like any other. Events before the first creation need no filter: the last event, and
+    the last that carries a plan, are never before it; an update that is, is known by its place.
     """
     rows = events.filter("coalesce(organization_id, 0) <> 0 and kind in ('created', 'updated', 'deleted')")
+    plan = plan_of_price(F.col("price"))
+    place = F.struct("at", "event_id")
+    of = lambda when, **what: F.max(F.when(when, F.struct("at", "event_id", *(c.alias(n) for n, c in what.items()))))
+    created, deleted = F.col("kind") == "created", F.col("kind") == "deleted"
+    sums = rows.groupBy(F.col("organization_id").alias("_of")).agg(
+        F.min(F.when(created, place)).alias("first"), of(F.lit(True), gone=deleted, status=F.col("status")).alias("last"),
+        of(~deleted, plan=plan).alias("paid"), of(F.col("kind") == "updated", flag=F.coalesce("at_period_end", F.lit(False))).alias("updated"),
+    )
     if existing is None:
-        held = rows.select("organization_id", F.lit(None).cast("string").alias("_p"), F.lit(None).cast("string").alias("_s"), F.lit(None).cast("boolean").alias("_f")).limit(0)
+        held = sums.select("_of").limit(0).selectExpr("_of as organization_id", "cast(null as string) as _p", "cast(null as string) as _s", "cast(null as boolean) as _f", "true as _held")
     else:
-        held = existing.select("organization_id", F.col("plan_name").alias("_p"), F.col("status").alias("_s"), F.col("cancel_at_period_end").alias("_f"))
-    w = Window.partitionBy("organization_id").orderBy("at", "event_id")
-    rows = rows.join(held.select("organization_id", F.lit(True).alias("_held")), "organization_id", "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
-    begun = F.max((F.col("_held") | (F.col("kind") == "created")).cast("int")).over(w)
-    rows = rows.withColumn("_begun", begun).filter("_begun = 1").withColumn("_place", F.row_number().over(w))
-    plan = F.when(F.col("kind") != "deleted", plan_of_price(F.col("price")))
+        held = existing.select("organization_id", F.col("plan_name").alias("_p"), F.col("status").alias("_s"), F.col("cancel_at_period_end").alias("_f"), F.lit(True).alias("_held"))
+    both = sums.join(held, F.col("_of") == F.col("organization_id"), "full").withColumn("_held", F.coalesce("_held", F.lit(False))).filter("_held or first is not null")
+    at = lambda c: F.struct(F.col(f"{c}.at").alias("at"), F.col(f"{c}.event_id").alias("event_id"))
     # the row that a first creation makes is active, whatever the event says
-    made = (F.col("_place") == 1) & ~F.col("_held")
-    status = F.when(F.col("kind") == "deleted", F.lit("canceled")).when(made, F.lit("active")).otherwise(F.col("status"))
-    flag = F.when(F.col("kind") == "updated", F.coalesce("at_period_end", F.lit(False)))
-    rows = rows.select("organization_id", "_place", plan.alias("_plan"), status.alias("_status"), flag.alias("_flag"))
-    last = rows.groupBy("organization_id").agg(
-        F.max_by("_plan", F.when(F.col("_plan").isNotNull(), F.col("_place"))).alias("_plan"),
-        F.max_by("_status", "_place").alias("_status"),
-        F.max_by("_flag", F.when(F.col("_flag").isNotNull(), F.col("_place"))).alias("_flag"),
-    )
-    return last.join(held, "organization_id", "full").select("organization_id", F.coalesce("_plan", "_p").alias("plan_name"), F.coalesce("_status", "_s").alias("status"), F.coalesce("_flag", "_f", F.lit(False)).alias("cancel_at_period_end"))
+    made = ~F.col("_held") & (at("last") == F.col("first"))
+    status = F.when(F.col("last.gone"), F.lit("canceled")).when(made, F.lit("active")).otherwise(F.col("last.status"))
+    flag = F.when(F.col("_held") | (at("updated") > F.col("first")), F.col("updated.flag"))
+    return both.select(F.coalesce("organization_id", "_of").alias("organization_id"), F.coalesce("paid.plan", "_p").alias("plan_name"), F.when(F.col("last").isNotNull(), status).otherwise(F.col("_s")).alias("status"), F.coalesce(flag, F.col("_f"), F.lit(False)).alias("cancel_at_period_end"))
 
 
 def drift(organizations: DataFrame, subscriptions: DataFrame, tier: Column) -> DataFrame:

@@ -11,7 +11,8 @@ from siftwell.functions import enrich, extract, fixed, message, score, variants
 from siftwell.operators import leads as L
 from siftwell.operators import quota as Q
 from siftwell.plans import process
-from siftwell.sources import web
+from siftwell.sources import tables, web
+from siftwell.sources.folders import scratch
 from siftwell.sources.derived import view, with_views
 from siftwell.streaming.leads import retries
 
@@ -109,6 +110,15 @@ query("classify", lambda t: scored(t).select("id", score.label(F.col("score")).a
 query("score_breakdown", lambda t: t.leads.select("id", F.explode(score.breakdown()).alias("criterion", "points")), " union all ".join(f"select id, '{c}' as criterion, {sql} as points from leads" for c, sql in PARTS.values()))
 query("custom_score", lambda t: t.leads.select("id", score.total({"industry_match": {"max_score": 60.0}, "scrape_quality": {"max_score": 40.0, "threshold": 0.5}, "unknown": {}}).alias("score")), f"select id, least(0e0 + case when industry in ({listed(fixed.PREFERRED_INDUSTRIES)}) then 60e0 else 0e0 end + case when scrape_confidence >= 0.5e0 then 40e0 * scrape_confidence else 0e0 end, 100e0) as score from leads")
 query("label_distribution", lambda t: scored(t).groupBy(score.label(F.col("score")).alias("label")).agg(F.count("*").alias("n"), F.avg("score").alias("avg_score")), f"select {LABELED} as label, count(*) as n, avg(s) as avg_score from {SCORED} group by 1")
+CONFIGURED = f"""(select l.*, coalesce(c.name, d.name) as criterion, coalesce(c.top, d.top) as top, coalesce(c.threshold, {fixed.CONFIDENCE_THRESHOLD}e0) as threshold from leads l
+  left join (select organization_id, name, threshold, max_score as top from scoring_rows where name in ({listed(fixed.CRITERIA)})) c on c.organization_id = l.organization_id
+  left join (select * from (values {", ".join(f"('{n}', {top}e0)" for n, (_, top) in fixed.CRITERIA.items())}) v(name, top)) d on c.name is null)"""
+CONFIGURED_POINTS = f"case criterion when 'industry_match' then case when industry in ({listed(fixed.PREFERRED_INDUSTRIES)}) then top else 0e0 end when 'company_size' then case when employees in ({listed(fixed.PREFERRED_SIZES)}) then top else 0e0 end when 'linkedin_presence' then case when linkedin_url <> '' then top else 0e0 end else case when q >= threshold then top * q else 0e0 end end"
+CONFIGURED_SCORES = f"(select id, criterion, {CONFIGURED_POINTS} as points from (select *, coalesce(case criterion when 'email_quality' then email_confidence when 'scrape_quality' then scrape_confidence when 'enrichment_quality' then enrichment_confidence end, 0e0) as q from {CONFIGURED}))"
+configured = lambda t: score.by_organization(t.leads, t.scoring_rows)
+query("score_by_organization", lambda t: configured(t).select("id", F.round("score", 9).alias("score"), "qualification_label"), f"select id, round(s, 9) as score, {LABELED} as qualification_label from (select id, least(sum(points), 100e0) as s from {CONFIGURED_SCORES} group by id)")
+query("breakdown_by_organization", lambda t: configured(t).select("id", F.explode("criteria_scores").alias("criterion", "points")), f"select id, criterion, points from {CONFIGURED_SCORES}")
+query("scoring_configurations", lambda t: score.configurations(t.scoring_rows).select("organization_id", "weights_valid", F.inline("criteria")).withColumn("weight", F.round("weight", 12)), f"select organization_id, name, round(case when sum(weight) over w > 0 then weight / sum(weight) over w else weight end, 12) as weight, threshold, max_score, abs(sum(weight) over w - 1) <= 0.01 as weights_valid from scoring_rows where name in ({listed(fixed.CRITERIA)}) window w as (partition by organization_id)")
 query("filter_score_band", lambda t: L.in_band(scored(t), "medium").select("id", "score"), f"select id, s as score from {SCORED} where s >= 60 and s < 80")
 WEIGHTS = ", ".join(f"('{n}', {double(w)})" for n, (w, _) in fixed.CRITERIA.items())
 weights = lambda t: t.spark.createDataFrame([(n, w) for n, (w, _) in fixed.CRITERIA.items()], "name string, weight double")
@@ -126,6 +136,7 @@ query("join_lead_plan", lambda t: Q.with_plan(t.leads, t.subscriptions, "organiz
 query("join_org_daily_usage", lambda t: Q.used_on(t.organizations, t.leads, DAY).select("id", "current_usage"), f"select organization_id as id, current_usage from {USED}")
 query("join_lead_logs", lambda t: t.leads.join(t.scraping_logs, t.leads["id"] == t.scraping_logs["lead_id"]).select(t.leads["id"], t.scraping_logs["id"].alias("log_id"), "scraping_method", "success"), "select l.id, g.id as log_id, scraping_method, success from leads l join scraping_logs g on g.lead_id = l.id")
 query("join_user_org", lambda t: t.leads.select(F.col("owner_id").alias("id")).distinct().join(t.organizations, "id").select("id", "name"), "select o.id, o.name from organizations o where o.id in (select owner_id from leads)")
+query("org_first_user", lambda t: L.first_users(t.users), "select organization_id, arg_min(email, id) as email from users group by 1")
 query("org_first_lead", lambda t: t.leads.groupBy("organization_id").agg(F.min_by("website", "id").alias("website")), "select organization_id, arg_min(website, id) as website from leads group by 1")
 query("orgs_without_subscription", lambda t: t.organizations.join(t.subscriptions, t.organizations["id"] == t.subscriptions["organization_id"], "left_anti").select("id"), "select id from organizations where id not in (select organization_id from subscriptions)")
 query("leads_of_active_orgs", lambda t: t.leads.join(t.organizations.filter("is_active").select(F.col("id").alias("organization_id")), "organization_id", "left_semi").select("id"), "select id from leads where organization_id in (select id from organizations where is_active)")
@@ -172,6 +183,7 @@ query("usage_rollup", lambda t: t.usage_records.rollup("action", F.to_date("reco
 
 # --- order, sets, changes
 query("page_leads", lambda t: L.page(t.leads, 20, 10).select(*LEAD_COLUMNS), f"select {LEAD} from leads order by id limit 10 offset 20")
+query("page_leads_deep", lambda t: L.page(t.leads, t.leads.count() * 2 // 3, 25, at_once=100).select(*LEAD_COLUMNS), f"select {LEAD} from leads order by id limit 25 offset (select count(*) * 2 // 3 from leads)")
 query("recent_leads", lambda t: L.recent(t.leads, "organization_id").select("id", "organization_id", "place"), "select id, organization_id, cast(place as integer) as place from (select *, row_number() over (partition by organization_id order by id) as place from leads) where place <= 5")
 query("top_leads", lambda t: scored(t).orderBy(F.desc("score"), "id").limit(20).select("id", "score"), f"select id, s as score from {SCORED} order by s desc, id limit 20")
 new = lambda t: t.leads.filter("id % 10 = 1").withColumn("company_name", F.lit("New"))
@@ -179,7 +191,7 @@ query("prepend", lambda t: L.prepended(t.leads, new(t)).groupBy("company_name").
 query("remove", lambda t: L.removed(t.leads, t.leads.filter("id % 3 = 0")).select("id"), "select id from leads where id % 3 <> 0")
 query("replace", lambda t: L.replaced(t.leads, new(t)).select("id", "company_name"), "select id, case when id % 10 = 1 then 'New' else company_name end as company_name from leads")
 query("partial_update", lambda t: L.updated(t.leads, t.leads.filter("id % 4 = 0").select("id", F.lit(True).alias("set_industry"), F.lit(None).cast("string").alias("industry"), (F.col("id") % 8 == 0).alias("set_employees"), F.lit("1-10").alias("employees")), ["industry", "employees"]).select("id", "industry", "employees"), "select id, case when id % 4 <> 0 then industry end as industry, case when id % 8 = 0 then '1-10' else employees end as employees from leads")
-query("soft_delete", lambda t: L.soft_deleted(t.leads, [1, 2, 3, 4, 5]).select("id", "is_active"), "select id, is_active and id not in (1, 2, 3, 4, 5) as is_active from leads")
+query("soft_delete", lambda t: L.soft_deleted(t.leads, t.scraping_logs.filter("not success").select(F.col("lead_id").alias("id"))).select("id", "is_active"), "select id, is_active and id not in (select lead_id from scraping_logs where not success) as is_active from leads")
 query("insert_if_absent", lambda t: L.inserted(t.organizations.filter("id % 2 = 0").select("id", "name"), t.organizations.select((F.col("id") + 1).alias("id"), "name"), "name")[0], "select id + 1 as id, name from organizations where id % 2 <> 0")
 query("insert_rejected", lambda t: L.inserted(t.organizations.filter("id % 2 = 0").select("id", "name"), t.organizations.select((F.col("id") + 1).alias("id"), "name"), "name")[1], "select id + 1 as id, name, 'taken' as reason from organizations where id % 2 = 0")
 query("insert_lead", lambda t: L.new_leads(t.leads.filter("id % 7 = 0").select("id", "website", "organization_id", "owner_id")), "select id, website, organization_id, owner_id, 0e0 as score, 'Low Priority' as qualification_label, 0e0 as scrape_confidence, 0e0 as email_confidence, 0e0 as enrichment_confidence, 'none' as enrichment_source, 'none' as email_source, 'none' as scrape_source, false as outreach_sent, true as is_active, false as is_verified from leads where id % 7 = 0")
@@ -189,6 +201,45 @@ query("record_usage", lambda t: L.counted_usage(t.organizations, t.usage_records
 query("export_leads", lambda t: L.exportable(t.leads, Q.with_plan(t.organizations, t.subscriptions).filter(Q.allowed(F.col("plan_name"), ("enterprise",)))).select("id", "website"), f"select l.id, l.website from leads l join {PLANNED} p on p.id = l.organization_id where plan_name = 'enterprise'")
 query("retry_plan", lambda t: retries(t.scraping_logs), "select lead_id, id, cast(n as integer) as failures, case when success then 'done' when n <= 3 then 'retry' else 'failed' end as action, case when not success and n <= 3 then created_at + interval 60 second end as at from (select *, sum((not success)::int) over (partition by lead_id, done order by created_at, id) as n from (select *, sum(success::int) over (partition by lead_id order by created_at, id rows between unbounded preceding and current row) - success::int as done from scraping_logs))")
 query("log_records", lambda t: t.scraping_logs.select("id", L.log_event("scraping_attempt", "lead_id", "scraping_method", "success").alias("record")), """select id, concat('{"event":"scraping_attempt","lead_id":', lead_id, ',"scraping_method":"', scraping_method, '","success":', success, '}') as record from scraping_logs""")
+query("api_call_records", lambda t: t.usage_records.select("id", L.log_event("api_call", F.concat(F.lit("/api/v2/"), "action").alias("endpoint"), F.lit("POST").alias("method"), "organization_id", F.when(F.col("quantity") > 5, 429).otherwise(200).alias("status_code")).alias("record")), """select id, concat('{"event":"api_call","endpoint":"/api/v2/', action, '","method":"POST","organization_id":', organization_id, ',"status_code":', case when quantity > 5 then 429 else 200 end, '}') as record from usage_records""")
+
+
+# --- tables that are changed in place
+def appended(t: Tables) -> DataFrame:
+    """Half of the users, then all of them again under other ids, twice: emails stay unique."""
+    table = tables.Table(t.spark, scratch(t.spark, "users"), 16)
+    table.create(t.users.filter("id % 2 = 0").select("id", "email", "is_active"))
+    new = t.users.select((F.col("id") + 1_000_000).alias("id"), "email", "is_active")
+    for _ in range(2):
+        table.append(new, 1, "email")
+    return table.read()
+
+
+def changed(t: Tables) -> DataFrame:
+    """Leads of which few are updated, and those whose scraping failed once deleted softly."""
+    table = tables.Table(t.spark, scratch(t.spark, "leads"), 64)
+    table.create(t.leads.select("id", "industry", "is_active"))
+    table.update(t.organizations.filter("id <= 20").select("id", F.lit("Travel").alias("industry"), F.lit(True).alias("set_industry")), ["industry"])
+    table.soft_delete(t.scraping_logs.filter("not success").select(F.col("lead_id").alias("id")))
+    return table.read()
+
+
+def kept_up(t: Tables) -> DataFrame:
+    """Daily usage from four batches of records, of which one came twice and one after it was compacted."""
+    sums = tables.Sums(t.spark, scratch(t.spark, "usage"), ["organization_id", "day"])
+    records = t.usage_records.select("organization_id", F.to_date("recorded_at").alias("day"), "quantity", F.pmod("id", F.lit(4)).alias("part"))
+    sums.create(records)
+    for batch in (1, 2, 2, 3):
+        sums.add(records.filter(F.col("part") == batch - 1), batch)
+    sums.compact()
+    for batch in (2, 4):
+        sums.add(records.filter(F.col("part") == batch - 1), batch)
+    return sums.current()
+
+
+query("append_users", appended, "select id, email, is_active from users where id % 2 = 0 union all select id + 1000000, email, is_active from users where id % 2 <> 0")
+query("update_leads_in_place", changed, "select id, case when id <= 20 then 'Travel' else industry end as industry, is_active and id not in (select lead_id from scraping_logs where not success) as is_active from leads")
+query("usage_kept_up", kept_up, "select organization_id, cast(recorded_at as date) as day, cast(sum(quantity) as bigint) as quantity from usage_records group by 1, 2")
 
 # --- extraction
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -292,21 +343,29 @@ query("merge_enrichment", lambda t: t.leads.select("id", "industry", "employees"
 query("llm_confidence", lambda t: enrich.inferred(t.lead_text).select("id", enrich.language_model_confidence([F.col(c) for c in fixed.HEURISTIC_WEIGHTS]).alias("confidence")), "select id, least(0.5e0 + 0.1e0 * (" + " + ".join(f"({c} is not null)::int" for c in fixed.HEURISTIC_WEIGHTS) + f"), 0.8e0) as confidence from {INFERRED}")
 
 
-def _told(sure: bool):
-    """Stands in for a service: what it says depends on the text's length alone."""
+#: Fields of the answers, with how many of their keys have a value.
+TOLD = r"""(select id, prompt, case when named > 0 then named end as named, case when named > 0 then v end as v from (select *, len(list_filter(json_keys(v), lambda k: json_type(json_extract(v, '$."' || k || '"')) <> 'NULL')) as named from
+  (select id, prompt, case when json_valid(b) then b end as v from (select id, prompt, nullif(regexp_extract(answer, '(?s)\{.*\}', 0), '') as b from answers))))"""
+TOLD_FIELDS = ", ".join([*(f"case when json_type(v, '$.{c}') = 'VARCHAR' then json_extract_string(v, '$.{c}') end as {c}" for c in fixed.HEURISTIC_WEIGHTS if c != "founded_year"), "case when json_type(v, '$.founded_year') = 'UBIGINT' then cast(json_extract_string(v, '$.founded_year') as integer) end as founded_year"])
+told = lambda t: enrich.answered(t.lead_text, "text", t.answers.select("prompt", "answer"), "told")
+query("model_answers", lambda t: told(t).filter("told is not null").select("id", "told.*"), f"select id, {TOLD_FIELDS}, named from {TOLD} where v is not null")
+#: Each tier behind its gate: inference, the service's stored answer, the model's.
+TIERS = f"(select x.id, c, n.v, n.named, s.industry as si, s.employees as se, s.confidence as sc, x.industry as hi, x.employees as he, x.founded_year as hy, case when c > 0.7e0 then 'heuristic' when s.confidence > 0.6e0 then 'external_api' when n.named > 0 then 'llm' end as method from (select *, {CONF} as c from {INFERRED}) x left join services s on s.id = x.id left join {TOLD} n on n.id = x.id)"
 
-    def ask(text):
-        n = F.length(text) % 4
-        fields = {"industry": F.when(n > 0, "Retail"), "employees": F.when(n > 1, "11-50"), "revenue_band": F.lit(None).cast("string"), "contact_name": F.lit(None).cast("string"), "contact_title": F.lit(None).cast("string"), "founded_year": F.when(n > 2, F.lit(1999))}
-        if sure:
-            fields["confidence"] = F.when(n == 3, F.lit(0.9)).when(n == 2, F.lit(0.6))
-        return F.when(text.isNotNull(), F.struct(*(c.alias(k) for k, c in fields.items())))
 
-    return ask
+def tiers(t: Tables) -> DataFrame:
+    known = t.services.select(F.col("id").alias("_id"), F.col("industry").alias("si"), F.col("employees").alias("se"), F.col("confidence").alias("sc"))
+    rows = told(t).join(known, F.col("id") == F.col("_id"), "left")
+    none = F.lit(None).cast("string")
+    service = F.struct(F.col("si").alias("industry"), F.col("se").alias("employees"), none.alias("revenue_band"), none.alias("contact_name"), none.alias("contact_title"), F.lit(None).cast("int").alias("founded_year"), F.col("sc").alias("confidence"))
+    found = enrich.waterfall(rows, external=lambda text: F.when(text.isNotNull(), service), model=lambda text: F.when(text.isNotNull(), F.col("told")))
+    return found.select("id", "industry", "employees", "founded_year", F.round("confidence", 9).alias("confidence"), "method")
 
 
-TIERS = f"(select id, text, c, m, case when c > 0.7e0 then 'heuristic' when len(text) % 4 = 3 then 'external_api' when m > 0 then 'llm' end as method, i, e, y from (select x.id, text, c, len(substr(text, 1, 2000)) % 4 as m, industry as i, employees as e, founded_year as y from (select *, {CONF} as c from {INFERRED}) x join lead_text on lead_text.id = x.id))"
-query("enrich_tiers", lambda t: enrich.waterfall(t.lead_text, external=_told(True), model=_told(False)).select("id", "industry", "employees", "founded_year", "confidence", "method"), f"select id, case method when 'heuristic' then i when 'external_api' then 'Retail' when 'llm' then 'Retail' end as industry, case method when 'heuristic' then e when 'external_api' then '11-50' when 'llm' then case when m > 1 then '11-50' end end as employees, case method when 'heuristic' then y when 'external_api' then 1999 when 'llm' then case when m > 2 then 1999 end end as founded_year, case method when 'heuristic' then c when 'external_api' then 0.9e0 when 'llm' then 0.5e0 + 0.1e0 * m end as confidence, method from {TIERS}")
+query("enrich_tiers", tiers, f"select id, case method when 'heuristic' then hi when 'external_api' then si when 'llm' then industry end as industry, case method when 'heuristic' then he when 'external_api' then se when 'llm' then employees end as employees, case method when 'heuristic' then hy when 'llm' then founded_year end as founded_year, round(case method when 'heuristic' then c when 'external_api' then sc when 'llm' then least(0.5e0 + 0.1e0 * named, 0.8e0) end, 9) as confidence, method from (select id, c, named, si, se, sc, hi, he, hy, method, {TOLD_FIELDS} from {TIERS})")
+
+
+query("enrichment_log_records", lambda t: enrich.waterfall(t.lead_text).select("id", L.log_event("enrichment_attempt", F.col("id").alias("lead_id"), F.coalesce("method", F.lit("none")).alias("method"), F.col("method").isNotNull().alias("success")).alias("record")), f"""select id, concat('{{"event":"enrichment_attempt","lead_id":', id, ',"method":"', case when c > 0.7e0 then 'heuristic' else 'none' end, '","success":', coalesce(c > 0.7e0, false), '}}') as record from (select id, {CONF} as c from {INFERRED})""")
 
 
 # --- messages
@@ -341,7 +400,7 @@ LINKEDIN, ABS_LINKEDIN = (f"list_filter({links}, lambda h: contains(h, 'linkedin
 PRIOR = {"website": "url", **{c: f"cast(null as {'integer' if c == 'founded_year' else 'varchar'})" for c in list(process.LEAD)[1:-1]}, "email_confidence": "0e0"}
 
 
-def process_sql(source: str, ai: str, strict: bool = False) -> str:
+def process_sql(source: str, ai: str, strict: bool = False, told: bool = False) -> str:
     """What becomes of ``source(page_id, url, html, status, ..., old_<field>, ai)``, step by step."""
     one = "cast(0 as double)"
     tried = f"(select *, coalesce(error is null and status = 200, false) as answered, coalesce(contains(render_error, 'NotImplementedError') or contains(lower(render_error), 'subprocess'), false) as stand_in, coalesce(render_error is null and render_status = 200, false) as rendered, {LD_CONF} as c1, {META_CONF} as c2, {RENDERED_CONF} as c3, {PLAIN_CONF} as c4, {OG_DESC} as og_desc, {LINKEDIN} as linked, {ABS_LINKEDIN} as abs_linked, {BARE} as bare, {SHOWN} as repr, json_extract_string({LD}, '$.description') as ld_desc, json_extract_string({LD}, '$.email') as ld_email, {found_in(BARE)[0]} as bare_email, {found_in(BARE)[1]} as bare_phone, {TITLE} as page_title, {DESC} as page_desc, {EMAIL} as page_email, {PHONE} as page_phone, {VISIBLE} as visible from {source})"
@@ -358,6 +417,8 @@ def process_sql(source: str, ai: str, strict: bool = False) -> str:
       {of('ld_desc', 'coalesce(page_desc, og_desc, page_title)', 'visible', 'bare', 'null')} as told, case when ok and way in ('playwright', 'requests') then repr end as shown, {ai} as ai, {', '.join(f'old_{c}' for c in (*fixed.HEURISTIC_WEIGHTS, 'email_confidence'))} from {done})"""
     texts = f"(select *, case when ai then concat_ws(' ', 'Company: ' || nullif(company_name, ''), nullif(about_text, ''), told, shown) end as text from {merged})"
     inferred = INFERRED.replace("(select id, text, lower(text) as low from lead_text)", f"(select id, text, lower(text) as low from {texts})")
+    if told:
+        return texts
     best = f"(select id as iid, case when {CONF} > 0.7e0 then {CONF} end as sure, {', '.join(f'{c} as new_{c}' for c in fixed.HEURISTIC_WEIGHTS)} from {inferred})"
     fields = ", ".join(f"coalesce(case when sure is not null then new_{c} end, old_{c}) as {c}" for c in fixed.HEURISTIC_WEIGHTS)
     sums = (one, one) if strict else ("scraping_confidence", "coalesce(sure, 0)")
@@ -375,7 +436,7 @@ query("process_lead_strict", lambda t: process.processed(t.pages_rich, strict=Tr
 query("process_lead_without_ai", lambda t: process.processed(t.pages_rich, can_use_ai=False), f"select * from {process_sql(PLAIN, 'false')}")
 query("process_fetches", lambda t: process.processed(t.fetches), f"select * from {process_sql(TRIED, 'true')}")
 query("merge_scrape", lambda t: process.scraped(t.fetches), f"select lead_id, website, company_name, about_text, email, phone, linkedin_url, scrape_source, scrape_confidence, scraping_success, error_message from {process_sql(TRIED, 'false')}")
-query("analysis_text", lambda t: t.leads.select("id", extract.analysis_text(F.col("company_name"), F.col("linkedin_url"), F.col("industry"), F.col("employees")).alias("text")), "select id, concat_ws(' ', 'Company: ' || nullif(company_name, ''), nullif(linkedin_url, ''), industry, employees) as text from leads")
+query("analysis_text", lambda t: process.told(t.pages_rich), f"select id as page_id, text from {process_sql(PLAIN, 'true', told=True)}")
 query("generate_message", lambda t: t.leads.select("id", message.generated(F.when(F.col("id") % 2 == 0, F.concat(F.lit("Dear "), F.col("company_name")))).alias("message")), f"select id, coalesce(case when (coalesce(company_name <> '', false)::int + coalesce(industry <> '', false)::int + coalesce(contact_name <> '', false)::int + coalesce(employees <> '', false)::int) >= 2 and id % 2 = 0 then 'Dear ' || company_name end, {MESSAGE}) as message from leads")
 asked_leads = lambda t: t.pages.select((F.col("page_id") * 2).alias("lead_id")).unionByName(t.pages.select((-F.col("page_id")).alias("lead_id")))
 ASKED = "(select distinct lead_id from (select page_id * 2 as lead_id from pages union all select -page_id from pages))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import enrich, extract, message, score
@@ -27,22 +27,37 @@ def merged(scraped: DataFrame) -> DataFrame:
     )
 
 
-def processed(pages: DataFrame, can_use_ai: bool | str = True, strict: bool = False, external=None, model=None) -> DataFrame:
-    """A row for each page, see ``run``; a page's lead is new, its id and website are the page's."""
+def told(pages: DataFrame) -> DataFrame:
+    """``page_id, text``: what the scrape of each page gives to infer from, as a new lead."""
+    out = merged(extract.attempted(with_new_lead(pages), ["lead"]))
+    return out.select("page_id", analysis().alias("text"))
+
+
+def analysis() -> Column:
+    return extract.analysis_text(F.col("company_name"), F.col("about_text"), F.col("text"), F.col("shown"))
+
+
+def with_new_lead(pages: DataFrame) -> DataFrame:
     nothing = F.struct(*(F.col("url").alias(c) if c == "website" else (F.lit(0.0) if c == "email_confidence" else F.lit(None).cast(t)).alias(c) for c, t in LEAD.items()))
-    return run(pages.withColumn("lead", nothing), can_use_ai, strict, external, model)
+    return pages.withColumn("lead", nothing)
+
+
+def processed(pages: DataFrame, can_use_ai: bool | str = True, strict: bool = False, external=None, model=None, render=None) -> DataFrame:
+    """A row for each page, see ``run``; a page's lead is new, its id and website are the page's."""
+    return run(with_new_lead(pages), can_use_ai, strict, external, model, render)
 
 
-def run(pages: DataFrame, can_use_ai: bool | str = True, strict: bool = False, external=None, model=None) -> DataFrame:
+def run(pages: DataFrame, can_use_ai: bool | str = True, strict: bool = False, external=None, model=None, render=None) -> DataFrame:
     """``pages`` (see ``extract.attempted``) with a struct ``lead`` of LEAD, scraped, merged, enriched, scored and written to.
 
     ``can_use_ai``: for all, or the name of a column. ``strict``: computed confidences are not kept, so scores see zeros.
+    ``render``: see ``extract.attempted``.
     A page that could not be scraped leaves its lead as it was; what is known of the lead is enriched all the same.
     """
     kept = ["lead"] + ([can_use_ai] if isinstance(can_use_ai, str) else [])
     allowed = F.col(can_use_ai) if isinstance(can_use_ai, str) else F.lit(can_use_ai)
-    leads = merged(extract.attempted(pages, kept))
-    text = extract.analysis_text(F.col("company_name"), F.col("about_text"), F.col("text"), F.col("shown"))
+    leads = merged(extract.attempted(pages, kept, render))
+    text = analysis()
     rich = enrich.waterfall(leads.withColumn("_text", F.when(allowed, text)), "_text", external, model).drop("_text", "text", "shown")
     rich = rich.withColumnsRenamed({"method": "enrichment_source", "confidence": "enrichment_confidence"})
     rich = rich.withColumns({c: F.coalesce(F.col(c), F.col(f"lead.{c}")) for c in enrich.FIELDS} | {"email_confidence": F.col("lead.email_confidence")})

@@ -92,6 +92,26 @@ select c_custkey as id, concat('user', cast(c_custkey % 400 as varchar(20)), '@c
   c_name as first_name, c_mktsegment as last_name, c_acctbal >= 0 as is_active, c_nationkey % 2 = 0 as is_verified, c_custkey as organization_id
 from customer
 """
+#: What organizations have set: two kinds of criteria, one that is not known among them; half of them have set nothing.
+VIEWS["scoring_rows"] = """
+select c_custkey as organization_id, position, name, weight, threshold, max_score from customer join (select * from (values
+  (0, 1, 'industry_match', 0.5e0, 0.6e0, 60e0), (0, 2, 'scrape_quality', 0.3e0, 0.5e0, 40e0), (0, 3, 'unknown', 0.2e0, 0.5e0, 99e0),
+  (1, 1, 'linkedin_presence', 2e0, 0.6e0, 55e0), (1, 2, 'email_quality', 1e0, 0.2e0, 25e0), (1, 3, 'company_size', 1e0, 0.6e0, 30e0), (1, 4, 'enrichment_quality', 0e0, 0.9e0, 20e0)) v(kind, position, name, weight, threshold, max_score)) c on c_custkey % 4 = kind
+"""
+#: What a model answered to texts, as text: chat around the braces, fields missing or null, other keys and types, broken and no JSON.
+VIEWS["answers"] = """
+select id, text as prompt, case id % 9
+  when 0 then concat('Sure, here it is:\n{"industry": "Retail", "employees": "11-50", "revenue_band": null, "founded_year": ', cast(1950 + id % 70 as varchar(20)), '}\nAnything else?')
+  when 1 then '{"industry": "Retail", "employees": null, "contact_name": "Ann Lee", "contact_title": "CTO", "founded_year": 1999, "note": "x"}'
+  when 2 then '{"industry": "Ret' when 3 then 'I cannot say.' when 4 then '{"industry": null, "employees": null}'
+  when 5 then '{"industry": ["a", "b"], "founded_year": "soon", "employees": "1-10"}' when 6 then '{"a": {"b": 1}} and {"industry": "Late"}'
+  when 7 then '```json {"industry":"Travel","employees":"51-200","revenue_band":"$10M-50M","contact_name":"Bo Li","contact_title":"CEO","founded_year":2001} ```' end as answer
+from lead_text
+"""
+#: What an outside service knows of some of them, as it was stored.
+VIEWS["services"] = """
+select id, case id % 5 when 0 then 'Retail' when 1 then 'Travel' end as industry, '11-50' as employees, case id % 5 when 0 then 0.9e0 when 1 then 0.6e0 end as confidence from lead_text where id % 5 < 2
+"""
 VIEWS["api_keys"] = """
 select s_suppkey as id, s_suppkey % 50 as organization_id, concat('sk_', substr(s_name, 10, 5)) as key_prefix, s_acctbal >= 0 as is_active, s_nationkey % 7 = 0 as is_revoked, s_name as name from supplier
 """
@@ -106,6 +126,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return raw(spark, sf_dir, name)
     text = VIEWS[name]
+    for other in VIEWS:
+        if re.search(rf"from {other}\b", text):
+            view(spark, sf_dir, other).createOrReplaceTempView(f"derived_{other}")
+            text = re.sub(rf"from {other}\b", f"from derived_{other}", text)
     for table in RAW:
         if re.search(rf"from {table}\b", text):
             raw(spark, sf_dir, table).createOrReplaceTempView(f"raw_{table}")
@@ -116,6 +140,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """``sql`` for DuckDB with the views that it names in front."""
     used = [n for n in VIEWS if re.search(rf"\b(from|join) {n}\b", sql)]
+    used = [n for n in VIEWS if n in used or any(re.search(rf"\bfrom {n}\b", VIEWS[u]) for u in used)]
     head = ", ".join(f"{n} as ({VIEWS[n].strip()})" for n in used)
     if not head:
         return sql

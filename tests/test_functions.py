@@ -97,7 +97,7 @@ def test_json_on_the_jvm_equals_the_table_function(spark):
     deep = "1"
     for i in range(60):
         deep = f'{{"k{i}":[{deep},"x"]}}' if i % 2 else f"[{deep},null,{{}},[]]"
-    texts_of = {1: ['{"a":{"b":[1,{"c":null}]},"d":"x y","e":{},"t":true,"z":[[],[[2.5]]]}'], 2: ['[3,{"k":"v"},[["n"]],"bare"]'], 3: ["bad"], 4: ['"s"'], 5: [f'{{"deep":{deep}}}'], 6: ['{"a":1,"b":false}', '{"c":"\\u00e9\\"q"}'], 7: [""]}
+    texts_of = {1: ['{"a":{"b":[1,{"c":null}]},"d":"x y","e":{},"t":true,"z":[[],[[2.5]]]}'], 2: ['[3,{"k":"v"},[["n"]],"bare"]'], 3: ["bad", '{"a":1} x', '{"a":1},{"b":2}', '{"a":1'], 4: ['"s"'], 5: [f'{{"deep":{deep}}}'], 6: ['{"a":1,"b":false}', '{"c":"\\u00e9\\"q"}'], 7: [""]}
     rows = [(i, t) for i, ts in texts_of.items() for t in ts]
     found = variants.leaves(spark.createDataFrame(rows, "id int, t string"), "id", "t")
     got = {(r.id, r.key, r.value, r.kind) for r in variants.merged(found, "id").collect()}
@@ -167,3 +167,42 @@ def test_messages(spark):
     assert styled.p == styled.pp and styled.p.startswith("Dear ") and "Cheers," in styled.f and styled.s.count("\n") == 3
     assert column(df.select("id", message.generated(F.when(F.col("id") == 1, "from the model")).alias("m")), "m")[1] == "from the model"
     assert column(df.select("id", message.gated(F.lit(False), m=F.lit("x")).alias("m")), "m") == ["No outreach message generated - AI features not available on your plan"] * 3
+
+
+def test_model_answers_are_read_from_text(spark):
+    """Chat around the braces, braces within, other types, malformed texts, nothing: by hand."""
+    fields = '"industry": "Retail", "employees": "1-10", "revenue_band": null, "contact_name": null, "contact_title": null'
+    cases = {
+        f'Here: {{{fields}, "founded_year": 1999}} bye': ("Retail", "1-10", None, 1999, 3), '{"industry": "a{b}c", "other": [1]}': ("a{b}c", None, None, None, 2), '{"industry": 5, "founded_year": "soon"}': (None, None, None, None, 2),
+        '{"industry": "x"} and {"industry": "y"}': None, '{"industry": "x"': None, "no braces": None, '{"industry": null}': None, "{}": None, "": None, None: None, '{\n"contact_name":\n"Ann"}': (None, None, "Ann", None, 1),
+    }
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(cases)], "id int, answer string")
+    got = [None if r.t is None else (r.t.industry, r.t.employees, r.t.contact_name, r.t.founded_year, r.t.named) for r in df.select("id", enrich.told(F.col("answer")).alias("t")).orderBy("id").collect()]
+    assert got == list(cases.values())
+
+
+def test_prompts_are_asked_once_and_together(spark, tmp_path):
+    """Equal prompts go to the model once, in groups; a group that fails leaves its rows to inference."""
+    folder = str(tmp_path)
+
+    def ask(prompts):
+        import json
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            json.dump(prompts, f)
+        if "fail" in prompts:
+            raise OSError("no model")
+        return ['{"industry": "' + p.title() + '"}' for p in prompts]
+
+    import json
+
+    rows = texts(spark, *["one", "two"] * 20, *[f"p{i}" for i in range(50)], None, "fail").repartition(3)
+    answers = spark.createDataFrame(enrich.asked(rows, "text", ask, together=8).collect(), "prompt string, answer string")
+    groups = [json.load(open(p)) for p in tmp_path.iterdir()]
+    assert sorted(x for g in groups for x in g) == sorted({"one", "two", "fail", *(f"p{i}" for i in range(50))}) and max(map(len, groups)) <= 8 and len(groups) < 20
+    got = enrich.answered(rows, "text", answers, "told")
+    found = {r.text: r.industry for r in enrich.waterfall(got, model=lambda text: F.when(text.isNotNull(), F.col("told"))).collect()}
+    lost = {x for g in groups if "fail" in g for x in g}
+    assert found["one"] == (None if "one" in lost else "One") and all(found[x] is None for x in lost) and found[None] is None
+    assert got.count() == rows.count()

@@ -189,3 +189,31 @@ def test_plans_keep_filters_at_the_scan(spark, capsys):
     assert "o_orderstatus" in shown.split("PushedFilters")[1].split("ReadSchema")[0]
     assert "o_totalprice" not in shown.split("ReadSchema")[1]
     assert df.columns[0] == "id"
+
+
+def test_pages_far_down_a_list(spark, monkeypatch):
+    """Every page equals the plain one: ties at bounds, rows without key, one key that many rows have, pages beyond the end."""
+    ids = [None] * 30 + [5] * 400 + list(range(1000)) + [2000 + i // 3 for i in range(300)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    order = sorted(ids, key=lambda i: (i is not None, i or 0))
+    for skip, limit in ((0, 5), (25, 10), (200, 30), (433, 3), (900, 100), (1725, 10), (5000, 3)):
+        got = [r.id for r in leads.page(rows, skip, limit, at_once=40).collect()]
+        assert got == order[skip : skip + limit], (skip, limit)
+
+
+def test_billing_merges_in_tasks(spark):
+    """No window, and each task gives a row an organization: partial sums stand before the exchange."""
+    plan = catalogue.QUERIES["apply_billing_to_subscriptions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan
+
+
+def test_billing_before_and_after_creation(spark):
+    """What comes before an organization's first creation changes nothing, unless there was a row."""
+    at = datetime.datetime(2024, 1, 1)
+    kinds = {1: ["updated", "created"], 2: ["deleted", "updated"], 3: ["created", "deleted"], 4: ["updated", "created", "updated"], 5: ["payment"], 6: ["deleted"], 7: ["created", "created"]}
+    events = spark.createDataFrame([(i, at + datetime.timedelta(minutes=i), o, k, f"price_{(123, 456, 789)[i % 3]}", "past_due", True) for o, ks in kinds.items() for i, k in enumerate(ks)], "event_id long, at timestamp, organization_id long, kind string, price string, status string, at_period_end boolean")
+    got = {r.organization_id: tuple(r)[1:] for r in quota.folded(events).collect()}
+    assert got == {1: ("pro", "active", False), 3: ("starter", "canceled", False), 4: ("enterprise", "past_due", True), 7: ("pro", "past_due", False)}
+    held = spark.createDataFrame([(2, "pro", "active", False), (5, "free", "active", True), (6, "pro", "active", True)], "organization_id long, plan_name string, status string, cancel_at_period_end boolean")
+    got = {r.organization_id: tuple(r)[1:] for r in quota.folded(events, held).filter("organization_id in (2, 5, 6)").collect()}
+    assert got == {2: ("pro", "past_due", True), 5: ("free", "active", True), 6: ("pro", "canceled", True)}
