@@ -1,14 +1,20 @@
-"""What texts tell about a company: keyword and pattern inference as column expressions, with confidence."""
+"""What texts tell about a company: keyword and pattern inference, with confidence.
+
+All words are looked for in one pass over a text, by an automaton in an Arrow-batched UDF; what they mean, the patterns and the
+confidence are column expressions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import or_
+from functools import lru_cache, reduce
+from operator import add, or_
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed, variants
 
@@ -17,20 +23,73 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def industry(low: Column) -> Column:
-    """The industry with most of its keywords in the lower-cased text; the first in order of those that tie; null for none."""
-    counts = [(name, sum((low.contains(k).cast("int") for k in words[1:]), low.contains(words[0]).cast("int"))) for name, words in fixed.INDUSTRIES.items()]
+#: All words that count, each with a bit of its own; some patterns need one of theirs.
+WORDS = sorted({w.lower() for group in (*fixed.INDUSTRIES.values(), *fixed.SIZE_WORDS.values(), *(ws for field in fixed.PATTERN_WORDS.values() for ws in field)) for w in group})
+#: Bits that a long has room for.
+BITS = 62
+
+
+#: Patterns whose matches begin with one of their words, so that nothing before the first of these needs to be searched.
+AHEAD = [("digits", 1), ("contact_name", 0), ("contact_name", 1), ("contact_name", 2), ("contact_title", 0), ("founded_year", 0), ("founded_year", 1), ("founded_year", 3)]
+
+
+@lru_cache(1)
+def automaton() -> tuple[ahocorasick.Automaton, dict[int, tuple[int, list[int]]]]:
+    """Finds the bits of words; and for each bit the word's length and the places in AHEAD that it matters for."""
+    out = ahocorasick.Automaton()
+    for i, w in enumerate(WORDS):
+        out.add_word(w, 1 << i)
+    out.make_automaton()
+    return out, {1 << i: (len(w), [k for k, (field, n) in enumerate(AHEAD) if w in {x.lower() for x in fixed.PATTERN_WORDS[field][n]}]) for i, w in enumerate(WORDS)}
+
+
+HITS = T.StructType([*(T.StructField(f"b{k}", T.LongType()) for k in range(-(-len(WORDS) // BITS))), *(T.StructField(f"p{k}", T.IntegerType()) for k in range(len(AHEAD)))])
+
+
+@F.pandas_udf(HITS)
+def words_in(texts: pd.Series) -> pd.DataFrame:
+    """Which WORDS stand in each lower-cased text, as bits, none in a null; and for patterns in AHEAD how many letters stand before the first of their words."""
+    every, told = automaton()
+    longs, found = -(-len(WORDS) // BITS), []
+    for t in texts:
+        bits, begins = 0, [0] * len(AHEAD)
+        for end, bit in every.iter(t or ""):
+            if bit & ~bits:
+                bits |= bit
+                size, places = told[bit]
+                for k in places:
+                    begins[k] = min(begins[k] or end + 2, end + 2 - size)  # from 1
+        found.append([*(bits >> (BITS * k) & ((1 << BITS) - 1) for k in range(longs)), *(max(0, b - 1) for b in begins)])
+    return pd.DataFrame(found, columns=HITS.names, dtype="int64")
+
+
+def masked(hits: Column, words: list[str]) -> list[Column]:
+    """The bits of ``words`` among those found, a column for each long that has some."""
+    mask = sum(1 << WORDS.index(w) for w in {w.lower() for w in words})
+    parts = [(k, mask >> (BITS * k) & ((1 << BITS) - 1)) for k in range(-(-len(WORDS) // BITS))]
+    return [hits[f"b{k}"].bitwiseAND(F.lit(m).cast("long")) for k, m in parts if m]
+
+
+def some_of(hits: Column, words: list[str]) -> Column:
+    return reduce(or_, (m != 0 for m in masked(hits, words)))
+
+
+def many_of(hits: Column, words: list[str]) -> Column:
+    return reduce(add, (F.bit_count(m) for m in masked(hits, words)))
+
+
+def industry(hits: Column) -> Column:
+    """The industry with most of its keywords in the text; the first in order of those that tie; null for none."""
+    counts = [(name, many_of(hits, words)) for name, words in fixed.INDUSTRIES.items()]
     best = F.array_max(F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, n) in enumerate(counts))))
     return F.when(best["n"] > 0, best["name"])
 
 
-def employees(low: Column, digits: Column) -> Column:
-    """Size band by words of the lower-cased text, else by the number that counts people."""
+def employees(hits: Column, digits: Column) -> Column:
+    """Size band by words of the text, else by the number that counts people."""
     out = None
     for band, words in fixed.SIZE_WORDS.items():
-        some = F.lit(False)
-        for w in words:
-            some = some | low.contains(w)
+        some = some_of(hits, words)
         out = F.when(some, band) if out is None else out.when(some, band)
     # digits beyond any integer type are more than the highest bound
     n = F.coalesce(F.when(F.length(F.ltrim(digits, F.lit("0"))) < 10, digits).cast("long"), F.lit(10**12))
@@ -61,17 +120,30 @@ FIELDS = tuple(fixed.HEURISTIC_WEIGHTS)
 def inferred(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` with the six inferred columns and ``confidence`` (null if nothing was found).
 
-    The text is lower-cased once and each pattern is matched once, and only where one of its words stands at all: looking for
-    words is many times faster than a pattern that finds nothing. Each step is a projection of its own that the next
-    ones refer to several times, so they are not merged into one that repeats the work.
+    The text is lower-cased and searched for words once, and each pattern is matched once, and only where one of its words
+    stands at all. Each step is a projection of its own that the next ones refer to several times, so they are not merged
+    into one that repeats the work.
     """
-    low = "_low"
-    out = rows.withColumn(low, F.lower(text))
-    has = lambda field, i: reduce(or_, (F.col(text if field == "contact_name" else low).contains(w) for w in fixed.PATTERN_WORDS[field][i]))
-    out = out.withColumns({f"_{field}{i}": F.when(has(field, i), F.regexp_extract(low if field == "digits" else text, p, 1)) for field, patterns in PATTERNS.items() for i, p in enumerate(patterns)})
+    low, hits = "_low", F.col("_hits")
+    out = rows.withColumn(low, F.lower(text)).withColumn("_hits", words_in(F.col(low)))
+
+    def has(field: str, i: int) -> Column:
+        words = fixed.PATTERN_WORDS[field][i]
+        some = some_of(hits, words)
+        return some & reduce(or_, (F.col(text).contains(w) for w in words)) if field == "contact_name" else some  # names count as they are written
+
+    def within(field: str, i: int) -> Column:
+        """What the pattern is to be found in; letters before its first word are left out where lower-casing kept their number."""
+        source = F.col(low if field == "digits" else text)
+        if (field, i) not in AHEAD:
+            return source
+        rest = F.substr(source, hits[f"p{AHEAD.index((field, i))}"] + 1)
+        return F.when(F.length(low) == F.length(text), rest).otherwise(source)
+
+    out = out.withColumns({f"_{field}{i}": F.when(has(field, i), F.regexp_extract(within(field, i), p, 1)) for field, patterns in PATTERNS.items() for i, p in enumerate(patterns)})
     found = {field: [F.nullif(F.col(f"_{field}{i}"), F.lit("")) for i in range(len(patterns))] for field, patterns in PATTERNS.items()}
     out = out.withColumns({
-        "industry": industry(F.col(low)), "employees": employees(F.col(low), F.coalesce(*found["digits"])), "contact_name": F.coalesce(*found["contact_name"]),
+        "industry": industry(hits), "employees": employees(hits, F.coalesce(*found["digits"])), "contact_name": F.coalesce(*found["contact_name"]),
         "contact_title": F.initcap(F.coalesce(*found["contact_title"])), "founded_year": F.coalesce(*map(year, found["founded_year"])),
     })
     out = out.withColumn("revenue_band", revenue_band(F.col("employees")))

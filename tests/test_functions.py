@@ -36,6 +36,34 @@ def test_inference(spark, name, cases):
     assert column(enrich.inferred(texts(spark, *(c[0] for c in cases))), name) == [c[1] for c in cases]
 
 
+def test_inference_equals_plain_patterns(spark):
+    """Words in one pass and patterns from the first of them on give what plain searches of the whole text do; letters that change their number in lower case too."""
+    import random
+    import re
+
+    from siftwell.functions import fixed
+
+    r = random.Random(11)
+    words = [w for ws in (*fixed.INDUSTRIES.values(), *fixed.SIZE_WORDS.values()) for w in ws] + ["CEO", "Founder", "Chief  Data Officer", "Owner", "LEAD", "vp", "Jane Doe", "Mark Smith", "founded in 1999", "Since  2005", "1987 launched", "established '07", "from 1820", "57 employees", "9 staff", "team of 12", "3 person team", "İ", "ß", "xİxİ", "\n", "lead", "Manager Ann Lee"]
+    rows = [None, ""] + [" ".join(r.choice(words) for _ in range(r.randint(1, 14))) for _ in range(300)]
+    first = lambda text, patterns: next((m[1] for p in patterns if (m := re.search(p, text, re.ASCII)) and m[1]), None)
+
+    def plain(text):
+        low = (text or "").lower()
+        hits = [sum(k in low for k in ws) for ws in fixed.INDUSTRIES.values()]
+        years = [m[1] for p in fixed.YEAR_PATTERNS if (m := re.search(p, text or "", re.ASCII))]
+        years = [int("20" + y[1:] if y[0] == "'" else y) for y in years]
+        band = next((b for b, ws in fixed.SIZE_WORDS.items() if any(w in low for w in ws)), None)
+        n = first(low, fixed.SIZE_PATTERNS)
+        if band is None and n is not None:
+            band = next((b for most, b in fixed.SIZE_BOUNDS if int(n) <= most), fixed.SIZE_ABOVE)
+        title = first(text or "", fixed.TITLE_PATTERNS)
+        return (list(fixed.INDUSTRIES)[hits.index(max(hits))] if max(hits) else None, band, first(text or "", fixed.CONTACT_PATTERNS), title and " ".join(w.capitalize() for w in title.split(" ")), next((y for y in years if 1900 <= y <= 2030), None))
+
+    got = enrich.inferred(texts(spark, *rows)).orderBy("id").collect()
+    assert [(x.industry, x.employees, x.contact_name, x.contact_title, x.founded_year) for x in got] == [plain(t) for t in rows]
+
+
 LEAD = "id int, industry string, employees string, email_confidence double, scrape_confidence double, enrichment_confidence double, linkedin_url string"
 
 
