@@ -292,3 +292,52 @@ def test_words_made_to_collide_in_polynomials_are_told_apart(spark):
 
     found, doc, _ = toxicity.features(pa.array([one, two]))
     assert not set(found[(doc == 0)][:1]) & set(found[doc == 1][:1]) and quality.word_hashes is word_hashes
+
+
+def templated(many, changes, seed, words=60, line=None):
+    """Texts of one template, each with some words of its own."""
+    r = random.Random(seed)
+    base = line or [f"t{i}" for i in range(words)]
+    out = []
+    for k in range(many):
+        own = list(base)
+        for i in r.sample(range(len(own)), changes(k, r)):
+            own[i] = f"x{r.randint(0, 10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [10, 2048])
+def test_near_duplicates_of_crowded_keys_equal_brute_force(spark, crowd):
+    """Documents of one template around the limit, in groups that pass it or not; recall is 1 whichever way they meet."""
+    texts = templated(120, lambda k, r: r.randint(0, 4), 3) + templated(60, lambda k, r: 2, 4, words=150)
+    rows = list(enumerate(texts)) + [(7, texts[7]), (500, "only four words here"), (501, ""), (502, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i in range(len(texts)) if find(i) != i}
+    got = {r.doc_id: r.kept_id for r in neardup.duplicates(df, crowd=crowd).collect()}
+    assert {k: v for k, v in got.items() if k < 500} == want and 20 < len(want) < len(texts) - 20
+
+
+def test_prefixes_lose_no_pair_and_part_templates(spark):
+    texts = templated(80, lambda k, r: (1, 9)[k % 2], 8, words=100)
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    met = {}
+    for r in neardup.prefixes(df, 5, 0.8).collect():
+        met.setdefault(r.key, set()).add(r.vertex)
+    together = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = {(a, b) for b in range(80) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike and alike <= together
+    assert not any(a % 2 and b % 2 for a, b in together)  # many words of their own: they do not meet
