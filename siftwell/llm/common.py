@@ -77,12 +77,17 @@ def task_count(df: DataFrame, per: int = TASK_BYTES) -> int:
     return max(shuffle_partitions(df.sparkSession), math.ceil(source_bytes(df) / per))
 
 
+def least_hashes(part: float) -> int:
+    """The hash up to which a share ``part`` of all signed 64-bit hashes lies, however small the share."""
+    return min((1 << 63) - 1, int(part * 2**64) - (1 << 63))
+
+
 def bounded(rows: DataFrame, total: int, most: int, *idents: str) -> DataFrame:
     """``most`` of the ``total`` rows, the first by hash of ``idents``; all where there are no more. Tasks keep about two
     times the rows that are given, so the last sort is small."""
     if total <= most:
         return rows
-    share = F.pmod(F.xxhash64(F.lit("sample"), *idents), F.lit(1 << 30)) < int(min(1.0, 2 * most / total) * (1 << 30))
+    share = F.xxhash64(F.lit("sample"), *idents) <= F.lit(least_hashes(min(1.0, 2 * most / total)))
     return rows.filter(share).orderBy(F.xxhash64(*idents), *idents).limit(most)
 
 

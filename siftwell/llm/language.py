@@ -18,6 +18,8 @@ rows; other columns are ignored. A null ``doc_id`` is not held out and not learn
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -137,11 +139,43 @@ def forward(pieces: Pieces, m: np.ndarray, n: np.ndarray, p: np.ndarray, block:
     return out
 
 
+class Memory:
+    """What a worker has worked out of words: common ones come again in every batch. When it is full it begins anew."""
+
+    def __init__(self, words: int = 300_000, floats: int = 4_000_000):
+        self.words, self.floats = words, floats
+        self.forget()
+        common.remembered.append(self.forget)
+
+    def forget(self) -> None:
+        self.name, self.place, self.rows = None, {}, np.zeros((0, 0))
+
+    def of(self, model: Model, words: list[str]) -> np.ndarray:
+        """Log-probabilities of distinct words, as ``model.logs`` gives them."""
+        langs = max(1, len(model.langs))
+        room = min(self.words, self.floats // langs)
+        if len(words) > room:
+            return model.logs(words)
+        new = [w for w in words if w not in self.place] if self.name == model.name else words
+        if self.name != model.name or len(self.place) + len(new) > room:
+            self.name, self.place, self.rows, new = model.name, {}, np.zeros((1024, langs)), words
+        begin, end = len(self.place), len(self.place) + len(new)
+        if new:
+            if end > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((max(end, min(room, 2 * len(self.rows))) - len(self.rows), langs))])
+            self.rows[begin:end] = model.logs(new)
+            self.place.update(zip(new, range(begin, end)))
+        return self.rows[np.fromiter((self.place[w] for w in words), np.int64, len(words))]
+
+
+MEMORY = Memory()
+
+
 class Model:
     """Languages and piece probabilities."""
 
     def __init__(self, pieces: Pieces, langs: list[str], p: np.ndarray):
-        self.pieces, self.langs, self.p = pieces, langs, p
+        self.pieces, self.langs, self.p, self.name = pieces, langs, p, uuid.uuid4().hex
 
     def logs(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -157,7 +191,7 @@ class Model:
         flat = pa.array([x for w in words for x in w], pa.string()).dictionary_encode()
         if not len(flat) or not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        logs = self.logs(flat.dictionary.to_pylist())[np.asarray(flat.indices)]
+        logs = MEMORY.of(self, flat.dictionary.to_pylist())[np.asarray(flat.indices)]
         doc = np.repeat(np.arange(len(texts)), count)
         total = np.stack([np.bincount(doc, logs[:, k], len(texts)) for k in range(len(self.langs))], axis=1)
         best = total.argmax(1)
@@ -217,8 +251,8 @@ def trained(docs: DataFrame, model_path: str, sample: int = 4_000, words: int =
     if not sizes:
         return estimate(Pieces(model_path), {})
     each = max(1, sample // len(sizes))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int((1 << 20) * min(1.0, each / n))))])
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).select("lang", "text")
+    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(common.least_hashes(min(1.0, each / n))))])
+    chosen = rows.filter(F.xxhash64("doc_id") <= share[F.col("lang")]).select("lang", "text")
 
     def spelled(batches):
         for b in common.pieces(batches, "text"):
@@ -239,7 +273,7 @@ def identified(docs: DataFrame, model_path: str, sample: int = 4_000) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(trained(docs, model_path, sample))  # the vocabulary times the languages
 
     def run(batches):
-        for b in common.pieces(batches, "text", 4 << 20):
+        for b in common.pieces(batches, "text", 4 << 20, remember=True):
             lang, score = shared.value.predict(common.texts_of(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -5,9 +5,11 @@ these. Features are words and word beginnings (hashes), of which the fit keeps t
 toxic documents; a document's value for a marker is log(1 + occurrences).
 
 The labels are 0 and 1 only. How clearly a toxic document is one is judged by those it was not fitted with: the labelled
-documents are parted in ``FOLDS``, each is scored by a model of the two classes fitted on the others, and the toxic ones get
-grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. From P(grade > 0) = ``limit`` on a
-document is toxic; unless it is given, it is where the same scores part the labels best (by F1). The fit uses at most ``sample``
+documents are parted in ``FOLDS``, each is scored by a model of the two classes, markers included, fitted on the others, and
+the toxic ones get grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. From P(grade > 0) =
+``limit`` on a document is toxic; unless it is given, it is where P(grade > 0) of the graded model, fitted in the same way on
+the other folds, parts the labels best (by F1). ``Model.held_out`` tells how each fold came out at the limit of the others.
+The fit uses at most ``sample``
 labelled rows (the first by hash of the id); every row of the input is scored.
 
 Nulls, ties, repeats: a null text has no features; label rows with a null in a column that counts are no examples;
@@ -52,8 +54,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 class Model:
     """Markers (sorted hashes), their weights, the ordered cuts, and the probability from which on a text is toxic."""
 
-    def __init__(self, markers: np.ndarray, weights: np.ndarray, cuts: np.ndarray, limit: float = 0.5):
-        self.markers, self.weights, self.cuts, self.limit = markers, weights, cuts, limit
+    def __init__(self, markers: np.ndarray, weights: np.ndarray, cuts: np.ndarray, limit: float = 0.5, held_out: tuple[int, int, int, int] | None = None):
+        self.markers, self.weights, self.cuts, self.limit, self.held_out = markers, weights, cuts, limit, held_out
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity and P(grade > 0) of each text."""
@@ -81,17 +83,27 @@ def standing_out(bad: np.ndarray, good: np.ndarray, n1: int, n0: int, markers: i
     return np.sort(top[z[top] >= least_z])
 
 
-def out_of_fold(x: np.ndarray, toxic: np.ndarray, rounds: int) -> np.ndarray:
-    """Score of each row by a model of the two classes fitted on the folds that it is not in."""
-    fold, out = np.arange(len(x)) % FOLDS, np.zeros(len(x))
+def out_of_fold(x: np.ndarray, grade: np.ndarray, rounds: int, fold: np.ndarray | None = None, chosen: list[np.ndarray] | None = None, top: int = 1) -> np.ndarray:
+    """Logit of P(grade > 0) of each row by a model fitted on the folds that it is not in; ``chosen``: the columns of each fold's markers."""
+    fold, out = np.arange(len(x)) % FOLDS if fold is None else fold, np.zeros(len(x))
     for f in range(FOLDS):
-        rest = fold != f
-        if 0 < toxic[rest].sum() < rest.sum():
-            w, cut = ordinal(x[rest], toxic[rest].astype(int), 1, rounds)
-            out[~rest] = x[~rest] @ w - cut[0]
+        rest, own = fold != f, slice(None) if chosen is None else chosen[f]
+        if 0 < (grade[rest] > 0).sum() < rest.sum():
+            w, cut = ordinal(x[rest][:, own], grade[rest].astype(int), top, rounds)
+            out[~rest] = x[~rest][:, own] @ w - cut[0]
     return out
 
 
+def parted(score: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> tuple[int, int, int, int]:
+    """Toxic documents found and all, others marked and all, each fold at the limit that the others learn."""
+    p, marked = 1 / (1 + np.exp(-np.clip(score, -40, 40))), np.zeros(len(score), bool)
+    for f in np.unique(fold):
+        rest = fold != f
+        if toxic[rest].any():
+            marked[~rest] = p[~rest] >= best_limit(score[rest], toxic[rest])
+    return int((marked & toxic).sum()), int(toxic.sum()), int((marked & ~toxic).sum()), int((~toxic).sum())
+
+
 def best_limit(score: np.ndarray, toxic: np.ndarray) -> float:
     """The probability that parts the labels best: the highest F1, of equal ones the highest limit."""
     order = np.argsort(-score, kind="stable")
@@ -107,11 +119,13 @@ def grades(score: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (score[:, None] > steps[None, :]).sum(1), 0)
 
 
-def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, rounds: int = 500) -> Model:
-    """``counts``: occurrences of each marker in each labelled document, in an order that is no order of labels."""
-    x = np.log1p(counts)
-    score = out_of_fold(x, toxic, rounds=150)
-    return Model(markers, *ordinal(x, grades(score, toxic), GRADES, rounds), best_limit(score, toxic))
+def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, fold: np.ndarray, chosen: list[np.ndarray], rounds: int = 500) -> Model:
+    """``counts``: occurrences of each marker in each labelled document; ``chosen``: columns of the markers that each fold's
+    model may use, last those of the model itself."""
+    x, own = np.log1p(counts), chosen[-1]
+    grade = grades(out_of_fold(x, toxic, 150, fold, chosen), toxic)
+    score = out_of_fold(x, grade, rounds, fold, chosen, GRADES)
+    return Model(markers[own], *ordinal(x[:, own], grade, GRADES, rounds), best_limit(score, toxic), parted(score, toxic, fold))
 
 
 def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, top: int, ridge: float = 1e-3) -> tuple[float, np.ndarray]:
@@ -152,7 +166,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
     total = known.count()
     chosen = common.bounded(known, total, sample, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    used = common.table(rows.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    used = common.table(rows.join(F.broadcast(chosen), "doc_id").withColumn("fold", fold), "toxicity-sample")
 
     def in_documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes that a text has, once each; their documents; labels."""
@@ -173,28 +188,38 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
         return NONE
 
     def frequencies(batches):
-        out = np.zeros((2, len(names) + 1), np.int64)  # the last place: documents
+        out = np.zeros((FOLDS, 2, len(names) + 1), np.int64)  # the last place: documents
         for b in common.pieces(batches, "text"):
             h, doc, toxic = in_documents(b)
+            part = np.asarray(b.column("fold"))
             at = np.minimum(np.searchsorted(names, h), len(names) - 1)
             hit = names[at] == h
-            for k in (0, 1):
-                some = hit & (toxic[doc] == k)
-                out[k, :-1] += np.bincount(at[some], minlength=len(names))
-                out[k, -1] += (toxic == k).sum()
-        some = np.flatnonzero(out.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[0, some]), pa.array(out[1, some])], ["at", "n0", "n1"])
-
-    totals = used.mapInArrow(frequencies, "at long, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # a row a candidate
-    sums = np.zeros((2, len(names) + 1), np.int64)
+            for f in range(FOLDS):
+                for k in (0, 1):
+                    some = hit & (toxic[doc] == k) & (part[doc] == f)
+                    out[f, k, :-1] += np.bincount(at[some], minlength=len(names))
+                    out[f, k, -1] += ((toxic == k) & (part == f)).sum()
+        for f in range(FOLDS):
+            some = np.flatnonzero(out[f].any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), f)), pa.array(out[f, 0, some]), pa.array(out[f, 1, some])], ["at", "fold", "n0", "n1"])
+
+    totals = used.mapInArrow(frequencies, "at long, fold long, n0 long, n1 long").groupBy("at", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # a row a candidate and fold
+    sums = np.zeros((FOLDS, 2, len(names) + 1), np.int64)
     for k in (0, 1):
-        sums[k, np.asarray(totals["at"])] = np.asarray(totals[f"n{k}"])
-    (*_, n0), (*_, n1) = sums
-    if not n0 or not n1:
-        return NONE
-    best = names[standing_out(sums[1, :-1], sums[0, :-1], n1, n0, markers, least_z)]
-    if not len(best):
+        sums[np.asarray(totals["fold"]), k, np.asarray(totals["at"])] = np.asarray(totals[f"n{k}"])
+
+    def best_of(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+        """Places of the markers of these documents; features that are too rare among their toxic ones are none."""
+        if not good[-1] or not bad[-1]:
+            return np.zeros(0, np.int64)
+        return standing_out(np.where(bad[:-1] >= least_docs, bad[:-1], 0), good[:-1], bad[-1], good[-1], markers, least_z)
+
+    whole = sums.sum(0)
+    places = [*(best_of(*(whole - sums[f])) for f in range(FOLDS)), best_of(*whole)]
+    if not len(places[-1]):
         return NONE
+    every = np.unique(np.concatenate(places))
+    best, chosen = names[every], [np.searchsorted(every, p) for p in places]
 
     def occurrences(batches):
         for b in common.pieces(batches, "text"):
@@ -202,11 +227,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 12_000, markers: i
             at = np.minimum(np.searchsorted(best, h), len(best) - 1)
             hit = best[at] == h
             x = np.bincount(doc[hit] * len(best) + at[hit], minlength=n * len(best)).reshape(n, -1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([r.tobytes() for r in np.minimum(x, 65535).astype(np.uint16)], pa.binary())], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("fold"), pa.array([r.tobytes() for r in np.minimum(x, 65535).astype(np.uint16)], pa.binary())], ["doc_id", "toxic", "fold", "x"])
 
-    got = used.mapInArrow(occurrences, "doc_id long, toxic int, x binary").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    got = used.mapInArrow(occurrences, "doc_id long, toxic int, fold int, x binary").withColumn("h", F.xxhash64("doc_id")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.uint16).reshape(-1, len(best)).astype(float)
-    return fit(best, x, np.asarray(got["toxic"]).astype(bool))
+    return fit(best, x, np.asarray(got["toxic"]).astype(bool), np.asarray(got["fold"]), chosen)
 
 
 def severity(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

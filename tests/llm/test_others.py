@@ -236,6 +236,28 @@ def test_language_has_no_caps(spark):
     assert [got[i].lang_pred for i in (102, 103, 104)] == ["en", "de", "en"] and all(0 <= r.score <= 1 for r in got.values())
     tie = {r.doc_id: r.lang_pred for r in language.identified(spark.createDataFrame([(i, "same words here", ("b", "a")[i % 2]) for i in range(60)], "doc_id long, text string, lang string"), path).collect()}
     assert set(tie.values()) <= {"a", "b"}
+    model = language.Model(pieces, ["a", "b", "c"], np.full((len(pieces.names) + 1, 3), 1e-3))
+    assert model.predict(["same words", "x", ""])[0] == ["a", "a", "und"]  # the first of those that tie
+
+
+def test_language_learns_from_very_many_documents():
+    """A share of 10^10 documents is about the number wanted; a whole share is all."""
+    for n in (10**5, 10**8, 10**10, 10**13):
+        assert abs((common.least_hashes(1000 / n) + 2**63) / 2**64 * n - 1000) < 1
+    assert common.least_hashes(1.0) == 2**63 - 1
+
+
+def test_language_remembers_what_words_are_worth():
+    pieces = language.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(1)
+    one, two = (language.Model(pieces, ["a", "b"], r.random((len(pieces.names) + 1, 2))) for _ in range(2))
+    memory = language.Memory(words=30)
+    words = [f"▁w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)]
+    for model in (one, two, one):
+        for part in (words[:20], words[10:25], words[5:35], words, words[:1], words[30:60], []):
+            assert np.array_equal(memory.of(model, part), model.logs(part) if part else np.zeros((0, 2)))
+    memory.forget()
+    assert not memory.place and memory.of(one, words[:3]).shape == (3, 2)
 
 
 def test_forward_sums_all_segmentations():
