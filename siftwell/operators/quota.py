@@ -101,6 +101,12 @@ def plans(spark: SparkSession, ai_plans: tuple[str, ...] = (), export_plans: tup
     return spark.createDataFrame(rows, "name string, max_leads_per_day long, can_export boolean, can_use_ai boolean, price long")
 
 
+def plans_in_use(plans: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``plans`` with ``subscriptions``, how many there are of each."""
+    n = subscriptions.groupBy(F.col("plan_name").alias("name")).agg(F.count("*").alias("subscriptions"))
+    return plans.join(n, "name", "left").withColumn("subscriptions", F.coalesce("subscriptions", F.lit(0)))
+
+
 def seeded(existing: DataFrame, defaults: DataFrame) -> DataFrame:
     """The defaults where the table is empty, else the table."""
     n = existing.agg(F.count("*").alias("_n"))

@@ -76,8 +76,11 @@ query("lookup_api_key", lambda t: L.lookup(t.api_keys, "key_prefix", "sk_00000")
 query("scan_api_keys_by_org", lambda t: t.api_keys.filter("organization_id = 5"), "select * from api_keys where organization_id = 5")
 query("api_key_valid", lambda t: t.api_keys.select("id", L.usable_key().alias("valid")), "select id, is_active and not is_revoked as valid from api_keys")
 query("project_public_user", lambda t: L.public_users(t.users), "select * exclude (hashed_password) from users")
-query("scan_plans", lambda t: Q.plans(t.spark).drop("price"), "select * from (values ('free', cast(10 as bigint), false, false), ('pro', cast(500 as bigint), false, false), ('enterprise', cast(10000 as bigint), false, false)) v(name, max_leads_per_day, can_export, can_use_ai)")
-query("plan_prices", lambda t: Q.plans(t.spark).select("name", "price"), "select * from (values ('free', cast(0 as bigint)), ('pro', cast(29 as bigint)), ('enterprise', cast(99 as bigint))) v(name, price)")
+IN_USE = "(select plan_name, count(*) as n from subscriptions group by 1)"
+PLANS = "(select name, max_leads_per_day, price, coalesce(n, 0) as subscriptions from (values ('free', cast(10 as bigint), cast(0 as bigint)), ('pro', cast(500 as bigint), cast(29 as bigint)), ('enterprise', cast(10000 as bigint), cast(99 as bigint))) v(name, max_leads_per_day, price) left join " + IN_USE + " u on u.plan_name = name)"
+plans = lambda t: Q.plans_in_use(Q.plans(t.spark), t.subscriptions)
+query("scan_plans", lambda t: plans(t).drop("price"), f"select name, max_leads_per_day, false as can_export, false as can_use_ai, subscriptions from {PLANS}")
+query("plan_prices", lambda t: Q.with_plan(t.organizations, t.subscriptions).select("id", "plan_name").join(Q.plans(t.spark).select(F.col("name").alias("plan_name"), "price"), "plan_name", "left"), "select o.id, coalesce(s.plan_name, 'free') as plan_name, cast(case coalesce(s.plan_name, 'free') when 'free' then 0 when 'pro' then 29 when 'enterprise' then 99 end as bigint) as price from organizations o left join subscriptions s on s.organization_id = o.id")
 
 # --- predicates
 query("search_leads", lambda t: L.search(t.leads, "TRAVEL").select(*LEAD_COLUMNS), f"select {LEAD} from leads where contains(lower(website), 'travel') or contains(lower(coalesce(company_name, '')), 'travel') or contains(lower(coalesce(industry, '')), 'travel')")
@@ -88,7 +91,7 @@ query("create_authz", lambda t: t.leads.select("id", L.create_status(ORG, ORG %
 query("day_window", lambda t: L.on_day(t.leads, DAY).select("id", "organization_id"), f"select id, organization_id from leads where created_at >= timestamp '{DAY}' and created_at <= timestamp '{DAY} 23:59:59.999999'")
 query("display_defaults", lambda t: t.leads.select("id", *L.displayed()), "select id, coalesce(nullif(company_name, ''), 'N/A') as company_name, coalesce(nullif(industry, ''), 'Unknown Industry') as industry, coalesce(nullif(employees, ''), 'N/A') as employees, coalesce(nullif(contact_name, ''), 'N/A') as contact_name, strftime(created_at, '%b %d, %Y') as created from leads")
 query("has_sufficient_data", lambda t: t.leads.select("id", message.sufficient_data().alias("enough")), "select id, (coalesce(company_name <> '', false)::int + coalesce(industry <> '', false)::int + coalesce(contact_name <> '', false)::int + coalesce(employees <> '', false)::int) >= 2 as enough from leads")
-query("request_lines", lambda t: L.requests(t.spark.createDataFrame([(1, " https://a.example \n\nhttps://b.example\nhttps://a.example "), (2, "")], "box long, urls string")), "select * from (values (cast(1 as bigint), 'https://a.example'), (cast(1 as bigint), 'https://b.example'), (cast(1 as bigint), 'https://a.example')) v(box, url)")
+query("request_lines", lambda t: L.requests(t.pages.select(F.col("page_id").alias("box"), F.concat(F.lit(" "), "url", F.lit(" \n\n  \n"), "url", F.lit("\n"), F.when(F.col("page_id") % 3 == 0, "https://more.example").otherwise("")).alias("urls"))), "select page_id as box, unnest([url, url]) as url from pages union all select page_id, 'https://more.example' from pages where page_id % 3 = 0")
 
 # --- scores
 PARTS = {
@@ -120,10 +123,9 @@ query("score_by_organization", lambda t: configured(t).select("id", F.round("sco
 query("breakdown_by_organization", lambda t: configured(t).select("id", F.explode("criteria_scores").alias("criterion", "points")), f"select id, criterion, points from {CONFIGURED_SCORES}")
 query("scoring_configurations", lambda t: score.configurations(t.scoring_rows).select("organization_id", "weights_valid", F.inline("criteria")).withColumn("weight", F.round("weight", 12)), f"select organization_id, name, round(case when sum(weight) over w > 0 then weight / sum(weight) over w else weight end, 12) as weight, threshold, max_score, abs(sum(weight) over w - 1) <= 0.01 as weights_valid from scoring_rows where name in ({listed(fixed.CRITERIA)}) window w as (partition by organization_id)")
 query("filter_score_band", lambda t: L.in_band(scored(t), "medium").select("id", "score"), f"select id, s as score from {SCORED} where s >= 60 and s < 80")
-WEIGHTS = ", ".join(f"('{n}', {double(w)})" for n, (w, _) in fixed.CRITERIA.items())
-weights = lambda t: t.spark.createDataFrame([(n, w) for n, (w, _) in fixed.CRITERIA.items()], "name string, weight double")
-query("weight_sum_check", lambda t: weights(t).agg((F.abs(F.sum("weight") - 1) <= 0.01).alias("valid")), f"select abs(sum(weight) - 1) <= 0.01 as valid from (values {WEIGHTS}) v(name, weight)")
-query("weight_normalise", lambda t: weights(t).filter("name <> 'linkedin_presence'").select("name", F.expr("round(weight / sum(weight) over (), 12)").alias("weight")), f"select name, round(weight / sum(weight) over (), 12) as weight from (values {WEIGHTS}) v(name, weight) where name <> 'linkedin_presence'")
+KNOWN_RULES = f"(select * from scoring_rows where name in ({listed(fixed.CRITERIA)}))"
+query("weight_sum_check", lambda t: score.configurations(t.scoring_rows).select("organization_id", F.col("weights_valid").alias("valid")), f"select organization_id, abs(sum(weight) - 1) <= 0.01 as valid from {KNOWN_RULES} group by 1")
+query("weight_normalise", lambda t: score.configurations(t.scoring_rows).select("organization_id", F.inline(F.transform("criteria", lambda c: F.struct(c["name"].alias("name"), F.round(c["weight"], 12).alias("weight"))))), f"select organization_id, name, round(weight / sum(weight) over (partition by organization_id), 12) as weight from {KNOWN_RULES}")
 
 # --- plans, quotas, joins
 PLAN = "case plan_name when 'pro' then 500 when 'enterprise' then 10000 else 10 end"
@@ -153,8 +155,9 @@ wanted = lambda t: t.organizations.select(F.col("id").alias("organization_id"),
 WANTED = "(select id as organization_id, case id % 4 when 0 then 'free' when 1 then 'pro' else 'enterprise' end as plan_name from organizations where id % 3 = 0 and id % 4 <> 2)"
 query("assign_plan", lambda t: Q.assigned(t.subscriptions, wanted(t)), f"select s.organization_id, coalesce(w.plan_name, s.plan_name) as plan_name, case when w.plan_name is null then s.status else 'active' end as status, s.cancel_at_period_end from subscriptions s left join {WANTED} w using (organization_id) union all select organization_id, plan_name, 'active', false from {WANTED} where organization_id not in (select organization_id from subscriptions)")
 query("cancel_plan", lambda t: Q.canceled(t.subscriptions, t.organizations.filter("id % 5 < 2").select(F.col("id").alias("organization_id"), (F.col("id") % 5 == 0).alias("immediate"))), "select id, organization_id, plan_name, case organization_id % 5 when 0 then 'canceled' when 1 then 'active' else status end as status, case organization_id % 5 when 0 then false when 1 then true else cancel_at_period_end end as cancel_at_period_end from subscriptions")
-query("seed_plans", lambda t: Q.seeded(Q.plans(t.spark).drop("price").filter("false"), Q.plans(t.spark).drop("price")), ORACLES["scan_plans"])
-query("plans_count", lambda t: Q.plans(t.spark).agg(F.count("*").alias("n")), "select cast(3 as bigint) as n")
+query("seed_plans", lambda t: Q.seeded(plans(t).filter("subscriptions < 0").drop("price", "subscriptions"), plans(t).filter("subscriptions > 0").drop("price", "subscriptions")), f"select name, max_leads_per_day, false as can_export, false as can_use_ai from {PLANS} where subscriptions > 0")
+query("seed_plans_again", lambda t: Q.seeded(plans(t).filter("subscriptions > 0").select("name", "price"), Q.plans(t.spark).select("name", (F.col("price") + 1).alias("price"))), f"select name, price from {PLANS} where subscriptions > 0")
+query("plans_count", lambda t: plans(t).filter("subscriptions > 0").agg(F.count("*").alias("n")), f"select count(*) as n from {PLANS} where subscriptions > 0")
 PRICE = "case event_id % 4 when 0 then 'price_123' when 1 then 'price_456' when 2 then 'price_789' else 'price_0' end"
 query("plan_from_price", lambda t: t.events.select("event_id", Q.plan_of_price(F.expr(PRICE)).alias("plan_name")), "select event_id, case event_id % 4 when 0 then 'starter' when 1 then 'pro' when 2 then 'enterprise' else 'unknown' end as plan_name from events")
 billing = lambda t: t.events.select("event_id", F.col("ts").alias("at"), F.col("user_id").alias("organization_id"), F.expr("case event_type when 'signup' then 'created' when 'purchase' then 'updated' when 'error' then 'deleted' else 'payment' end").alias("kind"), F.expr(PRICE).alias("price"), F.expr("case when event_id % 7 = 0 then 'past_due' else 'active' end").alias("status"), (F.col("event_id") % 2 == 0).alias("at_period_end"))
