@@ -117,8 +117,18 @@ select s_suppkey as id, s_suppkey % 50 as organization_id, concat('sk_', substr(
 """
 
 
+#: Tables of texts, on whose rows much work is done; and how many bytes of one are dealt out if its files are fewer than the session's tasks.
+TEXTS, SMALL = ("documents", "pages"), 64 << 20
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is. A small one of texts in a file or two would be the work of a task or two, so its rows are dealt out first."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plan = getattr(rows, "_jdf", None)  # remote sessions tell no sizes: the table stays as it is
+    if name not in TEXTS or plan is None or int(plan.queryExecution().analyzed().stats().sizeInBytes()) > SMALL:
+        return rows
+    tasks = spark.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if len(rows.inputFiles()) < tasks else rows
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
