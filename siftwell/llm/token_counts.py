@@ -2,8 +2,9 @@
 
 Normalised content and the tokenizer's file are reduced to digests; a cache table maps both to a count.
 Contents that the cache lacks are encoded once each and appended, so a later run over mostly known texts
-encodes only what is new. Only ids and digests are grouped; the texts of misses are shuffled once, by document, and
-none where nothing is missing. A content that a third of all rows have meets its count dealt out over many tasks.
+encodes only what is new. Only ids and digests are grouped. Digests of misses are counted: up to ``most_broadcast`` bytes of them
+go to all tasks and texts stay where they lie; where there are more, texts are shuffled once, by document; where nothing is
+missing none is read again. A content that a third of all rows have meets its count dealt out over many tasks.
 
 Nulls, ties, repeats: a null text is empty (0 bytes, 0 tokens); a null ``doc_id`` stays null; repeated rows
 each give a row; an empty table gives no rows; other columns of the input are ignored; a very long text is encoded whole.
@@ -26,7 +27,17 @@ def normalised(text):
     return F.regexp_replace(text, "[ \\t\\r\\n]+", " ")
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
+#: Bytes of a document's number and its content's digest, as a task holds them.
+MISS_BYTES = 64
+
+
+def texts_of_misses(rows: DataFrame, misses: DataFrame, many: int, most_broadcast: int) -> DataFrame:
+    """``content, text`` of the rows that are ``many`` misses, ``owner, content``."""
+    side = F.broadcast(misses) if many * MISS_BYTES <= most_broadcast else misses.hint("shuffle_hash")
+    return rows.select("owner", "content", "text").join(side, ["owner", "content"], "left_semi").select("content", "text")
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048, most_broadcast: int = 4 << 20) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of ``docs``; what was not in the cache is appended to it.
 
     Content is normalised only where the tokenizer is known to drop white space. The cache is a Parquet folder; a missing
@@ -44,19 +55,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     )
     known = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
     keys = common.table(rows.drop("text"), "token-keys")
-    first = keys.groupBy("content").agg(F.min("owner").alias("owner")).join(known.select("content").distinct(), "content", "left_anti")
-    misses = rows.select("owner", "content", "text").join(first.hint("shuffle_hash"), ["owner", "content"], "left_semi")
+    first = common.table(keys.groupBy("content").agg(F.min("owner").alias("owner")).join(known.select("content").distinct(), "content", "left_anti"), "token-misses")
+    many = first.count()
 
     def count(batches):
-        c, seen = tokens.counter(tokenizer_path), set()  # rows that agree in owner and content lie in one partition
+        c, seen = tokens.counter(tokenizer_path), set()  # a content that a task meets again
         for b in batches:
             content = b.column("content").to_pylist()
             fresh = [i for i, x in enumerate(content) if not (x in seen or seen.add(x))]
             for p in common.pieces([b.take(pa.array(fresh, pa.int64()))], "text", 4 << 20, True):
                 yield pa.RecordBatch.from_arrays([p.column("content"), pa.array(c.of(common.texts_of(p)), pa.int64())], ["content", "n_tokens"])
 
-    if not first.isEmpty():
-        new = misses.select("content", "text").mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    if many:
+        new = texts_of_misses(rows, first, many, most_broadcast).mapInArrow(count, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
         new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return common.met(keys, counts, "content", "owner").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

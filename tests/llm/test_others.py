@@ -27,6 +27,23 @@ def test_token_counts_and_cache(spark, docs, rows, empty):
     assert token_counts.token_counts(empty, WORD, common.shared_dir(spark, "cache")).count() == 0
 
 
+def test_few_misses_leave_texts_where_they_lie(spark, tmp_path):
+    """With a full cache and one new text no exchange has a text in it; with many misses there is one; the counts are the same."""
+    t = Tokenizer.from_file(WORD)
+    texts = [f"text number {i} of some" for i in range(300)] + ["same"] * 40
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for most in (0, 1 << 20):
+        cache = common.shared_dir(spark, "cache")
+        assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, WORD, cache, most_broadcast=most).collect()} == want
+        assert token_counts.read_cache(spark, cache).count() == 301
+    rows = docs.selectExpr("doc_id as owner", "unhex(sha2(text, 256)) as content", "text")
+    one = common.table(rows.limit(1).select("owner", "content"), "one")
+    plan = lambda most: token_counts.texts_of_misses(rows, one, 1, most)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan(1 << 20) and "BroadcastExchange" in plan(1 << 20) and "hashpartitioning" in plan(0)
+
+
 @pytest.mark.parametrize("text", ["aµb", "don't we'll THEY'RE 's", "x\n\n y  z\t\tq \n", "foo123 bar_baz <|endoftext|> q", "İstanbul. ΑΣ. é.x", "a\xa0b", "½ ²x abc½", "   lead", "trail   ", "\n", "", "中文,abc"])
 def test_chunks_give_the_ids_of_the_whole(text):
     assert list(memoryview(tokens.encoder(BYTE).of([text])[0]).cast("H")) == tokens.tokenizer(BYTE).encode(text, add_special_tokens=False).ids
