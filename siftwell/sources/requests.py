@@ -1,11 +1,11 @@
 """A stream of fetched pages: a folder of request files, read as ``spark.readStream.format("requested_pages")``.
 
 Options: ``path``, a folder that driver and executors see, whose files have one request a line, ``{"page_id": 1, "url": "..."}``; ``fetch``
-as for ``web_pages``; ``slices``, how many partitions share the files of a micro-batch (8); ``most``, how many files it has at most (100).
+as for ``web_pages``; ``slices``, how many partitions share the files of a micro-batch (8). A micro-batch has all files that are there.
 
 Offsets are numbers of entries in a ledger below the folder. An entry names the files that were new when it was made, and is
 made once, so a batch that is planned again, by the same query or by one that was started again, has the same files,
-whatever their names and whenever they came. Spark tells of batches that are done for good; their files go to
+whatever their names and whenever they came (``ask`` writes such files). Spark tells of batches that are done for good; their files go to
 ``_done`` then, so no page is fetched again.
 """
 
@@ -15,7 +15,7 @@ import json
 from collections.abc import Iterator
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from .web import FIELDS, SCHEMA, fetched, function
@@ -43,7 +43,7 @@ class Files(InputPartition):
 class Reader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.fetch = options["path"], options["fetch"]
-        self.slices, self.most = int(options.get("slices", "8")), int(options.get("most", "100"))
+        self.slices = int(options.get("slices", "8"))
 
     def entries(self) -> list[int]:
         system, top = place(self.path)
@@ -62,7 +62,7 @@ class Reader(DataSourceStreamReader):
         system, top = place(self.path)
         numbers = self.entries()
         known = {n for e in numbers for n in self.entry(e)}
-        new = [n for n in files(system, top) if n not in known][: self.most]
+        new = [n for n in files(system, top) if n not in known]
         last = max(numbers, default=0)
         if not new:
             return {"entry": last}
@@ -122,5 +122,10 @@ class RequestedPages(DataSource):
         return Reader(self.options)
 
 
+def ask(rows: DataFrame, folder: str) -> None:
+    """Puts the requests ``rows(page_id, url)`` into the folder of a stream; a batch of them appears there when all its tasks are done."""
+    rows.select("page_id", "url").write.mode("append").json(folder)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RequestedPages)

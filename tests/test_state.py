@@ -31,7 +31,7 @@ def test_requested_pages_are_fetched_once(spark, tmp_path):
     folder.mkdir()
 
     def run():
-        pages = spark.readStream.format("requested_pages").option("path", str(folder)).option("fetch", "web_fixture:fetch").option("most", "2").load()
+        pages = spark.readStream.format("requested_pages").option("path", str(folder)).option("fetch", "web_fixture:fetch").load()
         query = pages.writeStream.format("parquet").option("checkpointLocation", str(state)).trigger(availableNow=True).start(str(out))
         query.awaitTermination()
         return [r.page_id for r in spark.read.schema(pages.schema).parquet(str(out)).orderBy("page_id").collect()]
@@ -49,6 +49,19 @@ def test_requested_pages_are_fetched_once(spark, tmp_path):
     assert rows[1] == ("<title>https://a.example</title>", None) and rows[2] == (None, "refused") and rows[None][1].startswith("malformed request")
 
 
+def test_requested_pages_are_processed(spark, tmp_path):
+    """From a table of requests over the stream to leads and logs."""
+    spark.sparkContext.addPyFile(web_fixture.__file__)
+    requests.register(spark)
+    folder = str(tmp_path / "in")
+    requests.ask(spark.createDataFrame([(i, f"https://p{i}.example/") for i in range(6)] + [(9, "https://bad.example")], "page_id long, url string").repartition(3), folder)
+    pages = spark.readStream.format("requested_pages").option("path", folder).option("fetch", "web_fixture:fetch").load()
+    streams.process_stream(pages, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rows = {r.lead_id: r for r in spark.read.option("recursiveFileLookup", "true").parquet(*(f"{f}/leads" for f in (tmp_path / "out").iterdir())).collect()}
+    assert set(rows) == {0, 1, 2, 3, 4, 5, 9} and not rows[9].scraping_success and rows[9].error_message == "no answer"
+    assert rows[3].company_name == "https://p3.example/"
+
+
 def test_a_reader_plans_what_is_not_committed_again(tmp_path):
     """As Spark calls it: offsets of a batch that was lost give the same files, also by another reader; after a commit they are gone."""
     options = {"path": str(tmp_path), "fetch": "web_fixture:fetch", "slices": "1"}
