@@ -8,7 +8,7 @@ The labels are 0 and 1 only. How clearly a toxic document is one is judged by th
 documents are parted in ``FOLDS``, each is scored by a model of the two classes, markers included, fitted on the others, and
 the toxic ones get grade 1, 2 or 3 by thirds of these scores; documents that are not toxic have grade 0. From P(grade > 0) =
 ``limit`` on a document is toxic; unless it is given, it is where P(grade > 0) of the graded model, fitted in the same way on
-the other folds, parts the labels best (by F1). ``Model.held_out`` tells how each fold came out at the limit of the others.
+the other folds, parts the labels best (by F1), in the middle of the gap there. ``Model.held_out`` tells how each fold came out at the limit of the others.
 The fit uses at most ``sample``
 labelled rows (the first by hash of the id); every row of the input is scored.
 
@@ -100,7 +100,7 @@ def parted(score: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> tuple[int,
     for f in np.unique(fold):
         rest = fold != f
         if toxic[rest].any():
-            marked[~rest] = p[~rest] >= best_limit(score[rest], toxic[rest])
+            marked[~rest] = p[~rest] >= between(score[rest], best_limit(score[rest], toxic[rest]))
     return int((marked & toxic).sum()), int(toxic.sum()), int((marked & ~toxic).sum()), int((~toxic).sum())
 
 
@@ -113,6 +113,16 @@ def best_limit(score: np.ndarray, toxic: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-score[order][np.argmax(np.where(last, f1, -1.0))])))
 
 
+def between(score: np.ndarray, limit: float) -> float:
+    """The middle, on the scale of scores, between the last score at or above the limit and the first below: what it parts stays
+    parted, and a model that scores a little otherwise than those of the folds has room on both sides."""
+    p = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+    above, below = score[p >= limit - 1e-12], score[p < limit - 1e-12]
+    if not len(above) or not len(below):
+        return limit
+    return float(1 / (1 + np.exp(-np.clip((above.min() + below.max()) / 2, -40, 40))))
+
+
 def grades(score: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0 for documents that are not toxic, else 1 to ``GRADES`` by equal shares of the toxic ones' out-of-fold scores."""
     steps = np.quantile(score[toxic], np.arange(1, GRADES) / GRADES)
@@ -125,7 +135,7 @@ def fit(markers: np.ndarray, counts: np.ndarray, toxic: np.ndarray, fold: np.nda
     x, own = np.log1p(counts), chosen[-1]
     grade = grades(out_of_fold(x, toxic, 150, fold, chosen), toxic)
     score = out_of_fold(x, grade, rounds, fold, chosen, GRADES)
-    return Model(markers[own], *ordinal(x[:, own], grade, GRADES, rounds), best_limit(score, toxic), parted(score, toxic, fold))
+    return Model(markers[own], *ordinal(x[:, own], grade, GRADES, rounds), between(score, best_limit(score, toxic)), parted(score, toxic, fold))
 
 
 def loss(p: np.ndarray, x: np.ndarray, grade: np.ndarray, top: int, ridge: float = 1e-3) -> tuple[float, np.ndarray]:

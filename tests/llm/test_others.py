@@ -387,6 +387,15 @@ def test_limit_has_the_best_f1():
         assert np.isclose(limit, max(1 / (1 + np.exp(-s)) for s in score if f1(s) == best))
 
 
+def test_the_limit_lies_in_a_gap():
+    """What a limit parts stays parted, with room on both sides; nothing below it, or above it, leaves it alone."""
+    score = np.array([3.0, 2.0, -1.0, -4.0])
+    p = 1 / (1 + np.exp(-score))
+    assert np.isclose(toxicity.between(score, p[1]), 1 / (1 + np.exp(-0.5)))
+    assert toxicity.between(score, p[3]) == p[3] and toxicity.between(score, 1.0) == 1.0
+    assert toxicity.parted(score, score > 0, np.array([0, 1, 0, 1]))[1::2] == (2, 2)
+
+
 def test_expectation_maximisation_equals_a_plain_one():
     """Document by document, labeller by labeller."""
     r = np.random.default_rng(4)
