@@ -3,14 +3,17 @@
 Vectors are scaled to length one, so the nearest by cosine is the nearest by Euclid. The coarse index has two levels: a
 centroid, and a centroid of what remains, shared by all first ones. Their pairs are the lists, as many as the square root
 of the number of vectors asks for, though both levels and the codebooks of the residuals are fitted on at most ``sample``
-vectors (chosen by hash of their id); every vector is indexed. How many lists a query visits is measured on the sample.
+vectors (chosen by hash of their id); every vector is indexed. How many lists a query visits is measured on the sample with
+some of the queries themselves, which may lie elsewhere than most vectors.
 
 Equal vectors are one entry that keeps their smallest ids, as many as a result can hold, and equal queries are searched
 for once, so a vector that a third of all rows have costs no more than another. A list of many entries is split into
 blocks of about ``block``. A task holds one block; its queries are streamed past it, in parts where they are very many:
-an asymmetric distance table ranks the codes, and the best ``rerank`` (and all that tie with the last) are scored
-exactly, in double precision, on the original vectors, component by component in one order, so equal vectors have equal
-scores wherever they lie. Only a query's best of each block are shuffled to its final ranking.
+an asymmetric distance table gives the distance to each code and, with how far a vector is from its code, bounds on the
+distance to the vector. Of what these do not rule out the best ``rerank`` (and all that tie with the last) are scored exactly,
+in double precision, on the original vectors, component by component in one order, so equal vectors have equal scores wherever
+they lie. So no neighbour in a visited list is missed, however fine the differences. Only a query's best of each block are
+shuffled to its final ranking.
 
 Nulls, ties, repeats: vectors that are null, empty, zero, or hold null or non-finite components, or whose length
 differs from the commonest, take no part, nor do rows without id; repeated rows are one vector (ids name vectors; of
@@ -90,6 +93,13 @@ class Index:
         out = (self.first * self.first).sum(1)[:, None] / 2 + mixed - (q @ self.first.T)[:, :, None] - (q @ self.second.T)[:, None, :]
         return out.reshape(len(q), -1)
 
+    def rebuilt(self, cell: int, code: np.ndarray) -> np.ndarray:
+        """What the codes of a list say of its vectors."""
+        out = np.repeat((self.first[cell // len(self.second)] + self.second[cell % len(self.second)])[None], len(code), axis=0)
+        for i, (p, b) in enumerate(zip(self.parts, self.books)):
+            out[:, p] += b[code[:, i]]
+        return out
+
     def tables(self, q: np.ndarray, cell: int) -> np.ndarray:
         """Squared distances of each query's residual parts to the codebooks: queries, parts, codes."""
         rest = q - self.first[cell // len(self.second)] - self.second[cell % len(self.second)]
@@ -100,14 +110,14 @@ class Index:
         return out
 
 
-def lists_to_visit(x: np.ndarray, index: Index, k: int, recall: float, queries: int = 512) -> int:
-    """Nearest lists that hold ``recall`` of the ``k`` exact neighbours of some of ``x`` among ``x``."""
-    if len(x) < 2:
+def lists_to_visit(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, index: Index, k: int, recall: float) -> int:
+    """Nearest lists that hold ``recall`` of the ``k`` exact neighbours of the queries ``q`` among ``x``; a query's own row is none."""
+    if len(x) < 2 or not len(q):
         return index.lists()
-    own, q = index.assign(x)[0], x[:queries]
-    near = q @ x.T
-    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    found = own[np.argpartition(-near, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]]
+    own, near = index.assign(x)[0], q @ x.T
+    near[q_ids[:, None] == ids[None, :]] = -np.inf
+    most = min(k, len(x) - 1)
+    found = own[np.argpartition(-near, most - 1, axis=1)[:, :most]]
     place = np.concatenate([np.argsort(np.argsort(index.far(q[i : i + 64]), axis=1), axis=1) for i in range(0, len(q), 64)])
     ranks = np.sort(np.take_along_axis(place, found, axis=1).ravel())
     return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
@@ -136,22 +146,37 @@ def rows_of(column: pa.Array, kind=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+#: Of bounds on distances between vectors of length one, and of their products: far above what rounding does.
+SLACK, ROUNDED = 1e-6, 1e-9
+
+
 def best_of_block(index: Index, entries: pa.Table, asked: pa.RecordBatch, k: int, rerank: int) -> pa.RecordBatch:
-    """``query, vec_id, score``: the ``k`` best ids of a block for each query."""
+    """``query, vec_id, score``: the ``k`` best ids of a block for each query.
+
+    A vector is as far from what its code says as ``off``, so its distance to a query lies within ``off`` of its code's. What cannot be
+    among the ``k`` best by these bounds goes; of the rest the ``rerank`` best by product, and all that rounding leaves open, are
+    scored exactly.
+    """
     cell, ids = entries["cell"][0].as_py(), entries["ids"].combine_chunks()
     code, x = rows_of(entries["code"].combine_chunks(), np.uint8), rows_of(entries["v"].combine_chunks())
     n, every = np.diff(np.asarray(ids.offsets)), np.asarray(ids.flatten())
     begin = np.cumsum(n) - n
+    even = unit(x)
+    off = np.sqrt(((even - index.rebuilt(cell, code)) ** 2).sum(1))
     q, found = rows_of(asked.column("v")), []
-    step = max(1, min(256, 2_000_000 // len(x)))
+    step, most, scored = max(1, min(256, 2_000_000 // len(x))), min(k, len(x)), min(max(k, rerank), len(x))
     for i in range(0, len(q), step):
-        tables = index.tables(unit(q[i : i + step]), cell)
+        u = unit(q[i : i + step])
+        tables = index.tables(u, cell)
         far = np.zeros((len(tables), len(x)))
         for p in range(code.shape[1]):
             far += tables[:, p, code[:, p]]
-        last = np.partition(far, rerank - 1, axis=1)[:, rerank - 1 : rerank] if len(x) > rerank else np.inf
-        row, at = np.nonzero(far <= last)
-        score = cosine(q[i + row], x[at])
+        far = np.sqrt(far)
+        limit = np.partition(far + off, most - 1, axis=1)[:, most - 1 : most] + SLACK
+        near = np.where(far - off <= limit, u @ even.T, -np.inf)
+        last = np.partition(near, len(x) - scored, axis=1)[:, len(x) - scored, None]
+        row, at = np.nonzero((near >= last - ROUNDED) & (near > -np.inf))
+        score = np.clip(added(u[row] * even[at]), -1.0, 1.0)  # as ``cosine`` has it
         who, own = np.repeat(np.arange(len(row)), n[at]), every[common.ranges(begin[at], n[at])]
         order = np.lexsort((own, -score[who], row[who]))
         row, own, score = row[who][order], own[order], score[who][order]
@@ -161,11 +186,17 @@ def best_of_block(index: Index, entries: pa.Table, asked: pa.RecordBatch, k: int
     return pa.RecordBatch.from_arrays([asked.column("content").take(pa.array(row)), pa.array(own), pa.array(score)], ["query", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, recall: float = 0.97, rerank: int = 48, block: int = 20_000, asked_part: int = 200_000, parts: int = 16, codes: int = 256) -> DataFrame:
+def drawn(rows: DataFrame, total: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``most`` of the ``total`` vectors, of length one, and their ids."""
+    got = common.bounded(rows, total, most, "vec_id").select("vec_id", "v").collect()
+    return (unit(np.array([r["v"] for r in got], np.float64)) if got else np.zeros((0, 0))), np.array([r["vec_id"] for r in got], np.int64)
+
+
+def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", query_every: int = 50, k: int = 5, sample: int = 20_000, recall: float = 0.97, rerank: int = 48, block: int = 20_000, asked_part: int = 200_000, parts: int = 16, codes: int = 256, tried: int = 512) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found to each vector whose id is divisible by ``query_every``.
 
     The number of lists is about half the square root of the number of vectors, 8 at least. A query visits as many as
-    hold ``recall`` of the exact neighbours within the sample.
+    hold ``recall`` of the exact neighbours that ``tried`` of the queries have within the sample.
     """
     spark = vectors.sparkSession
     rows = common.table(usable(vectors, id_column, vector_column), "vectors")
@@ -174,9 +205,10 @@ def search(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes[0]
     rows = rows.filter(F.size("v") == dim)
-    fitted = unit(np.array([r["v"] for r in common.bounded(rows, total, sample, "vec_id").select("v").collect()], np.float64))
+    fitted, ids = drawn(rows, total, sample)
     index = Index(fitted, max(8, math.ceil(math.sqrt(total) / 2)), parts, codes)
-    visit = lists_to_visit(fitted, index, k, recall)
+    wanted = rows.filter(F.col("vec_id") % query_every == 0)
+    visit = lists_to_visit(fitted, ids, *drawn(wanted, wanted.count(), tried), index, k, recall)
     shared = spark.sparkContext.broadcast(index)  # centroids of two levels: a fourth root of the vectors each; codes
 
     def assign(batches):

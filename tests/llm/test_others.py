@@ -194,6 +194,21 @@ def test_nearest_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_are_found_where_vectors_lie_close_and_queries_elsewhere(spark):
+    """Dense clusters whose vectors differ in the fourth decimal, with queries in them; and with queries far from all that is not one."""
+    r = np.random.default_rng(3)
+    close = r.normal(size=(20, 16))[r.integers(0, 20, 6000)] + 0.001 * r.normal(size=(6000, 16))
+    apart = close.copy()
+    apart[::50] = r.normal(size=(120, 16))
+    for x in (close, apart):
+        got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+        u = ann.unit(x)
+        near = u[::50] @ u.T
+        near[np.arange(120), np.arange(0, 6000, 50)] = -1
+        least = np.sort(near, axis=1)[:, -5]
+        assert len(got) == 600 and sum(h.score >= least[h.query_id // 50] - 1e-12 for h in got) >= 0.9 * 600
+
+
 @pytest.mark.parametrize("block, part", [(20_000, 200_000), (40, 5)])
 def test_neighbours_in_copies_and_blocks(spark, block, part):
     """All lists visited and reranked: the exact answer, ties by id, with copies in several blocks and queries in parts."""
