@@ -11,10 +11,13 @@ from functools import lru_cache, reduce
 from operator import add, or_
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import fixed, variants
 
@@ -46,21 +49,28 @@ def automaton() -> tuple[ahocorasick.Automaton, dict[int, tuple[int, list[int]]]
 HITS = T.StructType([*(T.StructField(f"b{k}", T.LongType()) for k in range(-(-len(WORDS) // BITS))), *(T.StructField(f"p{k}", T.IntegerType()) for k in range(len(AHEAD)))])
 
 
-@F.pandas_udf(HITS)
-def words_in(texts: pd.Series) -> pd.DataFrame:
-    """Which WORDS stand in each lower-cased text, as bits, none in a null; and for patterns in AHEAD how many letters stand before the first of their words."""
+@F.arrow_udf(HITS)
+def words_in(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Which WORDS stand in each lower-cased text, as bits, none in a null; and for patterns in AHEAD how many letters stand before the first of their words.
+
+    Of a batch one text at a time is a Python object.
+    """
+    for texts in batches:
+        columns = np.array([hits_in(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(HITS)).T
+        yield pa.StructArray.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, HITS)], [f.name for f in HITS])
+        pa.default_memory_pool().release_unused()
+
+
+def hits_in(text: str | None) -> list[int]:
     every, told = automaton()
-    longs, found = -(-len(WORDS) // BITS), []
-    for t in texts:
-        bits, begins = 0, [0] * len(AHEAD)
-        for end, bit in every.iter(t or ""):
-            if bit & ~bits:
-                bits |= bit
-                size, places = told[bit]
-                for k in places:
-                    begins[k] = min(begins[k] or end + 2, end + 2 - size)  # from 1
-        found.append([*(bits >> (BITS * k) & ((1 << BITS) - 1) for k in range(longs)), *(max(0, b - 1) for b in begins)])
-    return pd.DataFrame(found, columns=HITS.names, dtype="int64")
+    longs, bits, begins = -(-len(WORDS) // BITS), 0, [0] * len(AHEAD)
+    for end, bit in every.iter(text or ""):
+        if bit & ~bits:
+            bits |= bit
+            size, places = told[bit]
+            for k in places:
+                begins[k] = min(begins[k] or end + 2, end + 2 - size)  # from 1
+    return [*(bits >> (BITS * k) & ((1 << BITS) - 1) for k in range(longs)), *(max(0, b - 1) for b in begins)]
 
 
 def masked(hits: Column, words: list[str]) -> list[Column]:

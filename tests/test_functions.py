@@ -1,5 +1,6 @@
 """Hand-derived cases and properties of extraction, inference, scores and messages."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -241,3 +242,18 @@ def test_prompts_are_asked_once_and_together(spark, tmp_path):
     lost = {x for g in groups if "fail" in g for x in g}
     assert found["one"] == (None if "one" in lost else "One") and all(found[x] is None for x in lost) and found[None] is None
     assert got.count() == rows.count()
+
+
+def test_pages_become_objects_in_pieces(monkeypatch):
+    """A worker has few pages as objects at a time, a long one and nulls among them; none is left out."""
+    texts = pa.array(["a" * 30, None, "b" * 90, "c" * 500, "", "d" * 60])
+    assert [(p.start, p.stop) for p in extract.pieces(texts, 120)] == [(0, 3), (3, 4), (4, 6)]
+    assert list(extract.pieces(pa.array([], pa.string()))) == []
+
+
+def test_of_a_page_only_what_is_asked_for_leaves_the_worker(spark):
+    """The read of a title returns one column; null pages and several batches keep their places."""
+    rows = spark.range(25_000, numPartitions=1).selectExpr("if(id % 3 = 0, null, concat('<title>t', id, '</title>', repeat('x', 200))) as html", "id")
+    out = rows.select("id", extract.title(F.col("html")).alias("title"))
+    assert "body_text" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("not (title <=> if(id % 3 = 0, null, concat('t', id)))").count() == 0
