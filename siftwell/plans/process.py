@@ -91,7 +91,8 @@ def process_leads(requests: DataFrame, leads: DataFrame, fetches: DataFrame, sub
     own = F.struct(*(F.col(c).cast(t).alias(c) if c in leads.columns else F.lit(None).cast(t).alias(c) for c, t in LEAD.items())).alias("lead")
     known = quota.with_plan(leads, subscriptions, "organization_id").select(F.col("id").alias("page_id"), own, quota.allowed(F.col("plan_name"), ai_plans).alias("ai"))
     found = asked.join(known, F.col("lead_id") == F.col("page_id"), "left")
-    pages = found.filter("page_id is not null").drop("lead_id").join(fetches, "page_id", "left").withColumn("url", F.coalesce("url", F.col("lead.website")))
+    # the leads are hashed and the pages stream past them: a sort would hold whole pages in a task's memory
+    pages = found.filter("page_id is not null").drop("lead_id").hint("shuffle_hash").join(fetches, "page_id", "left").withColumn("url", F.coalesce("url", F.col("lead.website")))
     out = run(pages, "ai", **options)
     missing = found.filter("page_id is null").select("lead_id", F.lit("error").alias("status"), F.concat(F.lit("Lead "), F.col("lead_id").cast("string"), F.lit(" not found")).alias("error_message"))
     return out.unionByName(missing, allowMissingColumns=True)

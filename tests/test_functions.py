@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftwell.functions import enrich, extract, message, score, variants
+from siftwell.plans import process
 
 
 def texts(spark, *rows):
@@ -257,3 +258,13 @@ def test_of_a_page_only_what_is_asked_for_leaves_the_worker(spark):
     out = rows.select("id", extract.title(F.col("html")).alias("title"))
     assert "body_text" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.filter("not (title <=> if(id % 3 = 0, null, concat('t', id)))").count() == 0
+
+
+def test_pages_of_leads_are_not_sorted(spark):
+    """Pages stream past the leads that are asked for; no sort holds them."""
+    leads = spark.sql("select 1L as id, 1L as organization_id, 'w' as website")
+    fetches = spark.sql("select 1L as page_id, 'u' as url, '<title>t</title>' as html, 200 as status, cast(null as string) as error")
+    plans = spark.sql("select 1L as id, 1L as organization_id, 'pro' as plan_name")
+    out = process.process_leads(spark.sql("select 1L as lead_id union all select 2L"), leads, fetches, plans, ("pro",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and sorted((r.lead_id, r.status) for r in out.select("lead_id", "status").collect()) == [(1, "completed"), (2, "error")]
