@@ -60,7 +60,7 @@ def cut(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["extract_title", "extract_title_raw", "visible_text", "merge_scrape", "process_fetches", "render_waterfall", "process_lead", "process_lead_strict", "process_lead_without_ai"])
+@pytest.mark.parametrize("name", ["extract_title", "extract_title_raw", "visible_text", "merge_scrape", "process_fetches", "render_waterfall", "process_lead", "process_lead_strict", "process_lead_without_ai", "process_leads"])
 def test_pages_cut_within_references_equal_sql(spark, cut, name, monkeypatch):
     monkeypatch.setitem(globals(), "SF", cut[0])
     test_query_equals_sql(spark, cut[1], name)
